@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
 
@@ -18,6 +18,15 @@ def any_of(patterns: list[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a costly column that later filters and projections read instead of recomputing.
+
+    The optimizer copies column definitions into pushed-down filters; it does not
+    copy through a generator.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 

@@ -51,17 +51,25 @@ def log_manifest(spark: SparkSession, path: str, pattern: str = "*.log*") -> Dat
 def parse_access(lines: DataFrame) -> DataFrame:
     """Combined access format anchored at the line start; other lines are dropped."""
     names = ["ip", "stamp", "method", "path", "status", "size", "referrer", "user_agent"]
-    parts = [F.regexp_extract("line", ACCESS_LINE, i + 1).alias(n) for i, n in enumerate(names)]
     keep = [c for c in lines.columns if c != "line"]
+    rows = split_groups(lines, ACCESS_LINE, len(names))
     return (
-        lines.filter(F.col("line").rlike(ACCESS_LINE))
-        .select(*keep, *parts)
+        rows.select(*keep, *[F.col("_parts")[i].alias(n) for i, n in enumerate(names)])
         .withColumn("status", F.col("status").try_cast("int"))
         .withColumn("size", F.col("size").try_cast("bigint"))
         .withColumn("timestamp", from_access_stamp(F.col("stamp")))
     )
 
 
+def split_groups(lines: DataFrame, pattern: str, n: int) -> DataFrame:
+    """Lines matching an anchored pattern, its groups in ``_parts``; one regex pass per line.
+
+    Groups are cut at line breaks, which neither a line nor ``.`` can contain.
+    """
+    marked = F.regexp_replace("line", pattern + "(?s:.*)$", "\n".join(f"${i + 1}" for i in range(n)))
+    return text.once(lines, "_parts", F.split(marked, "\n")).filter(F.size("_parts") == n)
+
+
 def parse_error(lines: DataFrame) -> DataFrame:
     keep = [c for c in lines.columns if c != "line"]
     return lines.select(*keep, F.trim("line").alias("raw"), F.lit("nginx_error").alias("type"))
@@ -94,7 +102,7 @@ def access_events(requests: DataFrame) -> DataFrame:
     """Security events of web requests that carry an attack or fail with status >= 400."""
     types = text.attack_types(F.col("path"), F.col("user_agent"))
     status, attacked = F.col("status"), F.size("attack_types") > 0
-    rows = requests.withColumn("attack_types", types).filter(attacked | (status >= 400))
+    rows = text.once(requests, "attack_types", types).filter(attacked | (status >= 400))
     return rows.withColumn("severity", text.attack_severity(status, F.col("attack_types"))).select(
         *[c for c in ("id",) if c in requests.columns],
         "timestamp",
