@@ -208,3 +208,18 @@ BLOCK_REASONS = {
     "disabled": "Auto-bloqueo deshabilitado",
     "internal": "IP interna excluida",
 }
+
+# --- fixed values: names of score factors and texts of explanations
+FACTORS = {
+    "ml": "Confianza ML", "speed": "Velocidad de Ataque", "vectors": "Múltiples Vectores de Ataque",
+    "errors": "Alto Ratio de Errores", "bot": "Patrón de Bot Automatizado", "country": "País de Alto Riesgo",
+    "escalation": "Escalamiento de Ataque", "chars": "Caracteres Maliciosos", "paths": "URLs Anormalmente Largas",
+}
+FEATURE_TEXTS = {
+    "severity_level": "Nivel de severidad: {v}", "suspicious_chars": "{v} caracteres sospechosos",
+    "path_length": "Longitud de URL: {v} caracteres", "hour": "Hora del día: {v}:00", "ua_length": "User-Agent: {v} caracteres",
+}
+FEATURE_FLAGS = {
+    "is_night": ("Horario nocturno", "Horario diurno"), "is_weekend": ("Fin de semana", "Día laborable"),
+    "is_bot": ("Bot detectado", "No es bot"), "has_query_string": ("Tiene query string", "Sin query string"),
+}

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
+from .numbers import rounded
 
 
 def any_of(patterns: list[str]) -> str:
@@ -55,7 +56,7 @@ def shannon_entropy(text: Column) -> Column:
         p = (F.length(q) - F.length(F.replace(q, c, F.lit("")))) / n
         return acc - p * F.log2(p)
 
-    return F.round(F.aggregate(chars, F.lit(0.0), step), 2)
+    return rounded(F.aggregate(chars, F.lit(0.0), step), 2)
 
 
 def attack_types(path: Column, agent: Column) -> Column:

@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numbers import rounded
 from ..functions import fixed, text
 from ..functions.times import before, micros, ts_lit
 from .intervals import latest_per_key
@@ -286,7 +287,7 @@ def threat_map(events: DataFrame, as_of: datetime, hours: float = 24) -> DataFra
     )
     totals = per_ip.groupBy("country").agg(
         F.sum("n").alias("count"),
-        F.round(F.sum("points") / F.sum("n"), 2).alias("avg_score"),
+        rounded(F.sum("points") / F.sum("n"), 2).alias("avg_score"),
         F.count("source_ip").alias("unique_ips"),
         F.sum("ml").alias("ml"),
         F.sum("zeek").alias("zeek"),
@@ -386,8 +387,8 @@ def ip_details(events: DataFrame, predictions: DataFrame, geo: DataFrame, limit:
     sevs = histogram(last.withColumn("severity", F.upper("severity")), "ip", "severity", "severities")
     ml = predictions.groupBy(F.col("ip_address").alias("ip")).agg(
         F.count("*").alias("total_predictions"),
-        F.round(F.avg("ml_confidence"), 4).alias("avg_confidence"),
-        F.round(F.max("ml_confidence"), 4).alias("max_confidence"),
+        rounded(F.avg("ml_confidence"), 4).alias("avg_confidence"),
+        rounded(F.max("ml_confidence"), 4).alias("max_confidence"),
     )
     return (
         seen.join(types, "ip").join(sevs, "ip").join(ml, "ip", "left").join(geo, "ip", "left")
@@ -413,7 +414,7 @@ def country_stats(events: DataFrame, geo: DataFrame) -> DataFrame:
     item = F.concat(F.col("event_type"), F.lit("="), F.col("n").cast("string"))
     kinds = kinds.groupBy("country_code").agg(F.sort_array(F.collect_list(item)).alias("event_types"))
     return totals.join(kinds, "country_code").withColumn(
-        "malicious_percentage", F.round(F.col("malicious_events") / F.col("total_events") * 100, 4)
+        "malicious_percentage", rounded(F.col("malicious_events") / F.col("total_events") * 100, 4)
     )
 
 
@@ -491,7 +492,7 @@ def event_type_distribution(events: DataFrame, as_of: datetime, days: int = 30,
         named.select(kind.alias("kind"), F.coalesce("event_type", "severity").alias("value"), "count", "total")
         .withColumn("rk", F.row_number().over(rank))
         .filter((F.col("kind") == "severity") | (F.col("rk") <= top))
-        .select("kind", "value", "count", F.round(F.col("count") / F.col("total") * 100, 1).alias("percent"))
+        .select("kind", "value", "count", rounded(F.col("count") / F.col("total") * 100, 1).alias("percent"))
     )
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numbers import rounded
 from ..functions import fixed, text
 from ..functions.times import micros
 from .events import in_window, one_row
@@ -51,8 +52,8 @@ def port_scan_rated(conn: DataFrame, as_of: datetime, hours: float = 1, min_port
     )
     return by_severity_then(
         per_ip.select(
-            "ip", n.alias("ports_scanned"), "unique_destinations", F.round("span", 2).alias("time_window"),
-            F.round(rate, 2).alias("scan_rate"), severity.alias("severity"), F.slice("ports", 1, 50).alias("ports"),
+            "ip", n.alias("ports_scanned"), "unique_destinations", rounded("span", 2).alias("time_window"),
+            rounded(rate, 2).alias("scan_rate"), severity.alias("severity"), F.slice("ports", 1, 50).alias("ports"),
             "first_seen", "last_seen",
         ),
         "ports_scanned",
@@ -177,7 +178,7 @@ def beaconing(conn: DataFrame, as_of: datetime, hours: float = 24, threshold: fl
         stats.withColumn("reg", 1 - F.least(cv, F.lit(1.0)))
         .filter(F.col("reg") >= threshold)
         .select(
-            *keys, "connection_count", F.round("mean", 2).alias("mean_interval"), F.round("reg", 3).alias("regularity"),
+            *keys, "connection_count", rounded("mean", 2).alias("mean_interval"), rounded("reg", 3).alias("regularity"),
             "first_seen", "last_seen",
         )
         .orderBy(F.desc("regularity"), *keys)
@@ -357,7 +358,7 @@ def detection_alerts(conn: DataFrame, dns: DataFrame, ssl: DataFrame, as_of: dat
              word("Posible DNS tunneling: ", F.col("query"), " (", F.length("query"), " chars)")),
         rows(certs, "ssl_self_signed", F.lit("medium"), "source_ip", word("Certificado auto-firmado detectado: ", F.col("server_name"))),
         rows(beacons, "beaconing", F.lit("critical"), "source_ip",
-             word("Posible beaconing a ", F.col("dest_ip"), ":", F.col("dest_port"), " (regularidad: ", F.format_number(F.col("regularity") * 100, "0"), "%)")),
+             word("Posible beaconing a ", F.col("dest_ip"), ":", F.col("dest_port"), " (regularidad: ", F.format_string("%.0f", F.col("regularity") * 100), "%)")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions import text
 from ..functions.times import before
 from ..operators import events as ev, geo
@@ -317,7 +318,7 @@ def _(t):
 @query("threat_map", f"""
 with x as (select *, {SRC} as src, {PTS.format(d=5)} as pts from security_events where timestamp >= {D1} and country_code is not null and country_code <> 'XX'),
 i as (select country_code as country, source_ip, row_number() over (partition by country_code order by source_ip) as rn from (select distinct country_code, source_ip from x))
-select country_code as country, count(*) as count, round(avg(pts), 2) as avg_score, count(distinct source_ip) as unique_ips,
+select country_code as country, count(*) as count, round_even(avg(pts), 2) as avg_score, count(distinct source_ip) as unique_ips,
   count(*) filter (where src = 'ml') as ml, count(*) filter (where src = 'zeek') as zeek, count(*) filter (where src = 'fail2ban') as fail2ban,
   (select string_agg(i.source_ip, '|' order by i.source_ip) from i where i.country = x.country_code and rn <= 10) as ips
 from x group by country_code""")
@@ -374,7 +375,7 @@ with l as (select *, row_number() over (partition by source_ip order by timestam
 k as (select * from l where rn <= 50),
 ty as (select source_ip, string_agg(v, '|' order by v) as event_types from (select source_ip, event_type || '=' || count(*) as v from k group by source_ip, event_type) group by 1),
 se as (select source_ip, string_agg(v, '|' order by v) as severities from (select source_ip, upper(severity) || '=' || count(*) as v from k group by source_ip, severity) group by 1),
-ml as (select ip_address, count(*) as n, round(avg(ml_confidence), 4) as a, round(max(ml_confidence), 4) as m from predictions group by 1),
+ml as (select ip_address, count(*) as n, round_even(avg(ml_confidence), 4) as a, round_even(max(ml_confidence), 4) as m from predictions group by 1),
 g as ({places_sql('select distinct source_ip as ip from security_events')}),
 a as (select source_ip as ip, count(*) as total_events, min(timestamp) as first_seen, max(timestamp) as last_seen,
   string_agg(event_type || ':' || severity, '|' order by rn) filter (where rn <= 10) as recent_events from k group by 1)
@@ -394,7 +395,7 @@ with g as ({PLACED}), x as (select e.*, g.country_code as cc, g.country_name as
 k as (select cc, string_agg(v, '|' order by v) as event_types from (select cc, event_type || '=' || count(*) as v from x group by cc, event_type) group by cc)
 select x.cc as country_code, min(cn) as country_name, count(*) as total_events, count(distinct source_ip) as unique_ips,
   count(*) filter (where severity in ('critical', 'high')) as malicious_events, min(k.event_types) as event_types,
-  round(count(*) filter (where severity in ('critical', 'high')) / count(*) * 100, 4) as malicious_percentage
+  round_even(count(*) filter (where severity in ('critical', 'high')) / count(*) * 100, 4) as malicious_percentage
 from x join k on x.cc = k.cc group by x.cc""")
 def _(t):
     return ev.country_stats(t.security_events, geo.geo_lookup(t.security_events, t.geo_ranges, "source_ip"))
@@ -531,7 +532,7 @@ def _(t):
 with x as (select * from security_events where timestamp >= {D30}), n as (select count(*) as n from x),
 t as (select 'type' as kind, event_type as value, count(*) as count from x group by event_type order by count desc, value limit 10),
 s as (select 'severity' as kind, severity as value, count(*) as count from x group by severity)
-select kind, value, count, round(count / n.n * 100, 1) as percent from (select * from t union all select * from s) u, n""")
+select kind, value, count, round_even(count / n.n * 100, 1) as percent from (select * from t union all select * from s) u, n""")
 def _(t):
     return ev.event_type_distribution(t.security_events, AS_OF)
 
@@ -594,9 +595,9 @@ def _(t):
 @query("alert_stats", f"""
 with x as (select * from alert_logs where sent_at >= {D1})
 select 'total' as grp, 'all' as value, count(*) as n, count(*) filter (where success) as ok, count(*) filter (where not success) as failed,
-  round(count(*) filter (where success) / count(*) * 100, 4) as success_rate from x
-union all select 'severity', severity, count(*), count(*) filter (where success), count(*) filter (where not success), round(count(*) filter (where success) / count(*) * 100, 4) from x group by severity
-union all select 'channel', cast(channel_id as varchar), count(*), count(*) filter (where success), count(*) filter (where not success), round(count(*) filter (where success) / count(*) * 100, 4) from x group by channel_id""")
+  round_even(count(*) filter (where success) / count(*) * 100, 4) as success_rate from x
+union all select 'severity', severity, count(*), count(*) filter (where success), count(*) filter (where not success), round_even(count(*) filter (where success) / count(*) * 100, 4) from x group by severity
+union all select 'channel', cast(channel_id as varchar), count(*), count(*) filter (where success), count(*) filter (where not success), round_even(count(*) filter (where success) / count(*) * 100, 4) from x group by channel_id""")
 def _(t):
     return alert_stats(t.alert_logs)
 
@@ -611,7 +612,7 @@ def alert_stats(logs, hours=24):
     grp = text.first_case([(F.col("gid") == 1, "severity"), (F.col("gid") == 2, "channel")], "total")
     value = text.first_case(
         [(F.col("gid") == 1, F.col("severity")), (F.col("gid") == 2, F.col("channel_id").cast("string"))], "all")
-    rate = F.round(F.coalesce(F.try_divide(F.col("ok"), F.col("n")), F.lit(0.0)) * 100, 4)
+    rate = rounded(F.coalesce(F.try_divide(F.col("ok"), F.col("n")), F.lit(0.0)) * 100, 4)
     return sets.filter((F.col("gid") != 2) | F.col("channel_id").isNotNull()).select(
         grp.alias("grp"), value.alias("value"), "n", "ok", "failed", rate.alias("success_rate"))
 
@@ -636,14 +637,14 @@ def top_rules(t, n=5):
 @query("alert_dashboard", f"""
 with {TOP_RULES}, x as (select * from alert_logs where sent_at >= {D1})
 select count(*) as total_sent, count(*) filter (where success) as successful, count(*) filter (where not success) as failed,
-  round(count(*) filter (where success) / count(*) * 100, 2) as success_rate, {SEV4.replace('severity =', 'lower(severity) =')},
+  round_even(count(*) filter (where success) / count(*) * 100, 2) as success_rate, {SEV4.replace('severity =', 'lower(severity) =')},
   (select count(*) from alert_channels where is_enabled) as active_channels, (select count(*) from alert_rules where is_enabled) as active_rules,
   (select string_agg(rule_name || '=' || count, '|' order by rule_name) from tn) as top_rules from x""")
 def _(t):
     logs = ev.in_window(t.alert_logs, AS_OF, 24, "sent_at").withColumn("severity", F.lower("severity"))
     counts = logs.agg(
         F.count("*").alias("total_sent"), F.count_if("success").alias("successful"), F.count_if(~F.col("success")).alias("failed"),
-        F.round(F.coalesce(F.try_divide(F.count_if("success"), F.count("*")), F.lit(0.0)) * 100, 2).alias("success_rate"),
+        rounded(F.coalesce(F.try_divide(F.count_if("success"), F.count("*")), F.lit(0.0)) * 100, 2).alias("success_rate"),
         *ev.severity_counts())
     item = F.concat(F.col("rule_name"), F.lit("="), F.col("count").cast("string"))
     return ev.one_row(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions import fixed, text
 from ..functions.times import ts_lit
 from ..operators import network as net
@@ -21,7 +22,7 @@ def conn_cols(df):
     return df.selectExpr(*[c.strip() for c in CONN.replace("coalesce(duration, 0)", "coalesce(duration,0d)").replace("coalesce(resp_bytes, 0)", "coalesce(resp_bytes,0L)").replace(", ", "\n").split("\n")])
 
 
-ENT = "round(coalesce(list_aggregate(string_split({c}, ''), 'entropy'), 0), 2)"
+ENT = "round_even(coalesce(list_aggregate(string_split({c}, ''), 'entropy'), 0), 2)"
 KNOWN = "regexp_matches(lower({c}), '" + "|".join(d.replace(".", "\\.") for d in fixed.KNOWN_DOMAINS) + "')"
 SELF = "coalesce(subject = issuer, false)"
 EXPIRED = f"coalesce(not_valid_after < {NOW}, false)"
@@ -139,7 +140,7 @@ SCAN = f"""scan as (select *, case when ports_scanned >= 100 or rate >= 10 then
     from {CONN_W} where dest_port <> 0 group by 1 having count(distinct dest_port) >= 15)))"""
 
 
-@query("port_scan_rated", f"with {SCAN} select ip, ports_scanned, unique_destinations, round(span, 2) as time_window, round(rate, 2) as scan_rate, severity, ports, first_seen, last_seen from scan")
+@query("port_scan_rated", f"with {SCAN} select ip, ports_scanned, unique_destinations, round_even(span, 2) as time_window, round_even(rate, 2) as scan_rate, severity, ports, first_seen, last_seen from scan")
 def _(t):
     return net.port_scan_rated(t.conn, AS_OF, hours=24)
 
@@ -225,7 +226,7 @@ bst as (select source_ip, dest_ip, dest_port, count(*) as connection_count, avg(
 beacons as (select *, 1 - least(case when mean > 0 then dev / mean else 0 end, 1) as reg from bst)"""
 
 
-@query("beaconing", f"with {BEACON} select source_ip, dest_ip, dest_port, connection_count, round(mean, 2) as mean_interval, round(reg, 3) as regularity, first_seen, last_seen from beacons where reg >= 0.9")
+@query("beaconing", f"with {BEACON} select source_ip, dest_ip, dest_port, connection_count, round_even(mean, 2) as mean_interval, round_even(reg, 3) as regularity, first_seen, last_seen from beacons where reg >= 0.9")
 def _(t):
     return net.beaconing(t.conn, AS_OF)
 
@@ -234,9 +235,9 @@ REGULAR = """reg as (select source_ip as ip, case when count(*) > 5 and avg(gap)
   from (select source_ip, (epoch_us(timestamp) - lag(epoch_us(timestamp)) over (partition by source_ip order by timestamp)) / 1e6 as gap from conn) group by 1)"""
 
 
-@query("flow_regularity_sample", f"with {REGULAR} select ip, round(connection_regularity, 6) as connection_regularity from reg")
+@query("flow_regularity_sample", f"with {REGULAR} select ip, round_even(connection_regularity, 6) as connection_regularity from reg")
 def _(t):
-    return net.flow_regularity(t.conn).select("ip", F.round("connection_regularity", 6).alias("connection_regularity"))
+    return net.flow_regularity(t.conn).select("ip", rounded("connection_regularity", 6).alias("connection_regularity"))
 
 
 @query("inter_event_interval", "select id, source_ip, coalesce((epoch_us(timestamp) - lag(epoch_us(timestamp)) over (partition by source_ip order by timestamp, id)) / 1e6, -1) as seconds from security_events")
@@ -254,7 +255,7 @@ fd as (select source_ip as ip, count(*) as dns_queries, count(distinct query) as
 fh as (select ip, count(*) as http_requests, count(distinct method) as http_methods_diversity, count(*) filter (where {any_word('lower(user_agent)', fixed.FEATURE_AGENTS)}) as suspicious_user_agents from http_access group by 1),
 fs as (select source_ip as ip, count(*) as ssl_connections, count(*) filter (where contains(lower(validation_status), 'invalid')) as ssl_invalid_certs from ssl group by 1),
 feats as (select ip, """ + ", ".join(
-    f"round(coalesce({c}, 0), 6) as {c}" if c in net.REAL_FEATURES else f"coalesce({c}, 0) as {c}" for c in net.NETWORK_FEATURES
+    f"round_even(coalesce({c}, 0), 6) as {c}" if c in net.REAL_FEATURES else f"coalesce({c}, 0) as {c}" for c in net.NETWORK_FEATURES
 ) + " from fc full join fd using (ip) full join fh using (ip) full join fs using (ip) full join reg using (ip))"
 
 
@@ -266,7 +267,7 @@ def features(t):
 def _(t):
     f = features(t)
     for c in net.REAL_FEATURES:
-        f = f.withColumn(c, F.round(c, 6))
+        f = f.withColumn(c, rounded(c, 6))
     return f
 
 
@@ -353,7 +354,7 @@ select 'port_scan' as threat_type, severity, ip as source, 'Port scan detectado:
 union all select 'dns_dga', 'high', source_ip, 'Posible DGA detectado: ' || query from (select * from {DNS_W} where {ENT.format(c='query')} >= 3.8 and not {KNOWN.format(c='query')} order by timestamp, id limit 10) where {ENT.format(c='query')} >= 4.5
 union all select 'dns_tunneling', 'critical', source_ip, 'Posible DNS tunneling: ' || query || ' (' || length(query) || ' chars)' from (select * from {DNS_W} where length(query) > 60 and {DOTS} >= 3 order by timestamp, id limit 5)
 union all select 'ssl_self_signed', 'medium', source_ip, 'Certificado auto-firmado detectado: ' || server_name from (select * from {SSL_W} where {SELF} order by timestamp, id limit 10)
-union all select 'beaconing', 'critical', source_ip, 'Posible beaconing a ' || dest_ip || ':' || dest_port || ' (regularidad: ' || cast(round(round(reg, 3) * 100) as int) || '%)' from (select * from beacons where reg >= 0.9 order by round(reg, 3) desc, source_ip, dest_ip, dest_port limit 5))
+union all select 'beaconing', 'critical', source_ip, 'Posible beaconing a ' || dest_ip || ':' || dest_port || ' (regularidad: ' || printf('%.0f', round_even(reg, 3) * 100) || '%)' from (select * from beacons where reg >= 0.9 order by round_even(reg, 3) desc, source_ip, dest_ip, dest_port limit 5))
 select *, upper(threat_type) || ' detectado' as title from al""")
 def _(t):
     return net.detection_alerts(t.conn, t.dns, t.ssl, AS_OF)

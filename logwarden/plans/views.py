@@ -225,6 +225,33 @@ select model_version, run, timestamp '2024-01-01 00:00:00' + interval '1' day *
   round(coalesce(sum(case when y_true = 1 and y_pred = 1 then 1.0e0 else 0.0e0 end) / nullif(sum(case when y_true = 1 then 1.0e0 else 0.0e0 end), 0), 0), 6) as recall
 from @scored@ group by model_version, run"""
 
+VIEWS["full_events"] = """
+select e.*, h.path as request_path, h.user_agent, h.method as request_method from @security_events@ e join @http_access@ h on e.id = h.id"""
+
+VIEWS["event_scores"] = """
+select e.id, p.ml_confidence as confidence, p.ml_confidence >= 0.5 as is_suspicious, e.id % 10 = 0 as is_anomaly
+from @security_events@ e join @predictions@ p on e.source_ip = p.ip_address"""
+
+VIEWS["block_snapshot"] = """
+select ip_address, blocked_by, 'earlier' as reason, threat_level, is_permanent, unblock_time, last_blocked, cast(1 as bigint) as total_attacks from @blocked_ips@"""
+
+VIEWS["block_requests"] = """
+select id, source_ip as ip_address, concat('asked for ', event_type) as reason, severity as threat_level,
+  case when id % 6 = 0 then null when id % 6 = 1 then 0 else cast(id % 6 * 12 as int) end as duration_hours, 'manual' as blocked_by, timestamp as asked_at
+from @security_events@ where severity in ('high', 'critical')"""
+
+VIEWS["prediction_batch"] = """
+select ip_address, 1.0e0 - ml_confidence as ml_confidence, threat_score, total_events, case when zeek_detections = 0 then null else first_seen end as first_seen,
+  case when zeek_detections = 1 then null else last_seen end as last_seen, timestamp '2024-01-20 00:00:00' + interval '1' hour * cast(total_events as int) as analyzed_at
+from @predictions@ where f2b_bans = 1
+union all select concat(ip_address, '0'), ml_confidence, threat_score, total_events, case when zeek_detections = 0 then null else first_seen end,
+  case when zeek_detections = 1 then null else last_seen end, timestamp '2024-01-25 00:00:00' from @predictions@ where f2b_bans = 0"""
+
+VIEWS["prediction_store"] = """
+select ip_address, ml_confidence, threat_score, total_events, first_seen, last_seen,
+  timestamp '2023-12-15 00:00:00' + interval '1' day * cast(zeek_detections * 20 as int) as analyzed_at, is_valid
+from @predictions@"""
+
 _SPARK_TOKENS = {
     "{syslog}": "date_format(t, 'MMM dd HH:mm:ss')",
     "{clf}": "date_format(timestamp, 'dd/MMM/yyyy:HH:mm:ss')",
