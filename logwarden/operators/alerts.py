@@ -131,8 +131,13 @@ def channel_fanout(hits: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def deliveries(events: DataFrame, rules: DataFrame, channels: DataFrame) -> DataFrame:
-    """Delivery log: mail with recipients succeeds, other channel types are logged as failed."""
-    rows = channel_fanout(triggered(events, rules), channels)
+    """Delivery log of a batch of events: rules, threshold, cool-down, channels."""
+    return log_deliveries(triggered(events, rules), channels)
+
+
+def log_deliveries(hits: DataFrame, channels: DataFrame) -> DataFrame:
+    """Mail with recipients succeeds; other channel types are logged as failed."""
+    rows = channel_fanout(hits, channels)
     mail = F.col("channel_type") == "email"
     error = text.first_case([(~mail, "Channel type not supported"), (F.coalesce("recipients", F.lit(0)) == 0, "No recipients configured")])
     return rows.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_queries, event_queries, network_queries, weblog_queries  # noqa: F401
+from . import decision_queries, event_queries, file_queries, ml_queries, network_queries, weblog_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -522,14 +522,6 @@ BAN_ALERT = f"""with {BANS}, f as (select ip, arg_min(jail, (timestamp, id)) as
 select ip, jail, timestamp, case when jail in ('sshd', 'ssh') then 'HIGH' else 'MEDIUM' end as severity, 'IP ' || ip || ' bloqueada por Fail2ban en jail ' || jail as reason from f"""
 
 
-def ban_alerts(bans):
-    """One alert per banned address, from its first ban."""
-    first = bans.filter(F.col("kind") == "ban").groupBy("ip").agg(F.min_by(F.struct("jail", "timestamp"), F.struct("timestamp", "id")).alias("b"))
-    return first.select(
-        "ip", "b.jail", "b.timestamp", F.when(F.col("b.jail").isin("sshd", "ssh"), "HIGH").otherwise("MEDIUM").alias("severity"),
-        F.concat(F.lit("IP "), F.col("ip"), F.lit(" bloqueada por Fail2ban en jail "), F.col("b.jail")).alias("reason"))
-
-
 @query("ban_alert_severity", BAN_ALERT)
 def _(t):
-    return ban_alerts(ll.parse_bans(t.ban_lines))
+    return wl.ban_alerts(ll.parse_bans(t.ban_lines))

@@ -53,13 +53,16 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return counts.rollup("table_name").agg(F.sum("n").alias("n")).select(F.coalesce("table_name", F.lit("total")).alias("table_name"), "n")
 
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv", columns: list[str] | None = None) -> None:
     """Write a report as CSV with header or as JSON lines."""
     out = df.select(*columns) if columns else df
     if fmt == "csv":
-        out.write.mode("overwrite").option("header", True).csv(path)
+        out.write.mode("overwrite").option("header", True).option("timestampNTZFormat", MICROS).csv(path)
     elif fmt == "json":
-        out.write.mode("overwrite").json(path)
+        out.write.mode("overwrite").option("timestampNTZFormat", MICROS).json(path)
     else:
         raise ValueError(f"unknown format {fmt}")
 

@@ -38,14 +38,14 @@ def tail_lines(lines: DataFrame, order: str, limit: int = 1000) -> DataFrame:
     return lines.orderBy(F.col(order).desc()).limit(limit)
 
 
-def log_manifest(spark: SparkSession, path: str, pattern: str = "*.log*") -> DataFrame:
+def log_manifest(
+    spark: SparkSession, path: str, glob: str = "*.log*", keep: str = r"\.log(\.[1-5])?$"
+) -> DataFrame:
     """Base and rotated (.1 to .5) log files with size and time; contents are not read."""
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     ).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return files.filter(F.col("path").rlike(r"\.log(\.[1-5])?$")).select(
-        "path", "size", "modified", F.regexp_extract("path", r"\.log(\.[1-5])$", 1).alias("rotation")
-    )
+    return files.filter(F.col("path").rlike(keep)).withColumn("rotation", F.regexp_extract("path", r"\.log(\.[1-5])$", 1))
 
 
 def parse_access(lines: DataFrame) -> DataFrame:
