@@ -14,9 +14,9 @@ from . import fixed
 from .numbers import rounded
 
 
-def any_of(patterns: list[str]) -> str:
-    """One case-insensitive alternation, so that a class costs one regex pass."""
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+def any_of(patterns: list[str], flags: str = "(?i)") -> str:
+    """One alternation, so that a class costs one regex pass; no flags for text already in lower case."""
+    return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
 def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
@@ -62,7 +62,7 @@ def shannon_entropy(text: Column) -> Column:
 def attack_types(path: Column, agent: Column) -> Column:
     """Attack classes whose patterns occur in "path agent", in fixed order."""
     text = F.lower(F.concat(F.coalesce(path, F.lit("")), F.lit(" "), F.coalesce(agent, F.lit(""))))
-    flags = [F.when(text.rlike(any_of(pats)), F.lit(name)) for name, pats in fixed.ATTACK_CLASSES.items()]
+    flags = [F.when(text.rlike(any_of(pats, "")), F.lit(name)) for name, pats in fixed.ATTACK_CLASSES.items()]
     return F.array_compact(F.array(*flags))
 
 

@@ -48,7 +48,7 @@ def encode_scale(frame: DataFrame) -> tuple[PipelineModel, DataFrame]:
 def train_forest(frame: DataFrame, trees: int = 100, seed: int = 42, least: int = 50) -> PipelineModel:
     """Random forest of depth 10; refuses fewer than ``least`` rows or a single class.
 
-    Its input is written to the shared checkpoint folder once, because fitting reads it several times.
+    Fitting passes over the frame many times: give it a written table, not a long plan.
     """
     size = frame.agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).first()
     if size["n"] < least or size["k"] < 2:

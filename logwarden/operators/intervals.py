@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import micros
 
@@ -44,8 +44,10 @@ def with_previous(
     )
 
 
-def trailing_count(df: DataFrame, keys: list[str], ts: str, span_us: int, out: str) -> DataFrame:
-    """Rows of the key in ``(t - span, t]``, ties included.
+def trailing_count(
+    df: DataFrame, keys: list[str], ts: str, span_us: int, out: str, counted: Column | None = None
+) -> DataFrame:
+    """Rows of the key in ``(t - span, t]``, ties included; only ``counted`` ones count, all are returned.
 
     Each row becomes +1 at its own time, +1 at the start of the next bucket and
     -1 when it leaves the span; buckets are as long as the span, so a running
@@ -55,11 +57,15 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, span_us: int, out: s
     bucket = F.floor(us / span_us)
     payload = F.struct(*[F.col(c) for c in df.columns])
     empty = F.lit(None).cast(df.select(payload.alias("p")).schema["p"].dataType)
+    one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
+    own = F.struct(bucket.alias("b"), us.alias("at"), one.alias("v"), payload.alias("row"))
     marks = F.array(
-        F.struct(bucket.alias("b"), us.alias("at"), F.lit(1).alias("v"), payload.alias("row")),
+        own,
         F.struct((bucket + 1).alias("b"), ((bucket + 1) * span_us).alias("at"), F.lit(1).alias("v"), empty.alias("row")),
         F.struct((bucket + 1).alias("b"), (us + span_us).alias("at"), F.lit(-1).alias("v"), empty.alias("row")),
     )
+    if counted is not None:
+        marks = F.when(counted, marks).otherwise(F.array(own))
     key_cols = [F.col(k).alias(f"_k_{k}") for k in keys]
     exploded = df.select(*key_cols, F.explode(marks).alias("m")).select(*[f"_k_{k}" for k in keys], "m.*")
     running = (

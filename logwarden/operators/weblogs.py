@@ -99,8 +99,8 @@ def brute_force_ips(logins: DataFrame, threshold: int = 10) -> DataFrame:
         .groupBy("ip", F.coalesce("user", F.lit("unknown")).alias("user"))
         .agg(F.count("*").alias("n"))
     )
-    busy = per_user.groupBy("ip").agg(F.sum("n").alias("attempts")).filter(F.col("attempts") >= threshold)
-    return per_user.join(busy, "ip").groupBy("ip", "attempts").agg(F.sort_array(F.collect_list("user")).alias("users"))
+    per_ip = per_user.groupBy("ip").agg(F.sum("n").alias("attempts"), F.sort_array(F.collect_list("user")).alias("users"))
+    return per_ip.filter(F.col("attempts") >= threshold)
 
 
 def heavy_importers(requests: DataFrame) -> DataFrame:
@@ -146,21 +146,32 @@ def offender_blocks(attempts: DataFrame, bans: DataFrame) -> DataFrame:
     return brute.unionByName(again)
 
 
-def vulnerability_scans(requests: DataFrame) -> DataFrame:
-    """Addresses probing several path families; one hit per (request, pattern)."""
+def family_hits() -> dict[str, Column]:
+    """Per path family the number of its patterns in a request."""
     path = F.lower("path")
-    family_hits = {
+    return {
         name: reduce(lambda a, b: a + b, [F.when(path.contains(p), 1).otherwise(0) for p in patterns])
         for name, patterns in fixed.VULN_FAMILIES.items()
     }
-    per_ip = requests.select("ip", *[c.alias(n) for n, c in family_hits.items()]).groupBy("ip").agg(
-        *[F.sum(n).alias(n) for n in family_hits]
+
+
+def family_verdict() -> tuple[Column, Column, Column]:
+    """(attempts, families, severity) from summed family hits; severity is null below the limits."""
+    names = list(fixed.VULN_FAMILIES)
+    total = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    kinds = F.sort_array(F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(n)) for n in names])))
+    many = reduce(lambda a, b: a + b, [F.when(F.col(n) > 0, 1).otherwise(0) for n in names]) >= 3
+    return total, kinds, F.when(many, "high").when(total >= 5, "medium")
+
+
+def vulnerability_scans(requests: DataFrame) -> DataFrame:
+    """Addresses probing several path families; one hit per (request, pattern)."""
+    hits = family_hits()
+    per_ip = requests.select("ip", *[c.alias(n) for n, c in hits.items()]).groupBy("ip").agg(*[F.sum(n).alias(n) for n in hits])
+    total, kinds, severity = family_verdict()
+    return per_ip.select("ip", total.alias("attempt_count"), kinds.alias("scan_types"), severity.alias("severity")).filter(
+        F.col("severity").isNotNull()
     )
-    total = reduce(lambda a, b: a + b, [F.col(n) for n in family_hits])
-    kinds = F.sort_array(F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(n)) for n in family_hits])))
-    out = per_ip.select("ip", total.alias("attempt_count"), kinds.alias("scan_types"))
-    many = F.size("scan_types") >= 3
-    return out.filter((F.col("attempt_count") >= 5) | many).withColumn("severity", F.when(many, "high").otherwise("medium"))
 
 
 def pattern_attempts(requests: DataFrame, patterns: list[str], examples: int = 5) -> DataFrame:
@@ -185,32 +196,47 @@ def pattern_attempts(requests: DataFrame, patterns: list[str], examples: int = 5
     return counts.join(shown, "ip").withColumn("severity", F.lit("high"))
 
 
-def bot_scores(requests: DataFrame) -> DataFrame:
-    """Bot score per address; kept from 30, high from 60."""
+def bot_flags() -> dict[str, Column]:
+    """Per request what the bot score looks at."""
     agent, path = F.coalesce("user_agent", F.lit("")), F.lower(F.coalesce("path", F.lit("")))
-    stats = requests.filter(F.col("ip").isNotNull()).groupBy("ip").agg(
+    return {
+        "bot_agent": text.has_bot_word(agent),
+        "no_referrer": F.coalesce("referrer", F.lit("")).isin("-", ""),
+        "numbered": path.rlike(r"/\d+"),
+        "listed": text.contains_any(path, fixed.LISTED_FILES),
+    }
+
+
+def bot_sums() -> list[Column]:
+    agent = F.coalesce("user_agent", F.lit(""))
+    return [
         F.count("*").alias("request_count"),
-        F.count_if(text.has_bot_word(agent)).alias("bot_agents"),
-        F.count_if(F.coalesce("referrer", F.lit("")).isin("-", "")).alias("no_referrer"),
-        F.count_if(path.rlike(r"/\d+")).alias("numbered"),
-        F.count_if(text.contains_any(path, fixed.LISTED_FILES)).alias("listed"),
+        *[F.count_if(c).alias(n) for n, c in bot_flags().items()],
         (F.min(agent) == F.max(agent)).alias("one_agent"),
         F.min_by(agent, F.struct("timestamp", "id")).alias("user_agent"),
-    )
+    ]
+
+
+def bot_score() -> Column:
     n = F.col("request_count")
-    score = (
-        F.col("bot_agents") * 30
+    return (
+        F.col("bot_agent") * 30
         + F.when(n > 100, 25).otherwise(0)
         + F.when(F.col("no_referrer") / n > 0.8, 20).otherwise(0)
         + F.when(F.col("numbered") > 20, 15).otherwise(0)
         + F.when(F.col("one_agent") & (n > 10), 10).otherwise(0)
         + F.col("listed") * 5
-    )
+    ).cast("bigint")
+
+
+def bot_scores(requests: DataFrame) -> DataFrame:
+    """Bot score per address; kept from 30, high from 60."""
+    stats = requests.filter(F.col("ip").isNotNull()).groupBy("ip").agg(*bot_sums())
     return (
-        stats.withColumn("score", score.cast("bigint"))
+        stats.withColumn("score", bot_score())
         .filter(F.col("score") >= 30)
         .select(
-            "ip", "score", text.bot_class(F.col("user_agent"), n > 100).alias("type"), "request_count", "user_agent",
+            "ip", "score", text.bot_class(F.col("user_agent"), F.col("request_count") > 100).alias("type"), "request_count", "user_agent",
             F.when(F.col("score") >= 60, "high").otherwise("medium").alias("severity"),
         )
     )
@@ -220,25 +246,58 @@ def first_agents(requests: DataFrame) -> DataFrame:
     return requests.groupBy("ip").agg(F.min_by("user_agent", F.struct("timestamp", "id")).alias("user_agent"))
 
 
+def pattern_count(patterns: list[str]) -> Column:
+    """Number of patterns found in a path; the patterns are tried only when one of them occurs."""
+    path = F.col("path")
+    each = reduce(lambda a, b: a + b, [F.when(path.rlike("(?i)" + p), 1).otherwise(0) for p in patterns])
+    return F.when(path.rlike(text.any_of(patterns)), each).otherwise(0)
+
+
+def request_findings(requests: DataFrame) -> DataFrame:
+    """Path classes, bots, vulnerability scans, SQL injection and XSS from one pass over the requests.
+
+    Grouping sets by address and by path class share the scan and the shuffle.
+    """
+    families = family_hits()
+    marked = text.once(
+        requests, "m",
+        F.struct(
+            text.path_class(F.col("path")).alias("cls"), pattern_count(fixed.SQLI_PATTERNS).alias("sqli"),
+            pattern_count(fixed.XSS_PATTERNS).alias("xss"), *[c.alias(n) for n, c in families.items()],
+        ),
+    ).select("ip", "path", "user_agent", "referrer", "timestamp", "id", "m.*")
+    sets = marked.groupingSets([("ip",), ("cls",)], "ip", "cls").agg(
+        F.grouping_id().alias("gid"), *bot_sums(), *[F.sum(n).alias(n) for n in ("sqli", "xss", *families)]
+    )
+    by_ip, by_class = (F.col("gid") == 1) & F.col("ip").isNotNull(), (F.col("gid") == 2) & F.col("cls").isNotNull()
+    n, score = F.col("request_count"), bot_score()
+    kind = text.bot_class(F.col("user_agent"), n > 100)
+    wanted = (score >= 60) & ~kind.startswith("Search Engine") & ~kind.startswith("Social Media")
+    probes, _, probe_severity = family_verdict()
+
+    def item(cond: Column, name: Column | str, severity: Column | str, count: Column) -> Column:
+        as_col = lambda v: F.lit(v) if isinstance(v, str) else v
+        return F.when(cond, F.struct(as_col(name).alias("type"), as_col(severity).alias("severity"), count.cast("bigint").alias("count")))
+
+    found = F.array_compact(F.array(
+        item(by_class & (n > 5), F.col("cls"), F.when(n > 20, "high").otherwise("medium"), n),
+        item(by_ip & wanted, "malicious_bot", "high", n),
+        item(by_ip & probe_severity.isNotNull(), "vulnerability_scan", probe_severity, probes),
+        item(by_ip & (F.col("sqli") > 0), "sql_injection_attempt", "high", F.col("sqli")),
+        item(by_ip & (F.col("xss") > 0), "xss_attempt", "high", F.col("xss")),
+    ))
+    return sets.select("ip", F.explode(found).alias("f")).select("f.type", "f.severity", "ip", "f.count")
+
+
 def all_findings(requests: DataFrame, logins: DataFrame) -> DataFrame:
     """Every scan result in one shape: type, severity, ip, count."""
-    bots = bot_scores(requests).filter(
-        (F.col("severity") == "high") & ~F.col("type").startswith("Search Engine") & ~F.col("type").startswith("Social Media")
-    )
-    brute = brute_force_ips(logins)
-    vulns = vulnerability_scans(requests)
-    sqli = pattern_attempts(requests, fixed.SQLI_PATTERNS)
-    xss = pattern_attempts(requests, fixed.XSS_PATTERNS)
-    ip, sev = F.col("ip"), F.col("severity")
+    failures = logins.filter((F.col("status") == "failed") & F.col("ip").isNotNull()).groupBy("ip").agg(F.count("*").alias("n"))
+    brute = failures.filter("n >= 10")
     parts = [
         ssh_bruteforce(logins),
         scraping(requests),
-        suspicious_paths(requests),
-        finding(bots, "malicious_bot", sev, ip, F.col("request_count")),
-        finding(brute, "brute_force_attack", F.when(F.col("attempts") > 50, "high").otherwise("medium"), ip, F.col("attempts")),
-        finding(vulns, "vulnerability_scan", sev, ip, F.col("attempt_count")),
-        finding(sqli, "sql_injection_attempt", sev, ip, F.col("attempts")),
-        finding(xss, "xss_attempt", sev, ip, F.col("attempts")),
+        finding(brute, "brute_force_attack", F.when(F.col("n") > 50, "high").otherwise("medium"), F.col("ip"), F.col("n")),
+        request_findings(requests),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -117,94 +117,95 @@ def access_events(requests: DataFrame) -> DataFrame:
     )
 
 
-def login_attempts(lines: DataFrame, year: int) -> DataFrame:
-    """Failed, accepted and invalid-user attempts with event time, user and method."""
-    line = F.col("line")
-    kind = text.first_case(
-        [(line.rlike(LOGIN_FAILED), "failed"), (line.rlike(LOGIN_ACCEPTED), "accepted"), (line.rlike(LOGIN_INVALID), "invalid")]
-    )
+def replaced(lines: DataFrame, kinds: list[tuple[str, str, str]]) -> Column:
+    """The line rewritten by the first kind (mark, pattern, layout) that fits it, else the line.
+
+    A cheap substring test guards each regex. A rewritten line starts with its
+    layout and holds line breaks, so no later pattern can fit it.
+    """
+    out = F.col("line")
+    for mark, pattern, layout in kinds:
+        out = F.when(F.col("line").contains(mark), F.regexp_replace(out, "^.*?" + pattern + "(?s:.*)$", layout)).otherwise(out)
+    return out
+
+
+def by_kind(lines: DataFrame, kinds: list[tuple[str, str, str]], n: int) -> DataFrame:
+    """Lines of a known kind with their parts in ``_parts``, each line read once."""
+    return text.once(lines, "_parts", F.split(replaced(lines, kinds), "\n")).filter(F.size("_parts") == n)
+
+
+LOGIN_KINDS = [
+    ("Failed password for ", LOGIN_FAILED, "failed\n$1\n$2\n$3\n"),
+    ("Accepted ", LOGIN_ACCEPTED, "accepted\n$1\n$3\n$4\n$2"),
+    ("Invalid user ", LOGIN_INVALID, "invalid\n$1\n$2\n$3\n"),
+]
+BAN_KINDS = [
+    ("] Ban ", BAN, "ban\n$1\n$2\n$3"),
+    ("] Unban ", UNBAN, "unban\n$1\n$2\n$3"),
+    ("] Found ", FOUND, "found\n\n$1\n$2"),
+]
 
-    def pick(failed: int, accepted: int, invalid: int) -> Column:
-        return (
-            F.when(F.col("kind") == "failed", group(LOGIN_FAILED, failed))
-            .when(F.col("kind") == "accepted", group(LOGIN_ACCEPTED, accepted))
-            .otherwise(group(LOGIN_INVALID, invalid))
-        )
 
+def login_attempts(lines: DataFrame, year: int) -> DataFrame:
+    """Failed, accepted and invalid-user attempts with event time, user and method."""
     keep = [c for c in lines.columns if c != "line"]
-    return (
-        lines.filter(line.contains("sshd"))
-        .withColumn("kind", kind)
-        .filter(F.col("kind").isNotNull())
-        .withColumn("user", pick(2, 3, 2))
-        .withColumn("ip", pick(3, 4, 3))
-        .withColumn("method", F.when(F.col("kind") == "accepted", group(LOGIN_ACCEPTED, 2)))
-        .withColumn("timestamp", from_syslog_stamp(pick(1, 1, 1), year))
-        .select(*keep, "timestamp", "kind", "user", "ip", "method")
+    part = F.col("_parts")
+    return by_kind(lines.filter(F.col("line").contains("sshd")), LOGIN_KINDS, 5).select(
+        *keep,
+        from_syslog_stamp(part[1], year).alias("timestamp"),
+        part[0].alias("kind"), part[2].alias("user"), part[3].alias("ip"), F.nullif(part[4], F.lit("")).alias("method"),
     )
 
 
 def failures_10m(attempts: DataFrame) -> DataFrame:
     """Failed attempts with the address's failures of the last ten minutes, itself included."""
-    failed = attempts.filter((F.col("kind") == "failed") & F.col("timestamp").isNotNull())
-    return trailing_count(failed, ["ip"], "timestamp", 600_000_000, "failures")
+    return with_failures(attempts.filter(F.col("kind") == "failed"))
+
+
+def with_failures(attempts: DataFrame) -> DataFrame:
+    """All attempts with the failures of the address in the ten minutes up to each."""
+    return trailing_count(attempts, ["ip"], "timestamp", 600_000_000, "failures", F.col("kind") == "failed")
 
 
 def login_events(lines: DataFrame, year: int) -> DataFrame:
     """Security events of sshd lines; five failures in ten minutes make a brute force."""
-    attempts = login_attempts(lines, year)
-    failed = failures_10m(attempts)
-    brute = F.col("failures") >= 5
+    attempts = with_failures(login_attempts(lines, year))
+    failed, ok, brute = F.col("kind") == "failed", F.col("kind") == "accepted", F.col("failures") >= 5
     who = F.concat(F.lit("username: "), F.col("user"))
-    head = [c for c in ("id", "timestamp") if c in attempts.columns]
 
-    def shape(df, event_type, severity, vector, description, details):
-        return df.select(
-            *head, event_type.alias("event_type"), severity.alias("severity"), F.col("ip").alias("source_ip"),
-            F.lit("ssh").alias("protocol"), vector.alias("attack_vector"), description.alias("description"),
-            details.alias("details"),
-        )
+    def by_case(on_brute, on_failed, on_accepted, on_invalid) -> Column:
+        return text.first_case([(failed & brute, on_brute), (failed, on_failed), (ok, on_accepted)], on_invalid)
 
-    def user_text(before: str, after: Column) -> Column:
-        return F.concat(F.lit(before + " '"), F.col("user"), F.lit("'"), after)
+    def user_text(before: str, *after) -> Column:
+        return F.concat(F.lit(before + " '"), F.col("user"), F.lit("'"), *after)
 
-    bad = shape(
-        failed,
-        F.when(brute, "ssh_brute_force").otherwise("ssh_failed_login"),
-        text.failure_severity(F.col("failures")),
-        F.when(brute, "brute_force").otherwise("auth_failure"),
-        user_text("Failed SSH login for user", F.concat(F.lit(" (attempt "), F.col("failures").cast("string"), F.lit(")"))),
-        who,
-    )
-    other = attempts.filter(F.col("kind") != "failed")
-    ok = F.col("kind") == "accepted"
-    rest = shape(
-        other,
-        F.when(ok, "ssh_successful_login").otherwise("ssh_invalid_user"),
-        F.when(ok, "low").otherwise("medium"),
-        F.when(ok, "auth_success").otherwise("scan"),
-        F.when(ok, user_text("Successful SSH login for user", F.concat(F.lit(" via "), F.col("method")))).otherwise(
-            user_text("SSH attempt with invalid user", F.lit(""))
-        ),
-        F.when(ok, F.concat(who, F.lit(", method: "), F.col("method"))).otherwise(who),
+    tried = user_text("Failed SSH login for user", F.lit(" (attempt "), F.col("failures").cast("string"), F.lit(")"))
+    return attempts.select(
+        *[c for c in ("id", "timestamp") if c in attempts.columns],
+        by_case("ssh_brute_force", "ssh_failed_login", "ssh_successful_login", "ssh_invalid_user").alias("event_type"),
+        text.first_case([(failed, text.failure_severity(F.col("failures"))), (ok, "low")], "medium").alias("severity"),
+        F.col("ip").alias("source_ip"),
+        F.lit("ssh").alias("protocol"),
+        by_case("brute_force", "auth_failure", "auth_success", "scan").alias("attack_vector"),
+        text.first_case(
+            [(failed, tried), (ok, user_text("Successful SSH login for user", F.lit(" via "), F.col("method")))],
+            user_text("SSH attempt with invalid user"),
+        ).alias("description"),
+        F.when(ok, F.concat(who, F.lit(", method: "), F.col("method"))).otherwise(who).alias("details"),
     )
-    return bad.unionByName(rest)
 
 
 def parse_bans(lines: DataFrame) -> DataFrame:
     """Ban lines -> time, jail, address; Unban and Found lines keep only their kind."""
-    line = F.col("line")
-    kind = text.first_case([(line.rlike(BAN), "ban"), (line.rlike(UNBAN), "unban"), (line.rlike(FOUND), "found")])
     keep = [c for c in lines.columns if c != "line"]
-    return (
-        lines.withColumn("kind", kind)
-        .filter(F.col("kind").isNotNull())
-        .select(
-            *keep, "kind",
-            F.when(F.col("kind") == "ban", F.try_to_timestamp(group(BAN, 1), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")).alias("timestamp"),
-            F.when(F.col("kind") == "ban", group(BAN, 2)).alias("jail"),
-            F.when(F.col("kind") == "ban", group(BAN, 3)).alias("ip"),
-        )
+    part = F.col("_parts")
+    ban = part[0] == "ban"
+    return by_kind(lines, BAN_KINDS, 4).select(
+        *keep,
+        part[0].alias("kind"),
+        F.when(ban, F.try_to_timestamp(part[1], F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")).alias("timestamp"),
+        F.when(ban, part[2]).alias("jail"),
+        F.when(ban, part[3]).alias("ip"),
     )
 
 
