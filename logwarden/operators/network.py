@@ -19,27 +19,41 @@ def has_port(df: DataFrame) -> DataFrame:
 
 
 def port_scan_simple(conn: DataFrame, as_of: datetime, hours: float = 24, min_ports: int = 10) -> DataFrame:
-    """Sources reaching many ports; a port set has at most 65535 values, so it may be collected."""
+    """Sources reaching many ports; ports are made distinct first and number at most 65535."""
+    pairs = has_port(in_window(conn, as_of, hours)).select(F.col("source_ip").alias("ip"), "dest_port").distinct()
     return (
-        has_port(in_window(conn, as_of, hours))
-        .groupBy(F.col("source_ip").alias("ip"))
-        .agg(F.sort_array(F.collect_set("dest_port")).alias("ports"))
+        pairs.groupBy("ip")
+        .agg(F.sort_array(F.collect_list("dest_port")).alias("ports"))
         .filter(F.size("ports") >= min_ports)
         .select("ip", F.size("ports").cast("bigint").alias("ports_scanned"), F.slice("ports", 1, 20).alias("ports"))
         .orderBy(F.desc("ports_scanned"), "ip")
     )
 
 
+def ports_and_peers(conn: DataFrame, *sums: Column) -> DataFrame:
+    """Rows per (source, port) and per (source, destination) from one scan; ``gid`` 1 has the port, 2 the destination.
+
+    Counting distinct ports and destinations from these keeps both steps in
+    plain hash aggregation.
+    """
+    return conn.groupingSets([("source_ip", "dest_port"), ("source_ip", "dest_ip")], "source_ip", "dest_port", "dest_ip").agg(
+        F.grouping_id().alias("gid"), *sums
+    )
+
+
 def port_scan_rated(conn: DataFrame, as_of: datetime, hours: float = 1, min_ports: int = 15) -> DataFrame:
     """Port scans with span, rate and severity, worst first."""
+    pairs = ports_and_peers(
+        has_port(in_window(conn, as_of, hours)).select("source_ip", "dest_port", "dest_ip", "timestamp"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+    )
     per_ip = (
-        has_port(in_window(conn, as_of, hours))
-        .groupBy(F.col("source_ip").alias("ip"))
+        pairs.groupBy(F.col("source_ip").alias("ip"))
         .agg(
-            F.sort_array(F.collect_set("dest_port")).alias("ports"),
-            F.countDistinct("dest_ip").alias("unique_destinations"),
-            F.min("timestamp").alias("first_seen"),
-            F.max("timestamp").alias("last_seen"),
+            F.sort_array(F.collect_list(F.when(F.col("gid") == 1, F.col("dest_port")))).alias("ports"),
+            F.count(F.when(F.col("gid") == 2, F.col("dest_ip"))).alias("unique_destinations"),
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
         )
         .withColumn("n", F.size("ports").cast("bigint"))
         .filter(F.col("n") >= min_ports)
@@ -158,13 +172,10 @@ def tls_rare_issuers(ssl: DataFrame, as_of: datetime, hours: float = 24, at_leas
 def beaconing(conn: DataFrame, as_of: datetime, hours: float = 24, threshold: float = 0.9, min_count: int = 10) -> DataFrame:
     """Flows whose gaps are regular: 1 - min(population deviation / mean, 1).
 
-    Flows below ``min_count`` are left out before the ordered step; gaps come
-    from the bucketed lag, so one busy flow does not land in one task.
+    Gaps come from the bucketed lag, so one busy flow does not land in one task.
     """
     keys = ["source_ip", "dest_ip", "dest_port"]
     rows = in_window(conn, as_of, hours).select(*keys, "timestamp")
-    busy = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_count)
-    rows = rows.join(busy.drop("_n"), keys, "left_semi")
     gaps = with_previous(rows, keys, "timestamp", []).withColumn("gap", (F.col("_us") - F.col("prev_us")) / 1e6)
     stats = gaps.groupBy(*keys).agg(
         F.count("*").alias("connection_count"),
@@ -176,7 +187,7 @@ def beaconing(conn: DataFrame, as_of: datetime, hours: float = 24, threshold: fl
     cv = F.when(F.col("mean") > 0, F.col("dev") / F.col("mean")).otherwise(F.lit(0.0))
     return (
         stats.withColumn("reg", 1 - F.least(cv, F.lit(1.0)))
-        .filter(F.col("reg") >= threshold)
+        .filter((F.col("connection_count") >= min_count) & (F.col("reg") >= threshold))
         .select(
             *keys, "connection_count", rounded("mean", 2).alias("mean_interval"), rounded("reg", 3).alias("regularity"),
             "first_seen", "last_seen",
@@ -219,17 +230,30 @@ def network_features(conn: DataFrame, dns: DataFrame, http: DataFrame, ssl: Data
     replaces a chain of outer joins by one small shuffle.
     """
     ip = F.col("source_ip").alias("ip")
-    durations = F.when(F.col("duration") != 0, F.col("duration"))
-    by_conn = conn.groupBy(ip).agg(
-        F.count("*").alias("connections_count"),
-        F.size(F.collect_set(F.when(F.col("dest_port") != 0, F.col("dest_port")))).cast("bigint").alias("unique_dest_ports"),
-        F.countDistinct("dest_ip").alias("unique_dest_ips"),
-        F.sum(F.coalesce("orig_bytes", F.lit(0))).alias("bytes_sent"),
-        F.sum(F.coalesce("resp_bytes", F.lit(0))).alias("bytes_received"),
-        F.sum(F.coalesce("orig_pkts", F.lit(0))).alias("packets_sent"),
-        F.sum(F.coalesce("resp_pkts", F.lit(0))).alias("packets_received"),
-        F.coalesce(F.avg(durations), F.lit(0.0)).alias("avg_duration"),
-        F.count_if(F.col("conn_state").isin(fixed.FAILED_STATES)).alias("failed_connections"),
+    long = F.coalesce(F.col("duration") != 0, F.lit(False))
+    pairs = ports_and_peers(
+        conn,
+        F.count("*").alias("n"),
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
+        F.sum(F.when(long, F.col("duration"))).alias("dur"),
+        F.count_if(long).alias("dur_n"),
+        F.count_if(F.col("conn_state").isin(fixed.FAILED_STATES)).alias("failed"),
+    )
+    by_port = F.col("gid") == 1
+
+    def total(c: str) -> Column:
+        return F.sum(F.when(by_port, F.col(c)))
+
+    by_conn = pairs.groupBy(ip).agg(
+        total("n").alias("connections_count"),
+        F.count_if(by_port & F.coalesce(F.col("dest_port") != 0, F.lit(False))).alias("unique_dest_ports"),
+        F.count(F.when(F.col("gid") == 2, F.col("dest_ip"))).alias("unique_dest_ips"),
+        total("orig_bytes").alias("bytes_sent"),
+        total("resp_bytes").alias("bytes_received"),
+        total("orig_pkts").alias("packets_sent"),
+        total("resp_pkts").alias("packets_received"),
+        F.coalesce(F.try_divide(total("dur"), total("dur_n")), F.lit(0.0)).alias("avg_duration"),
+        total("failed").alias("failed_connections"),
     )
     by_dns = dns.groupBy(ip).agg(
         F.count("*").alias("dns_queries"),
@@ -279,7 +303,7 @@ def hourly_rollup(conn, dns, ssl, http, files, notices, scan_ports: int = 15, to
     )
     dests = conn.groupBy(hour).agg(F.countDistinct("dest_ip").alias("unique_dest_ips"))
     scans = (
-        has_port(conn).groupBy(hour, "source_ip").agg(F.size(F.collect_set("dest_port")).alias("p"))
+        has_port(conn).groupBy(hour, "source_ip").agg(F.countDistinct("dest_port").alias("p"))
         .filter(F.col("p") >= scan_ports).groupBy("hour").agg(F.count("*").alias("port_scans_detected"))
     )
     services = conn.groupBy(hour, text.port_service(F.col("dest_port")).alias("service")).agg(F.count("*").alias("n"))

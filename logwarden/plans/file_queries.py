@@ -28,7 +28,7 @@ CONN_CELLS = [f"cast({EPOCH} as string)", "uid", "source_ip", "dest_ip", "cast(d
               "case when protocol = 'tcp' then 'T' else 'F' end", "'(empty)'"]
 
 
-def write_tsv(t, df, head, cells, name, parts=4):
+def write_tsv(t, df, head, cells, name, parts=8):
     """Monitor log files with ``#separator`` and ``#fields`` lines on top."""
     path = shared_dir(t.spark, name)
     rows = df.select(F.expr(f"cast(pmod(xxhash64({cells[1]}), {parts}) as int)").alias("p"), F.lit(2).alias("o"), F.expr("concat_ws('\\t', " + ", ".join(cells) + ")").alias("value"))

@@ -29,7 +29,7 @@ FIELDS = {
 
 
 def stripped(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.btrim(line, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def tsv_headers(lines: DataFrame, fields: list[str]) -> DataFrame:
@@ -42,7 +42,9 @@ def tsv_headers(lines: DataFrame, fields: list[str]) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("line").startswith("#separator"), sep)), F.lit("\t")).alias("sep"),
         F.max(F.when(F.col("line").startswith("#fields"), stripped(F.col("line")))).alias("head"),
     )
-    quoted = F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))
+    # one plain character is split without a regex; anything else is quoted
+    plain_char = F.col("sep").rlike(r"^[\t ,;:\w]$")
+    quoted = F.when(plain_char, F.col("sep")).otherwise(F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")))
     named = per_file.filter(F.col("head").isNotNull()).withColumn("quoted", quoted).withColumn(
         "names", F.split(F.col("head"), F.col("quoted"))
     )
@@ -61,28 +63,41 @@ def parse_tsv(lines: DataFrame, fields: list[str]) -> DataFrame:
     data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     rows = text.once(data.join(heads, F.col("file") == F.col("_file")), "cells", F.split(F.col("line"), F.col("quoted")))
 
-    def cell(i: int, name: str) -> Column:
-        raw = F.get("cells", F.col(f"at.f{i}"))
-        value = F.when(raw == "(empty)", "").when(raw == "T", "true").when(raw == "F", "false").otherwise(raw)
-        return F.when(raw != "-", value).alias(name)
+    return rows.select("file", *[tsv_cell(i).alias(f) for i, f in enumerate(fields)])
 
-    return rows.select("file", *[cell(i, f) for i, f in enumerate(fields)])
+
+def tsv_cell(i: int) -> Column:
+    """Value of the i-th wanted field with its special tokens resolved."""
+    raw = F.get("cells", F.col(f"at.f{i}"))
+    value = F.when(raw == "(empty)", "").when(raw == "T", "true").when(raw == "F", "false").otherwise(raw)
+    return F.when(raw != "-", value)
+
+
+def json_schema(fields: list[str]) -> str:
+    return ", ".join(f"`{f}` string" for f in fields) + ", `_bad` string"
 
 
 def parse_json(lines: DataFrame, fields: list[str]) -> DataFrame:
     """One object per line; blank, ``#`` and malformed lines are dropped."""
-    schema = ", ".join(f"`{f}` string" for f in fields) + ", `_bad` string"
     rows = lines.filter((F.trim("line") != "") & ~F.trim("line").startswith("#"))
-    parsed = text.once(rows, "rec", F.from_json("line", schema, {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = text.once(rows, "rec", F.from_json("line", json_schema(fields), {"columnNameOfCorruptRecord": "_bad"}))
     return parsed.filter(F.col("rec").isNotNull() & F.col("rec._bad").isNull()).select(
         "file", *[F.col(f"rec.`{f}`").alias(f) for f in fields]
     )
 
 
 def parse_auto(lines: DataFrame, fields: list[str]) -> DataFrame:
-    """TSV for files that name their fields, JSON for the others."""
-    named = lines.filter(F.col("line").startswith("#fields")).select("file").distinct()
-    return parse_tsv(lines, fields).unionByName(parse_json(lines.join(named, "file", "left_anti"), fields))
+    """TSV for files that name their fields, JSON for the others; the lines are read once for both."""
+    heads = tsv_headers(lines, fields)
+    data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    rows = data.join(heads, F.col("file") == F.col("_file"), "left")
+    tsv = F.col("quoted").isNotNull()
+    rows = text.once(rows, "cells", F.when(tsv, F.split(F.col("line"), F.col("quoted"))))
+    rows = text.once(rows, "rec", F.when(~tsv, F.from_json("line", json_schema(fields), {"columnNameOfCorruptRecord": "_bad"})))
+    good = tsv | (F.col("rec").isNotNull() & F.col("rec._bad").isNull())
+    return rows.filter(good).select(
+        "file", *[F.when(tsv, tsv_cell(i)).otherwise(F.col(f"rec.`{f}`")).alias(f) for i, f in enumerate(fields)]
+    )
 
 
 # ---------------------------------------------------------------- projections
