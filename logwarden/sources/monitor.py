@@ -61,16 +61,23 @@ def parse_tsv(lines: DataFrame, fields: list[str]) -> DataFrame:
     """
     heads = tsv_headers(lines, fields)
     data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-    rows = text.once(data.join(heads, F.col("file") == F.col("_file")), "cells", F.split(F.col("line"), F.col("quoted")))
+    rows = text.once(data.join(heads, F.col("file") == F.col("_file")), "cells", tsv_cells())
 
     return rows.select("file", *[tsv_cell(i).alias(f) for i, f in enumerate(fields)])
 
 
+def tsv_cells() -> Column:
+    """Cells of a line with their special tokens resolved; done on the array to keep the projection short."""
+
+    def resolved(raw: Column) -> Column:
+        value = F.when(raw == "(empty)", "").when(raw == "T", "true").when(raw == "F", "false").otherwise(raw)
+        return F.when(raw != "-", value)
+
+    return F.transform(F.split(F.col("line"), F.col("quoted")), resolved)
+
+
 def tsv_cell(i: int) -> Column:
-    """Value of the i-th wanted field with its special tokens resolved."""
-    raw = F.get("cells", F.col(f"at.f{i}"))
-    value = F.when(raw == "(empty)", "").when(raw == "T", "true").when(raw == "F", "false").otherwise(raw)
-    return F.when(raw != "-", value)
+    return F.get("cells", F.col(f"at.f{i}"))
 
 
 def json_schema(fields: list[str]) -> str:
@@ -92,7 +99,7 @@ def parse_auto(lines: DataFrame, fields: list[str]) -> DataFrame:
     data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     rows = data.join(heads, F.col("file") == F.col("_file"), "left")
     tsv = F.col("quoted").isNotNull()
-    rows = text.once(rows, "cells", F.when(tsv, F.split(F.col("line"), F.col("quoted"))))
+    rows = text.once(rows, "cells", F.when(tsv, tsv_cells()))
     rows = text.once(rows, "rec", F.when(~tsv, F.from_json("line", json_schema(fields), {"columnNameOfCorruptRecord": "_bad"})))
     good = tsv | (F.col("rec").isNotNull() & F.col("rec._bad").isNull())
     return rows.filter(good).select(
