@@ -146,13 +146,28 @@ def hourly_severity(events: DataFrame, as_of: datetime, hours: int = 24) -> Data
 # ---------------------------------------------------------------- per source address
 
 
+def per_kind(events: DataFrame, *keys: str) -> DataFrame:
+    """Counts per address, event type and severity (and more keys): few groups, plain hash aggregation.
+
+    Reports that also list types build on it, so that the list is made from
+    these rows and not from every event.
+    """
+    return events.groupBy("source_ip", "event_type", "severity", *keys).agg(
+        F.count("*").alias("n"), F.max(micros("timestamp")).alias("last_us")
+    )
+
+
+def from_micros(us: Column) -> Column:
+    return F.timestamp_micros(us).cast("timestamp_ntz")
+
+
 def top_attackers(events: DataFrame, as_of: datetime, days: int = 7, limit: int = 100) -> DataFrame:
     return (
-        events.filter(F.col("timestamp") > before(as_of, days=days))
+        per_kind(events.filter(F.col("timestamp") > before(as_of, days=days)))
         .groupBy("source_ip")
         .agg(
-            F.count("*").alias("attack_count"),
-            F.max("timestamp").alias("last_attack"),
+            F.sum("n").alias("attack_count"),
+            from_micros(F.max("last_us")).alias("last_attack"),
             text.severity_name(F.max(text.severity_rank(F.col("severity")))).alias("max_severity"),
             F.sort_array(F.collect_set("event_type")).alias("methods"),
         )
@@ -209,19 +224,23 @@ def top_threats(
     """Combined score per address from model confidence, monitor hits, bans and severities."""
     source = text.event_source(F.col("event_type"))
     points = text.first_case([(F.col("severity") == s, p) for s, p in fixed.SEVERITY_SCORES.items()], 0)
+    rows = in_window(events, as_of, hours).filter(F.col("source_ip").isNotNull() & (F.col("source_ip") != "unknown"))
+
+    def count(cond: Column) -> Column:
+        return F.sum(F.when(cond, F.col("n")).otherwise(0))
+
     per_ip = (
-        in_window(events, as_of, hours)
-        .filter(F.col("source_ip").isNotNull() & (F.col("source_ip") != "unknown"))
+        per_kind(rows, "country_code")
         .withColumn("src", source)
         .groupBy(F.col("source_ip").alias("ip"))
         .agg(
-            F.count("*").alias("total_events"),
-            F.count_if(F.col("src") == "ml").alias("ml_count"),
-            F.count_if(F.col("src") == "zeek").alias("zeek_detections"),
-            F.count_if(F.col("src") == "fail2ban").alias("fail2ban_bans"),
-            F.sum(points).cast("bigint").alias("severity_points"),
-            *severity_counts(),
-            F.max("timestamp").alias("last_seen"),
+            F.sum("n").alias("total_events"),
+            count(F.col("src") == "ml").alias("ml_count"),
+            count(F.col("src") == "zeek").alias("zeek_detections"),
+            count(F.col("src") == "fail2ban").alias("fail2ban_bans"),
+            F.sum(points * F.col("n")).cast("bigint").alias("severity_points"),
+            *[count(F.col("severity") == s).alias(s) for s in reversed(fixed.SEVERITIES)],
+            from_micros(F.max("last_us")).alias("last_seen"),
             F.coalesce(F.max("country_code"), F.lit("Unknown")).alias("country"),
             F.sort_array(F.collect_set("event_type")).alias("event_types"),
         )

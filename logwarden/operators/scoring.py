@@ -32,7 +32,7 @@ def behavioral_features(events: DataFrame) -> DataFrame:
         F.max("_us").alias("last"),
         F.countDistinct("p").alias("unique_paths"),
         F.count_if("bad").alias("bad"),
-        F.size(F.collect_set("v")).cast("bigint").alias("num_attack_types"),
+        F.countDistinct("v").alias("num_attack_types"),
         F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("dev"),
         rounded(F.avg(F.length("p")), 1).alias("avg_path_length"),
         F.sum("odd").cast("bigint").alias("suspicious_chars_total"),

@@ -120,9 +120,11 @@ def failing_importers(attempts: DataFrame, threshold: int = 5) -> DataFrame:
 
 
 def repeat_offenders(bans: DataFrame, more_than: int = 1) -> DataFrame:
+    """Addresses with several bans and their jails, listed from counts per (address, jail)."""
+    per_jail = bans.filter(F.col("kind") == "ban").groupBy("ip", "jail").agg(F.count("*").alias("n"))
     return (
-        bans.filter(F.col("kind") == "ban").groupBy("ip")
-        .agg(F.count("*").alias("bans"), F.sort_array(F.collect_set("jail")).alias("jails"))
+        per_jail.groupBy("ip")
+        .agg(F.sum("n").alias("bans"), F.sort_array(F.collect_list("jail")).alias("jails"))
         .filter(F.col("bans") > more_than)
     )
 
