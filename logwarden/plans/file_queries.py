@@ -205,7 +205,7 @@ def _(t):
 
 
 # ------------------------------------------------------------------ polled ingest and ban monitor, as streams run to the end of their input
-@query("poll_ingest", "select uid, timestamp, source_ip, dest_ip, dest_port, protocol, orig_bytes, coalesce(resp_bytes, 0) as resp_bytes from conn")
+@query("poll_ingest", "select distinct uid, timestamp, source_ip, dest_ip, dest_port, protocol from conn")
 def _(t):
     base = shared_dir(t.spark, "poll-in")
     lines = t.conn.select(F.to_json(F.struct(*[F.expr(e).alias(k) for k, e in CONN_JSON.items()])).alias("value"), "protocol")
@@ -213,7 +213,7 @@ def _(t):
     lines.filter("protocol = 'udp'").select("value").write.text(f"{base}/again")
     out = shared_dir(t.spark, "poll-out")
     jobs.poll_connections(t.spark, f"{base}/*", out)
-    return t.spark.read.parquet(f"{out}/data").select("uid", "timestamp", "source_ip", "dest_ip", "dest_port", "protocol", "orig_bytes", "resp_bytes")
+    return t.spark.read.parquet(f"{out}/data").select("uid", "timestamp", "source_ip", "dest_ip", "dest_port", "protocol")
 
 
 @query("ban_monitor", BAN_ALERT)
