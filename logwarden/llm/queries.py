@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, hashtree, secrets
+import public_tokenizers
+
+from . import decontamination, hashtree, packing, repair, secrets
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -13,11 +15,21 @@ def op4(spark, sf_dir):
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_repair_ids")
+def op7(spark, sf_dir):
+    return repair.encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op8_hash_tree_shards")
 def op8(spark, sf_dir):
     return hashtree.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op9_packing")
+def op9(spark, sf_dir):
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op10_secret_scan")
 def op10(spark, sf_dir):
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
