@@ -4,12 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, hashtree, packing, repair, secrets
+from . import decontamination, hashtree, packing, repair, secrets, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+_WARC_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+o as (select d, n, max(page_id) as original from p where n >= 1000 group by d, n)
+select page_id, n::bigint as payload_bytes, p.d as payload_digest,
+    case when page_id < original then 'revisit' else 'response' end as record_type,
+    case when page_id < original then original end as refers_to
+from p left join o using (d, n)
+"""
+
+
+@query("op2_warc_archives", _WARC_SQL)
+def op2(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
