@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, hashtree, packing, repair, secrets, warc
+from . import decontamination, hashtree, neardup, packing, repair, secrets, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,6 +30,11 @@ def op4(spark, sf_dir):
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_minhash_near_duplicates")
+def op5(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op7_repair_ids")
 def op7(spark, sf_dir):
     return repair.encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
