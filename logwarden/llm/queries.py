@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, hashtree, neardup, packing, repair, secrets, warc
+from . import crf, decontamination, hashtree, neardup, packing, repair, secrets, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_crf_line_quality")
+def op1(spark, sf_dir):
+    return crf.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _WARC_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
 o as (select d, n, max(page_id) as original from p where n >= 1000 group by d, n)
