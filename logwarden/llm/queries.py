@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import crf, decontamination, hashtree, neardup, packing, repair, secrets, warc
+from . import crf, decontamination, hashtree, language, neardup, packing, repair, secrets, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -40,6 +40,11 @@ def op5(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    return language.identified_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op7_repair_ids")
 def op7(spark, sf_dir):
     return repair.encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
