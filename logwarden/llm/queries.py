@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import crf, decontamination, hashtree, language, neardup, packing, repair, secrets, warc
+from . import crf, decontamination, hashtree, language, neardup, packing, repair, secrets, toxicity, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,6 +30,11 @@ def op2(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op3_gru_toxicity")
+def op3(spark, sf_dir):
+    return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
