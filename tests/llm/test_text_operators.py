@@ -1,0 +1,258 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from logwarden.llm import crf, decontamination, hashtree, language, secrets, toxicity
+from tests.llm.cases import frame, prose, texts, words
+
+EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def figures(text):
+    w, seen, dup, marked = words(text), set(), 0, set()
+    for line in (text or "").split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    n = Counter(zip(w, w[1:], w[2:]))
+    for i in range(len(w) - 2):
+        if n[tuple(w[i : i + 3])] > 1:
+            marked |= {i, i + 1, i + 2}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(marked)
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def quality_rows():
+    good = [(1000 + k, "\n".join(prose(9 * k + j, 20).capitalize() + "." for j in range(4))) for k in range(30)]
+    bad = [(2000 + k, "\n".join(" | ".join(prose(7 * k + j, 20).split()) for j in range(4))) for k in range(30)]
+    return good, bad
+
+
+def test_base_figures_and_verdicts(spark):
+    good, bad = quality_rows()
+    rows = texts() + good + bad
+    known = labels(spark, [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(None, None, None)])
+    got = crf.judged_documents(frame(spark, rows), known).collect()
+    want = sorted(((i, *figures(t)) for i, t in rows), key=str)
+    assert sorted((tuple(r)[:6] for r in got), key=str) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in bad)
+
+
+def test_no_labels_and_no_rows(spark):
+    none = labels(spark, [])
+    assert [r["kept"] for r in crf.judged_documents(frame(spark, [(1, prose(1, 80))]), none).collect()] == [True]
+    assert crf.judged_documents(frame(spark, []), none).count() == 0
+    assert toxicity.scored_documents(frame(spark, []), none).count() == 0
+    assert language.identified_documents(frame(spark, [])).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        field = crf.Field(rng.normal(size=3), rng.normal(size=(2, 2)))
+        x = rng.normal(size=(6, 3))
+
+        def worth(path):
+            return sum(g for g, y in zip(x @ field.weights, path) if y) + sum(field.steps[a, b] for a, b in zip(path, path[1:]))
+
+        best = max(([(k >> j) & 1 for j in range(6)] for k in range(64)), key=worth)
+        assert field.viterbi(x).astype(int).tolist() == best
+
+
+def test_field_gradient_matches_differences():
+    rng = np.random.default_rng(2)
+    field = crf.Field(rng.normal(size=3), rng.normal(size=(2, 2)))
+    x, y = rng.normal(size=(4, 5, 3)), rng.integers(0, 2, (4, 5))
+    mask = np.arange(5)[None] < np.array([5, 3, 1, 4])[:, None]
+    weights, steps, value = crf._gradient(field, x * mask[..., None], mask, y * mask)
+    for k in range(3):
+        w = field.weights.copy()
+        w[k] += 1e-5
+        assert abs((crf._gradient(crf.Field(w, field.steps), x * mask[..., None], mask, y * mask)[2] - value) / 1e-5 - weights[k]) < 1e-3
+    s = field.steps.copy()
+    s[0, 1] += 1e-5
+    assert abs((crf._gradient(crf.Field(field.weights, s), x * mask[..., None], mask, y * mask)[2] - value) / 1e-5 - steps[0, 1]) < 1e-3
+
+
+def test_toxicity_learns_marks_and_never_looks_at_ids(spark):
+    bad = [(k, prose(k, 30) + " vile " + prose(k + 500, 20)) for k in range(120)]
+    fine = [(1000 + k, prose(k + 900, 50)) for k in range(120)]
+    rows = bad + fine + texts()[:4] + [(None, bad[0][1])]
+    known = labels(spark, [(i, 1, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in fine])
+    got = toxicity.scored_documents(frame(spark, rows), known).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = r["doc_id"]
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+        assert r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] < 1000) for r in held) >= 0.9 * len(held)
+    assert {r["score"] for r in got if r["doc_id"] in (1, 2, 3) and r["predicted"] == 0} <= {0.0, *[r["score"] for r in got]}
+    kept = toxicity.clean_documents(frame(spark, rows), known)
+    assert kept.columns == frame(spark, rows).columns and kept.count() == sum(1 - r["predicted"] for r in got)
+
+
+def test_network_gradient_matches_differences():
+    net = {k: v.astype(np.float64) for k, v in toxicity.initial(3).items()}
+    w = toxicity.Words(["some bad words here " * 12, "other text"])
+    net["word"] = np.random.default_rng(0).normal(0, 0.3, net["word"].shape)
+    y = np.array([1.0, 0.0, 1.0, 0.0, 1.0])[: len(w.windows)]
+
+    def loss(n):
+        p = 1 / (1 + np.exp(-toxicity.window_logits({k: v.astype(np.float32) for k, v in n.items()}, w).astype(np.float64)))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    grad = toxicity._backward({k: v.astype(np.float32) for k, v in net.items()}, w, toxicity._inputs(net, w), w.windows, y.astype(np.float32))
+    rng = np.random.default_rng(1)
+    for name in ("fU", "bW", "pool", "mark", "out", "fb"):
+        way = rng.normal(size=net[name].shape)
+        up, down = dict(net), dict(net)
+        up[name], down[name] = net[name] + 1e-2 * way, net[name] - 1e-2 * way
+        assert abs((loss(up) - loss(down)) / 2e-2 - (grad[name] * way).sum()) < 2e-3, name
+
+
+def test_windows_cover_every_word():
+    for n in (0, 1, 31, 32, 33, 56, 57, 200):
+        w = toxicity.Words([" ".join(f"w{k}" for k in range(n)), "x"])
+        own = w.windows[w.text_of == 0]
+        assert len(set(own[own >= 0].tolist())) == n
+
+
+def test_languages_are_told_apart(spark):
+    de = ["der die das und nicht ist ein eine zu von mit auf", "wir haben keine zeit und gehen nach hause", "das ist ein schönes haus"]
+    en = ["the and not is a an to of with on", "we have no time and go home", "this is a nice house"]
+    rows = [(k, (de if k % 2 else en)[k % 3] * 3, "de" if k % 2 else "en") for k in range(60)]
+    odd = [(100, None, "en"), (101, "", "en"), (102, "123 !?", None), (103, "the house is nice", None), (None, "das haus ist nicht", "de")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = language.identified_documents(docs).collect()
+    assert len(got) == 65
+    for r in got:
+        i = r["doc_id"]
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1)
+        want = {100: "und", 101: "und", 102: "und", 103: "en", None: "de"}.get(i, "de" if i is not None and i % 2 else "en")
+        assert r["lang_pred"] == want and 0 <= r["score"] <= 1
+
+
+def test_model_probabilities_sum_to_one():
+    text = " banana bandana ananas "
+    letters = language.Letters()
+    codes, _ = letters([text])
+    depth = language.depths(codes, 4)
+    grams = Counter("".join(" " if c == 0 else chr(c) for c in codes[i - d + 1 : i + 1]) for i, d in enumerate(depth) if d)
+    model = language.Model.fitted(dict(grams), 4)
+    symbols = sorted({g[-1] for g in grams})
+    for context in (" ban", " a", "ana", " "):
+        total = 0.0
+        for s in symbols + ["ж"]:
+            own = np.array([0 if c == " " else ord(c) for c in context + s], np.uint32)
+            h = language.gram_hashes(own, 4)
+            d = np.zeros(len(own), int)
+            d[-1] = min(4, len(own))
+            total += float(np.exp(model.log_probabilities(h, [np.concatenate([[np.uint64(0)], x[:-1]]) for x in h], d)[-1]))
+        assert 0.9 < total <= 1.0 + 1e-9, (context, total)
+
+
+def test_contained_items(spark):
+    item, other = prose(31, 40), prose(32, 14)
+    holds = prose(33, 3000) + " " + item.upper().replace(" ", ", ") + " " + prose(34, 3000)
+    rows = texts() + [(50, holds), (50, holds), (51, item), (52, " ".join(item.split()[:20])), (53, other + " " + item), (None, other), (54, None)]
+    items = spark.createDataFrame([(1, item, 5), (2, other, 5), (2, other, 6), (3, None, 0), (4, "too short", 0), (None, prose(35, 9), 0)],
+                                  "item_id long, text string, n long")
+
+    def shingles(t):
+        w = re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    want = set()
+    for i, t in rows:
+        for j, u in {(1, item), (2, other)}:
+            if 100 * len(shingles(u) & shingles(t)) >= 80 * len(shingles(u)):
+                want.add((i, j, len(shingles(u)), len(shingles(u) & shingles(t))))
+    got = decontamination.contained_items(frame(spark, rows), items).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 5
+    kept = decontamination.clean_documents(frame(spark, rows), items)
+    assert kept.columns == frame(spark).columns
+    assert kept.count() == len(rows) - 5
+    assert decontamination.contained_items(frame(spark, []), items).count() == 0
+    assert decontamination.clean_documents(frame(spark), items.filter("1 = 0")).count() == len(texts())
+
+
+def base_spans(text):
+    text, out = text or "", []
+    for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[1]) >= 6:
+            out.append(("assign", *m.span()))
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def secret_rows():
+    key = "aB3" * 8
+    return [
+        (60, "é😀 Password = 'hunter22' x token=short token : abcdefgh"), (61, "password=token : abcdefgh api-key=1234567 APIKEY:'1234567"),
+        (62, f"AKIA{'Q' * 16} then {key} end"), (63, f"alone {key} end"), (64, f"AKIAAKIA{'Z' * 16} AKIA{'Z' * 15}"), (65, "f" * 24 + " " + "e" * 23),
+        (66, f"user: bob " + "word " * 100 + key), (67, f"login=alice {key} https://h.example/x"), (68, "https://h.example/x only"),
+        (69, "secret=" + "0" * 30), (69, "secret=" + "0" * 30), (None, "token=abcdef"), (70, "x" * 200_000 + " token=abcdefg " + "a" * 50_000),
+    ]
+
+
+def test_secret_spans(spark):
+    rows = texts() + secret_rows()
+    got = {(r["doc_id"], k): r for k, r in enumerate(secrets.secret_spans(frame(spark, rows)).collect())}
+    assert len(got) == len(rows)
+    import hashlib
+    want = Counter()
+    for i, t in rows:
+        s = base_spans(t)
+        c = Counter(k for k, *_ in s)
+        want[(i, c["assign"], c["access"], c["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in s).encode()).hexdigest())] += 1
+    assert Counter(tuple(r)[:5] for r in got.values()) == want
+    spans = {r["doc_id"]: r["spans"] for r in got.values()}
+    assert "bare:" in spans[62] and spans[63] == "" and spans[66] == "" and spans[68] == ""
+    assert [s.split(":")[0] for s in spans[67].split(",")] == ["ident", "bare", "endpoint"]
+    assert secrets.secret_spans(frame(spark, [])).count() == 0
+    none = next(r for r in got.values() if r["doc_id"] == 1)
+    assert none["base_sha256"] == EMPTY_HASH and none["spans"] == ""
+
+
+def test_masked_documents(spark):
+    rows = texts() + secret_rows()
+    got = secrets.masked_documents(frame(spark, rows))
+    assert got.columns == frame(spark).columns and got.count() == len(rows)
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[60]["text"] == "é😀 [SECRET]' x token=short [SECRET]" and by[60]["n_chars"] == len(by[60]["text"])
+    assert by[69]["text"] == "[SECRET]" and by[1]["text"] is None and by[4]["text"] == dict(texts())[4]
+    assert by[67]["text"] == "[SECRET] [SECRET] [SECRET]"
+
+
+def test_shards(spark):
+    rows = texts() + [(k, f"text {k}") for k in range(2000, 3000)]
+    got = hashtree.shard_documents(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots))) and 80 < len(slots) < 180
+    assert all(r["grown_shard"] in (r["shard"], 8) for r in got) and 60 < sum(r["grown_shard"] == 8 for r in got) < 170
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert hashtree.shard_documents(frame(spark, [])).count() == 0
+
+
+def test_a_heavier_leaf_draws_rows_into_its_own_subtrees_only(spark):
+    leaves = hashtree.topology(8)
+    heavier = [(r, k, s, 3.0 if s == 5 else w) for r, k, s, w in leaves]
+    docs = spark.range(3000).withColumnRenamed("id", "doc_id")
+    both = hashtree.placed(hashtree.placed(docs, "doc_id", leaves, "a"), "doc_id", heavier, "b").filter("a <> b").collect()
+    region = {s: r for r, _, s, _ in leaves}
+    assert both and all(region[r["b"]] == "r1" for r in both)
+    assert all(not (region[r["a"]] == "r1" and r["b"] not in (4, 5)) for r in both)
