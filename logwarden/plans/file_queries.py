@@ -6,6 +6,7 @@ back by the operator under test.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.times import from_epoch_text, ts_lit
@@ -28,14 +29,21 @@ CONN_CELLS = [f"cast({EPOCH} as string)", "uid", "source_ip", "dest_ip", "cast(d
               "case when protocol = 'tcp' then 'T' else 'F' end", "'(empty)'"]
 
 
-def write_tsv(t, df, head, cells, name, parts=8):
-    """Monitor log files with ``#separator`` and ``#fields`` lines on top."""
+def write_tsv(t, df, head, cells, name):
+    """Monitor log files, as many as the data has partitions, each with ``#separator`` and ``#fields`` lines on top."""
     path = shared_dir(t.spark, name)
-    rows = df.select(F.expr(f"cast(pmod(xxhash64({cells[1]}), {parts}) as int)").alias("p"), F.lit(2).alias("o"), F.expr("concat_ws('\\t', " + ", ".join(cells) + ")").alias("value"))
-    top = t.spark.range(parts).select(F.col("id").cast("int").alias("p"), F.explode(F.array(
-        F.struct(F.lit(0).alias("o"), F.lit("#separator \\x09").alias("value")),
-        F.struct(F.lit(1).alias("o"), F.lit("\t".join(["#fields", *head])).alias("value")))).alias("x")).select("p", "x.*")
-    rows.unionByName(top).repartition(parts, "p").sortWithinPartitions("p", "o").select("value").write.text(path)
+    top = ["#separator \\x09", "\t".join(["#fields", *head])]
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(top, batch.schema.field(0).type)], schema=batch.schema)
+            first = False
+            yield batch
+
+    rows = df.select(F.expr("concat_ws('\\t', " + ", ".join(cells) + ")").alias("value"))
+    rows.mapInArrow(headed, "value string").write.text(path)
     return ll.read_lines(t.spark, path)
 
 

@@ -18,8 +18,6 @@ BASE_TABLES = (
     "conversations"
 ).split()
 
-FACTS = {"events", "lineitem", "orders"}
-
 _IP = "concat('203.0.', cast(cast(floor(user_id / 256) as bigint) as string), '.', cast(user_id % 256 as string))"
 
 VIEWS: dict[str, str] = {}
@@ -67,9 +65,11 @@ select concat('C', cast(l_orderkey as string), '-', cast(l_linenumber as string)
 from @lineitem@
 union all
 select concat('B', cast(o_orderkey as string)),
-  timestamp '2024-01-30 00:00:00' + interval '1' second * cast(floor(o_orderkey / 20) * 300 + case when o_orderkey % 20 < 10 then 0 else o_custkey % 240 end as int),
-  concat('198.51.100.', cast(o_orderkey % 20 as string)), '192.0.2.250', 4443, 'tcp', 'SF', 0.5, 100, 200, 2, 3
-from @orders@ where o_orderkey < 4000"""
+  timestamp '2024-01-30 00:00:00' + interval '1' second * cast(cast(floor(o_orderkey / 20) as bigint) % 288 * 300
+    + case when o_orderkey % 20 < 10 then 0 else o_custkey % 240 end as int),
+  concat('198.51.', cast(100 + cast(floor(o_orderkey / 73728) as bigint) % 150 as string), '.',
+    cast(cast(floor(o_orderkey / 5760) as bigint) * 20 % 256 + o_orderkey % 20 as string)), '192.0.2.250', 4443, 'tcp', 'SF', 0.5, 100, 200, 2, 3
+from @orders@"""
 
 VIEWS["dns"] = """
 select e.event_id as id, e.ts as timestamp, concat('10.0.0.', cast(e.user_id % 10 as string)) as source_ip,
@@ -79,7 +79,7 @@ select e.event_id as id, e.ts as timestamp, concat('10.0.0.', cast(e.user_id % 1
     when e.event_id % 20 in (2, 3) then 'www.google.com'
     else regexp_extract(p.url, '^https?://([^/]+)', 1) end as query,
   case when e.event_id % 7 = 0 then 'NXDOMAIN' else 'NOERROR' end as rcode_name, cast(case when e.event_id % 7 = 0 then 3 else 0 end as int) as rcode
-from @events@ e join @pages@ p on p.page_id = e.event_id % 50"""
+from (select *, (select count(*) from @pages@) as n_pages from @events@) e join @pages@ p on p.page_id = e.event_id % e.n_pages"""
 
 VIEWS["ssl"] = """
 select o_orderkey as id, timestamp '2024-01-30 00:00:00' + interval '1' second * cast(o_orderkey % 86400 as int) as timestamp,
@@ -106,6 +106,7 @@ select s_suppkey as id, timestamp '2024-01-30 00:00:00' + interval '1' minute *
   s_acctbal < 0 as is_resolved
 from @supplier@"""
 
+# the two lists name some of all addresses, as such lists do
 VIEWS["blocked_ips"] = f"""
 select distinct {_IP} as ip_address,
   user_id % 21 = 0 as is_permanent,
@@ -150,11 +151,16 @@ select id, concat(ip, ' - - [', {clf}, ' +0000] "', method, ' ', path, ' HTTP/1.
 from @http_access@
 union all select event_id, 'malformed line' from @events@ where event_id % 50 = 0"""
 
+# every event is a line; three of four are lines of other kinds, which the parser must pass over
 VIEWS["ban_lines"] = """
-select event_id as id, concat(cast(timestamp '2024-01-30 00:00:00' + interval '1' second * cast(event_id % 86400 as int) as string), ',123 fail2ban.actions [1]: NOTICE [',
-  case event_id % 3 when 0 then 'sshd' when 1 then 'nginx-req-limit' else 'recidive' end, '] ', case event_id % 5 when 0 then 'Unban ' when 1 then 'Found ' else 'Ban ' end,
+select event_id as id, concat(cast(timestamp '2024-01-30 00:00:00' + interval '1' second * cast(event_id % 86400 as int) as string), ',123 fail2ban.',
+  case event_id % 4 when 0 then 'actions' when 1 then 'filter' when 2 then 'jail' else 'server' end, ' [1]: ',
+  case event_id % 4 when 0 then 'NOTICE [' when 1 then 'DEBUG [' when 2 then 'INFO [' else 'WARNING [' end,
+  case event_id % 3 when 0 then 'sshd' when 1 then 'nginx-req-limit' else 'recidive' end, '] ',
+  case when event_id % 4 = 1 then 'Ignore ' when event_id % 4 = 2 then 'Jail started for ' when event_id % 4 = 3 then 'Restore '
+    when event_id % 5 = 0 then 'Unban ' when event_id % 5 = 1 then 'Found ' else 'Ban ' end,
   '203.0.0.', cast(user_id % 200 as string)) as line
-from @events@ where event_id % 4 = 0"""
+from @events@"""
 
 # --- console tables, shaped from the same inputs
 VIEWS["threats"] = """
@@ -276,20 +282,13 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in BASE_TABLES:
-                self._cache[name] = self._spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"), name)
+                self._cache[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
             elif name in VIEWS:
                 self._cache[name] = self._view(VIEWS[name])
             else:
                 raise AttributeError(name)
         return self._cache[name]
 
-    def _spread(self, df: DataFrame, name: str) -> DataFrame:
-        """Give a fact table of fewer files than cores one partition per core; real tables have more files."""
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in FACTS and len(df.inputFiles()) < cores:
-            return df.repartition(cores)
-        return df
-
     def _view(self, text: str) -> DataFrame:
         inputs = {n: getattr(self, n) for n in set(re.findall(r"@(\w+)@", text))}
         for token, value in _SPARK_TOKENS.items():

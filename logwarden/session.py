@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,13 +44,14 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
-    Only when a session names none (local tests) a temporary folder is made.
+    Only a local session (tests) may name none; it then gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.environ.get("LOGWARDEN_TEST_DIR") or tempfile.mkdtemp(prefix="logwarden-")
         spark.conf.set("spark.checkpoint.dir", base)
-    stamp = spark.sql("select replace(uuid(), '-', '') as u").first()["u"]
-    return f"{base.rstrip('/')}/{purpose}-{stamp}"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
