@@ -8,13 +8,23 @@ where a vectorised function scores rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 SAMPLE = 256
+TREE = "tree int, n int, f array<int>, cut array<double>, l array<int>, r array<int>, d array<double>"
+
+
+@dataclass
+class Forest:
+    """Trees, and the score above which a row is odd, learnt once on the training rows."""
+
+    trees: list[dict]
+    cut: float
 
 
 def mean_depth(n: int) -> float:
@@ -68,8 +78,8 @@ def sampled(rows: DataFrame, key: str, trees: int, seed: int) -> DataFrame:
     return drawn.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLE).select("tree", "x")
 
 
-def fit(rows: DataFrame, key: str = "id", trees: int = 100, seed: int = 42) -> list[dict]:
-    """Grow the forest from rows (key, x array<double>); returns one small dict per tree."""
+def fit(rows: DataFrame, key: str = "id", trees: int = 100, seed: int = 42, contamination: float = 0.1) -> Forest:
+    """Grow the forest from rows (key, x array<double>), one small dict per tree; ``contamination`` of the rows lie above its cut."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         no = int(pdf["tree"].iloc[0])
@@ -78,17 +88,29 @@ def fit(rows: DataFrame, key: str = "id", trees: int = 100, seed: int = 42) -> l
         cols = list(zip(*nodes))
         return pd.DataFrame({"tree": [no], "n": [len(x)], "f": [list(cols[0])], "cut": [list(cols[1])], "l": [list(cols[2])], "r": [list(cols[3])], "d": [list(cols[4])]})
 
-    schema = "tree int, n int, f array<int>, cut array<double>, l array<int>, r array<int>, d array<double>"
-    found = sampled(rows, key, trees, seed).groupBy("tree").applyInPandas(tree, schema).collect()
-    return [r.asDict() for r in sorted(found, key=lambda r: r["tree"])]
+    found = sampled(rows, key, trees, seed).groupBy("tree").applyInPandas(tree, TREE).collect()
+    forest = Forest([r.asDict() for r in sorted(found, key=lambda r: r["tree"])], 1.0)
+    cut = with_scores(rows, forest).agg(F.percentile_approx("anomaly_score", 1 - contamination, 10000).alias("c")).first()["c"]
+    return Forest(forest.trees, 1.0 if cut is None else cut)
+
+
+def save(forest: Forest, path: str, spark: SparkSession) -> None:
+    """A row per tree, each with the cut."""
+    rows = [(t["tree"], t["n"], t["f"], t["cut"], t["l"], t["r"], t["d"], forest.cut) for t in forest.trees]
+    spark.createDataFrame(rows, f"{TREE}, limit double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(path: str, spark: SparkSession) -> Forest:
+    rows = [r.asDict() for r in spark.read.parquet(path).orderBy("tree").collect()]
+    return Forest(rows, rows[0]["limit"] if rows else 1.0)
 
 
-def with_scores(rows: DataFrame, forest: list[dict], out: str = "anomaly_score") -> DataFrame:
+def with_scores(rows: DataFrame, forest: Forest, out: str = "anomaly_score") -> DataFrame:
     """Add the anomaly score 2^(-mean depth / c(sample)); near 1 is odd."""
     shared = rows.sparkSession.sparkContext.broadcast(
-        [tuple(np.asarray(t[c]) for c in ("f", "cut", "l", "r", "d")) for t in forest]
+        [tuple(np.asarray(t[c]) for c in ("f", "cut", "l", "r", "d")) for t in forest.trees]
     )
-    scale = float(np.mean([mean_depth(t["n"]) for t in forest])) or 1.0
+    scale = float(np.mean([mean_depth(t["n"]) for t in forest.trees])) or 1.0
 
     @pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
@@ -109,7 +131,6 @@ def with_scores(rows: DataFrame, forest: list[dict], out: str = "anomaly_score")
     return rows.withColumn(out, score("x"))
 
 
-def flag_anomalies(scored: DataFrame, contamination: float = 0.1, score: str = "anomaly_score") -> DataFrame:
-    """Mark the top share by score; the threshold is a distributed approximate percentile."""
-    cut = scored.agg(F.percentile_approx(score, 1 - contamination, 10000).alias("c")).first()["c"]
-    return scored.withColumn("is_anomaly", F.col(score) > F.lit(cut))
+def flag_anomalies(scored: DataFrame, forest: Forest, score: str = "anomaly_score") -> DataFrame:
+    """Mark rows above the forest's cut; a row's mark does not depend on the rows scored with it."""
+    return scored.withColumn("is_anomaly", F.col(score) > F.lit(forest.cut))

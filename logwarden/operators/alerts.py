@@ -148,9 +148,22 @@ def log_deliveries(hits: DataFrame, channels: DataFrame) -> DataFrame:
     )
 
 
+def trigger_counters(hits: DataFrame, channels: DataFrame) -> DataFrame:
+    """Per rule its hits, with or without a channel, the last of them, and good and failed deliveries, in one pass over the hits."""
+    enabled = channels.filter("is_enabled").select(F.col("id").alias("channel_id"), "channel_type", "recipients")
+    wide = hits.select("rule_id", "rule_name", "timestamp", F.posexplode_outer(F.from_json("channel_ids", "array<bigint>")).alias("_place", "channel_id"))
+    rows = wide.join(enabled, "channel_id", "left")
+    good = (F.col("channel_type") == "email") & (F.coalesce("recipients", F.lit(0)) > 0)
+    return rows.groupBy("rule_id", "rule_name").agg(
+        F.count_if(F.coalesce(F.col("_place"), F.lit(0)) == 0).alias("total_triggers"), F.max("timestamp").alias("last_triggered_at"),
+        F.count_if(F.coalesce(good, F.lit(False))).alias("total_alerts_sent"),
+        F.count_if(F.col("channel_type").isNotNull() & ~good).alias("failed_sends"))
+
+
 def delivery_counters(rows: DataFrame, by: str) -> DataFrame:
-    """Sent, good and failed deliveries per rule or channel, and the last good time."""
+    """Sent, good and failed deliveries per rule or channel, and the last good time; a rule's total counts good ones only."""
+    total = F.count_if("success") if by == "rule_id" else F.count("*")
     return rows.groupBy(by).agg(
-        F.count("*").alias("total_alerts_sent"), F.count_if("success").alias("successful_sends"),
+        total.alias("total_alerts_sent"), F.count_if("success").alias("successful_sends"),
         F.count_if(~F.col("success")).alias("failed_sends"), F.max(F.when(F.col("success"), F.col("timestamp"))).alias("last_alert_sent_at"),
     )

@@ -21,7 +21,8 @@ def newest(ts: str = "timestamp", tie: str = "id") -> list[Column]:
 
 
 def in_window(df: DataFrame, as_of: datetime, hours: float, ts: str = "timestamp") -> DataFrame:
-    return df.filter(F.col(ts) >= before(as_of, hours=hours))
+    """Rows of the ``hours`` up to ``as_of``; what came later is not seen."""
+    return df.filter((F.col(ts) >= before(as_of, hours=hours)) & (F.col(ts) <= ts_lit(as_of)))
 
 
 # ---------------------------------------------------------------- lookups
@@ -74,14 +75,14 @@ def active_block(as_of: datetime, null_expiry_active: bool = True) -> Column:
 
 def security_dashboard(events, blocked, threats, alerts, as_of: datetime) -> DataFrame:
     return one_row(
-        events.filter(F.col("timestamp") > before(as_of, hours=24)).agg(F.count("*").alias("attacks_today")),
+        events.filter((F.col("timestamp") > before(as_of, hours=24)) & (F.col("timestamp") <= ts_lit(as_of))).agg(F.count("*").alias("attacks_today")),
         blocked.agg(
             F.count_if(~F.col("is_permanent")).alias("temp_blocked_ips"),
             F.count_if(F.col("is_permanent")).alias("perm_blocked_ips"),
         ),
         threats.agg(F.count_if(~F.col("is_resolved")).alias("active_threats")),
         alerts.agg(F.count_if(~F.col("is_resolved")).alias("pending_alerts")),
-        events.filter(F.col("timestamp") > before(as_of, hours=1)).agg(
+        events.filter((F.col("timestamp") > before(as_of, hours=1)) & (F.col("timestamp") <= ts_lit(as_of))).agg(
             F.countDistinct("source_ip").alias("active_attackers")
         ),
     )

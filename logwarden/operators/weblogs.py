@@ -363,6 +363,11 @@ def window_counts(
     )
 
 
+def counted_requests(requests: DataFrame) -> DataFrame:
+    """Requests whose method the rate jail's filter knows."""
+    return requests.filter(F.col("method").isin(*fixed.JAIL_METHODS))
+
+
 def jail_hits(requests: DataFrame) -> DataFrame:
     """GET and POST requests of bad agents, without the ignored crawlers."""
     agent, referrer = F.coalesce("user_agent", F.lit("")), F.coalesce("referrer", F.lit(""))

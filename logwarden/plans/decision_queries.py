@@ -433,7 +433,7 @@ def _(t):
 
 
 @query("alert_delivery_counters", f"""
-with recursive {DELIVER} select 'rule' as kind, rule_id as id, count(*) as total_alerts_sent, count(*) filter (where success) as successful_sends, count(*) filter (where not success) as failed_sends from dl group by rule_id
+with recursive {DELIVER} select 'rule' as kind, rule_id as id, count(*) filter (where success) as total_alerts_sent, count(*) filter (where success) as successful_sends, count(*) filter (where not success) as failed_sends from dl group by rule_id
 union all select 'channel', channel_id, count(*), count(*) filter (where success), count(*) filter (where not success) from dl group by channel_id""")
 def _(t):
     rows = al.deliveries(t.alert_events, t.alert_rules, t.alert_channels)
@@ -442,6 +442,15 @@ def _(t):
     return out[0].unionByName(out[1])
 
 
+@query("alert_pipeline", f"""
+with recursive {DELIVER} select f.rule_id, f.rule_name, count(*) as total_triggers, max(f.timestamp) as last_triggered_at,
+  coalesce((select count(*) filter (where success) from dl where dl.rule_id = f.rule_id), 0) as total_alerts_sent,
+  coalesce((select count(*) filter (where not success) from dl where dl.rule_id = f.rule_id), 0) as failed_sends
+from fired f group by f.rule_id, f.rule_name""")
+def _(t):
+    return al.trigger_counters(al.triggered(t.alert_events, t.alert_rules), t.alert_channels)
+
+
 # ------------------------------------------------------------------ model quality
 CM = "cm as (select count(*) filter (where y_true = 0 and y_pred = 0) as tn, count(*) filter (where y_true = 0 and y_pred = 1) as fp, count(*) filter (where y_true = 1 and y_pred = 0) as fn, count(*) filter (where y_true = 1 and y_pred = 1) as tp from scored)"
 

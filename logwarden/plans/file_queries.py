@@ -154,13 +154,15 @@ def _(t):
 
 
 # ------------------------------------------------------------------ manifests, exports, snapshots
-@query("log_file_manifest")
+@query("log_file_manifest", " union all ".join(
+    f"select '{log}' as log, cast(sum(octet_length(encode(line)) + 1) as bigint) as size from {view}"
+    for log, view in (("access.log", "access_lines"), ("auth.log", "auth_lines"), ("fail2ban.log", "ban_lines"))))
 def _(t):
     path = shared_dir(t.spark, "varlog")
     for name, df in (("access.log", t.access_lines), ("auth.log", t.auth_lines), ("fail2ban.log", t.ban_lines)):
         df.select(F.col("line").alias("value")).write.text(f"{path}/{name}")
     return ll.log_manifest(t.spark, path, "*.txt", r".*/[^/]+\.log/part-[^/]+\.txt$").select(
-        F.regexp_extract("path", r"/([^/]+\.log)/", 1).alias("log"), "size", "modified")
+        F.regexp_extract("path", r"/([^/]+\.log)/", 1).alias("log"), "size").groupBy("log").agg(F.sum("size").alias("size"))
 
 
 def top100(t):

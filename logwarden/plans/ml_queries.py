@@ -13,12 +13,18 @@ from .network_queries import FEATS, features
 from .registry import query
 from .views import AS_OF
 
-_MODELS: dict[tuple[str, str], object] = {}
+_MODELS: dict[tuple, object] = {}
+
+
+def known(t, purpose: str) -> tuple:
+    """Names what is kept by session, folder and a fingerprint of its events, so that changed data are read anew."""
+    seen = t.events.agg(F.count("*"), F.bit_xor(F.xxhash64("event_id", "ts", "user_id", "event_type", "value"))).first()
+    return t.spark.sparkContext.applicationId, t.dir, purpose, *seen
 
 
 def saved(t, purpose, build):
     """A frame written once to the shared folder, because training passes over it many times."""
-    key = (t.spark.sparkContext.applicationId, f"{t.dir}/{purpose}")
+    key = known(t, purpose)
     if key not in _MODELS:
         path = shared_dir(t.spark, purpose)
         build().write.parquet(path)
@@ -32,7 +38,7 @@ def labelled(t):
 
 
 def forest(t):
-    key = (t.spark.sparkContext.applicationId, t.dir)
+    key = known(t, "forest")
     if key not in _MODELS:
         _MODELS[key] = models.train_forest(labelled(t).filter("part = 'train'"))
     return _MODELS[key]
@@ -54,13 +60,19 @@ def _(t):
     return mx.classification_metrics(test.select(F.col("label").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred")))
 
 
+def odd_forest(t):
+    key = known(t, "isolation")
+    if key not in _MODELS:
+        rows = models.score_events(forest(t), labelled(t)).withColumn("x", vector_to_array("features"))
+        _MODELS[key] = isolation.fit(rows.filter("part = 'train'").select("id", "x"))
+    return _MODELS[key]
+
+
 def scored(t):
     """Class, probability and anomaly flag of every event."""
     rows = models.score_events(forest(t), labelled(t)).withColumn("x", vector_to_array("features"))
-    key = (t.spark.sparkContext.applicationId, f"{t.dir}/isolation")
-    if key not in _MODELS:
-        _MODELS[key] = isolation.fit(rows.filter("part = 'train'").select("id", "x"))
-    return isolation.flag_anomalies(isolation.with_scores(rows, _MODELS[key]))
+    odd = odd_forest(t)
+    return isolation.flag_anomalies(isolation.with_scores(rows, odd), odd)
 
 
 @query("score_events")
@@ -93,9 +105,14 @@ def _(t):
     both = models.score_events(loaded, labelled(t)).select("id", F.col("y_pred").alias("again")).join(
         models.score_events(forest(t), labelled(t)).select("id", "y_pred"), "id")
     agree = both.agg(F.count("*").alias("rows"), F.count_if(F.col("again") == F.col("y_pred")).alias("equal"))
+    isolation.save(odd_forest(t), f"{path}/isolation", t.spark)
+    rows = models.score_events(loaded, labelled(t)).withColumn("x", vector_to_array("features"))
+    again = isolation.load(f"{path}/isolation", t.spark)
+    flags = isolation.flag_anomalies(isolation.with_scores(rows, again), again).select("id", F.col("is_anomaly").alias("flag_again"))
+    odd = flags.join(scored(t).select("id", "is_anomaly"), "id").agg(F.count_if(F.col("flag_again") == F.col("is_anomaly")).alias("equal_flags"))
     from ..operators.events import one_row
 
-    return one_row(about, agree)
+    return one_row(about, agree, odd)
 
 
 @query("store_metrics", """

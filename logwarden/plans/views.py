@@ -39,7 +39,7 @@ from @events@"""
 VIEWS["http_access"] = """
 select event_id as id, ts as timestamp,
   concat('203.0.0.', cast(case when user_id % 40 < 4 then 0 else user_id % 40 end as string)) as ip,
-  case event_id % 4 when 0 then 'POST' else 'GET' end as method,
+  case when event_id % 44 = 3 then 'TRACE' when event_id % 4 = 0 then 'POST' else 'GET' end as method,
   case (event_id + user_id) % 16 when 0 then '/item?id=1 union select a from b' when 1 then '/?q=<script>alert(1)</script>' when 2 then '/../../etc/passwd'
     when 3 then '/run?c=;ls' when 4 then '/shell.php' when 5 then '/wp-admin/' when 6 then '/.env' when 7 then '/phpmyadmin/' when 8 then '/admin/backup.zip'
     when 9 then '/robots.txt' when 10 then concat('/page/', cast(event_id % 97 as string)) when 11 then '/api/items' when 12 then '/xmlrpc.php'

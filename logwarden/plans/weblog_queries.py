@@ -476,9 +476,9 @@ def jail_bans(requests_df, retry, find, ban):
         F.col("key").alias("ip"), F.timestamp_micros("us").alias("banned_at"), F.timestamp_micros(F.col("us") + ban * 1_000_000).alias("banned_until"))
 
 
-@query("rate_limit_jail", jail_sql("http_access", 3, 3600, 86400))
+@query("rate_limit_jail", jail_sql(f"(select * from http_access where method in {tuple(fixed.JAIL_METHODS)})", 3, 3600, 86400))
 def _(t):
-    return jail_bans(t.http_access.select("ip", "timestamp"), 3, 3600, 86400)
+    return jail_bans(wl.counted_requests(t.http_access).select("ip", "timestamp"), 3, 3600, 86400)
 
 
 JAILED = f"""(select * from http_access where method in ('GET', 'POST') and (regexp_matches(user_agent, '^{fixed.JAIL_AGENTS}') or regexp_matches(referrer, '^{fixed.JAIL_AGENTS}'))

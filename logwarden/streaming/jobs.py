@@ -96,6 +96,11 @@ def jail(requests: DataFrame, out: str, retry: int, find: int, ban: int, once: b
     run_batches(trips, out, each, once)
 
 
+def rate_jail(requests: DataFrame, out: str, retry: int = 50, find: int = 60, ban: int = 3600, once: bool = True) -> None:
+    """Bans of addresses with many requests; methods unknown to the jail's filter do not count."""
+    jail(wl.counted_requests(requests), out, retry, find, ban, once)
+
+
 def bot_jail(requests: DataFrame, out: str, retry: int = 50, find: int = 300, ban: int = 7200, once: bool = True) -> None:
     jail(wl.jail_hits(requests), out, retry, find, ban, once)
 

@@ -82,12 +82,23 @@ def test_isolation_forest_finds_far_points(spark):
         F.array(F.randn(2), F.randn(3))).alias("x"))
     path_free = rows.cache()
     forest = isolation.fit(path_free, trees=50)
-    flagged = isolation.flag_anomalies(isolation.with_scores(path_free, forest), 0.1)
+    flagged = isolation.flag_anomalies(isolation.with_scores(path_free, forest), forest)
     far = flagged.filter("id < 20").agg(F.min("anomaly_score").alias("a")).first().a
     near = flagged.filter("id >= 20").agg(F.avg("anomaly_score").alias("a")).first().a
     assert far > near + 0.15
     assert flagged.filter("id < 20 and not is_anomaly").count() == 0
     assert 0.05 < flagged.filter("is_anomaly").count() / 2000 < 0.15
+    good = flagged.filter("not is_anomaly").limit(10).drop("anomaly_score", "is_anomaly")
+    assert isolation.flag_anomalies(isolation.with_scores(good, forest), forest).filter("is_anomaly").count() == 0
+
+
+def test_isolation_forest_survives_saving(spark, tmp_path):
+    rows = spark.range(500).select("id", F.array(F.randn(2), F.randn(3)).alias("x")).cache()
+    forest = isolation.fit(rows, trees=5)
+    isolation.save(forest, f"{tmp_path}/odd", spark)
+    again = isolation.load(f"{tmp_path}/odd", spark)
+    flags = [sorted(map(tuple, isolation.flag_anomalies(isolation.with_scores(rows, f), f).select("id", "is_anomaly").collect())) for f in (forest, again)]
+    assert again.cut == forest.cut and flags[0] == flags[1]
 
 
 def test_model_survives_saving(spark, labelled, model, tmp_path):

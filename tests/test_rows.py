@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logwarden.functions import fixed, text
 from logwarden.functions.times import from_access_stamp, from_epoch_text, from_syslog_stamp
-from logwarden.operators import alerts, geo, network, policy
+from logwarden.operators import alerts, events, geo, network, policy, weblogs
 from logwarden.operators.intervals import trailing_count, with_previous
 from logwarden.sinks import tables as sinks
 from logwarden.sources import loglines, monitor
@@ -177,3 +177,26 @@ def test_export_and_snapshot(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 1
     out = {r.table_name: r.n for r in sinks.snapshot({"t": df, "u": df.union(df)}, str(tmp_path / "snap"), datetime(2024, 1, 1)).collect()}
     assert out == {"t": 1, "u": 2, "total": 3}
+
+
+def test_windows_close_at_their_time(spark):
+    rows = spark.sql("select * from values (1, timestamp_ntz'2024-01-30 23:00:00'), (2, timestamp_ntz'2024-01-31 00:00:00'), "
+                     "(3, timestamp_ntz'2024-01-31 00:00:01'), (4, timestamp_ntz'2024-01-29 23:59:59') as t(id, timestamp)")
+    assert {r.id for r in events.in_window(rows, datetime(2024, 1, 31), 24).collect()} == {1, 2}
+    ips = rows.withColumn("source_ip", F.col("id").cast("string"))
+    none = spark.sql("select true as is_permanent, false as is_resolved limit 0")
+    report = events.security_dashboard(ips, none, none, none, datetime(2024, 1, 31)).first()
+    assert report.attacks_today <= 2 and report.active_attackers == 1
+
+
+def test_jail_passes_over_unknown_methods(spark):
+    rows = spark.createDataFrame([("GET",), ("TRACE",), (None,), ("PATCH",)], "method string")
+    assert {r.method for r in weblogs.counted_requests(rows).collect()} == {"GET", "PATCH"}
+
+
+def test_rules_without_channels_still_trigger(spark):
+    hits = spark.sql("select 1L as rule_id, 'a' as rule_name, timestamp_ntz'2024-01-01 00:00:00' as timestamp, '[1, 2, 9]' as channel_ids union all "
+                     "select 1L, 'a', timestamp_ntz'2024-01-02 00:00:00', '[2]' union all select 2L, 'b', timestamp_ntz'2024-01-03 00:00:00', null")
+    channels = spark.sql("select 1L as id, 'email' as channel_type, true as is_enabled, 2 as recipients union all select 2L, 'slack', true, 0")
+    got = {r.rule_id: (r.total_triggers, r.total_alerts_sent, r.failed_sends) for r in alerts.trigger_counters(hits, channels).collect()}
+    assert got == {1: (2, 1, 2), 2: (1, 0, 0)}
