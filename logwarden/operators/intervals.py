@@ -44,6 +44,30 @@ def with_previous(
     )
 
 
+def gap_moments(df: DataFrame, keys: list[str], ts: str, width_us: int = MINUTE) -> DataFrame:
+    """Per key ``n`` rows, ``first_seen``, ``last_seen``, ``gaps``, and ``mean`` and ``squares`` (mean of squares) of the gaps in seconds.
+
+    Rows are read and moved once. Gaps inside a (key, time bucket) are summed there; between buckets only the last time of the
+    bucket before matters, so the key as a whole is a row per non-empty bucket.
+    """
+    rows = df.select(*keys, micros(ts).alias("_us")).withColumn("_b", F.floor(F.col("_us") / width_us))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_us")
+    own = rows.withColumn("_gap", (F.col("_us") - F.lag("_us").over(inside)) / 1e6).groupBy(*keys, "_b").agg(
+        F.count("*").alias("_n"), F.min("_us").alias("_first"), F.max("_us").alias("_last"),
+        F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("_squares"))
+    across = Window.partitionBy(*keys).orderBy("_b")
+    between = (F.col("_first") - F.lag("_last").over(across)) / 1e6
+    total = own.withColumn("_between", between).groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+        F.sum(F.col("_squares") + F.coalesce(F.col("_between") * F.col("_between"), F.lit(0.0))).alias("_squares"))
+    gaps = F.col("n") - 1
+    return total.select(
+        *keys, "n", F.timestamp_micros("_first").cast("timestamp_ntz").alias("first_seen"),
+        F.timestamp_micros("_last").cast("timestamp_ntz").alias("last_seen"), gaps.alias("gaps"),
+        F.when(gaps > 0, (F.col("_last") - F.col("_first")) / 1e6 / gaps).alias("mean"),
+        F.when(gaps > 0, F.col("_squares") / gaps).alias("squares"))
+
+
 def trailing_count(
     df: DataFrame, keys: list[str], ts: str, span_us: int, out: str, counted: Column | None = None
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.numbers import rounded
 from ..functions import fixed, text
 from ..functions.times import micros
 from .events import in_window, one_row
-from .intervals import with_previous
+from .intervals import gap_moments
 
 
 def has_port(df: DataFrame) -> DataFrame:
@@ -172,18 +172,11 @@ def tls_rare_issuers(ssl: DataFrame, as_of: datetime, hours: float = 24, at_leas
 def beaconing(conn: DataFrame, as_of: datetime, hours: float = 24, threshold: float = 0.9, min_count: int = 10) -> DataFrame:
     """Flows whose gaps are regular: 1 - min(population deviation / mean, 1).
 
-    Gaps come from the bucketed lag, so one busy flow does not land in one task.
+    Gaps are summed per time bucket first, so one busy flow does not land in one task.
     """
     keys = ["source_ip", "dest_ip", "dest_port"]
-    rows = in_window(conn, as_of, hours).select(*keys, "timestamp")
-    gaps = with_previous(rows, keys, "timestamp", []).withColumn("gap", (F.col("_us") - F.col("prev_us")) / 1e6)
-    stats = gaps.groupBy(*keys).agg(
-        F.count("*").alias("connection_count"),
-        F.avg("gap").alias("mean"),
-        F.stddev_pop("gap").alias("dev"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-    )
+    stats = gap_moments(in_window(conn, as_of, hours), keys, "timestamp").withColumnRenamed("n", "connection_count")
+    stats = stats.withColumn("dev", F.sqrt(F.greatest(F.lit(0.0), F.col("squares") - F.col("mean") * F.col("mean"))))
     cv = F.when(F.col("mean") > 0, F.col("dev") / F.col("mean")).otherwise(F.lit(0.0))
     return (
         stats.withColumn("reg", 1 - F.least(cv, F.lit(1.0)))
@@ -198,10 +191,9 @@ def beaconing(conn: DataFrame, as_of: datetime, hours: float = 24, threshold: fl
 
 def flow_regularity(conn: DataFrame, more_than: int = 5) -> DataFrame:
     """Per source: max(0, 1 - sample deviation / mean) over the gaps of all its flows."""
-    gaps = with_previous(conn.select("source_ip", "timestamp"), ["source_ip"], "timestamp", [])
-    stats = gaps.withColumn("gap", (F.col("_us") - F.col("prev_us")) / 1e6).groupBy("source_ip").agg(
-        F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("dev")
-    )
+    stats = gap_moments(conn, ["source_ip"], "timestamp")
+    spread = F.greatest(F.lit(0.0), F.col("squares") - F.col("mean") * F.col("mean"))
+    stats = stats.withColumn("dev", F.when(F.col("gaps") > 1, F.sqrt(spread * F.col("gaps") / (F.col("gaps") - 1))))
     value = F.greatest(F.lit(0.0), 1 - F.coalesce("dev", F.lit(0.0)) / F.col("mean"))
     return stats.select(
         F.col("source_ip").alias("ip"),
