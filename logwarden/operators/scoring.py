@@ -10,7 +10,7 @@ from ..functions.numbers import rounded
 from ..functions import fixed, text
 from ..functions.times import micros, ts_lit
 from .events import active_block, in_window
-from .intervals import latest_per_key, with_previous
+from .intervals import gap_moments, latest_per_key
 
 
 def behavioral_features(events: DataFrame) -> DataFrame:
@@ -21,19 +21,18 @@ def behavioral_features(events: DataFrame) -> DataFrame:
     path = F.coalesce("request_path", F.lit("/"))
     sev = F.col("severity")
     vector = F.when(F.col("attack_vector") != "unknown", F.nullif(F.col("attack_vector"), F.lit("")))
-    gaps = with_previous(
-        events.select("source_ip", "id", "timestamp", path.alias("p"), sev.isin("high", "critical").alias("bad"), vector.alias("v"),
-                      text.count_chars(F.coalesce("request_path", F.lit("")), fixed.BEHAVIOUR_CHARS).alias("odd")),
-        ["source_ip"], "timestamp", ["id"],
-    ).withColumn("gap", (F.col("_us") - F.col("prev_us")) / 1e6)
-    stats = gaps.groupBy("source_ip").agg(
+    rows = events.select("source_ip", micros("timestamp").alias("_us"), path.alias("p"), sev.isin("high", "critical").alias("bad"), vector.alias("v"),
+                         text.count_chars(F.coalesce("request_path", F.lit("")), fixed.BEHAVIOUR_CHARS).alias("odd"))
+    gaps = gap_moments(events.select("source_ip", "timestamp"), ["source_ip"], "timestamp")
+    spread = F.greatest(F.lit(0.0), F.col("squares") - F.col("mean") * F.col("mean"))
+    gaps = gaps.select("source_ip", F.coalesce(F.sqrt(spread), F.lit(0.0)).alias("dev"))
+    stats = rows.groupBy("source_ip").agg(
         F.count("*").alias("n"),
         F.min("_us").alias("first"),
         F.max("_us").alias("last"),
         F.countDistinct("p").alias("unique_paths"),
         F.count_if("bad").alias("bad"),
         F.countDistinct("v").alias("num_attack_types"),
-        F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("dev"),
         rounded(F.avg(F.length("p")), 1).alias("avg_path_length"),
         F.sum("odd").cast("bigint").alias("suspicious_chars_total"),
     )
@@ -44,7 +43,7 @@ def behavioral_features(events: DataFrame) -> DataFrame:
     )
     n, half = F.col("n"), F.floor(F.col("n") / 2)
     span = (F.col("last") - F.col("first")) / 60e6
-    out = stats.join(halves, "source_ip")
+    out = stats.join(halves, "source_ip").join(gaps, "source_ip")
     return out.select(
         "source_ip",
         n.alias("total_events"),
