@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import crf, decontamination, hashtree, language, neardup, packing, repair, secrets, toxicity, warc
+from . import checks, crf, decontamination, hashtree, language, neardup, packing, repair, secrets, toxicity, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -15,17 +15,7 @@ def op1(spark, sf_dir):
     return crf.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_WARC_SQL = """
-with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
-o as (select d, n, max(page_id) as original from p where n >= 1000 group by d, n)
-select page_id, n::bigint as payload_bytes, p.d as payload_digest,
-    case when page_id < original then 'revisit' else 'response' end as record_type,
-    case when page_id < original then original end as refers_to
-from p left join o using (d, n)
-"""
-
-
-@query("op2_warc_archives", _WARC_SQL)
+@query("op2_warc_archives", checks.WARC)
 def op2(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
@@ -35,12 +25,12 @@ def op3(spark, sf_dir):
     return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op4_decontamination")
+@query("op4_decontamination", checks.CONTAINED)
 def op4(spark, sf_dir):
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op5_minhash_near_duplicates")
+@query("op5_minhash_near_duplicates", checks.NEAR_DUPLICATES)
 def op5(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +45,7 @@ def op7(spark, sf_dir):
     return repair.encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op8_hash_tree_shards")
+@query("op8_hash_tree_shards", checks.SHARDS)
 def op8(spark, sf_dir):
     return hashtree.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +55,6 @@ def op9(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op10_secret_scan")
+@query("op10_secret_scan", checks.SECRETS)
 def op10(spark, sf_dir):
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
