@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def cut(batch: pa.RecordBatch, column: str, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, column: str, budget: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``budget`` bytes each, or a single longer text."""
     n = batch.num_rows
     if not n:

@@ -23,7 +23,7 @@ from .words import MIX, mixed, shingles, word_hashes
 _FULL = np.uint64(2 ** 64 - 1)
 SKETCHED = "doc_id long, n long, f1 long, f2 long, bands array<long>"
 #: Shingles that one task compares at once, and documents.
-BLOCK_SHINGLES, BLOCK_DOCUMENTS = 2_000_000, 2048
+BLOCK_SHINGLES, BLOCK_DOCUMENTS = 400_000, 512
 
 
 def fast_sketches(elements: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
@@ -161,14 +161,15 @@ def verified_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int)
         def told(edges):
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "id", "text", "f1", "f2")]
-            for own, *rest in zip(*columns):
-                if own != block:
-                    if len(held) > 1:
-                        yield told(compare(held))
-                    block, held = own, []
-                held.append(tuple(rest))
+        for whole in batches:
+            for batch in cut(whole, "text"):
+                columns = [batch.column(c).to_pylist() for c in ("block", "id", "text", "f1", "f2")]
+                for own, *rest in zip(*columns):
+                    if own != block:
+                        if len(held) > 1:
+                            yield told(compare(held))
+                        block, held = own, []
+                    held.append(tuple(rest))
         if len(held) > 1:
             yield told(compare(held))
 
@@ -205,6 +206,11 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int
     gone = sized(written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates"))
     gone = gone.toDF(fresh(docs, "_gone"))
     left = docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+    # rows that come again are looked for by narrow keys, so that texts of the others need not move
     key = fresh(left, "_text_key")
-    named = left.filter(F.col("doc_id").isNotNull()).withColumn(key, text_key(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key)
-    return named.unionByName(left.filter(F.col("doc_id").isNull()))
+    again = left.select("doc_id", text_key(F.col("text")).alias("k")).groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    again = sized(written(again.filter("n > 1 and doc_id is not null").select("doc_id").distinct(), "repeated")).toDF(fresh(left, "_again"))
+    same = left["doc_id"] == again[again.columns[0]]
+    once = left.join(again, same, "left_anti")
+    more = left.join(again, same, "left_semi").withColumn(key, text_key(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key)
+    return once.unionByName(more)

@@ -26,7 +26,7 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     base = MIX[0] | 1
@@ -65,7 +65,7 @@ def run_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool)
     """64-bit hashes of stretches of bytes: random values of the bytes in a polynomial, by running sums, mixed with the length."""
     if not len(raw):
         return np.empty(0, np.uint64)
-    size = 1 << max(16, len(raw).bit_length())
+    size = 1 << max(21, len(raw).bit_length())
     up, down = _powers(size)
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
