@@ -8,6 +8,7 @@ from ..functions.numbers import rounded
 from ..functions import fixed, text
 from ..functions.times import before, ts_lit
 from ..operators import alerts as al, events as ev, geo, metrics as mx, policy as po, scoring as sc
+from ..session import shared_dir
 from ..sinks import tables as sk
 from .event_queries import ACTIVE, D1, NOW, PLACED, RANK, TOP_RULES  # noqa: F401
 from .event_queries import BLOCKED_COUNTRIES, OWNER, cached_predictions, list_flags, new_ips
@@ -328,6 +329,20 @@ def _(t):
     return po.upsert_blocks(t.block_snapshot, t.block_requests)
 
 
+@query("auto_block_apply", f"""
+with {decision_sql(PCT, 'aggressive')}
+select ip_address, coalesce(s.blocked_by, 'auto_blocker') as blocked_by, coalesce(d.reason, s.reason) as reason, coalesce(d.severity, s.threat_level) as threat_level,
+  case when d.ip_address is not null then false else s.is_permanent end as is_permanent,
+  case when d.ip_address is null then s.unblock_time else {NOW} + interval 12 hour end as unblock_time,
+  case when d.ip_address is null then s.last_blocked else {NOW} end as last_blocked,
+  coalesce(s.total_attacks, 0) + case when d.ip_address is null then 0 else 1 end as total_attacks
+from block_snapshot s full join (select * from dd where should_block) d using (ip_address)""")
+def _(t):
+    chosen = decide(t, percent(t), "aggressive")
+    asked = po.decisions_to_requests(chosen, fixed.POLICIES["aggressive"], ts_lit(AS_OF))
+    return po.upsert_blocks(t.block_snapshot, asked)
+
+
 # ------------------------------------------------------------------ table upkeep
 @query("upsert_predictions", f"""
 with u as (select ip_address, ml_confidence, threat_score, total_events, first_seen, last_seen, analyzed_at, is_valid, 0 as fresh from prediction_store
@@ -344,6 +359,21 @@ def _(t):
     return sk.retained(t.prediction_store, "analyzed_at", AS_OF, 30).select("ip_address", "analyzed_at")
 
 
+OLD = (("predictions", "prediction_store", "analyzed_at"), ("events", "security_events", "timestamp"), ("metrics", "model_metrics", "evaluated_at"))
+
+
+@query("retention_report", " union all ".join(
+    f"select '{n}' as table_name, count(*) filter (where {c} < {D30}) as deleted, count(*) filter (where coalesce({c} >= {D30}, true)) as kept from {v}" for n, v, c in OLD))
+def _(t):
+    return sk.retention_report({n: (getattr(t, v), c) for n, v, c in OLD}, AS_OF, 30)
+
+
+@query("retention_rewrite", f"select ip_address, analyzed_at from prediction_store where analyzed_at >= {D30} or analyzed_at is null")
+def _(t):
+    kept = sk.clean_up(t.prediction_store, "analyzed_at", AS_OF, 30, shared_dir(t.spark, "retained"))
+    return kept.select("ip_address", "analyzed_at")
+
+
 @query("invalidate_predictions", "select ip_address, ml_confidence, false as is_valid from prediction_store")
 def _(t):
     return sk.invalidated(t.prediction_store).select("ip_address", "ml_confidence", "is_valid")

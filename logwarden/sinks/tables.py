@@ -36,8 +36,19 @@ def retained(table: DataFrame, time: str, as_of: datetime, days: int) -> DataFra
     return table.filter(F.col(time) >= before(as_of, days=days))
 
 
-def expired_count(table: DataFrame, time: str, as_of: datetime, days: int) -> DataFrame:
-    return table.agg(F.count_if(F.col(time) < before(as_of, days=days)).alias("deleted"))
+def retention_report(tables: dict[str, tuple[DataFrame, str]], as_of: datetime, days: int) -> DataFrame:
+    """Per table (with its time column) the rows that a clean-up deletes and keeps; rows without a time are kept."""
+    old = lambda time: F.coalesce(F.col(time) < before(as_of, days=days), F.lit(False))
+    return reduce(lambda a, b: a.unionByName(b), [
+        df.agg(F.count_if(old(time)).alias("deleted"), F.count_if(~old(time)).alias("kept")).select(F.lit(name).alias("table_name"), "deleted", "kept")
+        for name, (df, time) in tables.items()])
+
+
+def clean_up(table: DataFrame, time: str, as_of: datetime, days: int, path: str) -> DataFrame:
+    """Write what is kept to ``path``, a folder other than the table's own, and return it as read from there."""
+    old = F.coalesce(F.col(time) < before(as_of, days=days), F.lit(False))
+    table.filter(~old).write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def invalidated(predictions: DataFrame) -> DataFrame:
