@@ -88,21 +88,23 @@ def suspicious_paths(requests: DataFrame) -> DataFrame:
     )
 
 
-def brute_force_ips(logins: DataFrame, threshold: int = 10) -> DataFrame:
-    """Addresses with many failures and the users they tried.
+def tried_users(logins: DataFrame) -> DataFrame:
+    """Failures per address and user name."""
+    failed = logins.filter((F.col("status") == "failed") & F.col("ip").isNotNull())
+    return failed.groupBy("ip", F.coalesce("user", F.lit("unknown")).alias("user")).agg(F.count("*").alias("tries"))
 
-    Names are counted per (address, user) first, so the final group holds one
-    row per tried name.
-    """
-    per_user = (
-        logins.filter((F.col("status") == "failed") & F.col("ip").isNotNull())
-        .groupBy("ip", F.coalesce("user", F.lit("unknown")).alias("user"))
-        .agg(F.count("*").alias("n"))
-    )
-    per_ip = per_user.groupBy("ip").agg(F.sum("n").alias("attempts"), F.sort_array(F.collect_list("user")).alias("users"))
+
+def brute_force_totals(logins: DataFrame, threshold: int = 10) -> DataFrame:
+    """Addresses with many failures, and how many names they tried."""
+    per_ip = tried_users(logins).groupBy("ip").agg(F.sum("tries").alias("attempts"), F.count("*").alias("user_count"))
     return per_ip.filter(F.col("attempts") >= threshold)
 
 
+def brute_force_ips(logins: DataFrame, threshold: int = 10) -> DataFrame:
+    """A row per name tried by an address with many failures; a spray of names is no longer one value."""
+    return tried_users(logins).join(brute_force_totals(logins, threshold), "ip").select("ip", "attempts", "user", "tries")
+
+
 def heavy_importers(requests: DataFrame) -> DataFrame:
     attack = F.size(text.attack_types(F.col("path"), F.col("user_agent"))) > 0
     return (

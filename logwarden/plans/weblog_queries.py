@@ -306,10 +306,11 @@ def _(t):
     return wl.suspicious_paths(requests(t))
 
 
-F_BFI = "bfi as (select ip, count(*) as attempts, string_agg(distinct coalesce(user, 'unknown'), '|' order by coalesce(user, 'unknown')) as users from logins where status = 'failed' and ip is not null group by ip having count(*) >= 10)"
+F_BFI = "bfi as (select ip, count(*) as attempts, count(distinct coalesce(user, 'unknown')) as user_count from logins where status = 'failed' and ip is not null group by ip having count(*) >= 10)"
 
 
-@query("brute_force_ips", f"with {LOGIN}, {F_BFI} select * from bfi")
+@query("brute_force_ips", f"""with {LOGIN}, {F_BFI} select ip, any_value(attempts) as attempts, coalesce(user, 'unknown') as user, count(*) as tries
+from bfi join logins using (ip) where status = 'failed' group by ip, coalesce(user, 'unknown')""")
 def _(t):
     return wl.brute_force_ips(logins(t))
 
@@ -402,13 +403,13 @@ def _(t):
     return findings(t)
 
 
-@query("union_findings", f"""with {ALL} select type, severity, ip, count, cast(null as varchar) as users from findings where type <> 'brute_force_attack'
-union all select 'brute_force_attack', case when attempts > 50 then 'high' else 'medium' end, ip, attempts, users from bfi""")
+@query("union_findings", f"""with {ALL} select type, severity, ip, count, cast(null as bigint) as user_count from findings where type <> 'brute_force_attack'
+union all select 'brute_force_attack', case when attempts > 50 then 'high' else 'medium' end, ip, attempts, user_count from bfi""")
 def _(t):
     base = findings(t).filter(F.col("type") != "brute_force_attack")
-    brute = wl.brute_force_ips(logins(t)).select(
+    brute = wl.brute_force_totals(logins(t)).select(
         F.lit("brute_force_attack").alias("type"), F.when(F.col("attempts") > 50, "high").otherwise("medium").alias("severity"),
-        "ip", F.col("attempts").alias("count"), F.array_join("users", "|").alias("users"))
+        "ip", F.col("attempts").alias("count"), "user_count")
     return base.unionByName(brute, allowMissingColumns=True)
 
 
