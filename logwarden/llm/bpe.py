@@ -1,6 +1,6 @@
 """Whole texts to token ids with a given tokenizer file, remembering the ids of pieces that come again.
 
-Texts are cut where the tokenizer itself never joins characters, each distinct piece is encoded once, and a text's ids are
+Texts are cut where the tokenizer itself never joins characters, each distinct piece at hand is looked up once, and a text's ids are
 those of its pieces in turn. Texts in which such cuts are not safe are encoded whole.
 """
 
@@ -11,14 +11,16 @@ from functools import lru_cache
 
 import numpy as np
 
+from .words import _WHITE, _bytes, run_hashes, runs
+
 _SPACED = re.compile(r"[ \n]?\S+|\s+(?=\s\S)|\s+")
 #: White space to one of the two regex dialects only, so that cuts at it may differ.
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎​]")
 
-#: Printable ASCII, line ends and the Latin-1 letters.
+#: Texts of printable ASCII, blanks, line feeds and Latin-1 letters, for which it is known how tokenizers fold, split and spell.
 _PLAIN = re.compile("[ \n\x21-\x7eÀ-ÖØ-öø-ÿ]*")
-_DROPPING = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-_KEEPING = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+")
+_DROPPING = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+_KEEPING = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+")
 
 
 def _spelling() -> dict[int, str]:
@@ -38,79 +40,117 @@ def _words(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file; at most ``limit`` pieces are remembered."""
+    """Ids of texts by one tokenizer file; at most ``limit`` stretches of text, and half as many words, are remembered."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         pre = str(self.tokenizer.pre_tokenizer)
-        self.drops_space = 'invert=True' in pre or "Removed" in pre
+        self.drops_space = "invert=True" in pre or "Removed" in pre
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int | str, int] = {}  # by 64-bit hash in plain texts, by themselves in others
+        self.words: dict[str, list[int]] = {}
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
+    def _plain(self, text: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and not any(t in text for t in self.added)
+
+    def _stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of plain texts, begin and end of the stretches they are cut into, and the edges of the texts among these.
+
+        A stretch is a run that is not white; a tokenizer that keeps white space gets the last blank or line feed before it too,
+        and the white space before that as a stretch of its own.
+        """
+        raw, edges = _bytes(texts)
+        begin, end = runs(raw, _WHITE[raw])
+        if not self.drops_space:
+            text_of = np.searchsorted(edges, begin, side="right") - 1
+            first = edges[text_of]
+            before = np.maximum(np.concatenate([[0], end[:-1]]), first) if len(begin) else begin
+            lead = begin - (begin > first)
+            tails = np.maximum(edges[:-1], np.concatenate([[0], end])[np.searchsorted(begin, edges[1:])])
+            all_begin = np.concatenate([before, lead, tails])
+            all_end = np.concatenate([lead, end, edges[1:] - 1])
+            some = all_end > all_begin
+            begin, end = all_begin[some], all_end[some]
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], end[order]
+        return raw, begin, end, np.searchsorted(begin, edges)
+
     def _pieces(self, text: str) -> list[str]:
+        """Pieces of a text that is not plain."""
+        if any(t in text for t in self.added):
+            return [text]
         if self.drops_space:
-            return text.split() if text.isascii() and not _UNSURE.search(text) else _words(text)
-        if _UNSURE.search(text) or any(t in text for t in self.added):
-            return [text] if text else []
-        return _SPACED.findall(text)
-
-    def _learn(self, pieces: set[str]) -> None:
-        tokenize = self.tokenizer.model.tokenize
-        for p in pieces:
-            if p in self.known:
-                continue
-            if not _PLAIN.fullmatch(p) or any(t in p for t in self.added):
-                self._keep(p, self.tokenizer.encode(p, add_special_tokens=False).ids)
-                continue
-            # of plain characters it is known how the tokenizer folds, splits and spells them; the merges are its own
-            split = _DROPPING.findall(p.lower()) if self.drops_space else _KEEPING.findall(p)
-            self._keep(p, [t.id for w in split for t in tokenize(w.translate(_SPELT))])
-
-    def _keep(self, piece: str, ids) -> None:
-        k, n = len(self.known), len(ids)
-        if k == len(self.starts):
+            return _words(text)
+        return [text] if _UNSURE.search(text) else _SPACED.findall(text)
+
+    def _spelt(self, stretch: str) -> list[int]:
+        """The ids of a stretch of plain text: it is split as the tokenizer does; the merges are the tokenizer's own."""
+        words, out = self.words, []
+        for w in _DROPPING.findall(stretch.lower()) if self.drops_space else _KEEPING.findall(stretch):
+            ids = words.get(w)
+            if ids is None:
+                ids = words[w] = [t.id for t in self.tokenizer.model.tokenize(w.translate(_SPELT))]
+            out += ids
+        return out
+
+    def _learn(self, keys: list, ids_of) -> None:
+        """Number the keys not known; ``ids_of`` gives the ids of the i-th key."""
+        known, ids, lengths = self.known, [], []
+        for i, k in enumerate(keys):
+            if k not in known:
+                before = len(ids)
+                ids += ids_of(i)
+                lengths.append(len(ids) - before)
+                known[k] = len(known)
+        k, n = len(known), len(ids)
+        if k > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
         if self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat) + n)
+            self.flat = np.resize(self.flat, 2 * (self.used + n))
         self.flat[self.used : self.used + n] = ids
-        self.starts[k], self.lengths[k] = self.used, n
+        ends = self.used + np.cumsum(lengths, dtype=np.int64)
+        self.starts[k - len(lengths) : k], self.lengths[k - len(lengths) : k] = ends - lengths, lengths
         self.used += n
-        self.known[piece] = k
+
+    def _numbers(self, keys: list, ids_of) -> np.ndarray:
+        try:
+            return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        except KeyError:
+            self._learn(keys, ids_of)
+            return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
 
     def __call__(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin, with the total last; ``end`` is put behind each text's ids."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or 2 * len(self.words) > self.limit:
             self._reset()
-        pieces, counts = [], np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            own = self._pieces(t)
-            pieces += own
-            counts[i + 1] = len(own)
-        try:
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        except KeyError:
-            self._learn(set(pieces))
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        edges = np.cumsum(counts)
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        raw, begin, stop, edges = self._stretches([texts[i] for i in plain])
+        distinct, first, number = np.unique(run_hashes(raw, begin, stop, False), return_index=True, return_inverse=True)
+        b, e = begin[first].tolist(), stop[first].tolist()
+        at = self._numbers(distinct.tolist(), lambda i: self._spelt(raw[b[i] : e[i]].tobytes().decode()))[number]
+        text_of = np.repeat(np.array(plain, np.int64), np.diff(edges))
+        rest = sorted(set(range(len(texts))) - set(plain))
+        if rest:
+            lists = [self._pieces(texts[i]) for i in rest]
+            pieces = [p for own in lists for p in own]
+            at = np.concatenate([at, self._numbers(pieces, lambda i: self.tokenizer.encode(pieces[i], add_special_tokens=False).ids)])
+            text_of = np.concatenate([text_of, np.repeat(rest, [len(own) for own in lists])])
         if end is not None:  # one more piece behind each text
-            k = self._end(end)
-            at, edges = np.insert(at, edges[1:], k), edges + np.arange(len(edges))
+            at = np.concatenate([at, np.repeat(self._numbers([f"\0end {end}"], lambda i: [end]), len(texts))])
+            text_of = np.concatenate([text_of, np.arange(len(texts))])
+        if rest or end is not None:
+            order = np.argsort(text_of, kind="stable")
+            at, text_of = at[order], text_of[order]
         ids, ends = gathered(self.flat, self.starts[at], self.lengths[at])
-        return ids, ends[edges]
-
-    def _end(self, end: int) -> int:
-        name = f"\0end {end}"  # no piece, as those have no NUL followed by a blank
-        if name not in self.known:
-            self._keep(name, [end])
-        return self.known[name]
+        return ids, ends[np.searchsorted(text_of, np.arange(len(texts) + 1))]
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
