@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import xxhash
 
 from .words import _WHITE, _bytes, run_hashes, runs
 
@@ -40,7 +42,7 @@ def _words(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file; at most ``limit`` stretches of text, and half as many words, are remembered."""
+    """Ids of texts by one tokenizer file; at most ``limit`` stretches of text, and a quarter as many words, are remembered."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -53,10 +55,11 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int | str, int] = {}  # by 64-bit hash in plain texts, by themselves in others
-        self.words: dict[str, list[int]] = {}
-        self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.uint32), 0
+        # sorted hashes of known stretches and their numbers; by number, where the ids stand
+        self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.starts, self.lengths, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.flat, self.used = np.zeros(4096, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def _plain(self, text: str) -> bool:
         return bool(_PLAIN.fullmatch(text)) and not any(t in text for t in self.added)
@@ -91,66 +94,83 @@ class Encoder:
             return _words(text)
         return [text] if _UNSURE.search(text) else _SPACED.findall(text)
 
-    def _spelt(self, stretch: str) -> list[int]:
-        """The ids of a stretch of plain text: it is split as the tokenizer does; the merges are the tokenizer's own."""
-        words, out = self.words, []
-        for w in _DROPPING.findall(stretch.lower()) if self.drops_space else _KEEPING.findall(stretch):
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = [t.id for t in self.tokenizer.model.tokenize(w.translate(_SPELT))]
-            out += ids
+    def _spelt(self, stretches: list[str]) -> list[list[int]]:
+        """The ids of stretches of plain text: they are split as the tokenizer does; the merges are the tokenizer's own."""
+        words, tokenize, out = self.words, self.tokenizer.model.tokenize, []
+        split = _DROPPING.findall if self.drops_space else _KEEPING.findall
+        for stretch in stretches:
+            whole: list[int] = []
+            for w in split(stretch):
+                if w not in words:
+                    words[w] = tuple([t.id for t in tokenize(w.translate(_SPELT))])  # tuples of numbers are no work for the garbage collector
+                whole += words[w]
+            out.append(whole)
         return out
 
-    def _learn(self, keys: list, ids_of) -> None:
-        """Number the keys not known; ``ids_of`` gives the ids of the i-th key."""
-        known, ids, lengths = self.known, [], []
-        for i, k in enumerate(keys):
-            if k not in known:
-                before = len(ids)
-                ids += ids_of(i)
-                lengths.append(len(ids) - before)
-                known[k] = len(known)
-        k, n = len(known), len(ids)
-        if k > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
+    def _learn(self, lists: list[list[int]]) -> np.ndarray:
+        """New numbers for stretches with these ids."""
+        lengths = np.fromiter(map(len, lists), np.int32, len(lists))
+        n, top = int(lengths.sum()), self.known + len(lists)
+        if top > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * top), np.resize(self.lengths, 2 * top)
         if self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + n))
-        self.flat[self.used : self.used + n] = ids
+            self.flat = np.resize(self.flat, 3 * (self.used + n) // 2)
+        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(lists), self.flat.dtype, n)
         ends = self.used + np.cumsum(lengths, dtype=np.int64)
-        self.starts[k - len(lengths) : k], self.lengths[k - len(lengths) : k] = ends - lengths, lengths
-        self.used += n
-
-    def _numbers(self, keys: list, ids_of) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        except KeyError:
-            self._learn(keys, ids_of)
-            return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        self.starts[self.known : top], self.lengths[self.known : top] = ends - lengths, lengths
+        new = np.arange(self.known, top, dtype=np.int32)
+        self.known, self.used = top, self.used + n
+        return new
+
+    def _numbers(self, keys: np.ndarray, ids_of) -> np.ndarray:
+        """The numbers of ascending distinct keys; ``ids_of`` gives the ids of those at the given places."""
+        spot = np.searchsorted(self.keys, keys)
+        seen = np.zeros(len(keys), bool)
+        inside = spot < len(self.keys)
+        seen[inside] = self.keys[spot[inside]] == keys[inside]
+        new = np.flatnonzero(~seen)
+        if len(new):
+            numbers = self._learn(ids_of(new.tolist()))
+            self.keys, self.numbers = np.insert(self.keys, spot[new], keys[new]), np.insert(self.numbers, spot[new], numbers)
+            spot = np.searchsorted(self.keys, keys)
+        return self.numbers[spot]
 
     def __call__(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin, with the total last; ``end`` is put behind each text's ids."""
-        if len(self.known) > self.limit or 2 * len(self.words) > self.limit:
+        if self.known > self.limit:
             self._reset()
+        if 4 * len(self.words) > self.limit:
+            self.words = {}
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
         raw, begin, stop, edges = self._stretches([texts[i] for i in plain])
         distinct, first, number = np.unique(run_hashes(raw, begin, stop, False), return_index=True, return_inverse=True)
         b, e = begin[first].tolist(), stop[first].tolist()
-        at = self._numbers(distinct.tolist(), lambda i: self._spelt(raw[b[i] : e[i]].tobytes().decode()))[number]
+
+        def spelt(places: list[int]) -> list[list[int]]:
+            flat = raw.tobytes()
+            own = [flat[b[i] : e[i]].decode() for i in places]
+            return self._spelt("\n".join(own).lower().split("\n") if self.drops_space else own)
+
+        at = self._numbers(distinct, spelt)[number]
         text_of = np.repeat(np.array(plain, np.int64), np.diff(edges))
         rest = sorted(set(range(len(texts))) - set(plain))
         if rest:
             lists = [self._pieces(texts[i]) for i in rest]
             pieces = [p for own in lists for p in own]
-            at = np.concatenate([at, self._numbers(pieces, lambda i: self.tokenizer.encode(pieces[i], add_special_tokens=False).ids)])
+            encode = self.tokenizer.encode
+            hashes = np.array([xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in pieces], np.uint64)
+            distinct, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+            at = np.concatenate([at, self._numbers(distinct, lambda places: [encode(pieces[one[i]], add_special_tokens=False).ids for i in places])[number]])
             text_of = np.concatenate([text_of, np.repeat(rest, [len(own) for own in lists])])
         if end is not None:  # one more piece behind each text
-            at = np.concatenate([at, np.repeat(self._numbers([f"\0end {end}"], lambda i: [end]), len(texts))])
+            mark = np.array([xxhash.xxh3_64_intdigest(f"end {end}", seed=1)], np.uint64)
+            at = np.concatenate([at, np.repeat(self._numbers(mark, lambda places: [[end]]), len(texts))])
             text_of = np.concatenate([text_of, np.arange(len(texts))])
         if rest or end is not None:
             order = np.argsort(text_of, kind="stable")
             at, text_of = at[order], text_of[order]
         ids, ends = gathered(self.flat, self.starts[at], self.lengths[at])
-        return ids, ends[np.searchsorted(text_of, np.arange(len(texts) + 1))]
+        return ids.astype(np.uint32), ends[np.searchsorted(text_of, np.arange(len(texts) + 1))]
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
