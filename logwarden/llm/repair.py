@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from ..session import shared_dir
 from .batches import cut, texts
-from .bpe import encoder
+from .bpe import encoder, gathered
 from .frames import written
 
 MAGIC = b"RPG1"
@@ -26,7 +26,7 @@ _HEAD = struct.Struct("<4sIIIIQQ")  # magic, checksum of what follows, documents
 DECODED = "doc_id long, path string, shard long, local long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = 6, per_round: int = 2048, least: int = 8):
+def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = 3, per_round: int = 4096, least: int = 8):
     """Symbols, the documents' edges among them, and the rules (pairs) of nonterminals ``terminals``, ``terminals`` + 1, ...
 
     Pairs never span two documents. A pair becomes a rule if it occurs ``least`` times at its round.
@@ -54,13 +54,18 @@ def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = 6
         if len(often) > per_round:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:per_round]])
         chosen = ranked[at[often]]
-        rank = np.searchsorted(chosen, keys)
-        rank[rank == len(chosen)] = 0
-        hits = np.flatnonzero((chosen[rank] == keys) & inside)
+        # a small table of hashes tells most other pairs apart before the search
+        maybe = np.zeros(1 << 16, bool)
+        maybe[_spot(chosen)] = True
+        hits = np.flatnonzero(maybe[_spot(keys)] & inside)
+        rank = np.minimum(np.searchsorted(chosen, keys[hits]), len(chosen) - 1)
+        same = chosen[rank] == keys[hits]
+        hits, rank = hits[same], rank[same]
         new_run = np.concatenate([[True], np.diff(hits) > 1])
         run_start = hits[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
-        hits = hits[(hits - run_start) % 2 == 0]
-        seq[hits] = rank[hits] + terminals + len(rules)
+        odd = (hits - run_start) % 2 == 0
+        hits, rank = hits[odd], rank[odd]
+        seq[hits] = rank + terminals + len(rules)
         last[hits] = last[hits + 1]
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
@@ -72,6 +77,12 @@ def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = 6
     return seq, doc_at, rules
 
 
+def _spot(keys: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of each pair."""
+    with np.errstate(over="ignore"):
+        return (keys * keys.dtype.type(0x9E3779B1 if keys.itemsize == 4 else 0x9E3779B97F4A7C15)) >> keys.dtype.type(8 * keys.itemsize - 16)
+
+
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Ids that each rule expands to; a rule uses earlier ones only."""
     out: list[int] = []
@@ -80,19 +91,14 @@ def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids behind ``symbols``."""
-    seq = symbols.astype(np.int64)
-    while True:
-        inner = seq >= terminals
-        if not inner.any():
-            return seq.astype(np.uint32)
-        at = np.cumsum(1 + inner) - 1 - inner
-        out = np.empty(len(seq) + int(inner.sum()), np.int64)
-        out[at[~inner]] = seq[~inner]
-        pair = rules[seq[inner] - terminals]
-        out[at[inner]], out[at[inner] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids behind every symbol: all of them in a row, where each symbol's begin, and their number."""
+    out: list[list[int]] = []
+    for a, b in rules.tolist():
+        out.append((out[a - terminals] if a >= terminals else [a]) + (out[b - terminals] if b >= terminals else [b]))
+    lengths = np.concatenate([np.ones(terminals, np.int64), np.array([len(x) for x in out], np.int64)])
+    flat = np.concatenate([np.arange(terminals), np.array([i for x in out for i in x], np.int64)]).astype(np.uint32)
+    return flat, np.cumsum(lengths) - lengths, lengths
 
 
 def pack_shard(doc_ids: list[int | None], ids: np.ndarray, edges: np.ndarray, terminals: int) -> bytes:
@@ -130,10 +136,20 @@ class Shard:
         self.symbols = read(6, f"<u{wide}")
         if self.edges[-1] != tokens or self.doc_at[-1] != symbols:
             raise ValueError("a shard's documents do not fill it")
+        self.table = expansions(self.rules, self.terminals)
+        if not np.array_equal(self.table[2][self.terminals :], self.lengths):
+            raise ValueError("a shard's rules do not have their lengths")
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document; nothing else is decoded."""
-        return expand(self.symbols[self.doc_at[k] : self.doc_at[k + 1]], self.rules, self.terminals)
+        flat, starts, lengths = self.table
+        symbols = self.symbols[self.doc_at[k] : self.doc_at[k + 1]]
+        return gathered(flat, starts[symbols], lengths[symbols])[0]
+
+    def all(self) -> np.ndarray:
+        """The ids of all documents."""
+        flat, starts, lengths = self.table
+        return gathered(flat, starts[self.symbols], lengths[self.symbols])[0]
 
     def token(self, k: int, i: int) -> int:
         """The i-th id of the k-th document, by the expansion lengths alone."""
@@ -197,7 +213,8 @@ def read_ids(spark, path: str) -> DataFrame:
                     if raw[shard.end : shard.end + 1] != b"\n":
                         raise ValueError("a shard does not end with a line feed")
                     n = len(shard.doc_ids)
-                    sums = [zlib.crc32(shard.document(k).astype("<u4").tobytes()) for k in range(n)]
+                    ids, edges = memoryview(shard.all().astype("<u4").tobytes()), (4 * shard.edges).tolist()
+                    sums = [zlib.crc32(ids[a:b]) for a, b in zip(edges[:-1], edges[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(shard.doc_ids, pa.int64()), pa.array([name] * n), pa.array([number] * n, pa.int64()),
                          pa.array(shard.edges[:-1]), pa.array(np.diff(shard.edges)), pa.array(sums, pa.int64())],
