@@ -1,8 +1,8 @@
 """Token ids in a binary format of its own, compressed by a pair grammar per shard.
 
 A file is a row of shards, each ended by a line feed. A shard holds whole documents in ascending id order. Its ids are compressed by
-rounds: all adjacent pairs inside documents are counted, the most frequent become nonterminals, and every non-overlapping
-occurrence is replaced from the left. Rules and their expansion lengths are stored, and where each document's symbols and ids
+rounds until no pair is frequent: adjacent pairs inside documents are counted, the most frequent become nonterminals, and every
+non-overlapping occurrence is replaced from the left. Rules and their expansion lengths are stored, and where each document's symbols and ids
 begin, so one document is decoded without the others.
 """
 
@@ -21,60 +21,72 @@ from .batches import cut, texts
 from .bpe import encoder, gathered
 from .frames import written
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIIIIQQ")  # magic, checksum of what follows, documents, terminals, rules, symbols, ids
 DECODED = "doc_id long, path string, shard long, local long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = 3, per_round: int = 4096, least: int = 8):
+def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, per_round: int = 4096, least: int = 8):
     """Symbols, the documents' edges among them, and the rules (pairs) of nonterminals ``terminals``, ``terminals`` + 1, ...
 
-    Pairs never span two documents. A pair becomes a rule if it occurs ``least`` times at its round.
+    Pairs never span two documents. A pair becomes a rule if it occurs ``least`` times at its round; rounds follow until none does.
     """
-    kind = np.uint32 if terminals + rounds * per_round <= 1 << 16 else np.uint64
-    shift = kind(16 if kind is np.uint32 else 32)
+    kind = np.uint32 if terminals <= 1 << 16 else np.uint64
     seq = ids.astype(kind)
     last = np.zeros(len(seq), bool)
     last[edges[1:][edges[1:] > edges[:-1]] - 1] = True
+    # Where a pair may begin that occurs often: a pair of old symbols only gets rarer, so one that was rare is not counted again.
+    live = ~last
     doc_at = edges.copy()
-    rules = np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1] << shift) | seq[1:]
-        inside = ~last[:-1]
-        ranked = np.sort(keys[inside])
-        if not len(ranked):
-            break
-        at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        counts = np.diff(np.append(at, len(ranked)))
+    rules, made = [np.empty((0, 2), np.uint32)], 0
+    while True:
+        at = np.flatnonzero(live)
+        shift = kind(16 if kind is np.uint32 else 32)
+        keys = (seq[at] << shift) | seq[at + 1]
+        ranked = np.sort(keys)
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)])
+        counts = np.diff(np.append(first, len(ranked)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
-            break
+            return seq, doc_at, np.concatenate(rules)
+        frequent, counts = ranked[first[often]], counts[often]
+        chosen = frequent
         if len(often) > per_round:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:per_round]])
-        chosen = ranked[at[often]]
-        # a small table of hashes tells most other pairs apart before the search
-        maybe = np.zeros(1 << 16, bool)
-        maybe[_spot(chosen)] = True
-        hits = np.flatnonzero(maybe[_spot(keys)] & inside)
-        rank = np.minimum(np.searchsorted(chosen, keys[hits]), len(chosen) - 1)
-        same = chosen[rank] == keys[hits]
-        hits, rank = hits[same], rank[same]
+            chosen = frequent[np.sort(np.argsort(-counts, kind="stable")[:per_round])]
+        # a small table of hashes tells most other pairs apart: what it lets through is counted again, or searched for
+        spot = _spot(keys)
+        live[at] = _among(frequent)[spot]
+        near = np.flatnonzero(_among(chosen)[spot])
+        rank = np.minimum(np.searchsorted(chosen, keys[near]), len(chosen) - 1)
+        same = chosen[rank] == keys[near]
+        hits, rank = at[near[same]], rank[same]
         new_run = np.concatenate([[True], np.diff(hits) > 1])
         run_start = hits[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
         odd = (hits - run_start) % 2 == 0
         hits, rank = hits[odd], rank[odd]
-        seq[hits] = rank + terminals + len(rules)
+        rules.append(np.stack([chosen >> shift, chosen & kind((1 << int(shift)) - 1)], 1).astype(np.uint32))
+        if kind is np.uint32 and terminals + made + len(chosen) > 1 << 16:
+            kind, seq = np.uint64, seq.astype(np.uint64)
+        seq[hits] = (rank + terminals + made).astype(kind)
+        made += len(chosen)
         last[hits] = last[hits + 1]
+        live[hits] = True
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         before = np.zeros(len(seq) + 1, np.int64)
         np.cumsum(keep, out=before[1:])
         doc_at = before[doc_at]
-        seq, last = seq[keep], last[keep]
-        rules = np.concatenate([rules, np.stack([chosen >> shift, chosen & kind((1 << int(shift)) - 1)], 1).astype(np.uint32)])
-    return seq, doc_at, rules
+        seq, last, live = seq[keep], last[keep], live[keep]
+        behind = before[hits]
+        live[behind[behind > 0] - 1] = True
+        live &= ~last
+
+
+def _among(pairs: np.ndarray) -> np.ndarray:
+    """Which hashes ``pairs`` have."""
+    out = np.zeros(1 << 16, bool)
+    out[_spot(pairs)] = True
+    return out
 
 
 def _spot(keys: np.ndarray) -> np.ndarray:
@@ -101,13 +113,18 @@ def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarra
     return flat, np.cumsum(lengths) - lengths, lengths
 
 
+def _high(kinds: int) -> range:
+    """The bits from the 17th on that numbers below ``kinds`` need; each is stored as a plane of its own behind the lower 16."""
+    return range(16, (kinds - 1).bit_length())
+
+
 def pack_shard(doc_ids: list[int | None], ids: np.ndarray, edges: np.ndarray, terminals: int) -> bytes:
     symbols, doc_at, rules = compress(ids, edges, terminals)
-    small = terminals + len(rules) <= 1 << 16
     body = b"".join([
         np.array([i is None for i in doc_ids], np.uint8).tobytes(), np.array([i or 0 for i in doc_ids], "<i8").tobytes(),
         edges.astype("<u8").tobytes(), doc_at.astype("<u8").tobytes(), rules.astype("<u4").tobytes(),
-        rule_lengths(rules, terminals).astype("<u4").tobytes(), symbols.astype("<u2" if small else "<u4").tobytes()])
+        rule_lengths(rules, terminals).astype("<u4").tobytes(), (symbols & symbols.dtype.type(0xFFFF)).astype("<u2").tobytes(),
+        *(np.packbits(((symbols >> symbols.dtype.type(k)) & symbols.dtype.type(1)).astype(bool)).tobytes() for k in _high(terminals + len(rules)))])
     rest = struct.pack("<IIIQQ", len(doc_ids), terminals, len(rules), len(symbols), len(ids))
     return MAGIC + struct.pack("<I", zlib.crc32(rest + body)) + rest + body
 
@@ -121,8 +138,8 @@ class Shard:
         magic, check, docs, self.terminals, rules, symbols, tokens = _HEAD.unpack_from(raw, at)
         if magic != MAGIC:
             raise ValueError("no shard begins here")
-        wide = 2 if self.terminals + rules <= 1 << 16 else 4
-        sizes = [docs, 8 * docs, 8 * docs + 8, 8 * docs + 8, 8 * rules, 4 * rules, wide * symbols]
+        high = _high(self.terminals + rules)
+        sizes = [docs, 8 * docs, 8 * docs + 8, 8 * docs + 8, 8 * rules, 4 * rules, 2 * symbols, *[(symbols + 7) // 8] * len(high)]
         begin = at + _HEAD.size
         self.end = begin + sum(sizes)
         if self.end > len(raw) or zlib.crc32(raw[at + 8 : self.end]) != check:
@@ -133,7 +150,11 @@ class Shard:
         self.doc_ids = [None if n else i for n, i in zip(null.tolist(), ids.tolist())]
         self.edges, self.doc_at = read(2, "<u8").astype(np.int64), read(3, "<u8").astype(np.int64)
         self.rules, self.lengths = read(4, "<u4").reshape(-1, 2), read(5, "<u4")
-        self.symbols = read(6, f"<u{wide}")
+        self.symbols = read(6, "<u2")
+        if high:
+            self.symbols = self.symbols.astype(np.uint32)
+            for k, bit in enumerate(high):
+                self.symbols |= np.unpackbits(read(7 + k, np.uint8), count=symbols).astype(np.uint32) << np.uint32(bit)
         if self.edges[-1] != tokens or self.doc_at[-1] != symbols:
             raise ValueError("a shard's documents do not fill it")
         self.table = expansions(self.rules, self.terminals)

@@ -99,6 +99,21 @@ def test_pairs_become_rules():
     assert len(symbols) < len(ids) / 3 and [1, 2] in rules.tolist()
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 50, 300)
+    docs = [np.concatenate([passage, rng.integers(0, 50, 40)]) for _ in range(64)] + [np.full(5000, 7)]
+    ids = np.concatenate(docs).astype(np.uint32)
+    edges = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    for terminals, per_round in ((50, 4096), (50, 20), (65_500, 4096), (70_000, 4096)):
+        symbols, doc_at, rules = repair.compress(ids, edges, terminals, per_round)
+        left = Counter(p for a, b in zip(doc_at[:-1], doc_at[1:]) for p in zip(symbols[a:b].tolist(), symbols[a + 1 : b].tolist()))
+        assert max(left.values()) < 8
+        assert repair.rule_lengths(rules, terminals).max() > 64
+        shard = repair.Shard(memoryview(repair.pack_shard([*range(len(docs))], ids, edges, terminals)))
+        assert shard.all().tolist() == ids.tolist() and shard.document(5).tolist() == docs[5].tolist()
+
+
 def test_damaged_shards_are_refused():
     raw = bytearray(repair.pack_shard([1], np.array([1, 2], np.uint32), np.array([0, 2]), 10))
     for broken in (raw[:10], b"XXXX" + raw[4:], raw[:-1], raw[:-1] + bytes([raw[-1] ^ 1])):
