@@ -65,7 +65,9 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
 
     The interval join is a sweep over a text's spans by start: the largest end before and the smallest start behind decide whether
     any span of a role lies in reach, so no pairs are made. An identifier needs a secret, a bare secret an identifier or endpoint,
-    an endpoint both. A weak part that overlaps a stronger one is no part of its own.
+    an endpoint both. A weak part that overlaps a base span is no part of its own (an endpoint may overlap an assignment); a bare secret
+    inside an identifier or endpoint counts as a secret and has no span of its own only where that identifier or endpoint is
+    reported around it. What an identifier's own value says does not prove that identifier.
     """
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     by = Window.partitionBy("doc_id", "_key").orderBy("start", "_order", "end")
@@ -76,19 +78,25 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
         return F.coalesce(F.max(F.when(of, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
             F.min(F.when(of, F.col("start"))).over(behind) < F.col("end"), F.lit(False))
 
-    def near(kinds: tuple[str, ...]) -> Column:
-        of = F.col("kind").isin(*kinds)
+    def near(kinds: tuple[str, ...], only: Column | None = None) -> Column:
+        of = F.col("kind").isin(*kinds) if only is None else F.col("kind").isin(*kinds) & only
         return F.coalesce(F.col("start") - F.max(F.when(of, F.col("end"))).over(before) <= reach, F.lit(False)) | F.coalesce(
             F.min(F.when(of, F.col("start"))).over(behind) - F.col("end") <= reach, F.lit(False))
 
     rows = spans.withColumn("_order", order)
-    hidden = (F.when(F.col("kind") == "bare", overlaps(KINDS[:-1])).when(F.col("kind") == "ident", overlaps(BASE))
+    hidden = (F.when(F.col("kind").isin("bare", "ident"), overlaps(BASE))
               .when(F.col("kind") == "endpoint", overlaps(("access", "hex"))).otherwise(F.lit(False)))
     rows = rows.withColumn("_hidden", hidden).filter(~F.col("_hidden"))
-    rows = rows.withColumn("_who", near(WHO)).withColumn("_what", near(WHAT)).withColumn("_where", near(WHERE))
-    holds = (F.when(F.col("kind") == "ident", F.col("_what")).when(F.col("kind") == "bare", F.col("_who") | F.col("_where"))
+    # a bare secret that is an identifier's value
+    rows = rows.withColumn("_value", (F.col("kind") == "bare") & overlaps(("ident",)))
+    rows = rows.withColumn("_who", near(WHO)).withColumn("_access", near(("access",))).withColumn("_where", near(WHERE))
+    rows = rows.withColumn("_what", near(WHAT)).withColumn("_proof", near(WHAT, ~F.col("_value")))
+    holds = (F.when(F.col("kind") == "ident", F.col("_proof"))
+             .when(F.col("kind") == "bare", F.col("_where") | F.when(F.col("_value"), F.col("_access")).otherwise(F.col("_who")))
              .when(F.col("kind") == "endpoint", F.col("_who") & F.col("_what")).otherwise(F.lit(True)))
-    return rows.filter(holds).select("doc_id", "_key", "kind", "_order", "start", "end")
+    around = F.max(F.when(F.col("kind").isin("ident", "endpoint"), F.col("end"))).over(before)
+    rows = rows.filter(holds).withColumn("_inside", (F.col("kind") == "bare") & F.coalesce(around >= F.col("end"), F.lit(False)))
+    return rows.filter(~F.col("_inside")).select("doc_id", "_key", "kind", "_order", "start", "end")
 
 
 def _scan(docs: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
