@@ -142,6 +142,29 @@ def test_languages_are_told_apart(spark):
         assert r["lang_pred"] == want and 0 <= r["score"] <= 1
 
 
+def test_models_hold_every_ngram(spark):
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäöü"
+    many = [" ".join("".join(rng.choice(list(letters), 9)) for _ in range(1000)) for _ in range(40)]
+    rows = [("xx", t) for t in many] + [("de", "das haus ist nicht das haus a 中文"), ("en", "the house is nice")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    grams, models = language.counted(docs, 5).collect(), language.fit_models(docs, 5)
+    assert list(models) == ["de", "en", "xx"] and sum(len(h) for h, _ in models["xx"].grams) > 200_000
+    for lang, model in models.items():
+        want = language.Model.fitted({r["gram"]: r["n"] for r in grams if r["lang"] == lang}, 5)
+        assert abs(model.floor - want.floor) < 1e-12
+        for mine, plain in zip(model.grams + model.contexts, want.grams + want.contexts):
+            assert np.array_equal(mine[0], plain[0]) and np.allclose(mine[1], plain[1], rtol=0, atol=1e-9)
+
+
+def test_rows_of_one_id_do_not_all_reach_the_driver(spark):
+    rows = [(None, "en", f"text {k}") for k in range(4000)] + [(7, "en", "same")] * 500
+    train = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert 20 < language.calibration_sample(train, 0.01, 45).count() <= 90
+    assert language.calibration_sample(train, 1.0, 50).count() == 100
+    assert language.calibration_sample(train, 1.0, 4500).count() == 4001
+
+
 def test_model_probabilities_sum_to_one():
     text = " banana bandana ananas "
     letters = language.Letters()
