@@ -13,10 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..functions.times import micros
 from ..operators import alerts as al, weblogs as wl
-from ..operators.cooldown import with_cooldown
 from ..sources import loglines as ll, monitor as mo
+from . import keyed
 
 LATE = "10 minutes"
 
@@ -40,8 +39,8 @@ class LateRows(StreamingQueryListener):
         pass
 
 
-def watermarked(rows: DataFrame, ts: str = "timestamp") -> DataFrame:
-    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATE)
+def watermarked(rows: DataFrame, ts: str = "timestamp", late: str = LATE) -> DataFrame:
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
 def run(df: DataFrame, out: str, mode: str = "append", once: bool = True, every: str = "5 minutes") -> None:
@@ -77,32 +76,24 @@ def port_scan(conn: DataFrame, ports: int = 10, span: str = "60 seconds", slide:
     return wl.window_counts(watermarked(rows), "source_ip", span, slide, ports, "dest_port")
 
 
-def jail(requests: DataFrame, out: str, retry: int, find: int, ban: int, once: bool = True) -> None:
-    """Jail bans from windowed counts, one ban at a time per address.
+def jail(requests: DataFrame, retry: int, find: int, ban: int, late: str = LATE) -> DataFrame:
+    """Bans of a jail: ip, action, at and until.
 
-    Windows of ``find`` seconds slide by a sixth of that; the first window that
-    reaches ``retry`` starts a ban of ``ban`` seconds at the window's end.
+    ``retry`` requests of an address within ``find`` seconds start a ban of ``ban`` seconds at the request that trips, one ban at a time;
+    a second row says when it is over. Rows go out once the watermark has passed their time.
     """
-    slide = max(1, find // 6)
-    trips = wl.window_counts(watermarked(requests), "ip", f"{find} seconds", f"{slide} seconds", retry)
+    found = keyed.in_order(
+        watermarked(requests.select("ip", "timestamp"), late=late), F.col("ip"), "timestamp", keyed.jail(retry, find * 1_000_000, ban * 1_000_000), carried=["ip"])
+    return found.select(F.col("key").alias("ip"), F.col("kind").alias("action"), F.timestamp_micros("us").alias("at"), F.timestamp_micros("until").alias("until"))
 
-    def each(batch: DataFrame, n: int) -> None:
-        rows = batch.select(
-            F.col("ip").alias("key"), F.unix_micros("window_end").alias("us"), F.lit(ban * 1_000_000).cast("bigint").alias("cd"),
-            F.lit(0).cast("bigint").alias("tie"),
-        )
-        fire_batch(rows, n, out)
-
-    run_batches(trips, out, each, once)
 
-
-def rate_jail(requests: DataFrame, out: str, retry: int = 50, find: int = 60, ban: int = 3600, once: bool = True) -> None:
+def rate_jail(requests: DataFrame, retry: int = 50, find: int = 60, ban: int = 3600, late: str = LATE) -> DataFrame:
     """Bans of addresses with many requests; methods unknown to the jail's filter do not count."""
-    jail(wl.counted_requests(requests), out, retry, find, ban, once)
+    return jail(wl.counted_requests(requests), retry, find, ban, late)
 
 
-def bot_jail(requests: DataFrame, out: str, retry: int = 50, find: int = 300, ban: int = 7200, once: bool = True) -> None:
-    jail(wl.jail_hits(requests), out, retry, find, ban, once)
+def bot_jail(requests: DataFrame, retry: int = 50, find: int = 300, ban: int = 7200, late: str = LATE) -> DataFrame:
+    return jail(wl.jail_hits(requests), retry, find, ban, late)
 
 
 def block_gate(requests: DataFrame, active_blocks: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -118,76 +109,44 @@ def denied_events(gated: DataFrame) -> DataFrame:
     )
 
 
-def ssh_attempt_events(attempts: DataFrame) -> DataFrame:
-    """A login event per attempt; brute-force events come from :func:`ssh_brute_force`."""
-    ok = F.col("kind") == "accepted"
-    return attempts.filter("kind <> 'invalid'").select(
-        "timestamp", F.col("ip").alias("source_ip"), F.when(ok, "ssh_successful_login").otherwise("ssh_failed_login").alias("event_type"),
-        F.when(ok, "low").otherwise("medium").alias("severity"),
+def ssh_attempt_events(attempts: DataFrame, failures: int = 5, span: int = 600, late: str = LATE) -> DataFrame:
+    """A login event per attempt, and a brute-force event for each failed one that makes ``failures`` within ``span`` seconds."""
+    rows = watermarked(attempts.filter("kind <> 'invalid'"), late=late)
+    kept = [c for c in ("id", "kind") if c in rows.columns]
+    found = keyed.in_order(
+        rows, F.col("ip"), "timestamp", keyed.attempts(failures, span * 1_000_000), arg=(F.col("kind") == "failed").cast("bigint"), carried=kept)
+    row = F.from_json("row", ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept))
+    brute, ok = F.col("found") == "brute", F.col("kind") == "accepted"
+    return found.select("key", "us", F.col("kind").alias("found"), row.alias("row")).select("key", "us", "found", "row.*").select(
+        *[c for c in kept if c != "kind"], F.timestamp_micros("us").alias("timestamp"), F.col("key").alias("source_ip"),
+        F.when(brute, "ssh_brute_force").when(ok, "ssh_successful_login").otherwise("ssh_failed_login").alias("event_type"),
+        F.when(brute, "high").when(ok, "low").otherwise("medium").alias("severity"),
     )
 
 
-# ---------------------------------------------------------------- cool-down state kept as one small table
+# ---------------------------------------------------------------- alerts, with a cool-down per rule
 
 
-def last_fires(spark: SparkSession, out: str, n: int) -> DataFrame | None:
-    """State left by the newest batch before ``n``: one row per key."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/state")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("n=")]
-    done = [d for d in done if d < n]
-    return spark.read.parquet(f"{out}/state/n={max(done)}") if done else None
+def alert_cooldown(events: DataFrame, rules: DataFrame, late: str = LATE) -> DataFrame:
+    """Rule hits of a stream thinned by each rule's cool-down, with all columns of a hit."""
+    hits = al.match_rules(watermarked(events, late=late), rules).filter(al.threshold_met(F.col("severity"), F.col("severity_threshold")))
+    minutes = F.coalesce("cooldown_minutes", F.lit(0)).cast("bigint") * 60_000_000
+    found = keyed.in_order(hits, F.col("rule_id"), "timestamp", keyed.cooldown, tie=F.col("id"), arg=minutes)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields if f.name != "timestamp")
+    return found.select("us", F.from_json("row", schema).alias("row")).select("row.*", F.timestamp_micros("us").alias("timestamp"))
 
 
-def fire_batch(rows: DataFrame, n: int, out: str) -> None:
-    """Apply the cool-down to one micro-batch (key, us, cd, tie, ...), after what earlier batches fired.
+def alert_delivery(events: DataFrame, rules: DataFrame, channels: DataFrame, out: str, late: str = LATE, once: bool = True) -> None:
+    """Rules, cool-down, threshold, channels and delivery log per micro-batch. Nothing is sent.
 
-    The state of batch ``n`` goes to its own folder and output likewise, so a
-    repeated batch writes the same again.
+    Batch ``n`` writes ``out``/deliveries/n=``n`` anew, so a repeated batch logs nothing twice.
     """
-    spark = rows.sparkSession
-    state = last_fires(spark, out, n)
-    if state is not None:
-        rows = rows.join(state.select("key", F.col("last").alias("_last")), "key", "left")
-        rows = rows.filter(F.col("_last").isNull() | (F.col("cd") <= 0) | (F.col("us") >= F.col("_last") + F.col("cd"))).drop("_last")
-    fired = with_cooldown(rows, "key", "us", "cd", "tie")
-    fired.write.mode("overwrite").parquet(f"{out}/data/n={n}")
-    last = spark.read.parquet(f"{out}/data/n={n}").groupBy("key").agg(F.max("us").alias("last"))
-    if state is not None:
-        last = last.unionByName(state).groupBy("key").agg(F.max("last").alias("last"))
-    last.write.mode("overwrite").parquet(f"{out}/state/n={n}")
-
-
-def alert_cooldown(events: DataFrame, rules: DataFrame, out: str, once: bool = True) -> None:
-    """Rule hits of a stream thinned by each rule's cool-down (key is the rule id)."""
-
-    def each(batch: DataFrame, n: int) -> None:
-        hits = al.match_rules(batch, rules).filter(al.threshold_met(F.col("severity"), F.col("severity_threshold")))
-        fire_batch(
-            hits.withColumn("key", F.col("rule_id").cast("string")).withColumn("us", micros("timestamp"))
-            .withColumn("cd", F.col("cooldown_minutes").cast("bigint") * 60_000_000).withColumn("tie", F.col("id")),
-            n, out,
-        )
-
-    run_batches(events, out, each, once)
-
-
-def alert_delivery(events: DataFrame, rules: DataFrame, channels: DataFrame, out: str, once: bool = True) -> None:
-    """Rules, cool-down, threshold, channels and delivery log per micro-batch. Nothing is sent."""
 
     def each(batch: DataFrame, n: int) -> None:
-        hits = al.match_rules(batch, rules).filter(al.threshold_met(F.col("severity"), F.col("severity_threshold")))
-        fire_batch(
-            hits.withColumn("key", F.col("rule_id").cast("string")).withColumn("us", micros("timestamp"))
-            .withColumn("cd", F.col("cooldown_minutes").cast("bigint") * 60_000_000).withColumn("tie", F.col("id")),
-            n, out,
-        )
-        fired = batch.sparkSession.read.parquet(f"{out}/data/n={n}")
+        fired = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
         al.log_deliveries(fired, channels).write.mode("overwrite").parquet(f"{out}/deliveries/n={n}")
 
-    run_batches(events, out, each, once)
+    run_batches(alert_cooldown(events, rules, late), out, each, once)
 
 
 # ---------------------------------------------------------------- ingest

@@ -4,13 +4,14 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from logwarden.operators import alerts, cooldown, weblogs as wl
 from logwarden.operators.policy import active_ips, listed_ips
 from logwarden.plans.views import AS_OF
+from logwarden.plans.weblog_queries import jail_bans
 from logwarden.sources import loglines as ll
-from logwarden.streaming import jobs
+from logwarden.streaming import jobs, keyed
 
 
 def as_stream(spark, df, folder, files=3, order="timestamp"):
@@ -69,36 +70,111 @@ def test_block_gate(spark, tables, tmp_path):
     assert want.count() > 0
 
 
-def test_ssh_attempt_events(spark, tables, tmp_path):
-    attempts = ll.login_attempts(tables.auth_lines, 2024).select("timestamp", "kind", "ip")
-    jobs.run(jobs.ssh_attempt_events(as_stream(spark, attempts, tmp_path / "in")), str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out" / "data"))
-    assert got.count() == attempts.filter("kind <> 'invalid'").count() > 0
+def closing(spark, folder, df):
+    """A last file with one row two days on, by which the watermark passes all others."""
+    end = df.agg(F.max("timestamp")).first()[0] + timedelta(days=2)
+    row = {c: None for c in df.columns} | {"timestamp": end} | ({"kind": "failed"} if "kind" in df.columns else {})
+    free = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+    spark.createDataFrame([tuple(row.values())], free).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def run_in_parts(spark, tmp_path, df, job, parts=3):
+    """The stream of ``df`` run ``parts`` times, each time started anew, rows mixed up within ten minutes; then its closing row."""
+    rows = df.orderBy((F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6 + F.rand(3) * 540)).toPandas()
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for part in np.array_split(np.arange(len(rows)), 2 * parts):
+        spark.createDataFrame(rows.iloc[part], df.schema).coalesce(1).write.mode("append").parquet(str(folder))
+        if part[-1] % 2 or part[-1] == len(rows) - 1:
+            if part[-1] == len(rows) - 1:
+                closing(spark, folder, df)
+            job(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder)), str(out))
+    return out
+
 
+def naive(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
-def test_alert_cooldown_over_batches_equals_one_batch(spark, tables, tmp_path):
+
+@pytest.mark.parametrize("failures", [2, 5])
+def test_ssh_attempt_events_with_brute_force(spark, tables, tmp_path, failures):
+    attempts = ll.login_attempts(tables.auth_lines, 2024).select("id", "timestamp", "kind", "ip")
+    out = run_in_parts(spark, tmp_path, attempts, lambda s, o: jobs.run(jobs.ssh_attempt_events(s, failures), o))
+    got = naive(spark.read.parquet(f"{out}/data"), "timestamp")
+    known = attempts.filter("kind <> 'invalid'")
+    ok = F.col("kind") == "accepted"
+    want = known.select("id", "timestamp", F.col("ip").alias("source_ip"), F.when(ok, "ssh_successful_login").otherwise("ssh_failed_login").alias("event_type"),
+                        F.when(ok, "low").otherwise("medium").alias("severity"))
+    tripped = ll.failures_10m(known).filter(F.col("failures") >= failures).select(
+        "id", "timestamp", F.col("ip").alias("source_ip"), F.lit("ssh_brute_force").alias("event_type"), F.lit("high").alias("severity"))
+    assert rows(got.select(*want.columns)) == rows(want.unionByName(tripped))
+    assert failures == 5 or tripped.count() > 0
+
+
+def test_alert_cooldown_over_restarts_equals_one_batch(spark, tables, tmp_path):
     events = tables.alert_events
-    jobs.alert_cooldown(as_stream(spark, events, tmp_path / "in", files=4), tables.alert_rules, str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out" / "data")).select("rule_id", "id")
-    want = alerts.triggered(events, tables.alert_rules).select("rule_id", "id")
-    assert rows(got) == rows(want)
+    out = run_in_parts(spark, tmp_path, events, lambda s, o: jobs.run(jobs.alert_cooldown(s, tables.alert_rules), o))
+    want = alerts.triggered(events, tables.alert_rules)
+    got = naive(spark.read.parquet(f"{out}/data"), "timestamp")
+    columns = ["rule_id", "id", "timestamp", "severity", "ip", "confidence", "ml_confidence", "subject_template", "channel_ids"]
+    assert rows(got.select(*columns)) == rows(want.select(*columns))
     assert want.count() > 0
 
 
 def test_alert_delivery_log(spark, tables, tmp_path):
     events = tables.alert_events
-    jobs.alert_delivery(as_stream(spark, events, tmp_path / "in", files=2), tables.alert_rules, tables.alert_channels, str(tmp_path / "out"))
+    out = run_in_parts(spark, tmp_path, events, lambda s, o: jobs.alert_delivery(s, tables.alert_rules, tables.alert_channels, o), 2)
     want = alerts.deliveries(events, tables.alert_rules, tables.alert_channels)
-    cols = ["rule_id", "channel_id", "event_id", "success", "error_message", "subject"]
-    assert rows(spark.read.parquet(str(tmp_path / "out" / "deliveries")).select(*cols)) == rows(want.select(*cols))
+    cols = ["rule_id", "channel_id", "event_id", "timestamp", "success", "error_message", "subject"]
+    assert rows(spark.read.parquet(f"{out}/deliveries").select(*cols)) == rows(want.select(*cols))
 
 
-def test_rate_limit_jail_bans_once_at_a_time(spark, tables, tmp_path):
+@pytest.mark.parametrize("retry,find,ban", [(3, 3600, 86400), (100, 60, 3600), (2, 40_000, 600)])
+def test_jail_stream_equals_batch_twin(spark, tables, tmp_path, retry, find, ban):
     requests = tables.http_access.select("timestamp", "ip")
-    jobs.jail(as_stream(spark, requests, tmp_path / "in"), str(tmp_path / "out"), 2, 7200, 86400)
-    got = spark.read.parquet(str(tmp_path / "out" / "data")).select("key", "us").toPandas().sort_values(["key", "us"])
-    assert len(got) > 0
-    assert (got.groupby("key")["us"].diff().dropna() >= 86400 * 1_000_000).all()
+    out = run_in_parts(spark, tmp_path, requests, lambda s, o: jobs.run(jobs.jail(s, retry, find, ban), o), 2)
+    got = naive(spark.read.schema("ip string, action string, at timestamp, until timestamp").parquet(f"{out}/data"), "at", "until")
+    want = jail_bans(requests, retry, find, ban)
+    assert rows(got.filter("action = 'ban'").select("ip", "at", "until")) == rows(want)
+    assert rows(got.filter("action = 'unban'").select("ip", "at")) == rows(want.select("ip", "banned_until"))
+    assert want.count() > 0 or retry == 100
+
+
+def in_turn(operator, data, cuts, known):
+    """Feed an operator in parts, as a state store would."""
+    memory, found = [], []
+    for start, end in zip([0, *cuts], [*cuts, len(data)]):
+        part = [(us, 0, arg, "r") for us, arg in data[start:end]]
+        done = operator(part, memory, part[-1][0] if part else 0)
+        found.extend(done.found)
+        memory = done.memory
+    return found + operator([], memory, known).found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_operators_on_keyed_state_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    times = sorted(rng.integers(0, 4000, 400).tolist())
+    steps = sorted({int(np.searchsorted(times, times[c], "right")) for c in rng.integers(0, 400, 7)})  # a time is in one part
+    fired = [us for kind, us, *_ in in_turn(keyed.cooldown, [(t, 37) for t in times], steps, 10_000)]
+    assert fired == greedy(times, 37)
+    tripped = [t for t in times if sum(t - 60 < x <= t for x in times) >= 9]
+    found = in_turn(keyed.jail(9, 60, 150), [(t, 0) for t in times], steps, 10_000)
+    bans = greedy(tripped, 150)
+    assert [(us, until) for kind, us, until, _ in found if kind == "ban"] == [(t, t + 150) for t in bans]
+    assert [us for kind, us, *_ in found if kind == "unban"] == [t + 150 for t in bans]
+    failed = [(t, int(rng.random() < 0.6)) for t in times]
+    found = in_turn(keyed.attempts(4, 50), failed, steps, 10_000)
+    assert sum(kind == "login" for kind, *_ in found) == 400
+    want = [t for t, f in failed if f and sum(g and t - 50 < x <= t for x, g in failed) >= 4]
+    assert [us for kind, us, *_ in found if kind == "brute"] == want and bans and want
+
+
+def test_idle_keys_leave_the_state():
+    assert keyed.cooldown([(5, 0, 10, "a")], [], 20).memory == []
+    assert keyed.cooldown([(5, 0, 10, "a")], [], 12) == keyed.Outcome([("fired", 5, 15, "a")], [15], 15, 15)
+    assert keyed.jail(2, 10, 30)([(5, 0, 0, "a"), (6, 0, 0, "b")], [], 40).memory == []
+    assert keyed.jail(2, 10, 30)([(5, 0, 0, "a")], [], 6) == keyed.Outcome([], [0, 5], 15)
+    assert keyed.attempts(2, 10)([(5, 0, 1, "a")], [], 15).memory == []
 
 
 def greedy(times, cooldown_us):
