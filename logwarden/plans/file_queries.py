@@ -6,8 +6,11 @@ back by the operator under test.
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..functions.times import from_epoch_text, ts_lit
 from ..operators import events as ev, network as net, weblogs as wl
@@ -29,9 +32,9 @@ CONN_CELLS = [f"cast({EPOCH} as string)", "uid", "source_ip", "dest_ip", "cast(d
               "case when protocol = 'tcp' then 'T' else 'F' end", "'(empty)'"]
 
 
-def write_tsv(t, df, head, cells, name):
+def write_tsv(t, df, head, cells, name, path=None):
     """Monitor log files, as many as the data has partitions, each with ``#separator`` and ``#fields`` lines on top."""
-    path = shared_dir(t.spark, name)
+    path = path or shared_dir(t.spark, name)
     top = ["#separator \\x09", "\t".join(["#fields", *head])]
 
     def headed(batches):
@@ -47,9 +50,9 @@ def write_tsv(t, df, head, cells, name):
     return ll.read_lines(t.spark, path)
 
 
-def write_json(t, df, fields: dict[str, str], name, junk=True):
+def write_json(t, df, fields: dict[str, str], name, junk=True, path=None):
     """Monitor log files with one object per line, plus a comment and a broken line per file."""
-    path = shared_dir(t.spark, name)
+    path = path or shared_dir(t.spark, name)
     body = df.select(F.to_json(F.struct(*[F.expr(e).alias(k) for k, e in fields.items()])).alias("value"))
     if junk:
         body = body.unionByName(df.limit(3).select(F.explode(F.array(F.lit("# note"), F.lit('{"ts": broken'), F.lit(" "))).alias("value")))
@@ -60,6 +63,17 @@ def write_json(t, df, fields: dict[str, str], name, junk=True):
 CONN_JSON = {"ts": EPOCH, "uid": "uid", "id.orig_h": "source_ip", "id.resp_h": "dest_ip", "id.resp_p": "dest_port", "proto": "protocol", "duration": "duration",
              "orig_bytes": "orig_bytes", "resp_bytes": "resp_bytes", "conn_state": "conn_state", "orig_pkts": "orig_pkts", "resp_pkts": "resp_pkts"}
 
+DNS_JSON = {"ts": EPOCH, "uid": "concat('D', id)", "id.orig_h": "source_ip", "query": "query", "rcode": "rcode", "rcode_name": "rcode_name",
+            "answers": "case when rcode = 0 then array(source_ip, '10.9.9.9') else array() end", "AA": "id % 2 = 0"}
+SSL_HEAD = ["ts", "uid", "id.orig_h", "id.resp_h", "version", "server_name", "subject", "issuer", "validation_status", "not_valid_after"]
+SSL_CELLS = [f"cast({EPOCH} as string)", "concat('S', id)", "source_ip", "dest_ip",
+             *[f"coalesce({c}, '-')" for c in ("version", "server_name", "subject", "issuer", "validation_status")],
+             f"cast({EPOCH.replace('timestamp as', 'not_valid_after as')} as string)"]
+HTTP_JSON = {"ts": EPOCH, "uid": "concat('H', id)", "id.orig_h": "ip", "method": "method", "uri": "path", "user_agent": "user_agent", "status_code": "status", "response_body_len": "size"}
+FILES_HEAD = ["ts", "fuid", "tx_hosts", "rx_hosts", "filename", "mime_type", "total_bytes"]
+FILES_CELLS = ["'1706572800.5'", "fuid", "tx_hosts", "'-'", "filename", "coalesce(mime_type, '-')", "cast(total_bytes as string)"]
+NOTICE_JSON = {"ts": EPOCH, "uid": "concat('N', id)", "id.orig_h": "orig_h", "src": "src", "note": "note"}
+
 
 def raw(df):
     return df.select(F.col("uid"), F.col("`id.orig_h`").alias("orig_h"), F.col("`id.resp_p`").alias("resp_p"), "resp_bytes", "local_orig", "history")
@@ -95,20 +109,14 @@ def _(t):
 @query("zeek_dns", f"""
 select 'D' || id as uid, timestamp, source_ip, query, rcode, rcode_name, case when rcode = 0 then source_ip || '|' || '10.9.9.9' else '' end as answers, id % 2 = 0 as "AA", false as "RD", {ENT.format(c='query')} as query_entropy from dns""")
 def _(t):
-    fields = {"ts": EPOCH, "uid": "concat('D', id)", "id.orig_h": "source_ip", "query": "query", "rcode": "rcode", "rcode_name": "rcode_name",
-              "answers": "case when rcode = 0 then array(source_ip, '10.9.9.9') else array() end", "AA": "id % 2 = 0"}
-    out = mo.dns_table(mo.parse_auto(write_json(t, t.dns, fields, "zeek-dns"), mo.FIELDS["dns"]))
+    out = mo.dns_table(mo.parse_auto(write_json(t, t.dns, DNS_JSON, "zeek-dns"), mo.FIELDS["dns"]))
     return out.select("uid", "timestamp", "source_ip", "query", "rcode", "rcode_name", "answers", "AA", "RD", "query_entropy")
 
 
 @query("zeek_ssl", f"""
 select 'S' || id as uid, timestamp, source_ip, dest_ip, version, server_name, subject, issuer, validation_status, not_valid_after, {SELF} as is_self_signed, {EXPIRED} as is_expired, {WEAK} as is_weak_cipher, {SELF} or {EXPIRED} or {WEAK} as is_suspicious from ssl""")
 def _(t):
-    head = ["ts", "uid", "id.orig_h", "id.resp_h", "version", "server_name", "subject", "issuer", "validation_status", "not_valid_after"]
-    dash = lambda c: f"coalesce({c}, '-')"
-    cells = [f"cast({EPOCH} as string)", "concat('S', id)", "source_ip", "dest_ip", dash("version"), dash("server_name"), dash("subject"), dash("issuer"),
-             dash("validation_status"), f"cast({EPOCH.replace('timestamp as', 'not_valid_after as')} as string)"]
-    out = mo.ssl_table(mo.parse_auto(write_tsv(t, t.ssl, head, cells, "zeek-ssl"), mo.FIELDS["ssl"]), ts_lit(AS_OF))
+    out = mo.ssl_table(mo.parse_auto(write_tsv(t, t.ssl, SSL_HEAD, SSL_CELLS, "zeek-ssl"), mo.FIELDS["ssl"]), ts_lit(AS_OF))
     return out.select("uid", "timestamp", "source_ip", "dest_ip", "version", "server_name", "subject", "issuer", "validation_status", "not_valid_after",
                       "is_self_signed", "is_expired", "is_weak_cipher", "is_suspicious")
 
@@ -120,8 +128,7 @@ MARKS = any_word("path", fixed.HTTP_LOG_MARKS)
 select 'H' || id as uid, timestamp, ip as source_ip, method, path as uri, user_agent, status as status_code, size as response_body_len, cast(0 as bigint) as request_body_len,
   {MARKS} or regexp_matches(lower(user_agent), 'nikto|sqlmap') as is_suspicious from http_access""")
 def _(t):
-    fields = {"ts": EPOCH, "uid": "concat('H', id)", "id.orig_h": "ip", "method": "method", "uri": "path", "user_agent": "user_agent", "status_code": "status", "response_body_len": "size"}
-    out = mo.http_table(mo.parse_auto(write_json(t, t.http_access, fields, "zeek-http"), mo.FIELDS["http"]))
+    out = mo.http_table(mo.parse_auto(write_json(t, t.http_access, HTTP_JSON, "zeek-http"), mo.FIELDS["http"]))
     return out.select("uid", "timestamp", "source_ip", "method", "uri", "user_agent", "status_code", "response_body_len", "request_body_len", "is_suspicious")
 
 
@@ -130,9 +137,7 @@ select fuid, split_part(tx_hosts, ',', 1) as source_ip, cast(null as varchar) as
   coalesce(mime_type in ('application/x-executable', 'application/x-dosexec', 'application/x-sh', 'text/x-shellscript'), false) as is_suspicious
 from files where mime_type is null or mime_type <> 'text/html'""")
 def _(t):
-    head, cells = ["ts", "fuid", "tx_hosts", "rx_hosts", "filename", "mime_type", "total_bytes"], [
-        "'1706572800.5'", "fuid", "tx_hosts", "'-'", "filename", "coalesce(mime_type, '-')", "cast(total_bytes as string)"]
-    batch = mo.files_table(mo.parse_auto(write_tsv(t, t.files, head, cells, "zeek-files"), mo.FIELDS["files"]))
+    batch = mo.files_table(mo.parse_auto(write_tsv(t, t.files, FILES_HEAD, FILES_CELLS, "zeek-files"), mo.FIELDS["files"]))
     stored = t.files.filter("mime_type = 'text/html'")
     rows = batch.select("fuid", "source_ip", "dest_ip", "filename", "mime_type", "total_bytes", "is_suspicious")
     return net.new_rows(rows, stored, "fuid", "filename")
@@ -140,8 +145,7 @@ def _(t):
 
 @query("zeek_notice", f"select 'N' || id as uid, timestamp, coalesce(orig_h, src) as source_ip, note, {NOTE_SEV} as severity from notices")
 def _(t):
-    fields = {"ts": EPOCH, "uid": "concat('N', id)", "id.orig_h": "orig_h", "src": "src", "note": "note"}
-    out = mo.notice_table(mo.parse_auto(write_json(t, t.notices, fields, "zeek-notice"), mo.FIELDS["notice"]))
+    out = mo.notice_table(mo.parse_auto(write_json(t, t.notices, NOTICE_JSON, "zeek-notice"), mo.FIELDS["notice"]))
     return out.select("uid", "timestamp", "source_ip", "note", "severity")
 
 
@@ -215,15 +219,39 @@ def _(t):
 
 
 # ------------------------------------------------------------------ polled ingest and ban monitor, as streams run to the end of their input
-@query("poll_ingest", "select distinct uid, timestamp, source_ip, dest_ip, dest_port, protocol from conn")
+@query("poll_ingest", """
+select distinct 'conn' as log, uid, timestamp, source_ip, conn_state as detail from conn
+union all select 'dns', 'D' || id, timestamp, source_ip, rcode_name from dns
+union all select 'ssl', 'S' || id, timestamp, source_ip, version from ssl
+union all select 'http', 'H' || id, timestamp, ip, method from http_access
+union all select distinct 'files', fuid, timestamp '2024-01-30 00:00:00.5', split_part(tx_hosts, ',', 1), filename from files
+union all select 'notice', 'N' || id, timestamp, coalesce(orig_h, src), note from notices""")
 def _(t):
-    base = shared_dir(t.spark, "poll-in")
-    lines = t.conn.select(F.to_json(F.struct(*[F.expr(e).alias(k) for k, e in CONN_JSON.items()])).alias("value"), "protocol")
-    lines.select("value").write.text(f"{base}/first")
-    lines.filter("protocol = 'udp'").select("value").write.text(f"{base}/again")
-    out = shared_dir(t.spark, "poll-out")
-    jobs.poll_connections(t.spark, f"{base}/*", out)
-    return t.spark.read.parquet(f"{out}/data").select("uid", "timestamp", "source_ip", "dest_ip", "dest_port", "protocol")
+    base, out = shared_dir(t.spark, "poll-in"), shared_dir(t.spark, "poll-out")
+    paths = {kind: f"{base}/{kind}/*" for kind in mo.FIELDS}
+
+    def at(kind, part):
+        return {"name": "", "path": f"{base}/{kind}/{part}"}
+
+    tcp = F.col("protocol") == "tcp"
+    write_tsv(t, t.conn.filter(tcp), CONN_HEAD, CONN_CELLS, **at("conn", "tsv"))
+    write_json(t, t.conn.filter(~tcp), CONN_JSON, **at("conn", "json"))
+    write_json(t, t.dns, DNS_JSON, **at("dns", "json"))
+    write_tsv(t, t.ssl, SSL_HEAD, SSL_CELLS, **at("ssl", "tsv"))
+    write_json(t, t.http_access, HTTP_JSON, **at("http", "json"))
+    write_tsv(t, t.files, FILES_HEAD, FILES_CELLS, **at("files", "tsv"))
+    write_json(t, t.notices, NOTICE_JSON, **at("notice", "json"))
+    jobs.poll_logs(t.spark, paths, out, ts_lit(AS_OF))
+    # days later keys that are stored come again, in the other format
+    later = t.conn.filter(tcp).withColumn("timestamp", F.expr("timestamp + interval 3 days"))
+    write_json(t, later, CONN_JSON, **at("conn", "again"))
+    write_tsv(t, t.files, FILES_HEAD, FILES_CELLS, **at("files", "again"))
+    jobs.poll_logs(t.spark, paths, out, ts_lit(AS_OF))
+    detail = {"conn": "conn_state", "dns": "rcode_name", "ssl": "version", "http": "method", "files": "filename", "notice": "note"}
+    parts = [t.spark.read.parquet(f"{out}/{kind}").select(
+        F.lit(kind).alias("log"), F.col("fuid" if kind == "files" else "uid").alias("uid"), "timestamp", "source_ip", F.col(c).alias("detail"))
+        for kind, c in detail.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("ban_monitor", BAN_ALERT)
@@ -232,3 +260,58 @@ def _(t):
     t.ban_lines.select("id", "line").write.parquet(base)
     jobs.ban_monitor(t.spark, base, out)
     return t.spark.read.parquet(f"{out}/data").select("ip", "jail", "timestamp", "severity", "reason")
+
+
+# ------------------------------------------------------------------ jobs on keyed state, stopped and started again in mid-stream
+def streamed(t, df, job, name, **closing):
+    """Output folder of ``job`` over ``df`` as a stream: the earlier half, the later half, and a closing row that lets the watermark pass."""
+    base, out = shared_dir(t.spark, f"{name}-in"), shared_dir(t.spark, f"{name}-out")
+    first, last = df.agg(F.min("timestamp"), F.max("timestamp")).first()
+    free = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+    row = {c: None for c in df.columns} | {"timestamp": last + timedelta(days=3)} | closing
+    middle = F.col("timestamp") < ts_lit(first + (last - first) / 2)
+    for part in (df.filter(middle), df.filter(~middle), t.spark.createDataFrame([tuple(row.values())], free)):
+        part.write.mode("append").parquet(base)
+        job(t.spark.readStream.schema(free).parquet(base), out)
+    return out
+
+
+def jail_stream(t, requests_df, name, job, **closing):
+    schema = "ip string, action string, at timestamp, until timestamp"
+    out = streamed(t, requests_df, lambda s, o: jobs.run(job(s), o), name, **closing)
+    bans = t.spark.read.schema(schema).parquet(f"{out}/data").filter("action = 'ban'")
+    return bans.select("ip", F.col("at").alias("banned_at"), F.col("until").alias("banned_until"))
+
+
+@query("rate_limit_jail_stream", None)
+def _(t):
+    return jail_stream(t, t.http_access.select("timestamp", "ip", "method"), "rate-jail", lambda s: jobs.rate_jail(s, 3, 3600, 86400), method="GET")
+
+
+@query("bot_jail_stream", None)
+def _(t):
+    rows = wl.jail_hits(t.http_access).select("timestamp", "ip", "method", "user_agent", "referrer", "path")
+    return jail_stream(t, rows, "bot-jail", lambda s: jobs.bot_jail(s, 2, 7200, 7200), method="GET", user_agent="sqlmap", path="/")
+
+
+@query("ssh_attempt_events_stream", None)
+def _(t):
+    rows = ll.login_attempts(t.auth_lines, 2024).select("id", "timestamp", "kind", "ip")
+    out = streamed(t, rows, lambda s, o: jobs.run(jobs.ssh_attempt_events(s), o), "attempts", kind="failed")
+    return t.spark.read.parquet(f"{out}/data").select("id", "timestamp", "source_ip", "event_type", "severity")
+
+
+@query("alert_cooldown_stream", None)
+def _(t):
+    out = streamed(t, t.alert_events, lambda s, o: jobs.run(jobs.alert_cooldown(s, t.alert_rules), o), "cooldown")
+    return t.spark.read.parquet(f"{out}/data").select("rule_id", "id", "timestamp")
+
+
+@query("alert_deliveries_stream", None)
+def _(t):
+    out = streamed(t, t.alert_events, lambda s, o: jobs.alert_delivery(s, t.alert_rules, t.alert_channels, o), "delivery")
+    return t.spark.read.parquet(f"{out}/deliveries").drop("n")
+
+
+for _key in ("rate_limit_jail", "bot_jail", "ssh_attempt_events", "alert_cooldown", "alert_deliveries"):
+    ORACLES[f"{_key}_stream"] = ORACLES[_key]

@@ -9,13 +9,14 @@ on storage that all executors share.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import alerts as al, weblogs as wl
-from ..sources import loglines as ll, monitor as mo
-from . import keyed
+from ..sources import loglines as ll
+from . import ingest, keyed
 
 LATE = "10 minutes"
 
@@ -152,17 +153,15 @@ def alert_delivery(events: DataFrame, rules: DataFrame, channels: DataFrame, out
 # ---------------------------------------------------------------- ingest
 
 
-def poll_connections(spark: SparkSession, path: str, out: str, once: bool = True) -> None:
-    """New monitor log files to a connection table, one row per uid.
+def poll_logs(spark: SparkSession, paths: dict[str, str], out: str, as_of: Column, once: bool = True, every: str = "5 minutes") -> None:
+    """New monitor log files, TSV or JSON, to one table per log kind (``paths``: kind to folder) under ``out``.
 
-    The checkpoint remembers the files; a repeated uid is dropped while it is
-    within the watermark. Lines without uid are kept.
+    The checkpoint remembers the files, so lines of any age are read once; where a kind has a key (``ingest.KEYS``), rows whose key
+    is stored already are dropped, however long ago that was, as are repeats within the batch. See :mod:`.ingest`.
     """
-    lines = spark.readStream.format("text").load(path).select(F.col("value").alias("line"), F.lit("").alias("file"))
-    conn = watermarked(mo.conn_table(mo.parse_json(lines, mo.FIELDS["conn"])))
-    keyed = conn.withColumn("_k", F.coalesce("uid", F.uuid()))
-    unique = keyed.dropDuplicatesWithinWatermark(["_k"]).drop("_k")
-    run(unique.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), out, once=once)
+    lines = [spark.readStream.format("text").load(path).select(F.lit(kind).alias("log"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+             for kind, path in paths.items()]
+    run_batches(reduce(DataFrame.unionByName, lines), out, lambda batch, n: ingest.store_batch(batch, n, list(paths), out, as_of), once, every)
 
 
 def ban_monitor(spark: SparkSession, path: str, out: str, once: bool = True) -> None:

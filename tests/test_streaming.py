@@ -11,7 +11,7 @@ from logwarden.operators.policy import active_ips, listed_ips
 from logwarden.plans.views import AS_OF
 from logwarden.plans.weblog_queries import jail_bans
 from logwarden.sources import loglines as ll
-from logwarden.streaming import jobs, keyed
+from logwarden.streaming import ingest, jobs, keyed
 
 
 def as_stream(spark, df, folder, files=3, order="timestamp"):
@@ -217,3 +217,34 @@ def test_late_rows_are_counted(spark, tmp_path):
         assert listener.dropped > 0
     finally:
         spark.streams.removeListener(listener)
+
+
+def monitor_lines(spark, name, stamps):
+    """Lines of one JSON file: a connection per uid and stamp."""
+    made = [("conn", '{"ts": %d, "uid": %s, "id.orig_h": "10.0.0.1", "conn_state": "%s"}' % (ts, f'"{uid}"' if uid else "null", state), name) for uid, ts, state in stamps]
+    return spark.createDataFrame(made, "log string, line string, file string")
+
+
+def test_ingest_stores_each_key_once_and_a_repeated_batch_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "FOLD", 2)
+    out, as_of = str(tmp_path / "out"), F.lit(AS_OF)
+
+    def stored():
+        return sorted((r["n"], str(r["uid"]), r["conn_state"]) for r in spark.read.parquet(f"{out}/conn").collect())
+
+    batches = [[("a", 50, "later"), ("a", 10, "first"), ("b", 20, "x"), (None, 5, "y"), (None, 5, "y")], [("a", 900_000, "late"), ("c", 30, "z")],
+               [("b", 1, "old"), ("d", 2, "w"), ("c", 3, "v")], [("a", 4, "u"), ("d", 5, "t"), ("e", 6, "s")]]
+    for n, batch in enumerate(batches):
+        ingest.store_batch(monitor_lines(spark, f"f{n}", batch), n, ["conn"], out, as_of)
+    want = [(0, "None", "y"), (0, "None", "y"), (0, "a", "first"), (0, "b", "x"), (1, "c", "z"), (2, "d", "w"), (3, "e", "s")]
+    assert stored() == want
+    for n in (3, 1, 0):  # as after a failure between writing and the checkpoint
+        ingest.store_batch(monitor_lines(spark, f"f{n}", batches[n]), n, ["conn"], out, as_of)
+    assert stored() == want
+    assert ingest.folders(spark, f"{out}/keys/conn", "upto") == [1]
+
+
+def test_empty_batch_and_no_history(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ingest.store_batch(monitor_lines(spark, "f", [("a", 1, "x")]).limit(0), 0, ["conn", "notice"], out, F.lit(AS_OF))
+    assert spark.read.parquet(f"{out}/conn").count() == 0 == spark.read.parquet(f"{out}/notice").count()
