@@ -17,10 +17,11 @@ _NORMAL = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}
 
 CONTAINED = f"""
 with d as (select doc_id, {_NORMAL} as w from documents), b as (select item_id, {_NORMAL} as w from benchmark),
-ds as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from d, unnest(range(1, len(w) - 3)) as r(i)),
-bs as (select distinct item_id, array_to_string(w[i:i + 4], ' ') as s from b, unnest(range(1, len(w) - 3)) as r(i)),
+c as (select item_id, w, least(len(w), 5) as k from b where w <> ['']),
+bs as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as s from c, unnest(range(1, len(w) - k + 2)) as r(i)),
+ds as (select distinct doc_id, k, array_to_string(w[i:i + k - 1], ' ') as s from d, (select distinct k from bs) as ks, unnest(range(1, len(w) - k + 2)) as r(i)),
 n as (select item_id, count(*) as n from bs group by item_id)
-select doc_id, item_id, any_value(n) as item_shingles, count(*) as common from bs join ds using (s) join n using (item_id)
+select doc_id, item_id, any_value(n) as item_shingles, count(*) as common from bs join ds using (k, s) join n using (item_id)
 group by doc_id, item_id having count(*) * 100 >= any_value(n) * 80
 """
 

@@ -2,8 +2,9 @@
 
 An item of n distinct five-word shingles is contained in a document if at least ``threshold`` percent of them occur there. Then fewer
 than ``n - ceil(threshold * n)`` + 1 are missing, so of the item's so many smallest shingle hashes (its bottom-k sketch) one at least
-occurs. Items are partitioned by size: k and the border up to which hashes of documents matter are set by the largest item
-of each size class, so the sketch search loses no contained item. Candidates are then verified on the words themselves.
+occurs. Items are partitioned by size, k being that of the largest item of a size class, so the sketch search loses no contained item. An
+item of fewer than five words is one shingle, all of it; these make a class per number of words. Documents are probed with runs
+of just the lengths that items have, up to the largest hash of each length. Candidates are then verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from ..functions.text import once
 from .frames import BROADCAST_ROWS, fresh, sized, text_key, written
 
+#: Bytes up to which a table with texts may be sent to all executors.
+BROADCAST_BYTES = 32_000_000
+
 
 def normal(text: Column) -> Column:
     """Lower case; every run of other characters than letters and digits becomes one blank."""
@@ -27,38 +31,55 @@ def _shingles(words: str, width: int, of) -> Column:
 
 
 def item_shingles(items: DataFrame, width: int = 5) -> DataFrame:
-    """Distinct shingles of each item: item_id, shingle, h, n. Rows of one id count as one item; items of fewer than ``width`` words have none."""
-    words = items.select("item_id", F.split(normal(F.col("text")), " ").alias("_w"))
-    both = _shingles("_w", width, lambda w: F.struct(F.concat_ws(" ", *w).alias("shingle"), F.xxhash64(*w).alias("h")))
+    """Distinct shingles of each item: item_id, width, shingle, h, n.
+
+    Rows of one id count as one item. A text of fewer than ``width`` words has one shingle, as wide as the text; one without words has none.
+    """
+    words = items.select("item_id", F.split(normal(F.col("text")), " ").alias("_w")).filter("_w <> array('')")
+    of = lambda w: F.struct(F.lit(len(w)).alias("width"), F.concat_ws(" ", *w).alias("shingle"), F.xxhash64(*w).alias("h"))
+    both = F.coalesce(_shingles("_w", width, of), *(F.when(F.size("_w") == k, _shingles("_w", k, of)) for k in range(1, width)))
     rows = words.select("item_id", F.inline(both)).distinct()
     return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
 
 
 def sketches(shingled: DataFrame, threshold: int) -> DataFrame:
-    """The bottom-k sketch of each item: item_id, h, class."""
+    """The bottom-k sketch of each item: item_id, width, h, class."""
     klass = F.floor(F.log2(F.col("n").cast("double")))
     largest = F.pow(F.lit(2), klass + 1) - 1
     k = F.floor(largest * (100 - threshold) / 100) + 1
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("h"))
-    return shingled.withColumn("class", klass).withColumn("_rank", rank).filter(F.col("_rank") <= k).select("item_id", "h", "class")
+    return shingled.withColumn("class", klass).withColumn("_rank", rank).filter(F.col("_rank") <= k).select("item_id", "width", "h", "class")
+
+
+def _light(df: DataFrame, size: Column) -> DataFrame:
+    """A written table, marked for broadcast if its rows and its ``size`` in bytes, both summed over all rows, are small."""
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
 def _found(docs: DataFrame, items: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, _key of its text, item_id, item_shingles, common of every contained item."""
     shingled = written(item_shingles(items, width), "items")
-    keys = written(sketches(shingled, threshold).select("item_id", "h").distinct(), "sketches")
-    border = keys.agg(F.max("h").alias("h")).first()["h"]
+    keys = written(sketches(shingled, threshold).select("item_id", "width", "h").distinct(), "sketches")
+    borders = {r["width"]: r["h"] for r in keys.groupBy("width").agg(F.max("h").alias("h")).collect()}  # at most ``width`` rows
     rows = docs.select("doc_id", "text").withColumn("_key", text_key(F.col("text")))
     words = once(rows, "_w", F.split(normal(F.col("text")), " "))
-    sketch = F.filter(_shingles("_w", width, lambda w: F.xxhash64(*w)), lambda h: h <= F.lit(border).cast("long"))
-    hits = words.select("doc_id", "_key", F.explode_outer(sketch).alias("h")).join(sized(keys), "h")
+
+    def probe(size: int) -> Column:
+        of = lambda w: F.struct(F.lit(size).alias("width"), F.xxhash64(*w).alias("h"))
+        return F.coalesce(F.filter(_shingles("_w", size, of), lambda s: s["h"] <= F.lit(borders[size])), none)
+
+    none = F.array().cast("array<struct<width: int, h: bigint>>")
+    probes = F.concat(none, *(probe(size) for size in sorted(borders)))
+    hits = words.select("doc_id", "_key", F.inline_outer(probes)).join(sized(keys), ["width", "h"])
     found = written(hits.select("doc_id", "_key", "item_id").distinct(), "candidates")
 
     lists = shingled.groupBy("item_id", "n").agg(F.collect_list("shingle").alias("_shingles"))  # as long as an item
     lists = lists.withColumnRenamed("item_id", "_item")
-    pairs = found.join(sized(lists, BROADCAST_ROWS // 100), F.col("item_id").eqNullSafe(F.col("_item"))).select(
+    size = F.aggregate("_shingles", F.lit(0).cast("bigint"), lambda total, x: total + F.octet_length(x))
+    pairs = found.join(_light(written(lists, "lists"), size), F.col("item_id").eqNullSafe(F.col("_item"))).select(
         F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), "item_id", "n", "_shingles")
-    pairs = sized(written(pairs, "pairs"), BROADCAST_ROWS // 50)
+    pairs = _light(written(pairs, "pairs"), size)
     checked = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")))
     padded = once(checked, "_text", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")))
     common = F.size(F.filter("_shingles", lambda s: F.contains(F.col("_text"), F.concat(F.lit(" "), s, F.lit(" ")))))
@@ -70,8 +91,9 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
     """One row per document and contained item: doc_id, item_id, item_shingles, common.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored. Null and empty texts contain nothing
-    and items of fewer than ``width`` words are never found. Repeated rows give one row; where one id has several texts the
-    best counts. Empty tables give an empty result. Ids may be null.
+    and items without a word are contained nowhere. An item of fewer than ``width`` words is contained where its words
+    stand in a row. Repeated rows give one row; where one id has several texts the best counts. Empty tables give an empty result.
+    Ids may be null.
     """
     found = _found(docs, items, width, threshold)
     return found.groupBy("doc_id", "item_id", "item_shingles").agg(F.max("common").alias("common"))
