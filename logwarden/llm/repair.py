@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..session import shared_dir
 from .batches import cut, texts
@@ -22,6 +22,8 @@ from .bpe import encoder, gathered
 from .frames import written
 
 MAGIC = b"RPG2"
+#: A file is read back as one value, so its size is bounded: a shard has about a million ids.
+SHARDS_PER_FILE = 256
 _HEAD = struct.Struct("<4sIIIIQQ")  # magic, checksum of what follows, documents, terminals, rules, symbols, ids
 DECODED = "doc_id long, path string, shard long, local long, n_tokens long, ids_crc32 long"
 
@@ -218,7 +220,14 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = 1, shard_id
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(run, "value binary")
-    shards.select(F.col("value").cast("string")).write.option("compression", "none").option("lineSep", "\n").text(path)
+    writer = shards.select(F.col("value").cast("string")).write.option("compression", "none").option("lineSep", "\n")
+    writer.option("maxRecordsPerFile", SHARDS_PER_FILE).text(path)
+
+
+def file_order(path: str) -> Column:
+    """Place of a part file in the order of the ids: the number of its task, then the number of the file within the task."""
+    number = lambda pattern: F.regexp_extract(path, pattern, 1).try_cast("long")
+    return F.struct(number(r"/part-(\d+)[^/]*$").alias("task"), F.coalesce(number(r"-c(\d+)[^/]*$"), F.lit(0)).alias("file"))
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -248,7 +257,7 @@ def read_ids(spark, path: str) -> DataFrame:
     shards = rows.groupBy("path", "shard").agg(F.sum("n_tokens").alias("n"))
     inside = Window.partitionBy("path").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("in_file", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    across = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy(file_order("path")).rowsBetween(Window.unboundedPreceding, -1)
     files_n = rows.groupBy("path").agg(F.sum("n_tokens").alias("of_file"))
     files_n = files_n.withColumn("before", F.coalesce(F.sum("of_file").over(across), F.lit(0))).select("path", "before")
     base = shards.join(files_n, "path").select("path", "shard", (F.col("before") + F.col("in_file")).alias("base"))

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from logwarden.llm import packing, repair, warc
 from logwarden.llm.bpe import Encoder
+from logwarden.session import shared_dir
 from tests.llm.cases import frame, prose, texts
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -162,3 +163,24 @@ def test_reader_checks_frames_headers_and_lengths():
     for old, new in ((b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: ", b"Content-Length: 1"), (b"WARC-Type: response\r\n", b""), (b"<p>x", b"<p>y"), (b"WARC-Date:", b"WARC-Date")):
         with pytest.raises(ValueError):
             list(warc.read_records(memoryview(archive([good.replace(old, new, 1)]))))
+
+
+def test_files_are_ordered_by_their_numbers(spark):
+    names = [f"file:/x/part-9/part-{n:05d}-4f-c-9b-c{c:03d}.txt" for n in (0, 7, 99_998, 99_999, 100_000, 100_001, 1_000_000) for c in (0, 2, 10, 999, 1000)]
+    rows = spark.createDataFrame([(k, name) for k, name in enumerate(names)], "at long, path string").repartition(5)
+    assert [r["at"] for r in rows.orderBy(repair.file_order("path")).collect()] == list(range(len(names)))
+
+
+def test_ids_in_several_files_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(repair, "SHARDS_PER_FILE", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    rows = [(k, prose(k, 40)) for k in range(60)]
+    path = shared_dir(spark, "several")
+    repair.write_ids(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), public_tokenizers.path("word_bpe_49k.json"), path, 1, shard_ids=300)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).count() > 3
+    got = sorted(tuple(r) for r in repair.read_ids(spark, path).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    start = 0
+    for (i, _), (doc, at, n, _) in zip(rows, got):
+        assert (doc, at) == (i, start)
+        start += n

@@ -209,6 +209,47 @@ def test_contained_items(spark):
     assert decontamination.clean_documents(frame(spark), items.filter("1 = 0")).count() == len(texts())
 
 
+def brute_contained(rows, items, threshold=80):
+    """Containment of all shingles by plain Python; a short item is one shingle."""
+    split = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    out = set()
+    for j, u in items:
+        w = split(u)
+        k = min(5, len(w))
+        own = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if w else set()
+        for i, t in rows:
+            d = split(t)
+            common = len(own & {tuple(d[a : a + k]) for a in range(len(d) - k + 1)}) if own else 0
+            if own and 100 * common >= threshold * len(own):
+                out.add((i, j, len(own), common))
+    return out
+
+
+def test_short_items_and_items_of_all_sizes_equal_brute_force(spark):
+    source = prose(61, 4000).split()
+    rows = [(k, " ".join(source[97 * k : 97 * k + 400])) for k in range(36)] + [(100, "Yes."), (101, "yes, indeed"), (102, ""), (103, None)]
+    items = [(n, " ".join(source[31 * n : 31 * n + n])) for n in range(1, 70)]
+    items += [(200, "yes"), (201, "indeed YES"), (202, "... !"), (203, None), (204, "yes  -  indeed"), (205, "eee qqq zzz")]
+    items += [(300 + k, " ".join(source[50 * k : 50 * k + 25] + ["other"] * (k % 9))) for k in range(40)]
+    table = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n long")
+    got = decontamination.contained_items(frame(spark, rows), table).collect()
+    want = brute_contained(rows, items)
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {(100, 200), (101, 200), (101, 204)} <= {r[:2] for r in want} and len({r[1] for r in want}) > 60
+    kept = {r["doc_id"] for r in decontamination.clean_documents(frame(spark, rows), table).collect()}
+    assert kept == {i for i, _ in rows} - {r[0] for r in want}
+
+
+def test_a_small_share_of_labels_still_gives_a_sample(spark):
+    from logwarden.llm.samples import _among, labelled_sample
+
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert 10 < ids.filter(_among(2e-4)).count() < 90 and ids.filter(_among(1.0)).count() == 200_000
+    docs = ids.selectExpr("doc_id", "concat('t', doc_id) as text")
+    some = labelled_sample(docs, ids.selectExpr("doc_id", "1 as quality"), "quality", 50, 100, 0, 0)
+    assert 20 < len(some) < 100
+
+
 def base_spans(text):
     text, out = text or "", []
     for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
