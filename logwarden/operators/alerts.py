@@ -96,9 +96,10 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     An equality join on the rule type; the rules are small, so Spark sends
     them to the events when their size allows it.
     """
+    body = F.col("message_template") if "message_template" in rules.columns else F.lit(None).cast("string")
     active = rule_checks(rules.filter("is_enabled")).select(
         F.col("id").alias("rule_id"), "rule_name", "rule_type", "checks", "severity_threshold", "channel_ids",
-        "cooldown_minutes", "subject_template",
+        "cooldown_minutes", "subject_template", body.alias("message_template"),
     )
     typed = events.withColumn("rule_type", rule_type(F.col("type")))
     return typed.join(active, "rule_type").filter(conditions_hold(F.col("checks"), TEXT_FIELDS, NUMBER_FIELDS)).drop("checks")
@@ -136,7 +137,11 @@ def deliveries(events: DataFrame, rules: DataFrame, channels: DataFrame) -> Data
 
 
 def log_deliveries(hits: DataFrame, channels: DataFrame) -> DataFrame:
-    """Mail with recipients succeeds; other channel types are logged as failed."""
+    """Mail with recipients succeeds; other channel types are logged as failed.
+
+    Subject and message are the rule's templates filled from the event, the metadata is the event as JSON. As nothing is sent, a
+    delivery takes no time.
+    """
     rows = channel_fanout(hits, channels)
     mail = F.col("channel_type") == "email"
     error = text.first_case([(~mail, "Channel type not supported"), (F.coalesce("recipients", F.lit(0)) == 0, "No recipients configured")])
@@ -144,10 +149,20 @@ def log_deliveries(hits: DataFrame, channels: DataFrame) -> DataFrame:
         "rule_id", "rule_name", "channel_id", F.col("id").alias("event_id"), "timestamp",
         F.coalesce("severity", F.lit("MEDIUM")).alias("severity"),
         render(F.col("subject_template"), TEXT_FIELDS + NUMBER_FIELDS).alias("subject"),
-        error.isNull().alias("success"), F.coalesce(error, F.lit("")).alias("error_message"),
+        render(F.col("message_template"), TEXT_FIELDS + NUMBER_FIELDS).alias("message"),
+        F.to_json(F.struct("id", *TEXT_FIELDS, *NUMBER_FIELDS), {"ignoreNullFields": "false"}).alias("event_metadata"),
+        error.isNull().alias("success"), F.coalesce(error, F.lit("")).alias("error_message"), F.lit(0).cast("bigint").alias("send_duration_ms"),
     )
 
 
+def ban_events(bans: DataFrame) -> DataFrame:
+    """Alerts of banned addresses (ip, jail, timestamp, severity, reason) as events for the rules."""
+    return bans.select(
+        F.abs(F.xxhash64("ip", "timestamp")).alias("id"), "timestamp", F.lit("fail2ban_ban").alias("type"), F.lit("fail2ban_ban").alias("detection_type"),
+        "severity", "ip", F.lit(None).cast("double").alias("ml_confidence"), F.lit(None).cast("bigint").alias("confidence"),
+        F.lit(None).cast("string").alias("country"), F.col("reason").alias("message"))
+
+
 def trigger_counters(hits: DataFrame, channels: DataFrame) -> DataFrame:
     """Per rule its hits, with or without a channel, the last of them, and good and failed deliveries, in one pass over the hits."""
     enabled = channels.filter("is_enabled").select(F.col("id").alias("channel_id"), "channel_type", "recipients")

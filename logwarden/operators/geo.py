@@ -19,24 +19,95 @@ def ip_number(ip: Column) -> Column:
     return F.when(valid, n)
 
 
+#: Prefix lengths, within the first 64 bits, of the blocks over which ranges are spread, per family; the first is for all wider ranges.
+BLOCKS = {4: [16, 24], 6: [16, 32, 48, 64]}
+#: A range goes to the longest prefix at which it touches at most so many blocks.
+SPREAD = 16
+_LOW = -(1 << 63)
+
+
+def ip_text4(ip: Column) -> Column:
+    """The dotted address of plain and IPv4-mapped text."""
+    return F.regexp_replace(F.lower(ip), r"^::ffff:(?=\d+\.)", "")
+
+
+def ip_halves(ip: Column) -> Column:
+    """Both halves of an IPv6 address as bigints that keep the order of addresses; null for other text."""
+    sides = F.split(F.lower(ip), "::")
+    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    given = F.size(left) + F.size(right)
+    shortened = F.size(sides) == 2
+    form = ip.rlike(r"(?i)^(::|[0-9a-f]{1,4}(?=:))?([0-9a-f]{0,4}:{1,2})*[0-9a-f]{0,4}$") & ip.contains(":") & ~ip.contains(":::")
+    edges = ~ip.rlike(r"^:[^:]|[^:]:$")
+    valid = form & edges & F.when(shortened, given <= 7).otherwise((F.size(sides) == 1) & (given == 8)) & ~F.exists(
+        F.concat(left, right), lambda g: F.length(g) > 4)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0))), right)
+    digits = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+    half = lambda at: (F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(20,0)") + F.lit(_LOW)).cast("bigint")
+    return F.when(valid, F.struct(half(1).alias("head"), half(17).alias("tail")))
+
+
+def _of_number(n: Column) -> Column:
+    """The key of an IPv4 number: its 32 bits on top of the head."""
+    return F.struct(F.lit(4).alias("family"), F.shiftleft(n - F.lit(1 << 31), 32).alias("head"), F.lit(_LOW).alias("tail"))
+
+
+def ip_key(ip: Column) -> Column:
+    """Family and two halves of an address, in the order of addresses within a family; null for text that is no address."""
+    n, six = ip_number(ip_text4(ip)), ip_halves(ip)
+    return F.when(n.isNotNull(), _of_number(n)).when(six.isNotNull(), F.struct(F.lit(6).alias("family"), six["head"].alias("head"), six["tail"].alias("tail")))
+
+
+def range_keys(ranges: DataFrame) -> DataFrame:
+    """``ranges`` by numbers of IPv4 (ip_from, ip_to) or as text of either family (first_ip, last_ip), with both keys and the places."""
+    if "first" in ranges.columns:
+        return ranges
+    text_form = "first_ip" in ranges.columns
+    first, last = (ip_key(F.col(c)) if text_form else _of_number(F.col(c)) for c in (("first_ip", "last_ip") if text_form else ("ip_from", "ip_to")))
+    return ranges.select(first.alias("first"), last.alias("last"), "country_code", "country_name", "continent_name")
+
+
+def all_ranges(*tables: DataFrame) -> DataFrame:
+    """Several tables of ranges as one."""
+    return reduce(DataFrame.unionByName, [range_keys(r) for r in tables])
+
+
+def _blocks(family: int, low: Column, high: Column) -> Column:
+    """Prefix length and first and last block of a range of ``family``."""
+    out = None
+    for bits in BLOCKS[family]:
+        at = lambda c: F.shiftright(c, 64 - bits)  # noqa: E731, B023
+        item = F.struct(F.lit(bits).alias("bits"), at(low).alias("b1"), at(high).alias("b2"))
+        out = item if out is None else F.when(at(high).cast("double") - at(low).cast("double") < SPREAD, item).otherwise(out)
+    return out
+
+
 def geo_lookup(ips: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
-    """One row per distinct address: country, continent.
+    """One row per distinct address, IPv4, IPv4-mapped or IPv6: country, continent.
 
-    A range condition alone would plan a nested loop. Ranges are spread over the
-    /16 blocks they touch, which gives an equality key; as the addresses are
-    made distinct first, a block holds at most 65536 of them. Private addresses
-    are LAN, unknown ones XX; of nested ranges the innermost wins.
+    A range condition alone would plan a nested loop. Addresses are numbers of 128 bits, in two halves; ranges are spread over the
+    blocks that they touch, at the prefix length that fits their size, and an address asks for its block at each length, which
+    gives an equality key for both families. Private addresses are LAN, unknown ones XX; of nested ranges the innermost wins.
     """
     distinct = ips.select(F.col(ip).alias("ip")).filter(F.col("ip").isNotNull()).distinct()
-    keyed = distinct.withColumn("n", ip_number(F.col("ip"))).withColumn("blk", F.shiftright("n", 16))
-    spread = ranges.withColumn(
-        "blk", F.explode(F.sequence(F.shiftright("ip_from", 16), F.shiftright("ip_to", 16)))
-    ).withColumnRenamed("blk", "rblk")
-    hit = keyed.join(
-        spread, (F.col("blk") == F.col("rblk")) & F.col("n").between(F.col("ip_from"), F.col("ip_to")), "left"
-    )
+    keyed = text.once(distinct, "k", ip_key(F.col("ip")))
+    lengths = lambda f: F.array(*[F.lit(b) for b in BLOCKS[f]])
+    asked = keyed.withColumn("bits", F.explode_outer(F.when(F.col("k.family") == 4, lengths(4)).when(F.col("k.family") == 6, lengths(6))))
+    asked = asked.withColumn("blk", F.expr("shiftright(k.head, 64 - bits)"))
+    held = text.once(range_keys(ranges), "at", F.when(F.col("first.family") == 4, _blocks(4, F.col("first.head"), F.col("last.head"))).otherwise(
+        _blocks(6, F.col("first.head"), F.col("last.head"))))
+    spread = held.select(
+        "first", "last", "country_code", "country_name", "continent_name", F.col("first.family").alias("rfamily"), F.col("at.bits").alias("rbits"),
+        F.explode(F.sequence("at.b1", "at.b2")).alias("rblk"))
+    halves = lambda c: F.struct(F.col(f"{c}.head"), F.col(f"{c}.tail"))
+    hit = asked.join(
+        spread,
+        (F.col("k.family") == F.col("rfamily")) & (F.col("bits") == F.col("rbits")) & (F.col("blk") == F.col("rblk"))
+        & (halves("k") >= halves("first")) & (halves("k") <= halves("last")), "left")
+    hit = hit.withColumn("ip_from", halves("first")).withColumn("inside", F.struct(F.bitwise_not(F.col("last.head")), F.bitwise_not(F.col("last.tail"))))
     inner = hit.groupBy("ip").agg(
-        F.max_by(F.struct("country_code", "country_name", "continent_name"), F.struct("ip_from", -F.col("ip_to"))).alias("g")
+        F.max_by(F.struct("country_code", "country_name", "continent_name"), F.when(F.col("rblk").isNotNull(), F.struct("ip_from", "inside"))).alias("g")
     )
     private = text.is_private_ip(F.col("ip"))
 

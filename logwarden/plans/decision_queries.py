@@ -399,7 +399,7 @@ hold as (select e.id, c.id as rule_id, bool_and(case
     case field when 'severity' then e0.severity when 'detection_type' then e0.detection_type when 'country' then e0.country when 'message' then e0.message end as s, e0.id as eid
     from (select e.id as id0, e.rule_type as rt, e.ml_confidence, e.confidence, e.severity, e.detection_type, e.country, e.message, e.id from ev e) e0 join rc on rc.rule_type = e0.rt) z
   join ev e on e.id = z.eid join alert_rules c on c.rule_name = z.rule_name group by 1, 2),
-hits as (select e.id, r.id as rule_id, e.timestamp, e.severity, e.type, e.ip, e.country, e.message, e.confidence, r.rule_name, r.severity_threshold, r.cooldown_minutes, r.channel_ids, r.subject_template from ev e join alert_rules r on r.rule_type = e.rule_type and r.is_enabled
+hits as (select e.id, r.id as rule_id, e.timestamp, e.severity, e.type, e.ip, e.country, e.message, e.confidence, r.rule_name, r.severity_threshold, r.cooldown_minutes, r.channel_ids, r.subject_template, r.message_template, e.detection_type, e.ml_confidence from ev e join alert_rules r on r.rule_type = e.rule_type and r.is_enabled
   left join hold h on h.id = e.id and h.rule_id = r.id where coalesce(h.ok, r.conditions = '{}'))"""
 
 
@@ -452,7 +452,9 @@ def _(t):
     return al.triggered(t.alert_events, t.alert_rules).select("rule_id", "id", "timestamp")
 
 
-DELIVER = COOL + f""", dl as (select f.rule_id, f.rule_name, c.id as channel_id, f.id as event_id, f.timestamp, coalesce(f.severity, 'MEDIUM') as severity, {MESSAGE} as subject,
+DELIVER = COOL + f""", dl as (select f.rule_id, f.rule_name, c.id as channel_id, f.id as event_id, f.timestamp, coalesce(f.severity, 'MEDIUM') as severity, {MESSAGE} as subject, {MESSAGE.replace('subject_template', 'message_template')} as message,
+  cast(to_json({{id: f.id, type: f.type, detection_type: f.detection_type, severity: f.severity, ip: f.ip, country: f.country, message: f.message, ml_confidence: f.ml_confidence, confidence: f.confidence}}) as varchar) as event_metadata,
+  cast(0 as bigint) as send_duration_ms,
   c.channel_type = 'email' and c.recipients > 0 as success, case when c.channel_type <> 'email' then 'Channel type not supported' when c.recipients = 0 then 'No recipients configured' else '' end as error_message
   from (select *, unnest(cast(channel_ids as bigint[])) as cid from fired) f join alert_channels c on c.id = f.cid where c.is_enabled)"""
 

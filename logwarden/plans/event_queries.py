@@ -30,6 +30,14 @@ PRIVATE = "(" + " or ".join(f"starts_with({{c}}, '{p}')" for p in (
     "127.", "10.", "172.16.", "192.168.", "::1", "fe80:", "fc00:")) + ")"
 
 
+def hex6(c: str) -> str:
+    """Check-side key of an IPv6 text: its 32 digits."""
+    left = f"list_filter(string_split(split_part(lower({c}), '::', 1), ':'), lambda x: x <> '')"
+    right = f"list_filter(string_split(case when contains({c}, '::') then split_part(lower({c}), '::', 2) else '' end, ':'), lambda x: x <> '')"
+    middle = f"list_transform(range(8 - len({left}) - len({right})), lambda i: '0')"
+    return f"array_to_string(list_transform(list_concat({left}, {middle}, {right}), lambda x: lpad(x, 4, '0')), '')"
+
+
 def places_sql(ips: str) -> str:
     """Check-side place lookup: ``ips`` is a query giving a column ip."""
     return f"""select i.ip, case when {PRIVATE.format(c='i.ip')} then 'LAN' else coalesce(g.country_code, 'XX') end as country_code,
@@ -38,6 +46,23 @@ def places_sql(ips: str) -> str:
       from ({ips}) i left join geo_ranges g on {IPNUM.format(c='i.ip')} between g.ip_from and g.ip_to"""
 
 
+def both_places_sql(ips: str) -> str:
+    """The same for addresses of both families; of several IPv6 ranges the innermost."""
+    return f"""select ip, country_code, country_name, continent_name from ({places_sql(f"select ip from ({ips}) where not contains(ip, ':')")})
+    union all select c.ip, p.country_code, p.country_name, p.continent_name from (select ip, substr(ip, 8) as dotted from ({ips}) where contains(ip, ':') and contains(ip, '.')) c
+      join ({places_sql(f"select distinct substr(ip, 8) as ip from ({ips}) where contains(ip, ':') and contains(ip, '.')")}) p on p.ip = c.dotted
+    union all select i.ip, case when {PRIVATE.format(c='i.ip')} then 'LAN' else coalesce(g.country_code, 'XX') end,
+      case when {PRIVATE.format(c='i.ip')} then 'Private Network' else coalesce(g.country_name, 'Unknown') end,
+      case when {PRIVATE.format(c='i.ip')} then 'Private' else coalesce(g.continent_name, 'Unknown') end
+      from (select ip, {hex6('ip')} as h from ({ips}) where contains(ip, ':') and not contains(ip, '.')) i
+      left join (select *, {hex6('first_ip')} as h1, {hex6('last_ip')} as h2 from geo_ranges_six) g on i.h between g.h1 and g.h2
+      qualify row_number() over (partition by i.ip order by g.h1 desc, g.h2) = 1"""
+
+
+def both_ranges(t):
+    return geo.all_ranges(t.geo_ranges, t.geo_ranges_six)
+
+
 EVENT_COLS = "id, timestamp, source_ip, event_type, severity"
 
 
@@ -371,19 +396,21 @@ def _(t):
 
 
 @query("ip_details", f"""
-with l as (select *, row_number() over (partition by source_ip order by timestamp desc, id desc) as rn from security_events),
+with s as (select {EVENT_COLS} from security_events union all select {EVENT_COLS} from events_six),
+l as (select *, row_number() over (partition by source_ip order by timestamp desc, id desc) as rn from s),
 k as (select * from l where rn <= 50),
 ty as (select source_ip, string_agg(v, '|' order by v) as event_types from (select source_ip, event_type || '=' || count(*) as v from k group by source_ip, event_type) group by 1),
 se as (select source_ip, string_agg(v, '|' order by v) as severities from (select source_ip, upper(severity) || '=' || count(*) as v from k group by source_ip, severity) group by 1),
 ml as (select ip_address, count(*) as n, round_even(avg(ml_confidence), 4) as a, round_even(max(ml_confidence), 4) as m from predictions group by 1),
-g as ({places_sql('select distinct source_ip as ip from security_events')}),
+g as ({both_places_sql('select distinct source_ip as ip from s')}),
 a as (select source_ip as ip, count(*) as total_events, min(timestamp) as first_seen, max(timestamp) as last_seen,
   string_agg(event_type || ':' || severity, '|' order by rn) filter (where rn <= 10) as recent_events from k group by 1)
 select a.*, ty.event_types, se.severities, coalesce(ml.n, 0) as total_predictions, coalesce(ml.a, 0) as avg_confidence, coalesce(ml.m, 0) as max_confidence,
   g.country_code, g.country_name, g.continent_name
 from a join ty on ty.source_ip = a.ip join se on se.source_ip = a.ip left join ml on ml.ip_address = a.ip left join g on g.ip = a.ip""")
 def _(t):
-    return ev.ip_details(t.security_events, t.predictions, geo.geo_lookup(t.security_events, t.geo_ranges, "source_ip"))
+    rows = cols(t.security_events).unionByName(cols(t.events_six))
+    return ev.ip_details(rows, t.predictions, geo.geo_lookup(rows, both_ranges(t), "source_ip"))
 
 
 # ------------------------------------------------------------------ per country
@@ -416,19 +443,28 @@ def _(t):
     return ev.available_countries(t.geo_events)
 
 
-@query("geo_enrich", f"with g as ({PLACED}) select e.id, e.source_ip, g.country_code, g.country_name, g.continent_name from security_events e join g on e.source_ip = g.ip")
+EITHER = "select id, source_ip from security_events union all select id, source_ip from events_six"
+
+
+@query("geo_enrich", f"""
+with e as ({EITHER}), g as ({both_places_sql("select distinct source_ip as ip from e")})
+select e.id, e.source_ip, g.country_code, g.country_name, g.continent_name from e join g on e.source_ip = g.ip""")
 def _(t):
-    return geo.geo_enrich(t.security_events.select("id", "source_ip"), t.geo_ranges, "source_ip")
+    rows = t.security_events.select("id", "source_ip").unionByName(t.events_six.select("id", "source_ip"))
+    return geo.geo_enrich(rows, both_ranges(t), "source_ip")
 
 
 GEO_TEXT = "concat('{\"country\":\"', g.country_name, '\",\"country_code\":\"', g.country_code, '\",\"city\":\"', g.continent_name, '\",\"latitude\":0,\"longitude\":0}')"
 
 
 @query("backfill_event_geo", f"""
-with g as ({PLACED}) select e.id, e.source_ip, case when e.geo_location is null or e.geo_location = '' then {GEO_TEXT} else e.geo_location end as geo_location
-from geo_events e left join g on e.source_ip = g.ip""")
+with e as (select id, source_ip, geo_location from geo_events union all select id, source_ip, geo_location from events_six),
+g as ({both_places_sql("select distinct source_ip as ip from e")})
+select e.id, e.source_ip, case when e.geo_location is null or e.geo_location = '' then {GEO_TEXT} else e.geo_location end as geo_location
+from e left join g on e.source_ip = g.ip""")
 def _(t):
-    return geo.backfill_event_geo(t.geo_events.select("id", "source_ip", "geo_location"), t.geo_ranges)
+    kept = ["id", "source_ip", "geo_location"]
+    return geo.backfill_event_geo(t.geo_events.select(*kept).unionByName(t.events_six.select(*kept)), both_ranges(t))
 
 
 @query("geo_json", f"with g as ({PLACED}) select g.ip, {GEO_TEXT} as geo_location, g.country_code as read_back from g")
@@ -445,19 +481,20 @@ def _(t):
 
 PRED_COUNTRY = """select ip_address, case when ml_confidence < 0.5 then 'Unknown' when ml_confidence > 0.9 then null else 'Old (OO)' end as country,
   case when ml_confidence between 0.5 and 0.9 then 'OO' else 'XX' end as country_code from predictions
-  union all select concat('10.', substr(ip_address, 1, 4), 'x'), 'Unknown', 'XX' from predictions"""
+  union all select concat('10.', substr(ip_address, 1, 4), 'x'), 'Unknown', 'XX' from predictions
+  union all select distinct source_ip, 'Unknown', 'XX' from events_six"""
 
 
 @query("backfill_prediction_country", f"""
-with p as ({PRED_COUNTRY}), g as ({places_sql("select distinct ip_address as ip from predictions")})
+with p as ({PRED_COUNTRY}), g as ({both_places_sql("select distinct ip_address as ip from predictions union select source_ip from events_six")})
 select ip_address, case when coalesce(country, 'Unknown') <> 'Unknown' then country when starts_with(ip_address, '10.') then 'Private Network (LAN)'
     when g.country_code <> 'XX' then g.country_name || ' (' || g.country_code || ')' else country end as country,
   case when coalesce(country, 'Unknown') <> 'Unknown' then p.country_code when starts_with(ip_address, '10.') then 'LAN'
     when g.country_code <> 'XX' then g.country_code else p.country_code end as country_code
 from p left join g on p.ip_address = g.ip""")
 def _(t):
-    rows = t.spark.sql(PRED_COUNTRY.replace("from predictions", "from {predictions}"), predictions=t.predictions)
-    return geo.backfill_prediction_country(rows, t.geo_ranges)
+    rows = t.spark.sql(PRED_COUNTRY.replace("from predictions", "from {predictions}").replace("from events_six", "from {events_six}"), predictions=t.predictions, events_six=t.events_six)
+    return geo.backfill_prediction_country(rows, both_ranges(t))
 
 
 @query("is_private_ip", f"""select ip, {PRIVATE.format(c='ip')} as is_private from (select distinct source_ip as ip from dns union select distinct source_ip from security_events)""")

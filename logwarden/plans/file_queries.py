@@ -262,6 +262,19 @@ def _(t):
     return t.spark.read.parquet(f"{out}/data").select("ip", "jail", "timestamp", "severity", "reason")
 
 
+@query("ban_deliveries", f"""
+with recursive a as ({BAN_ALERT}), f as (select a.*, r.id as rule_id, r.rule_name, r.channel_ids, r.subject_template, r.message_template from a, alert_rules r where r.rule_type = 'fail2ban_ban' and r.is_enabled)
+select rule_id, ip, timestamp, severity, c.id as channel_id, replace(subject_template, '{{{{ ip }}}}', ip) as subject,
+  replace(replace(replace(message_template, '{{{{ ip }}}}', ip), '{{{{severity}}}}', severity), '{{{{type}}}}', 'fail2ban_ban') as message,
+  c.channel_type = 'email' and c.recipients > 0 as success
+from (select *, unnest(cast(channel_ids as bigint[])) as cid from f) x join alert_channels c on c.id = x.cid where c.is_enabled""")
+def _(t):
+    base, out = shared_dir(t.spark, "bans-in"), shared_dir(t.spark, "bans-out")
+    t.ban_lines.select("id", "line").write.parquet(base)
+    jobs.ban_monitor(t.spark, base, out, t.alert_rules, t.alert_channels)
+    return t.spark.read.parquet(f"{out}/deliveries").select("rule_id", "ip", "timestamp", "severity", "channel_id", "subject", "message", "success")
+
+
 # ------------------------------------------------------------------ jobs on keyed state, stopped and started again in mid-stream
 def streamed(t, df, job, name, **closing):
     """Output folder of ``job`` over ``df`` as a stream: the earlier half, the later half, and a closing row that lets the watermark pass."""

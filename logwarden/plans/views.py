@@ -126,6 +126,26 @@ select 3405774848 + n_nationkey * 16 as ip_from, 3405774848 + n_nationkey * 16 +
   case n_nationkey % 5 when 0 then 'CN' when 1 then 'RU' when 2 then 'US' when 3 then 'DE' else 'BR' end as country_code, r_name as continent_name
 from @nation@ join @region@ on n_regionkey = r_regionkey"""
 
+VIEWS["geo_ranges_six"] = """
+select concat('2001:db8:', lower(hex(n_nationkey)), '::') as first_ip, concat('2001:db8:', lower(hex(n_nationkey)), ':ffff:ffff:ffff:ffff:ffff') as last_ip,
+  n_name as country_name, case n_nationkey % 3 when 0 then 'FR' when 1 then 'JP' else 'IN' end as country_code, r_name as continent_name
+from @nation@ join @region@ on n_regionkey = r_regionkey
+union all select concat('2001:db8:', lower(hex(n_nationkey)), '::'), concat('2001:db8:', lower(hex(n_nationkey)), '::3'), concat(n_name, ' net'), 'IT', 'EUROPE' from @nation@
+union all select concat('2001:db8:', lower(hex(n_nationkey)), '::2'), concat('2001:db8:', lower(hex(n_nationkey)), '::2'), concat(n_name, ' host'), 'ES', 'EUROPE' from @nation@
+union all select concat('2a00:', lower(hex(r_regionkey * 8)), '::'), concat('2a00:', lower(hex(r_regionkey * 8 + 6)), ':ffff:ffff:ffff:ffff:ffff:ffff'), r_name, 'SE', r_name from @region@
+union all select '2c00::', '2fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff', 'Wide', 'ZA', 'AFRICA' from @region@ where r_regionkey = 0"""
+
+# every event once more, seen from IPv6 addresses in long, short and IPv4-mapped form
+VIEWS["events_six"] = """
+select event_id as id, ts as timestamp,
+  case event_id % 6 when 0 then concat('2001:db8:', lower(hex(user_id % 40)), '::', lower(hex(event_id % 7)))
+    when 1 then concat('2001:0DB8:', hex(user_id % 40), ':0:0:00:0:', hex(event_id % 9)) when 2 then concat('2a00:', lower(hex(user_id % 64)), ':1::')
+    when 3 then concat('::ffff:203.0.', cast(cast(floor(user_id / 256) as bigint) as string), '.', cast(user_id % 256 as string))
+    when 4 then concat('2', lower(hex(11 + event_id % 5)), '00:5::', lower(hex(user_id % 300))) else concat('fe80::', lower(hex(user_id % 100))) end as source_ip,
+  concat('v6_', event_type) as event_type, case when event_type = 'error' then 'high' else 'low' end as severity,
+  case event_id % 4 when 0 then '' when 1 then '{"country":"Old","country_code":"OO"}' end as geo_location
+from @events@"""
+
 VIEWS["predictions"] = f"""
 select {_IP} as ip_address,
   cast(user_id * 37 % 101 as double) / 100 as ml_confidence, cast(user_id * 53 % 101 as double) as threat_score,
@@ -207,7 +227,8 @@ from @security_events@"""
 
 VIEWS["alert_rules"] = """
 select cast(column1 as bigint) as id, column2 as rule_name, column3 as rule_type, column4 as conditions, column5 as severity_threshold,
-  column6 as channel_ids, column7 as is_enabled, cast(column8 as int) as cooldown_minutes, column9 as subject_template
+  column6 as channel_ids, column7 as is_enabled, cast(column8 as int) as cooldown_minutes, column9 as subject_template,
+  case when column1 % 2 = 1 then concat(column2, ': {{ ip }} {{severity}} ({{type}})') end as message_template
 from (values
   (1, 'confident', 'ml_prediction', '{"ml_confidence": {"operator": ">", "value": 0.8}}', 'MEDIUM', '[1, 2]', true, 60, 'ML {{ip}} {{severity}}'),
   (2, 'scans', 'zeek_detection', '{"detection_type": {"operator": "in", "value": ["port_scan", "dns_tunneling"]}}', null, '[1]', true, 240, null),

@@ -14,7 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..functions.times import micros
 from ..operators import alerts as al, weblogs as wl
+from ..operators.cooldown import with_cooldown
 from ..sources import loglines as ll
 from . import ingest, keyed
 
@@ -164,12 +166,36 @@ def poll_logs(spark: SparkSession, paths: dict[str, str], out: str, as_of: Colum
     run_batches(reduce(DataFrame.unionByName, lines), out, lambda batch, n: ingest.store_batch(batch, n, list(paths), out, as_of), once, every)
 
 
-def ban_monitor(spark: SparkSession, path: str, out: str, once: bool = True) -> None:
-    """One alert per newly banned address and run."""
+def ban_monitor(spark: SparkSession, path: str, out: str, rules: DataFrame | None = None, channels: DataFrame | None = None, once: bool = True) -> None:
+    """One alert per newly banned address and run, and with ``rules`` its way through rules, cool-down, channels and delivery log.
+
+    The ledger under ``out``/fired has a row per batch, rule, address and time that fired. Batch ``n`` looks at batches before ``n`` alone,
+    for the last fire of each rule, and writes its own alerts, ledger and deliveries anew, so a repeated batch logs nothing twice.
+    """
     schema = spark.read.parquet(path).schema
     lines = spark.readStream.schema(schema).parquet(path)
 
     def each(batch: DataFrame, n: int) -> None:
         wl.ban_alerts(ll.parse_bans(batch)).write.mode("overwrite").parquet(f"{out}/data/n={n}")
+        if rules is not None:
+            fire_bans(spark, out, n, rules, channels)
 
     run_batches(lines, out, each, once)
+
+
+def fire_bans(spark: SparkSession, out: str, n: int, rules: DataFrame, channels: DataFrame) -> None:
+    """The alerts of batch ``n`` through the rules; see :func:`ban_monitor`."""
+    events = al.ban_events(spark.read.parquet(f"{out}/data/n={n}"))
+    hits = al.match_rules(events, rules).filter(al.threshold_met(F.col("severity"), F.col("severity_threshold")))
+    hits = hits.withColumn("_us", micros("timestamp")).withColumn("_cd", F.col("cooldown_minutes").cast("bigint") * 60_000_000)
+    earlier = [m for m in ingest.folders(spark, f"{out}/fired", "n") if m < n]
+    if earlier:
+        ledger = spark.read.schema("rule_id bigint, ip string, us bigint").parquet(*[f"{out}/fired/n={m}" for m in earlier])
+        last = ledger.groupBy("rule_id").agg(F.max("us").alias("_last"))  # a row per rule
+        hits = hits.join(last, "rule_id", "left").filter(
+            F.col("_last").isNull() | (F.col("_cd") <= 0) | (F.col("_us") >= F.col("_last") + F.col("_cd"))).drop("_last")
+    fired = with_cooldown(hits, "rule_id", "_us", "_cd", "id")
+    fired.select("rule_id", "ip", F.col("_us").alias("us"), *[c for c in fired.columns if c not in ("rule_id", "ip", "_us", "_cd")]).write.mode(
+        "overwrite").parquet(f"{out}/fired/n={n}")
+    done = spark.read.parquet(f"{out}/fired/n={n}")
+    al.log_deliveries(done, channels).withColumn("ip", F.get_json_object("event_metadata", "$.ip")).write.mode("overwrite").parquet(f"{out}/deliveries/n={n}")

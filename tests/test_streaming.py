@@ -248,3 +248,26 @@ def test_empty_batch_and_no_history(spark, tmp_path):
     out = str(tmp_path / "out")
     ingest.store_batch(monitor_lines(spark, "f", [("a", 1, "x")]).limit(0), 0, ["conn", "notice"], out, F.lit(AS_OF))
     assert spark.read.parquet(f"{out}/conn").count() == 0 == spark.read.parquet(f"{out}/notice").count()
+
+
+def test_ban_ledger_logs_nothing_twice(spark, tables, tmp_path):
+    out = str(tmp_path / "out")
+    rules = tables.alert_rules.filter("rule_type = 'fail2ban_ban'").withColumn("cooldown_minutes", F.lit(60))
+    stamp = "2024-01-30 {}:00:00,123 fail2ban.actions [1]: NOTICE [sshd] Ban 203.0.0.{}"
+    batches = [[(10, 1), (10, 2), (11, 3)], [(11, 4), (12, 5)], [(12, 6), (14, 7)]]
+
+    def run(n):
+        lines = spark.createDataFrame([(k, stamp.format(hour, host)) for k, (hour, host) in enumerate(batches[n])], "id long, line string")
+        wl.ban_alerts(ll.parse_bans(lines)).write.mode("overwrite").parquet(f"{out}/data/n={n}")
+        jobs.fire_bans(spark, out, n, rules, tables.alert_channels)
+
+    def logged():
+        return rows(spark.read.parquet(f"{out}/deliveries").select("n", "rule_id", "channel_id", "timestamp", "ip", "message", "event_metadata"))
+
+    for n in range(3):
+        run(n)
+    want = logged()
+    assert sorted({(r[0], r[3][11:13]) for r in want}) == [("0", "10"), ("0", "11"), ("1", "12"), ("2", "14")]
+    for n in (2, 1):  # as after a failure
+        run(n)
+    assert logged() == want
