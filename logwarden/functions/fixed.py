@@ -66,6 +66,10 @@ BOT_PATTERNS = [
     "go-http-client", "scrapy", "headless",
 ]
 LISTED_FILES = [".xml", "sitemap", "robots.txt", ".json", "/api/"]
+BOT_REASONS = {
+    "agent": "Bot user agent detected: ", "rapid": "Rapid requests: ", "referrer": "High no-referrer ratio: ",
+    "numbered": "Sequential path access: ", "one_agent": "Single user agent for multiple requests", "listed": "Accessed: ",
+}
 BOT_CLASSES = {
     "googlebot": "Search Engine (Google)",
     "bingbot": "Search Engine (Bing)",

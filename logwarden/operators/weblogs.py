@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text
+from ..functions.numbers import rounded
 
 
 def top_counts(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -233,15 +234,39 @@ def bot_score() -> Column:
     ).cast("bigint")
 
 
+def first_word_bit(value: Column, words: list[str]) -> Column:
+    """A bit for the first of ``words`` that ``value`` contains, 0 for none."""
+    return text.first_case([(value.contains(w), 1 << i) for i, w in enumerate(words)], 0).cast("bigint")
+
+
+def bot_reasons() -> Column:
+    """Why an address has its score: each reason once, in the order of the rules; ``agent_words`` and ``file_words`` are bit sets."""
+    words, n = fixed.BOT_REASONS, F.col("request_count")
+    ratio = F.col("no_referrer") / n
+    named = lambda bits, key, names: [
+        (F.col(bits).bitwiseAND(F.lit(1 << i)) != 0, F.lit(words[key] + name)) for i, name in enumerate(names)]
+    counted = lambda key, column: F.concat(F.lit(words[key]), F.col(column).cast("string"))
+    items = [
+        *named("agent_words", "agent", fixed.BOT_PATTERNS), (n > 100, counted("rapid", "request_count")),
+        (ratio > 0.8, F.concat(F.lit(words["referrer"]), F.format_string("%.2f%%", rounded(ratio * 100, 2)))),
+        (F.col("numbered") > 20, counted("numbered", "numbered")), (F.col("one_agent") & (n > 10), F.lit(words["one_agent"])),
+        *named("file_words", "listed", fixed.LISTED_FILES),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, what) for cond, what in items]))
+
+
 def bot_scores(requests: DataFrame) -> DataFrame:
-    """Bot score per address; kept from 30, high from 60."""
-    stats = requests.filter(F.col("ip").isNotNull()).groupBy("ip").agg(*bot_sums())
+    """Bot score per address with its reasons; kept from 30, high from 60."""
+    agent, path = text.lower_agent(F.coalesce("user_agent", F.lit(""))), F.lower(F.coalesce("path", F.lit("")))
+    stats = requests.filter(F.col("ip").isNotNull()).groupBy("ip").agg(
+        *bot_sums(), F.bit_or(first_word_bit(agent, fixed.BOT_PATTERNS)).alias("agent_words"),
+        F.bit_or(first_word_bit(path, fixed.LISTED_FILES)).alias("file_words"))
     return (
         stats.withColumn("score", bot_score())
         .filter(F.col("score") >= 30)
         .select(
             "ip", "score", text.bot_class(F.col("user_agent"), F.col("request_count") > 100).alias("type"), "request_count", "user_agent",
-            F.when(F.col("score") >= 60, "high").otherwise("medium").alias("severity"),
+            F.when(F.col("score") >= 60, "high").otherwise("medium").alias("severity"), bot_reasons().alias("reasons"),
         )
     )
 

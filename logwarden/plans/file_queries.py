@@ -197,6 +197,25 @@ ORACLES["export_timeline"] = (
     + ORACLES["attack_timeline"].replace("/ 50)", "/ 60)").replace("as int) * 50)", "as int) * 60)").replace("2024-01-24", "2024-01-30") + ") x")
 
 
+@query("export_threats_json", None)
+def _(t):
+    path = shared_dir(t.spark, "export-threats-json")
+    sk.export(top100(t), path, "json", sk.THREAT_COLUMNS)
+    return t.spark.read.option("timestampNTZFormat", sk.MICROS).schema(
+        "ip string, score bigint, ml_confidence bigint, zeek_detections bigint, fail2ban_bans bigint, total_events bigint, country string, last_seen timestamp_ntz").json(path)
+
+
+@query("export_timeline_json", None)
+def _(t):
+    path = shared_dir(t.spark, "export-timeline-json")
+    sk.export(ev.attack_timeline(t.security_events, AS_OF), path, "json", sk.TIMELINE_COLUMNS)
+    return t.spark.read.schema("timestamp string, ml_detections bigint, zeek_detections bigint, fail2ban_bans bigint, total bigint").json(path)
+
+
+for _key in ("export_threats", "export_timeline"):
+    ORACLES[f"{_key}_json"] = ORACLES[_key]
+
+
 @query("snapshot_with_manifest", "with n as (" + " union all ".join(f"select '{c}' as table_name, count(*) as n from {c}" for c in COUNTED)
        + f"), a as (select * from n union all select 'total', cast(sum(n) as bigint) from n) select *, timestamp '2024-01-31 00:00:00' as export_date, {len(COUNTED)} as tables_count from a")
 def _(t):

@@ -361,7 +361,7 @@ def _(t):
 
 
 @query("dedup_ingest", """
-select distinct b.uid, b.source_ip, b.dest_port from conn b where b.uid not in (select uid from conn where protocol = 'tcp')
+select distinct b.uid, b.source_ip, b.dest_port from conn b left join (select distinct uid from conn where protocol = 'tcp') s on s.uid = b.uid where s.uid is null
 union all select cast(null as varchar), 'unkeyed', dest_port from conn where conn_state = 'REJ'""")
 def _(t):
     stored = t.conn.filter("protocol = 'tcp'")

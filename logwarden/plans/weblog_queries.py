@@ -381,7 +381,25 @@ bots as (select ip, ba * 30 + case when n > 100 then 25 else 0 end + case when n
   + case when uas = 1 and n > 10 then 10 else 0 end + listed * 5 as score, n as request_count, user_agent, {CLASS_SQL} as type from bs)"""
 
 
-@query("bot_scores", f"with {BOTS.format(src='http_access')} select ip, score, type, request_count, user_agent, case when score >= 60 then 'high' else 'medium' end as severity from bots where score >= 30")
+def first_bit(value: str, words: list[str]) -> str:
+    return "bit_or(cast(case " + " ".join(f"when contains({value}, {lit(w)}) then {1 << i}" for i, w in enumerate(words)) + " else 0 end as bigint))"
+
+
+def named_bits(bits: str, before: str, words: list[str]) -> str:
+    return ", ".join(f"case when {bits} & {1 << i} <> 0 then {lit(before + w)} end" for i, w in enumerate(words))
+
+
+WHY = fixed.BOT_REASONS
+REASONS = f"""concat_ws('|', {named_bits('aw', WHY['agent'], fixed.BOT_PATTERNS)}, case when n > 100 then '{WHY['rapid']}' || n end,
+  case when nr / n > 0.8 then '{WHY['referrer']}' || printf('%.2f%%', round_even(nr / n * 100, 2)) end, case when num > 20 then '{WHY['numbered']}' || num end,
+  case when uas = 1 and n > 10 then '{WHY['one_agent']}' end, {named_bits('fw', WHY['listed'], fixed.LISTED_FILES)})"""
+
+
+@query("bot_scores", f"""
+with {BOTS.format(src='http_access')}, wd as (select ip, {first_bit('lower(user_agent)', fixed.BOT_PATTERNS)} as aw, {first_bit('lower(path)', fixed.LISTED_FILES)} as fw from http_access group by ip),
+why as (select bs.ip, {REASONS} as reasons from bs join wd on wd.ip = bs.ip)
+select bots.ip, score, type, request_count, user_agent, case when score >= 60 then 'high' else 'medium' end as severity, why.reasons
+from bots join why on why.ip = bots.ip where score >= 30""")
 def _(t):
     return wl.bot_scores(t.http_access)
 
