@@ -6,9 +6,13 @@ per key would read all times of a hot key. Time is cut into chunks of many
 cool-downs instead:
 
 1. every (key, chunk) reports where its chain ends for each possible entry
-   (only times in the chunk's first cool-down can differ as entries);
-2. a pass per key over these short reports finds the entry of each chunk;
-3. every (key, chunk) fires its chain from that entry.
+   (only times in the chunk's first cool-down can differ as entries): a step
+   function from entry to exit;
+2. the functions of ``FAN`` neighbours are composed into one, ``LEVELS`` times
+   over, so a group never holds more than ``FAN`` short reports;
+3. a pass per key over the few functions at the top finds their entries, which
+   then go down the same tree to the chunks;
+4. every (key, chunk) fires its chain from its entry.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 CHUNK = 64
+#: Neighbours that are composed at once, and how often: a top node spans CHUNK * FAN ** LEVELS cool-downs.
+FAN, LEVELS = 64, 2
+
+_REPORT = "key string, node bigint, cd bigint, upto bigint, last bigint"
 
 
 def _next_index(us: np.ndarray, cooldown: int) -> np.ndarray:
@@ -37,21 +45,47 @@ def _chunk_report(pdf: pd.DataFrame) -> pd.DataFrame:
     last = us[end[:entries]]
     keep = np.append(last[:-1] != last[1:], True)
     return pd.DataFrame({
-        "key": pdf["key"].iloc[0], "chunk": pdf["chunk"].iloc[0], "cd": cd,
+        "key": pdf["key"].iloc[0], "node": pdf["chunk"].iloc[0], "cd": cd,
         "upto": us[:entries][keep], "last": last[keep],
     })
 
 
+def _children(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, entry thresholds and exits of each node of a group, in order."""
+    pdf = pdf.sort_values(["node", "upto"])
+    return [(int(node), part["upto"].to_numpy(), part["last"].to_numpy()) for node, part in pdf.groupby("node", sort=True)]
+
+
+def _through(children: list[tuple[int, np.ndarray, np.ndarray]], ready: int, cd: int) -> int | None:
+    """The last fired time when a chain that may fire from ``ready`` on goes through all children."""
+    fired = None
+    for _, upto, last in children:
+        i = int(np.searchsorted(upto, ready, side="left"))
+        if i < len(upto):
+            fired = int(last[i])
+            ready = fired + cd
+    return fired
+
+
+def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The function of a parent: entries can differ inside its first child; beyond that child they are all the same."""
+    children, cd = _children(pdf), int(pdf["cd"].iloc[0])
+    upto = [*children[0][1].tolist(), *(children[1][1][:1].tolist() if len(children) > 1 else [])]
+    last = np.array([_through(children, u, cd) for u in upto], np.int64)
+    keep = np.append(last[:-1] != last[1:], True)
+    return pd.DataFrame({
+        "key": pdf["key"].iloc[0], "node": int(pdf["parent"].iloc[0]), "cd": cd, "upto": np.array(upto, np.int64)[keep], "last": last[keep],
+    })
+
+
 def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk a key's chunks in order, handing each the earliest time it may fire."""
-    pdf = pdf.sort_values(["chunk", "upto"])
-    ready, rows = np.iinfo(np.int64).min, []
-    for chunk, part in pdf.groupby("chunk", sort=True):
-        rows.append((part["key"].iloc[0], chunk, ready))
-        i = int(np.searchsorted(part["upto"].to_numpy(), ready, side="left"))
-        if i < len(part):
-            ready = int(part["last"].iloc[i]) + int(part["cd"].iloc[0])
-    return pd.DataFrame(rows, columns=["key", "chunk", "ready"])
+    """Walk the nodes of a group in order, handing each the earliest time it may fire; the first gets the group's own ``ready``."""
+    ready, cd, rows = int(pdf["ready"].iloc[0]), int(pdf["cd"].iloc[0]), []
+    for child in _children(pdf):
+        rows.append((pdf["key"].iloc[0], child[0], ready))
+        fired = _through([child], ready, cd)
+        ready = ready if fired is None else fired + cd
+    return pd.DataFrame(rows, columns=["key", "node", "ready"])
 
 
 def _fire(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -67,11 +101,17 @@ def _fire(pdf: pd.DataFrame) -> pd.DataFrame:
 def fire_times(times: DataFrame) -> DataFrame:
     """``times``: key string, us bigint, cd bigint (microseconds, > 0). Returns fired (key, us)."""
     cut = times.select("key", "us", "cd").distinct().withColumn("chunk", F.floor(F.col("us") / (F.col("cd") * CHUNK)))
-    report = cut.groupBy("key", "chunk").applyInPandas(
-        _chunk_report, "key string, chunk bigint, cd bigint, upto bigint, last bigint"
-    )
-    entry = report.groupBy("key").applyInPandas(_entries, "key string, chunk bigint, ready bigint")
-    return cut.join(entry, ["key", "chunk"]).groupBy("key", "chunk").applyInPandas(_fire, "key string, us bigint")
+    parent = F.floor(F.col("node") / FAN)
+    reports = [cut.groupBy("key", "chunk").applyInPandas(_chunk_report, _REPORT)]
+    for _ in range(LEVELS):
+        reports.append(reports[-1].withColumn("parent", parent).groupBy("key", "parent").applyInPandas(_composed, _REPORT))
+    entries = "key string, node bigint, ready bigint"
+    first = F.lit(-(1 << 62)).cast("bigint")
+    entry = reports.pop().withColumn("ready", first).groupBy("key").applyInPandas(_entries, entries)
+    while reports:
+        above = entry.withColumnRenamed("node", "parent")
+        entry = reports.pop().withColumn("parent", parent).join(above, ["key", "parent"]).groupBy("key", "parent").applyInPandas(_entries, entries)
+    return cut.join(entry.withColumnRenamed("node", "chunk"), ["key", "chunk"]).groupBy("key", "chunk").applyInPandas(_fire, "key string, us bigint")
 
 
 def with_cooldown(rows: DataFrame, key: str, ts_us: str, cooldown_us: str, tie: str) -> DataFrame:

@@ -187,10 +187,12 @@ def greedy(times, cooldown_us):
 
 
 @pytest.mark.parametrize("seed,spread,cooldown_us", [(1, 10_000, 50), (2, 500_000, 700), (3, 3_000, 1), (4, 10**7, 10**6), (5, 200_000, 100)])
-def test_cooldown_against_brute_force(spark, seed, spread, cooldown_us):
+@pytest.mark.parametrize("fan", [64, 2])
+def test_cooldown_against_brute_force(spark, monkeypatch, seed, spread, cooldown_us, fan):
+    monkeypatch.setattr(cooldown, "FAN", fan)
     rng = np.random.default_rng(seed)
     data = [(k, int(t), cooldown_us) for k in ("a", "b") for t in rng.integers(0, spread, 1500)]
-    df = spark.createDataFrame(data, "key string, us bigint, cd bigint")
+    df = spark.createDataFrame(data, "key string, us bigint, cd bigint").repartition(3)
     got = {k: [] for k in ("a", "b")}
     for r in cooldown.fire_times(df).collect():
         got[r.key].append(r.us)
