@@ -93,9 +93,10 @@ def _secrets() -> str:
         return (f"(coalesce(max(case when {seen(kinds)} then e end) over before > s, false) or "
                 f"coalesce(min(case when {seen(kinds)} then s end) over behind < e, false))")
 
-    def near(kinds: tuple[str, ...]) -> str:
-        return (f"(coalesce(s - max(case when {seen(kinds)} then e end) over before <= {secrets.REACH}, false) or "
-                f"coalesce(min(case when {seen(kinds)} then s end) over behind - e <= {secrets.REACH}, false))")
+    def near(kinds: tuple[str, ...], only: str = "true") -> str:
+        of = f"{seen(kinds)} and {only}"
+        return (f"(coalesce(s - max(case when {of} then e end) over before <= {secrets.REACH}, false) or "
+                f"coalesce(min(case when {of} then s end) over behind - e <= {secrets.REACH}, false))")
 
     windows = ("window before as (partition by row_id order by s, o, e rows between unbounded preceding and 1 preceding), "
                "behind as (partition by row_id order by s, o, e rows between 1 following and unbounded following)")
@@ -105,14 +106,18 @@ with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as
 m as ({found}),
 p as (select row_id, kind, o, ok, sum(gap + length(m)) over (partition by row_id, kind order by i) as e, length(m) as n from m),
 a as (select row_id, kind, o, e - n as s, e from p where ok),
-b as (select *, case kind when 'bare' then {overlaps(secrets.KINDS[:-1])} when 'ident' then {overlaps(secrets.BASE)}
-    when 'endpoint' then {overlaps(("access", "hex"))} else false end as hidden from a {windows}),
-c as (select *, {near(secrets.WHO)} as who, {near(secrets.WHAT)} as what, {near(secrets.WHERE)} as place from b where not hidden {windows}),
-f as (select * from c where case kind when 'ident' then what when 'bare' then who or place when 'endpoint' then who and what else true end),
+b as (select *, case when kind in ('bare', 'ident') then {overlaps(secrets.BASE)} when kind = 'endpoint' then {overlaps(("access", "hex"))}
+    else false end as hidden from a {windows}),
+v as (select *, kind = 'bare' and {overlaps(("ident",))} as of_ident from b where not hidden {windows}),
+c as (select *, {near(secrets.WHO)} as who, {near(("access",))} as key, {near(secrets.WHERE)} as place, {near(secrets.WHAT)} as what,
+    {near(secrets.WHAT, "not of_ident")} as proof from v {windows}),
+f as (select * from c where case kind when 'ident' then proof when 'bare' then place or case when of_ident then key else who end
+    when 'endpoint' then who and what else true end),
+h as (select *, kind = 'bare' and coalesce(max(case when {seen(("ident", "endpoint"))} then e end) over before >= e, false) as inside from f {windows}),
 g as (select row_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
     count(*) filter (where kind = 'hex') as n_hex,
     string_agg(kind || ':' || s || ':' || e, ',' order by s, o, e) filter (where {base}) as base,
-    string_agg(kind || ':' || s || ':' || e, ',' order by s, o, e) as spans from f group by row_id)
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, o, e) as spans from h where not inside group by row_id)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
     sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (row_id)
 """
