@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .batches import cut
 from .components import components
@@ -81,26 +81,65 @@ def sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCHED)
 
 
-def candidate_blocks(reps: DataFrame) -> DataFrame:
-    """id, f1, f2 and the block in which it is compared, for each document that shares a band with another.
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """Written rows (id, n, f1, f2, bucket, parts, leads): who meets whom, and in how many parts a bucket is compared.
 
-    A bucket all of whose members have one other, larger bucket in common is left out, as its pairs are compared there. A bucket of
-    many documents or shingles is cut into parts by a hash, and every two parts make a block, so no task holds a whole bucket
-    and no pair is lost.
+    A bucket all of whose members have one other, larger bucket in common is left out, as its pairs are compared there. One member of
+    each bucket, that of the smallest id, leads it.
     """
     rows = reps.select("id", "n", "f1", "f2", F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    sizes = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min(F.struct("id", "f1", "f2")).alias("lead")).filter("m > 1")
     shared = written(rows.select("id", "n", "f1", "f2", "bucket").join(sizes, "bucket"), "buckets")
     homes = shared.groupBy("id").agg(F.max(F.struct("m", "bucket")).alias("home"))
     homed = shared.select("id", "bucket").join(homes, "id").groupBy("bucket").agg(F.min("home.bucket").alias("h1"), F.max("home.bucket").alias("h2"))
     needed = homed.filter("h1 <> h2 or h1 = bucket").select("bucket")
     kept = shared.join(needed, "bucket")
-    parts = F.ceil(F.greatest(F.col("m") / BLOCK_DOCUMENTS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    cut_up = kept.withColumn("parts", parts).withColumn("own", own)
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return cut_up.withColumn("other", others).select(
-        "id", "f1", "f2", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    leads = F.struct("id", "f1", "f2") == F.col("lead")
+    return written(kept.select("id", "n", "f1", "f2", "bucket", _parts("m", "total").alias("parts"), leads.alias("leads")), "members")
+
+
+def _parts(m: str, total: str) -> Column:
+    return F.ceil(F.greatest(F.col(m) / BLOCK_DOCUMENTS, F.col(total) / BLOCK_SHINGLES)).cast("int")
+
+
+def _part(parts: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+
+
+def leading_blocks(members: DataFrame) -> DataFrame:
+    """id, f1, f2 and block: each member in one part of its bucket, the leader in all of them."""
+    own = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_part("parts")))
+    return members.withColumn("own", F.explode(own)).select("id", "f1", "f2", F.xxhash64("bucket", "own").alias("block"))
+
+
+def remaining_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks of the pairs in buckets of several parts that no path connects so far; ``found`` has (id, component).
+
+    Members of a bucket's commonest component are connected with each other already. All others are compared in parts with each
+    other and with the parts of that component, so a text is copied once per part of the others, and not at all where
+    there are none.
+    """
+    large = members.filter("parts > 1").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = large.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    most = groups.groupBy("bucket").agg(
+        F.max(F.struct("m", "component")).alias("most"), F.max_by("total", F.struct("m", "component")).alias("main_total"),
+        F.sum("m").alias("m"), F.sum("total").alias("total"))
+    apart = most.select("bucket", F.col("most.component").alias("main"), F.col("most.m").alias("main_m"), "main_total",
+                        (F.col("m") - F.col("most.m")).alias("rest_m"), (F.col("total") - F.col("main_total")).alias("rest_total")).filter("rest_m > 0")
+    cuts = apart.select("bucket", "main", _parts("main_m", "main_total").alias("main_parts"), _parts("rest_m", "rest_total").alias("rest_parts"))
+    rows = large.join(sized(written(cuts, "cuts")), "bucket").withColumn("rest", F.col("component") != F.col("main"))
+    own = F.when(F.col("rest"), _part("rest_parts")).otherwise(_part("main_parts"))
+
+    def to(parts: str, pair) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), pair)
+
+    main_pair = lambda a, b: F.xxhash64(F.lit("main"), a, b)
+    rest_pair = lambda k: F.xxhash64(F.lit("rest"), F.least("own", k), F.greatest("own", k))
+    pairs = F.when(F.col("rest"), F.concat(
+        to("rest_parts", rest_pair), to("main_parts", lambda k: main_pair(F.col("own"), k)))).otherwise(
+        to("rest_parts", lambda k: main_pair(k, F.col("own"))))
+    return rows.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("id", "f1", "f2", F.xxhash64("bucket", "pair").alias("block"))
 
 
 def linked_within(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -178,13 +217,25 @@ def verified_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int)
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
+def linked_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, component) of the documents with a link, in two rounds: within parts and with leaders, then what is still apart."""
+    members = shared_buckets(reps)
+    found = components(verified_links(docs, written(leading_blocks(members).distinct(), "blocks"), size, percent))
+    if members.filter("parts > 1").isEmpty():
+        return found
+    blocks = written(remaining_blocks(members, found).distinct(), "blocks")
+    more = verified_links(docs, blocks, size, percent)
+    return components(found.toDF("a", "b").union(more))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 24, rows: int = 5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles, component_id and kept.
 
     Words are lower-cased in A-Z and split at ASCII white space; a text of fewer than ``size`` words has one shingle, all of it. Documents
     are linked if their sets overlap by ``percent`` of their union or more. A null, empty or blank text has no shingle and is linked
     with nothing, and so is a row without an id (component_id null, kept). Equal sets are one class, represented by the smallest id;
-    classes are sketched, banded and compared exactly, and no number of candidates or partners is limited. Two sets just at
+    classes are sketched, banded and compared exactly, and no number of candidates or partners is limited. A bucket is compared in parts,
+    each with the bucket's leader; what is still apart then is compared across parts. Two sets just at
     the limit share no band with a chance of (1 - (percent / 100) ^ rows) ^ bands. Repeated rows have equal results; an
     empty table gives an empty result; other columns are ignored.
     """
@@ -192,8 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     filled = known.filter("n > 0 and doc_id is not null")
     classes = written(filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
     chosen = filled.withColumnRenamed("doc_id", "id").join(classes, ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["f1", "f2", "n", "id"])
-    blocks = written(candidate_blocks(chosen).distinct(), "blocks")
-    found = components(verified_links(docs, blocks, size, percent))
+    found = linked_components(docs, chosen, size, percent)
     named = classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("_component"))
     return known.join(named, ["f1", "f2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id")

@@ -57,6 +57,43 @@ def test_blocks_smaller_than_a_group_lose_nothing(spark, monkeypatch):
     assert sorted([tuple(r) for r in got], key=str) == brute(rows)
 
 
+def family(seed, first, many, words=100, edits=1):
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(many):
+        text = prose(seed, words)
+        for at in rng.choice(words, edits, replace=False):
+            text = edited(text, int(at), f"y{seed}{k}{at}")
+        out.append((first + k, text))
+    return out
+
+
+def test_a_large_group_of_copies_moves_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_DOCUMENTS", 10)
+    rows = family(21, 1000, 200)
+    known = neardup.sketched(frame(spark, rows), 3, 24, 5).withColumnRenamed("doc_id", "id")
+    members = neardup.shared_buckets(known)
+    biggest = members.groupBy("bucket").count().orderBy("count", ascending=False).first()
+    assert biggest["count"] > 100
+    one = members.filter(members["bucket"] == biggest["bucket"])
+    assert neardup.leading_blocks(one).count() < 1.2 * biggest["count"]
+    first = neardup.components(neardup.verified_links(frame(spark, rows), neardup.leading_blocks(members), 3, 85))
+    assert neardup.remaining_blocks(members, first).count() == 0
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
+
+
+def test_pairs_across_parts_and_components_are_compared(spark, monkeypatch):
+    """Every bucket holds all, so that what is linked depends on the blocks alone; families overlap at, above and below the limit."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCUMENTS", 4)
+    rows = family(31, 0, 30, 90, 2) + family(32, 100, 25, 90, 3) + chain() + [(300 + k, prose(40 + k, 50)) for k in range(9)]
+    docs = frame(spark, rows)
+    reps = neardup.sketched(docs, 3, 1, 1).selectExpr("doc_id as id", "n", "f1", "f2", "array(1L) as bands")
+    found = {r["id"]: r["component"] for r in neardup.linked_components(docs, reps, 3, 85).collect()}
+    want = {r[0]: r[2] for r in brute(rows)}
+    assert {i: found.get(i, i) for i in want} == want and len(set(want.values())) > 20
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
     assert neardup.first_of_each(frame(spark, [])).columns == frame(spark, []).columns
