@@ -16,7 +16,7 @@ from ..functions.times import from_epoch_text, ts_lit
 from ..operators import events as ev, network as net, weblogs as wl
 from ..session import shared_dir
 from ..sinks import tables as sk
-from ..sources import loglines as ll, monitor as mo
+from ..sources import growing, loglines as ll, monitor as mo
 from ..streaming import jobs
 from .decision_queries import COUNTED
 from .network_queries import ENT, EXPIRED, NOTE_SEV, SELF, WEAK
@@ -169,6 +169,35 @@ def _(t):
         F.regexp_extract("path", r"/([^/]+\.log)/", 1).alias("log"), "size").groupBy("log").agg(F.sum("size").alias("size"))
 
 
+@query("zeek_conn_splits", None)
+def _(t):
+    """Connections from logs read in splits that carry their file's header, without a join of lines and headers."""
+    path = shared_dir(t.spark, "conn-splits")
+    write_tsv(t, t.conn, CONN_HEAD, CONN_CELLS, "conn", f"{path}/tsv")
+    lines = growing.read_growing(t.spark, path, glob="*.txt", splitBytes=str(8 << 20))
+    return mo.conn_table(mo.parse_headed(lines, mo.FIELDS["conn"])).drop("source_port", "service")
+
+
+ORACLES["zeek_conn_splits"] = ORACLES["zeek_conn"]
+
+
+@query("growing_logs_stream", " union all ".join(
+    f"select '{log}' as log, count(*) as lines, cast(sum(octet_length(encode(line)) + 1) as bigint) as size, min(line) as least, max(line) as most, "
+    f"count(distinct md5(line)) as different from {view}"
+    for log, view in (("access.log", "access_lines"), ("auth.log", "auth_lines"), ("fail2ban.log", "ban_lines"))))
+def _(t):
+    path, out = shared_dir(t.spark, "growing-logs"), shared_dir(t.spark, "growing-out")
+    for half in (0, 1):
+        for name, df in (("access.log", t.access_lines), ("auth.log", t.auth_lines), ("fail2ban.log", t.ban_lines)):
+            df.filter(F.pmod(F.xxhash64("line"), F.lit(2)) == half).select(F.col("line").alias("value")).write.mode("append").text(f"{path}/{name}")
+        jobs.run(growing.read_growing(t.spark, path, stream=True, glob="*.txt"), out)
+    lines = t.spark.read.parquet(f"{out}/data").withColumn("log", F.regexp_extract("file", r"/([^/]+\.log)/", 1))
+    counted = lines.groupBy("log", "line").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("log").agg(
+        F.sum("n").alias("lines"), F.sum(F.col("n") * (F.octet_length("line") + 1)).alias("size"), F.min("line").alias("least"),
+        F.max("line").alias("most"), F.count(F.lit(1)).alias("different"))
+
+
 def top100(t):
     return ev.top_threats(t.security_events, t.predictions, AS_OF, limit=100)
 

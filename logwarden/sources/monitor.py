@@ -42,15 +42,18 @@ def tsv_headers(lines: DataFrame, fields: list[str]) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("line").startswith("#separator"), sep)), F.lit("\t")).alias("sep"),
         F.max(F.when(F.col("line").startswith("#fields"), stripped(F.col("line")))).alias("head"),
     )
+    return positions(per_file.filter(F.col("head").isNotNull()), fields).select(F.col("file").alias("_file"), "quoted", "at")
+
+
+def positions(headed: DataFrame, fields: list[str]) -> DataFrame:
+    """Adds ``quoted`` and ``at`` to rows with ``sep`` and ``head``: how to split, and where each wanted field stands."""
     # one plain character is split without a regex; anything else is quoted
     plain_char = F.col("sep").rlike(r"^[\t ,;:\w]$")
     quoted = F.when(plain_char, F.col("sep")).otherwise(F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")))
-    named = per_file.filter(F.col("head").isNotNull()).withColumn("quoted", quoted).withColumn(
-        "names", F.split(F.col("head"), F.col("quoted"))
-    )
+    named = headed.withColumn("quoted", quoted).withColumn("names", F.split(F.col("head"), F.col("quoted")))
     # the line starts with its own mark, so the first field is the second name; a missing one gives a negative position
     at = F.struct(*[(F.array_position("names", f) - 2).cast("int").alias(f"f{i}") for i, f in enumerate(fields)])
-    return named.select(F.col("file").alias("_file"), "quoted", at.alias("at"))
+    return named.withColumn("at", at)
 
 
 def parse_tsv(lines: DataFrame, fields: list[str]) -> DataFrame:
@@ -93,11 +96,23 @@ def parse_json(lines: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
+def parse_headed(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows of lines that carry their file's ``separator`` and ``fields``, TSV or JSON; nothing is joined, so a file may have any size."""
+    data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    rows = positions(data.withColumnRenamed("separator", "sep").withColumnRenamed("fields", "head"), fields)
+    return parsed_either(rows, fields)
+
+
 def parse_auto(lines: DataFrame, fields: list[str]) -> DataFrame:
     """TSV for files that name their fields, JSON for the others; the lines are read once for both."""
     heads = tsv_headers(lines, fields)
     data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     rows = data.join(heads, F.col("file") == F.col("_file"), "left")
+    return parsed_either(rows, fields)
+
+
+def parsed_either(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Wanted fields as text, of TSV rows where ``quoted`` is given and of JSON rows elsewhere."""
     tsv = F.col("quoted").isNotNull()
     rows = text.once(rows, "cells", F.when(tsv, tsv_cells()))
     rows = text.once(rows, "rec", F.when(~tsv, F.from_json("line", json_schema(fields), {"columnNameOfCorruptRecord": "_bad"})))
