@@ -82,21 +82,18 @@ def sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
-    """Written rows (id, n, f1, f2, bucket, parts, leads): who meets whom, and in how many parts a bucket is compared.
+    """Written rows (id, n, f1, f2, bucket, parts): who meets whom, and in how many parts a bucket is compared.
 
-    A bucket all of whose members have one other, larger bucket in common is left out, as its pairs are compared there. One member of
-    each bucket, that of the smallest id, leads it.
+    A bucket all of whose members have one other, larger bucket in common is left out, as its pairs are compared there.
     """
     rows = reps.select("id", "n", "f1", "f2", F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
-    sizes = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min(F.struct("id", "f1", "f2")).alias("lead")).filter("m > 1")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).filter("m > 1")
     shared = written(rows.select("id", "n", "f1", "f2", "bucket").join(sizes, "bucket"), "buckets")
     homes = shared.groupBy("id").agg(F.max(F.struct("m", "bucket")).alias("home"))
     homed = shared.select("id", "bucket").join(homes, "id").groupBy("bucket").agg(F.min("home.bucket").alias("h1"), F.max("home.bucket").alias("h2"))
     needed = homed.filter("h1 <> h2 or h1 = bucket").select("bucket")
     kept = shared.join(needed, "bucket")
-    leads = F.struct("id", "f1", "f2") == F.col("lead")
-    return written(kept.select("id", "n", "f1", "f2", "bucket", _parts("m", "total").alias("parts"), leads.alias("leads")), "members")
+    return written(kept.select("id", "n", "f1", "f2", "bucket", _parts("m", "total").alias("parts")), "members")
 
 
 def _parts(m: str, total: str) -> Column:
@@ -108,9 +105,11 @@ def _part(parts: str) -> Column:
 
 
 def leading_blocks(members: DataFrame) -> DataFrame:
-    """id, f1, f2 and block: each member in one part of its bucket, the leader in all of them."""
-    own = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_part("parts")))
-    return members.withColumn("own", F.explode(own)).select("id", "f1", "f2", F.xxhash64("bucket", "own").alias("block"))
+    """id, f1, f2 and block: each member in one part of its bucket, and in all parts the bucket's leader, its smallest id."""
+    own = members.select("id", "f1", "f2", F.xxhash64("bucket", _part("parts")).alias("block"))
+    leaders = members.filter("parts > 1").groupBy("bucket", "parts").agg(F.min(F.struct("id", "f1", "f2")).alias("lead"))
+    everywhere = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.union(everywhere.select("lead.id", "lead.f1", "lead.f2", F.xxhash64("bucket", "part").alias("block")))
 
 
 def remaining_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
