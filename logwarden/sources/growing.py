@@ -100,8 +100,10 @@ class Folder:
         return [Stretch(path, state["head"], state["by"], first, a, min(a + self.split, state["bytes"]), state["bytes"])
                 for a in range(first, state["bytes"], self.split)]
 
-    def lines(self, part: Stretch) -> Iterator[pa.RecordBatch]:
-        """A split's lines; a file that was renamed since the split was planned is found by its start."""
+    def lines(self, part: Stretch | None) -> Iterator[pa.RecordBatch]:
+        """A split's lines; a file that was renamed since the split was planned is found by its start. Spark reads None where there are no splits."""
+        if part is None:
+            return
         path = part.path
         if not self.starts_with(path, part.known_by, part.head):
             path = next((p for p, i in sorted(self.listed().items()) if i.size >= part.end and self.starts_with(p, part.known_by, part.head)), None)
