@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import rounded
 from ..functions import text
+from ..session import shared_table
 
 
 def confusion_counts(y: str = "y_true", p: str = "y_pred") -> dict[str, Column]:
@@ -38,25 +39,32 @@ def classification_metrics(scored: DataFrame, by: list[str] | None = None) -> Da
     )
 
 
-def cumulative_counts(scored: DataFrame, score: str = "y_prob", label: str = "y_true", buckets: int = 1000) -> DataFrame:
-    """Per distinct score, highest first: running positives and negatives and position.
+def score_parts(scored: DataFrame, score: str = "y_prob", label: str = "y_true") -> DataFrame:
+    """Positives and negatives per distinct score, with its part ``b``: ranges of scores, highest first, cut at quantiles Spark samples.
 
-    Scores are between 0 and 1. Rows are first counted per score, then summed
-    inside score buckets and across the at most ``buckets`` + 1 bucket totals,
-    so no task orders the whole data.
+    However scores are piled up, parts have about equally many distinct ones. The table is written, as a second sample could cut elsewhere.
     """
-    per = scored.groupBy(F.col(score).alias("threshold")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    ).withColumn("b", -F.floor(F.col("threshold") * buckets))
+    per = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    return shared_table(per.repartitionByRange(F.desc("threshold")).withColumn("b", F.spark_partition_id()), "scores")
+
+
+def cumulative_counts(scored: DataFrame, score: str = "y_prob", label: str = "y_true") -> DataFrame:
+    """Per distinct score, highest first: running positives and negatives and position; a written table.
+
+    Rows are first counted per score, then summed inside ranges of scores and across the totals of the ranges, so no task
+    orders the whole data. Rows without a score do not count.
+    """
+    per = score_parts(scored, score, label)
     inside = Window.partitionBy("b").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     totals = per.groupBy("b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.count("*").alias("k"))
     carry = totals.select("b", *[F.coalesce(F.sum(c).over(across), F.lit(0)).alias("c" + c) for c in ("p", "n", "k")])
-    rows = per.select("*", F.sum("pos").over(inside).alias("ip"), F.sum("neg").over(inside).alias("in"), F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ik"))
-    return rows.join(carry, "b").select(
+    rows = per.select("*", F.sum("pos").over(inside).alias("ip"), F.sum("neg").over(inside).alias("in"), F.row_number().over(inside).alias("ik"))
+    return shared_table(rows.join(carry, "b").select(
         "threshold", "pos", "neg", (F.col("ip") + F.col("cp")).alias("tps"), (F.col("in") + F.col("cn")).alias("fps"),
         (F.col("ik") + F.col("ck")).cast("bigint").alias("pos_no"),
-    )
+    ), "curve")
 
 
 def label_totals(scored: DataFrame, label: str = "y_true") -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "logwarden", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,3 +55,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = os.environ.get("LOGWARDEN_TEST_DIR") or tempfile.mkdtemp(prefix="logwarden-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that several users and lost executors cost no second computation."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

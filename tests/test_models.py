@@ -1,5 +1,6 @@
 """Invariants of the model operators."""
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -108,3 +109,23 @@ def test_model_survives_saving(spark, labelled, model, tmp_path):
     a = {r.id: r.confidence for r in models.score_events(model, labelled).collect()}
     b = {r.id: r.confidence for r in models.score_events(loaded, labelled).collect()}
     assert a == b
+
+
+def test_curve_parts_are_even_where_scores_pile_up(spark):
+    rng = np.random.default_rng(5)
+    piled = np.concatenate([np.zeros(3000), np.ones(3000), 0.5 + rng.integers(0, 4000, 9000) * 1e-9, rng.random(100)])
+    rows = [(float(p), int(y)) for p, y in zip(piled, rng.integers(0, 2, len(piled)))] + [(None, 1)]
+    scored = spark.createDataFrame(rows, "y_prob double, y_true int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in mx.score_parts(scored).groupBy("b").count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = {r.threshold: (r.tps, r.fps, r.pos_no) for r in mx.cumulative_counts(scored).collect()}
+    tps = fps = 0
+    for k, p in enumerate(sorted(set(piled.tolist()), reverse=True), 1):
+        own = [y for q, y in rows if q == p]
+        tps, fps = tps + sum(own), fps + len(own) - sum(own)
+        assert got[p] == (tps, fps, k)
+    assert len(got) == len(set(piled)) and mx.cumulative_counts(scored.limit(0)).count() == 0
