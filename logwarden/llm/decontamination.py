@@ -2,9 +2,11 @@
 
 An item of n distinct five-word shingles is contained in a document if at least ``threshold`` percent of them occur there. Then fewer
 than ``n - ceil(threshold * n)`` + 1 are missing, so of the item's so many smallest shingle hashes (its bottom-k sketch) one at least
-occurs. Items are partitioned by size, k being that of the largest item of a size class, so the sketch search loses no contained item. An
-item of fewer than five words is one shingle, all of it; these make a class per number of words. Documents are probed with runs
-of just the lengths that items have, up to the largest hash of each length. Candidates are then verified on the words themselves.
+occurs. An item of fewer than five words is one shingle, all of it. Items are partitioned by width and by size, a class per power of two
+of n. Each class has a border, its largest sketch hash: a large item's sketch is the lowest fifth of its hashes, so the
+borders of large classes are low. Documents are probed class by class, with the hashes up to the border of the class,
+and only where they have as many shingles as the smallest item of the class must share. Candidates are then verified on the
+words themselves.
 """
 
 from __future__ import annotations
@@ -43,12 +45,33 @@ def item_shingles(items: DataFrame, width: int = 5) -> DataFrame:
 
 
 def sketches(shingled: DataFrame, threshold: int) -> DataFrame:
-    """The bottom-k sketch of each item: item_id, width, h, class."""
-    klass = F.floor(F.log2(F.col("n").cast("double")))
-    largest = F.pow(F.lit(2), klass + 1) - 1
-    k = F.floor(largest * (100 - threshold) / 100) + 1
+    """The bottom-k sketch of each item: item_id, width, class, h; class k holds the items of 2^k to 2^(k+1) - 1 shingles."""
+    k = F.floor(F.col("n") * (100 - threshold) / 100) + 1
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("h"))
-    return shingled.withColumn("class", klass).withColumn("_rank", rank).filter(F.col("_rank") <= k).select("item_id", "width", "h", "class")
+    klass = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    return shingled.withColumn("_rank", rank).filter(F.col("_rank") <= k).select("item_id", "width", klass.alias("class"), "h")
+
+
+def probed(docs: DataFrame, words: str, keys: DataFrame, threshold: int) -> DataFrame:
+    """``docs`` once for each class and hash of its ``words`` (an array) to be looked for among ``keys``, what ``sketches`` gives.
+
+    The columns width, class and h are added, ``words`` goes. There are at most 5 widths and a class per power of two.
+    """
+    of = keys.groupBy("width", "class").agg(F.max("h").alias("border")).orderBy("width", "class").collect()
+    hashed = docs
+    for size in sorted({r["width"] for r in of}):
+        runs = F.coalesce(_shingles(words, size, lambda w: F.xxhash64(*w)), F.array().cast("array<bigint>"))
+        hashed = once(hashed, f"_h{size}", F.array_distinct(runs))
+    none = F.array().cast("array<struct<width: int, class: int, h: bigint>>")
+
+    def probe(size: int, klass: int, border: int) -> Column:
+        held = F.col(f"_h{size}")
+        low = F.filter(held, lambda h: h <= F.lit(border))
+        marked = F.transform(low, lambda h: F.struct(F.lit(size).alias("width"), F.lit(klass).alias("class"), h.alias("h")))
+        return F.when(F.size(held) * 100 >= threshold * 2 ** klass, marked).otherwise(none)
+
+    kept = [c for c in docs.columns if c != words]
+    return hashed.select(*kept, F.inline(F.concat(none, *(probe(*r) for r in of))))
 
 
 def _light(df: DataFrame, size: Column) -> DataFrame:
@@ -60,18 +83,10 @@ def _light(df: DataFrame, size: Column) -> DataFrame:
 def _found(docs: DataFrame, items: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, _key of its text, item_id, item_shingles, common of every contained item."""
     shingled = written(item_shingles(items, width), "items")
-    keys = written(sketches(shingled, threshold).select("item_id", "width", "h").distinct(), "sketches")
-    borders = {r["width"]: r["h"] for r in keys.groupBy("width").agg(F.max("h").alias("h")).collect()}  # at most ``width`` rows
+    keys = written(sketches(shingled, threshold).distinct(), "sketches")
     rows = docs.select("doc_id", "text").withColumn("_key", text_key(F.col("text")))
     words = once(rows, "_w", F.split(normal(F.col("text")), " "))
-
-    def probe(size: int) -> Column:
-        of = lambda w: F.struct(F.lit(size).alias("width"), F.xxhash64(*w).alias("h"))
-        return F.coalesce(F.filter(_shingles("_w", size, of), lambda s: s["h"] <= F.lit(borders[size])), none)
-
-    none = F.array().cast("array<struct<width: int, h: bigint>>")
-    probes = F.concat(none, *(probe(size) for size in sorted(borders)))
-    hits = words.select("doc_id", "_key", F.inline_outer(probes)).join(sized(keys), ["width", "h"])
+    hits = probed(words.drop("text"), "_w", keys, threshold).join(sized(keys), ["width", "class", "h"])
     found = written(hits.select("doc_id", "_key", "item_id").distinct(), "candidates")
 
     lists = shingled.groupBy("item_id", "n").agg(F.collect_list("shingle").alias("_shingles"))  # as long as an item
