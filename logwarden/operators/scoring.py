@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import rounded
 from ..functions import fixed, text
 from ..functions.times import micros, ts_lit
+from ..session import shared_table
 from .events import active_block, in_window
 from .intervals import gap_moments, latest_per_key
 
@@ -16,20 +17,22 @@ from .intervals import gap_moments, latest_per_key
 def behavioral_features(events: DataFrame) -> DataFrame:
     """Ten behaviour features per source_ip, plus a growth ratio split by time.
 
-    Needs id, timestamp, severity, attack_vector, request_path.
+    Needs timestamp, severity, attack_vector, request_path. ``events`` is computed once: what the features need of it is written in
+    narrow columns, and the passes for sums, gaps and halves each read theirs.
     """
     path = F.coalesce("request_path", F.lit("/"))
     sev = F.col("severity")
     vector = F.when(F.col("attack_vector") != "unknown", F.nullif(F.col("attack_vector"), F.lit("")))
-    rows = events.select("source_ip", micros("timestamp").alias("_us"), path.alias("p"), sev.isin("high", "critical").alias("bad"), vector.alias("v"),
-                         text.count_chars(F.coalesce("request_path", F.lit("")), fixed.BEHAVIOUR_CHARS).alias("odd"))
-    gaps = gap_moments(events.select("source_ip", "timestamp"), ["source_ip"], "timestamp")
+    odd = text.count_chars(F.coalesce("request_path", F.lit("")), fixed.BEHAVIOUR_CHARS)
+    rows = shared_table(events.select("source_ip", "timestamp", path.alias("p"), sev.isin("high", "critical").alias("bad"), vector.alias("v"), odd.alias("odd")), "behaviour")
+    gaps = gap_moments(rows, ["source_ip"], "timestamp")
+    us = micros("timestamp")
     spread = F.greatest(F.lit(0.0), F.col("squares") - F.col("mean") * F.col("mean"))
     gaps = gaps.select("source_ip", F.coalesce(F.sqrt(spread), F.lit(0.0)).alias("dev"))
     stats = rows.groupBy("source_ip").agg(
         F.count("*").alias("n"),
-        F.min("_us").alias("first"),
-        F.max("_us").alias("last"),
+        F.min(us).alias("first"),
+        F.max(us).alias("last"),
         F.countDistinct("p").alias("unique_paths"),
         F.count_if("bad").alias("bad"),
         F.countDistinct("v").alias("num_attack_types"),
@@ -38,7 +41,7 @@ def behavioral_features(events: DataFrame) -> DataFrame:
     )
     middle = stats.select("source_ip", ((F.col("first") + F.col("last")) / 2).alias("mid"))
     halves = (
-        events.select("source_ip", micros("timestamp").alias("us")).join(middle, "source_ip").groupBy("source_ip")
+        rows.select("source_ip", us.alias("us")).join(middle, "source_ip").groupBy("source_ip")
         .agg(F.count_if(F.col("us") > F.col("mid")).alias("late"), F.count_if(F.col("us") <= F.col("mid")).alias("early"))
     )
     n, half = F.col("n"), F.floor(F.col("n") / 2)
@@ -263,9 +266,12 @@ def suspicious_ips(
 
     ``scores``: id, confidence, is_suspicious, is_anomaly per event. The confidence
     limit is applied before the costly behaviour features, to a mean rounded to
-    nine places so that the order of a distributed sum cannot decide.
+    nine places so that the order of a distributed sum cannot decide. The joined rows and the addresses that pass are written
+    once, as several passes read them.
     """
-    rows = in_window(events, as_of, hours).filter(F.col("source_ip").isNotNull()).join(scores, "id")
+    used = ["id", "source_ip", "timestamp", "severity", "attack_vector", "request_path"]
+    rows = in_window(events, as_of, hours).filter(F.col("source_ip").isNotNull()).select(*used).join(scores, "id")
+    rows = shared_table(rows, "scored-events")
     first = F.min_by(F.struct("id", "timestamp", "severity", "request_path"), F.struct("timestamp", "id"))
     per_ip = (
         rows.groupBy("source_ip")
@@ -279,6 +285,7 @@ def suspicious_ips(
         )
         .filter(F.col("ml_confidence") >= min_confidence)
     )
+    per_ip = shared_table(per_ip, "suspects")
     kept = rows.join(per_ip.select("source_ip"), "source_ip", "left_semi")
     now = blocked.filter(active_block(as_of)).select(F.col("ip_address").alias("source_ip"), F.lit(True).alias("is_blocked")).distinct()
     joined = (
