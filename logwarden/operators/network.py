@@ -280,31 +280,48 @@ def table_stats(as_of: datetime, hours: float, notices: DataFrame, **tables: Dat
     return one_row(*parts)
 
 
+def hourly_connections(conn: DataFrame, scan_ports: int, top: int) -> DataFrame:
+    """Per clock hour totals, distinct addresses, scanning sources and leading services of connections.
+
+    Connections are read once: grouping sets count per port of a source, per destination and per service, and two plain sums
+    bring these to sources and hours. The services are those of a fixed table.
+    """
+    proto, sums = F.col("protocol"), ["n", "tcp", "udp", "icmp", "sent", "received"]
+    rows = conn.select(
+        F.date_trunc("HOUR", "timestamp").cast("timestamp_ntz").alias("hour"), "source_ip", "dest_port", "dest_ip",
+        text.port_service(F.col("dest_port")).alias("service"), "protocol", "orig_bytes", "resp_bytes")
+    per_port, per_dest, per_service = ("hour", "source_ip", "dest_port"), ("hour", "dest_ip"), ("hour", "service")
+    sets = rows.groupingSets([per_port, per_dest, per_service], "hour", "source_ip", "dest_port", "dest_ip", "service").agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("n"), F.count_if(proto == "tcp").alias("tcp"), F.count_if(proto == "udp").alias("udp"),
+        F.count_if(proto == "icmp").alias("icmp"), F.sum("orig_bytes").alias("sent"), F.sum("resp_bytes").alias("received"))
+    ported = F.coalesce(F.col("dest_port") != 0, F.lit(False))
+    by_source = sets.groupBy("hour", "gid", "source_ip", "service").agg(
+        F.count_if(ported).alias("ports"), F.count("dest_ip").alias("dests"), *[F.sum(x).alias(x) for x in sums])
+    of_source, of_dest, of_service = (F.col("gid") == 3) & F.col("source_ip").isNotNull(), F.col("gid") == 13, F.col("gid") == 14
+
+    def total(c: str, kind: Column) -> Column:
+        return F.sum(F.when(kind, F.col(c))).cast("bigint")
+
+    leading = F.collect_list(F.when(of_service & (F.col("service") != "Unknown"), F.struct((-F.col("n")).alias("order"), "service")))
+    named = F.transform(F.slice(F.sort_array(leading), 1, top), lambda e: F.concat(e["service"], F.lit("="), (-e["order"]).cast("string")))
+    return by_source.groupBy("hour").agg(
+        total("n", of_service).alias("total_connections"),
+        total("tcp", of_service).alias("tcp_connections"),
+        total("udp", of_service).alias("udp_connections"),
+        total("icmp", of_service).alias("icmp_connections"),
+        total("sent", of_service).alias("total_bytes_sent"),
+        F.coalesce(total("received", of_service), F.lit(0)).alias("total_bytes_received"),
+        F.count_if(of_source).alias("unique_source_ips"),
+        total("dests", of_dest).alias("unique_dest_ips"),
+        F.count_if(of_source & (F.col("ports") >= scan_ports)).alias("port_scans_detected"),
+        F.array_join(named, "|").alias("top_services"),
+    )
+
+
 def hourly_rollup(conn, dns, ssl, http, files, notices, scan_ports: int = 15, top: int = 3) -> DataFrame:
     """Per clock hour figures of all monitor tables. ``files`` needs a timestamp."""
     hour = F.date_trunc("HOUR", "timestamp").cast("timestamp_ntz").alias("hour")
-    proto = F.col("protocol")
-    c = conn.groupBy(hour).agg(
-        F.count("*").alias("total_connections"),
-        F.count_if(proto == "tcp").alias("tcp_connections"),
-        F.count_if(proto == "udp").alias("udp_connections"),
-        F.count_if(proto == "icmp").alias("icmp_connections"),
-        F.sum("orig_bytes").cast("bigint").alias("total_bytes_sent"),
-        F.coalesce(F.sum("resp_bytes"), F.lit(0)).cast("bigint").alias("total_bytes_received"),
-        F.countDistinct("source_ip").alias("unique_source_ips"),
-    )
-    dests = conn.groupBy(hour).agg(F.countDistinct("dest_ip").alias("unique_dest_ips"))
-    scans = (
-        has_port(conn).groupBy(hour, "source_ip").agg(F.countDistinct("dest_port").alias("p"))
-        .filter(F.col("p") >= scan_ports).groupBy("hour").agg(F.count("*").alias("port_scans_detected"))
-    )
-    services = conn.groupBy(hour, text.port_service(F.col("dest_port")).alias("service")).agg(F.count("*").alias("n"))
-    rank = Window.partitionBy("hour").orderBy(F.desc("n"), "service")
-    services = (
-        services.filter(F.col("service") != "Unknown").withColumn("rk", F.row_number().over(rank)).filter(F.col("rk") <= top)
-        .groupBy("hour").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rk", "service", "n"))),
-                             lambda e: F.concat(e["service"], F.lit("="), e["n"].cast("string"))), "|").alias("top_services"))
-    )
+    c = hourly_connections(conn, scan_ports, top)
     d = dns.groupBy(hour).agg(F.count("*").alias("dns_queries"), F.count_if(F.col("rcode_name") == "NXDOMAIN").alias("dns_nxdomain"))
     s = ssl.groupBy(hour).agg(
         F.count("*").alias("ssl_connections"),
@@ -313,7 +330,7 @@ def hourly_rollup(conn, dns, ssl, http, files, notices, scan_ports: int = 15, to
     h = http.groupBy(hour).agg(F.count("*").alias("http_requests"), F.count_if(F.col("status") >= 400).alias("http_errors"))
     f = files.groupBy(hour).agg(F.count("*").alias("files_transferred"))
     n = notices.groupBy(hour).agg(F.count("*").alias("notices_generated"))
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [c, dests, scans, services, d, s, h, f, n])
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [c, d, s, h, f, n])
     cols = [x for x in stacked.columns if x not in ("hour", "top_services")]
     return stacked.groupBy("hour").agg(
         *[F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(x) for x in cols],
