@@ -84,18 +84,17 @@ def parse_sshd(lines: DataFrame) -> DataFrame:
     )
     named, invalid = r"for (\w+) from ([\d.]+)", r"Invalid user (\w+) from ([\d.]+)"
 
+    def pair(pattern: str) -> Column:
+        return F.split(F.regexp_replace(line, "(?s:^.*?)" + pattern + "(?s:.*)$", "$1\n$2"), "\n")
+
+    known = F.col("status").isin("failed", "success")
+    rows = lines.filter(F.lower(line).contains("sshd")).withColumn("status", status)
+    rows = text.once(rows, "_pair", F.when(known, pair(named)).when(F.col("status") == "invalid_user", pair(invalid)))
+
     def part(n: int) -> Column:
-        return F.when(F.col("status").isin("failed", "success"), group(named, n)).when(
-            F.col("status") == "invalid_user", group(invalid, n)
-        )
+        return F.when(F.size("_pair") == 2, F.nullif(F.get("_pair", F.lit(n)), F.lit("")))
 
-    return (
-        lines.filter(F.lower(line).contains("sshd"))
-        .withColumn("status", status)
-        .withColumn("user", part(1))
-        .withColumn("ip", part(2))
-        .withColumn("stamp", group(SYSLOG_STAMP, 1))
-    )
+    return rows.withColumn("user", part(0)).withColumn("ip", part(1)).withColumn("stamp", group(SYSLOG_STAMP, 1)).drop("_pair")
 
 
 def access_events(requests: DataFrame) -> DataFrame:
@@ -234,17 +233,15 @@ def ingest_summary(access: DataFrame, auth: DataFrame, bans: DataFrame, year: in
 
     Ban logs count only Unban and Found lines as skipped, auth logs none.
     """
-    requests = access.withColumn("ok", F.col("line").rlike(ACCESS_LINE))
-    attacked = F.size(text.attack_types(group(ACCESS_LINE, 4), group(ACCESS_LINE, 8))) > 0
-    status = F.regexp_extract("line", ACCESS_LINE, 5).try_cast("int")
-    web = requests.withColumn("made", F.col("ok") & (attacked | (status >= 400)))
+    request = text.once(access, "_parts", F.split(F.regexp_replace("line", ACCESS_LINE + "(?s:.*)$", "$4\n$5\n$8"), "\n"))
+    path, status, agent = (F.get("_parts", F.lit(i)) for i in range(3))
+    wanted = (F.size(text.attack_types(path, agent)) > 0) | (status.try_cast("int") >= 400)
+    web = text.once(request, "made", F.coalesce((F.size("_parts") == 3) & wanted, F.lit(False)))
     blank = F.trim("line") == ""
-    kinds = text.first_case(
-        [(F.col("line").rlike(BAN), "ban"), (F.col("line").rlike(UNBAN), "unban"), (F.col("line").rlike(FOUND), "found")]
-    )
-    login = F.col("line").contains("sshd") & (
-        F.col("line").rlike(LOGIN_FAILED) | F.col("line").rlike(LOGIN_ACCEPTED) | F.col("line").rlike(LOGIN_INVALID)
-    )
+    kept = text.once(bans, "_parts", F.split(replaced(bans, BAN_KINDS), "\n"))
+    kept = kept.withColumn("k", F.when(F.size("_parts") == 4, F.get("_parts", F.lit(0))))
+    logins = text.once(auth, "_parts", F.when(F.col("line").contains("sshd"), F.split(replaced(auth, LOGIN_KINDS), "\n")))
+    login = F.coalesce(F.size("_parts") == 5, F.lit(False))
 
     def sums(df, source, made, skipped):
         return df.agg(
@@ -253,7 +250,7 @@ def ingest_summary(access: DataFrame, auth: DataFrame, bans: DataFrame, year: in
         )
 
     return (
-        sums(web, "nginx_access", F.coalesce("made", F.lit(False)), ~F.coalesce("made", F.lit(False)) & ~blank)
-        .unionByName(sums(auth, "ssh_auth", login, F.lit(False)))
-        .unionByName(sums(bans.withColumn("k", kinds), "fail2ban", F.coalesce(F.col("k") == "ban", F.lit(False)), F.col("k").isin("unban", "found")))
+        sums(web, "nginx_access", F.col("made"), ~F.col("made") & ~blank)
+        .unionByName(sums(logins, "ssh_auth", login, F.lit(False)))
+        .unionByName(sums(kept, "fail2ban", F.coalesce(F.col("k") == "ban", F.lit(False)), F.col("k").isin("unban", "found")))
     )
