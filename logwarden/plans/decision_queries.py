@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
@@ -374,6 +376,16 @@ def _(t):
     return kept.select("ip_address", "analyzed_at")
 
 
+NOON = AS_OF - timedelta(hours=12)
+
+
+@query("retention_days", f"select id, timestamp, source_ip from security_events where timestamp >= timestamp '{NOON - timedelta(days=20)}' or timestamp is null")
+def _(t):
+    rows, path = t.security_events.select("id", "timestamp", "source_ip"), shared_dir(t.spark, "events-by-day")
+    sk.write_by_day(rows, "timestamp", path)
+    return sk.clean_up_days(t.spark, path, rows.schema, "timestamp", NOON, 20)
+
+
 @query("invalidate_predictions", "select ip_address, ml_confidence, false as is_valid from prediction_store")
 def _(t):
     return sk.invalidated(t.prediction_store).select("ip_address", "ml_confidence", "is_valid")

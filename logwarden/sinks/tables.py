@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import re
+from datetime import datetime, time as clock, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ..functions.times import before, ts_lit
+from ..session import shared_table
 
 THREAT_COLUMNS = ["ip", "score", "ml_confidence", "zeek_detections", "fail2ban_bans", "total_events", "country", "last_seen"]
 TIMELINE_COLUMNS = ["timestamp", "ml_detections", "zeek_detections", "fail2ban_bans", "total"]
@@ -51,6 +54,40 @@ def clean_up(table: DataFrame, time: str, as_of: datetime, days: int, path: str)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+DAY = "_day"
+
+
+def write_by_day(table: DataFrame, time: str, path: str) -> None:
+    """Write ``table`` in a folder per day of ``time``; rows without a time have a folder of their own."""
+    table.withColumn(DAY, F.col(time).cast("date")).write.partitionBy(DAY).parquet(path)
+
+
+def clean_up_days(spark: SparkSession, path: str, schema: StructType, time: str, as_of: datetime, days: int) -> DataFrame:
+    """Delete what is older than ``days`` in place from a table written by ``write_by_day`` and return the rest.
+
+    Folders of earlier days go without being read; only the border day is read and written anew, unless the border is midnight.
+    All other files stay as they are. Run again after a crash it ends the same: the rows of the border day are written aside first.
+    """
+    border = as_of - timedelta(days=days)
+    folder = f"{path}/{DAY}={border:%Y-%m-%d}"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = {s.getPath().getName() for s in store.listStatus(root) if s.isDirectory()}
+    dated = {n: n.removeprefix(f"{DAY}=") for n in names if re.fullmatch(rf"{DAY}=\d{{4,}}-\d\d-\d\d", n)}
+    for name, day in dated.items():
+        if day < f"{border:%Y-%m-%d}":
+            store.delete(fs.Path(f"{path}/{name}"), True)
+    if folder.rsplit("/", 1)[1] in dated and border.time() != clock(0):
+        kept = shared_table(spark.read.schema(schema).parquet(folder).filter(F.col(time) >= ts_lit(border)), "border-day")
+        if kept.isEmpty():
+            store.delete(fs.Path(folder), True)
+        else:
+            one = kept.withColumn(DAY, F.lit(border.date()))
+            one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+    return spark.read.schema(StructType([*schema.fields, StructField(DAY, DateType())])).parquet(path).drop(DAY)
+
+
 def invalidated(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("is_valid", F.lit(False))
 
