@@ -378,12 +378,14 @@ def window_counts(
 ) -> DataFrame:
     """Sliding windows in which a key reaches a number of rows (or distinct values).
 
-    Works on batch and stream; ``distinct`` values must come from a bounded set,
-    such as port numbers.
+    Works on batch and stream. Rows are counted per slide first; only these counts are copied into the windows that hold the slide, so
+    the number of rows that move does not grow with ``span / slide``, which must be whole. ``distinct`` values must come from a
+    bounded set, such as port numbers.
     """
-    n = F.size(F.collect_set(distinct)).cast("bigint") if distinct else F.count("*")
+    slides = rows.groupBy(F.window("timestamp", slide).alias("_slide"), key, *([distinct] if distinct else [])).agg(F.count("*").alias("_n"))
+    n = F.size(F.collect_set(distinct)).cast("bigint") if distinct else F.sum("_n")
     return (
-        rows.groupBy(F.window("timestamp", span, slide).alias("w"), key)
+        slides.groupBy(F.window(F.window_time("_slide"), span, slide).alias("w"), key)
         .agg(n.alias("n"))
         .filter(F.col("n") >= at_least)
         .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
