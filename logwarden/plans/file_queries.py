@@ -32,8 +32,8 @@ CONN_CELLS = [f"cast({EPOCH} as string)", "uid", "source_ip", "dest_ip", "cast(d
               "case when protocol = 'tcp' then 'T' else 'F' end", "'(empty)'"]
 
 
-def write_tsv(t, df, head, cells, name, path=None):
-    """Monitor log files, as many as the data has partitions, each with ``#separator`` and ``#fields`` lines on top."""
+def write_tsv(t, df, head, cells, name, path=None, packed="none"):
+    """Monitor log files, as many as the data has partitions, each with ``#separator`` and ``#fields`` lines on top; ``packed`` names a codec."""
     path = path or shared_dir(t.spark, name)
     top = ["#separator \\x09", "\t".join(["#fields", *head])]
 
@@ -46,17 +46,17 @@ def write_tsv(t, df, head, cells, name, path=None):
             yield batch
 
     rows = df.select(F.expr("concat_ws('\\t', " + ", ".join(cells) + ")").alias("value"))
-    rows.mapInArrow(headed, "value string").write.text(path)
+    rows.mapInArrow(headed, "value string").write.text(path, compression=packed)
     return ll.read_lines(t.spark, path)
 
 
-def write_json(t, df, fields: dict[str, str], name, junk=True, path=None):
+def write_json(t, df, fields: dict[str, str], name, junk=True, path=None, packed="none"):
     """Monitor log files with one object per line, plus a comment and a broken line per file."""
     path = path or shared_dir(t.spark, name)
     body = df.select(F.to_json(F.struct(*[F.expr(e).alias(k) for k, e in fields.items()])).alias("value"))
     if junk:
         body = body.unionByName(df.limit(3).select(F.explode(F.array(F.lit("# note"), F.lit('{"ts": broken'), F.lit(" "))).alias("value")))
-    body.write.text(path)
+    body.write.text(path, compression=packed)
     return ll.read_lines(t.spark, path)
 
 
@@ -278,8 +278,8 @@ def _(t):
     base, out = shared_dir(t.spark, "poll-in"), shared_dir(t.spark, "poll-out")
     paths = {kind: f"{base}/{kind}/*" for kind in mo.FIELDS}
 
-    def at(kind, part):
-        return {"name": "", "path": f"{base}/{kind}/{part}"}
+    def at(kind, part):  # rotated logs are packed
+        return {"name": "", "path": f"{base}/{kind}/{part}", "packed": "gzip"}
 
     tcp = F.col("protocol") == "tcp"
     write_tsv(t, t.conn.filter(tcp), CONN_HEAD, CONN_CELLS, **at("conn", "tsv"))

@@ -1,12 +1,13 @@
 """Merge of monitor logs into stored tables, batch by batch.
 
-Layout under the job's folder: ``raw/n=<batch>/log=<kind>`` has the lines as they came, ``<kind>/n=<batch>`` the new rows, and
-``keys/<kind>/n=<batch>`` their keys. Batch ``n`` is decided by the keys of batches before ``n`` alone and writes its own folders anew, so a
+Layout under the job's folder: ``<kind>/n=<batch>`` has the new rows of a batch, ``keys/<kind>/n=<batch>`` their keys. The lines are not
+stored again: a batch is cached while the kinds read it, and what a lost executor held is read anew from the files of the batch. Batch ``n`` is decided by the keys of batches before ``n`` alone and writes its own folders anew, so a
 repeated batch stores the same rows again and none twice. Every ``FOLD`` batches the keys so far become one table.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources import monitor as mo
@@ -72,9 +73,9 @@ def unseen(rows: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
 def store_batch(batch: DataFrame, n: int, kinds: list[str], out: str, as_of: Column) -> None:
     """Store one micro-batch of lines (log, line, file) under ``out``."""
     spark = batch.sparkSession
-    batch.write.mode("overwrite").partitionBy("log").parquet(f"{out}/raw/n={n}")
+    held = batch.persist(StorageLevel.MEMORY_AND_DISK)
     for kind in kinds:
-        lines = spark.read.schema("line string, file string, log string").parquet(f"{out}/raw/n={n}").filter(F.col("log") == kind)
+        lines = held.filter(F.col("log") == kind)
         rows = table(kind, mo.parse_auto(lines.select("line", "file"), mo.FIELDS[kind]), as_of)
         key, data = KEYS.get(kind), f"{out}/{kind}/n={n}"
         if key is None:
@@ -85,3 +86,4 @@ def store_batch(batch: DataFrame, n: int, kinds: list[str], out: str, as_of: Col
             fold_keys(spark, keys, key, n)
         unseen(rows, stored_keys(spark, keys, key, n), key).write.mode("overwrite").parquet(data)
         spark.read.schema(rows.schema).parquet(data).filter(F.col(key).isNotNull()).select(key).write.mode("overwrite").parquet(f"{keys}/n={n}")
+    held.unpersist()
