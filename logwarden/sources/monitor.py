@@ -103,9 +103,14 @@ def parse_headed(lines: DataFrame, fields: list[str]) -> DataFrame:
     return parsed_either(rows, fields)
 
 
-def parse_auto(lines: DataFrame, fields: list[str]) -> DataFrame:
-    """TSV for files that name their fields, JSON for the others; the lines are read once for both."""
+def parse_auto(lines: DataFrame, fields: list[str], few: int = 0) -> DataFrame:
+    """TSV for files that name their fields, JSON for the others; the lines are read once for both.
+
+    With ``few`` the files that name their fields are counted first, and up to so many headers are sent out, so that no line moves.
+    """
     heads = tsv_headers(lines, fields)
+    if few and heads.limit(few + 1).count() <= few:
+        heads = F.broadcast(heads)
     data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     rows = data.join(heads, F.col("file") == F.col("_file"), "left")
     return parsed_either(rows, fields)

@@ -17,6 +17,8 @@ KEYS = {"conn": "uid", "files": "fuid"}
 #: Slots of the filter that is sent to the stored keys: a bound on its rows, whatever the batch.
 SLOTS = 1 << 20
 FOLD = 64
+#: Headers of a batch, one row of a path and the places of at most 18 fields each, that may be sent to all executors.
+FEW_FILES = 20_000
 
 
 def table(kind: str, rows: DataFrame, as_of: Column) -> DataFrame:
@@ -76,7 +78,7 @@ def store_batch(batch: DataFrame, n: int, kinds: list[str], out: str, as_of: Col
     held = batch.persist(StorageLevel.MEMORY_AND_DISK)
     for kind in kinds:
         lines = held.filter(F.col("log") == kind)
-        rows = table(kind, mo.parse_auto(lines.select("line", "file"), mo.FIELDS[kind]), as_of)
+        rows = table(kind, mo.parse_auto(lines.select("line", "file"), mo.FIELDS[kind], FEW_FILES), as_of)
         key, data = KEYS.get(kind), f"{out}/{kind}/n={n}"
         if key is None:
             rows.write.mode("overwrite").parquet(data)
