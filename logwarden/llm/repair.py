@@ -225,9 +225,12 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = 1, shard_id
 
 
 def file_order(path: str) -> Column:
-    """Place of a part file in the order of the ids: the number of its task, then the number of the file within the task."""
+    """Place of a part file in the order of the ids: the number of its task, then the number of the file within the task.
+
+    The job's uuid stands between the two and may itself hold ``-c`` and digits; the file's number is the last part of the name.
+    """
     number = lambda pattern: F.regexp_extract(path, pattern, 1).try_cast("long")
-    return F.struct(number(r"/part-(\d+)[^/]*$").alias("task"), F.coalesce(number(r"-c(\d+)[^/]*$"), F.lit(0)).alias("file"))
+    return F.struct(number(r"/part-(\d+)[^/]*$").alias("task"), F.coalesce(number(r"-c(\d+)(?:\.[^/]*)?$"), F.lit(0)).alias("file"))
 
 
 def read_ids(spark, path: str) -> DataFrame:

@@ -171,6 +171,16 @@ def test_files_are_ordered_by_their_numbers(spark):
     assert [r["at"] for r in rows.orderBy(repair.file_order("path")).collect()] == list(range(len(names)))
 
 
+def test_files_are_ordered_by_their_numbers_whatever_the_uuid(spark):
+    uuids = ["3f1c0a52-c9b4-4f7e-9d10-c41f2e6a7b88", "00000000-c123-4c45-8c67-c00000000000", "3f1c0a52-09b4-4f7e-9d10-041f2e6a7b88"]
+    for uuid in uuids:
+        names = [f"file:/x-c7/part-{n:05d}-{uuid}-c{c:03d}{end}" for n in (0, 1, 100_000) for c, end in ((0, ".txt"), (2, ".txt.gz"), (10, ""), (1000, ".txt"))]
+        rows = spark.createDataFrame([(k, name) for k, name in enumerate(names)], "at long, path string").repartition(5)
+        got = rows.select("at", repair.file_order("path").alias("place")).orderBy("place").collect()
+        assert [r["at"] for r in got] == list(range(len(names)))
+        assert len({(r["place"]["task"], r["place"]["file"]) for r in got}) == len(names)
+
+
 def test_ids_in_several_files_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(repair, "SHARDS_PER_FILE", 1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
