@@ -308,7 +308,7 @@ def fit_models(train: DataFrame, order: int) -> dict[str, Model]:
     return models
 
 
-def _scored(docs: DataFrame, models: dict[str, Model], order: int, sizes: bool = True) -> DataFrame:
+def _scored(docs: DataFrame, models: dict[str, Model], order: int) -> DataFrame:
     """``docs`` with entropies per language (in the order of the models) and characters."""
     names = [f for f in docs.schema.fields if f.name != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -325,45 +325,48 @@ def _scored(docs: DataFrame, models: dict[str, Model], order: int, sizes: bool =
     return docs.mapInArrow(run, f"{kept}, entropy array<double>, size long")
 
 
-def _calibrated(rows: list, langs: list[str]) -> tuple[float, list[float]]:
-    """The sharpness that makes the chosen language's share of belief likeliest, and each language's largest entropy that is accepted."""
+def calibrated(rows: DataFrame, langs: list[str]) -> tuple[float, list[float]]:
+    """The sharpness that makes the chosen language's share of belief likeliest, and each language's largest entropy that is accepted.
+
+    ``rows`` (lang, entropy) are scored texts of ``langs``; all of them count, in one aggregate per language.
+    """
     if not langs:
         return 1.0, []
-    entropy = np.array([r["entropy"] for r in rows]).reshape(-1, len(langs))
-    truth = np.array([langs.index(r["lang"]) for r in rows], int)
-    limit = []
-    for j in range(len(langs)):
-        own = entropy[truth == j, j]
-        limit.append(float(own.mean() + 6 * own.std() + 0.5) if len(own) else float("inf"))
-    best = (-np.inf, 10.0)
-    for sharp in np.geomspace(1, 100, 25):
-        belief = -sharp * (entropy - entropy.min(axis=1, keepdims=True))
-        fit = (belief[np.arange(len(truth)), truth] - np.log(np.exp(belief).sum(axis=1))).sum() if len(truth) else 0.0
-        best = max(best, (float(fit), float(sharp)))
-    return best[1], limit
+    steps = [float(s) for s in np.geomspace(1, 100, 25)]
+    own = F.get("entropy", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1)
+    best = F.array_min("entropy")
+    rows = rows.select("lang", own.alias("own"), F.transform("entropy", lambda x: x - best).alias("over"), (own - best).alias("behind"))
+    fits = [F.sum(-F.col("behind") * s - F.log(F.aggregate("over", F.lit(0.0), lambda a, x: a + F.exp(x * F.lit(-s))))).alias(f"fit_{k}") for k, s in enumerate(steps)]
+    found = {r["lang"]: r for r in rows.groupBy("lang").agg(F.avg("own").alias("mean"), F.stddev_pop("own").alias("dev"), *fits).collect()}
+    limit = [found[x]["mean"] + 6 * found[x]["dev"] + 0.5 if x in found else float("inf") for x in langs]
+    if not found:
+        return 10.0, limit
+    return max((sum(found[x][f"fit_{k}"] for x in langs if x in found), s) for k, s in enumerate(steps))[1], limit
 
 
 def calibration_sample(train: DataFrame, share: float, rows: int) -> DataFrame:
-    """doc_id, lang, text of about ``share`` of the distinct rows, by a hash of id and text; never more than 2 * ``rows``."""
+    """doc_id, lang, text of about ``share`` of the distinct rows, by a hash of id and text; never more than 2 * ``rows``.
+
+    For a look at the rows; nothing is learnt from it.
+    """
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
     return train.filter(hashed <= F.lit(min(_TOP, int(share * 2.0**63)))).select("doc_id", "lang", "text").distinct().limit(2 * rows)
 
 
-def identified_documents(docs: DataFrame, order: int = 5, sample_rows: int = 4000) -> DataFrame:
+def identified_documents(docs: DataFrame, order: int = 5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): held_out, lang_pred, score, cross_entropy (nats per character) and rejected.
 
-    Learnt from the text and lang of all rows that are not held out and have both; scored are all rows, by their text alone. ``und`` with
-    score 0 stands for a null text, a text without a letter, and for every text if nothing could be learnt. ``rejected`` marks texts
-    less likely under the chosen model than its own texts are, calibrated with the sharpness of ``score`` on about
-    ``sample_rows`` training rows. Ties go to the first language by name. Repeated rows and null ids have a result each (a null
+    Learnt from the text and lang of all rows that are not held out and have both; scored are all rows, once, by their text alone. ``und``
+    with score 0 stands for a null text, a text without a letter, and for every text if nothing could be learnt. ``rejected`` marks texts
+    less likely under the chosen model than its own texts are, calibrated with the sharpness of ``score`` on all training
+    rows. Ties go to the first language by name. Repeated rows and null ids have a result each (a null
     id is not held out); an empty table gives an empty result; other columns are ignored.
     """
-    train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    models = fit_models(train.select("lang", "text"), order)
+    learnt = ~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
+    models = fit_models(docs.filter(learnt & F.col("text").isNotNull()).select("lang", "text"), order)
     langs = list(models)
-    sample = calibration_sample(train, min(1.0, sample_rows / max(1, docs.count())), sample_rows)
-    sharp, limit = _calibrated(_scored(sample.select("lang", "text"), models, order).filter("size > 0").select("lang", "entropy").collect(), langs)
-    rows = _scored(docs.select("doc_id", "text"), models, order)
+    rows = written(_scored(docs.select("doc_id", "lang", "text"), models, order), "entropies")
+    sharp, limit = calibrated(rows.filter(learnt & (F.col("size") > 0)).select("lang", "entropy"), langs)
     best = F.array_min("entropy")
     at = F.array_position("entropy", best).cast("int")
     named = F.array(*map(F.lit, langs)) if langs else F.array(F.lit(UNKNOWN))

@@ -165,6 +165,35 @@ def test_rows_of_one_id_do_not_all_reach_the_driver(spark):
     assert language.calibration_sample(train, 1.0, 4500).count() == 4001
 
 
+def test_thresholds_come_from_all_training_rows(spark):
+    rng = np.random.default_rng(3)
+    wide = [(lang, rng.gamma(2.0, 1.0, 3).tolist()) for lang in rng.choice(["a", "b", "c"], 9000).tolist()]
+    wide += [("b", [0.0, 900.0, 1.0])]  # one row of thousands, far out, moves the limit of its language
+    sharp, limit = language.calibrated(spark.createDataFrame(wide, "lang string, entropy array<double>").repartition(7), ["a", "b", "c", "d"])
+    entropy, truth = np.array([e for _, e in wide]), np.array(["abc".index(x) for x, _ in wide])
+    for j in range(3):
+        own = entropy[truth == j, j]
+        assert abs(limit[j] - (own.mean() + 6 * own.std() + 0.5)) < 1e-9
+    assert limit[1] > 60 and limit[3] == float("inf")
+    gap, best = entropy - entropy.min(axis=1, keepdims=True), (-np.inf, 0.0)
+    for s in np.geomspace(1, 100, 25):
+        best = max(best, (float((-s * gap[np.arange(len(truth)), truth] - np.log(np.exp(-s * gap).sum(axis=1))).sum()), float(s)))
+    assert sharp == best[1]
+    assert language.calibrated(spark.createDataFrame([], "lang string, entropy array<double>"), ["a"]) == (10.0, [float("inf")])
+
+
+def test_each_text_is_scored_once_and_none_is_passed_over(spark, monkeypatch):
+    scored, learnt = [], []
+    plain, fitted = language._scored, language.calibrated
+    monkeypatch.setattr(language, "_scored", lambda docs, *a: scored.append(docs.count()) or plain(docs, *a))
+    monkeypatch.setattr(language, "calibrated", lambda rows, langs: learnt.append(rows.count()) or fitted(rows, langs))
+    docs = spark.createDataFrame([(k, ("das haus " if k % 2 else "the house ") + str(k), "de" if k % 2 else "en") for k in range(9500)] + [(None, None, "en"), (1, "17", "de")],
+                                 "doc_id long, text string, lang string")
+    out = language.identified_documents(docs)
+    assert out.count() == 9502 and scored == [9502]
+    assert learnt == [docs.filter(~language.held_out(docs.doc_id) & (docs.text != "17")).count()] and learnt[0] > 6000
+
+
 def test_model_probabilities_sum_to_one():
     text = " banana bandana ananas "
     letters = language.Letters()
