@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text
 from ..functions.numbers import rounded
+from ..functions.times import micros
 
 
 def top_counts(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -379,9 +381,11 @@ def window_counts(
     """Sliding windows in which a key reaches a number of rows (or distinct values).
 
     Works on batch and stream. Rows are counted per slide first; only these counts are copied into the windows that hold the slide, so
-    the number of rows that move does not grow with ``span / slide``, which must be whole. ``distinct`` values must come from a
-    bounded set, such as port numbers.
+    the number of rows that move does not grow with ``span / slide``, which must be whole. ``distinct`` values of a stream must come
+    from a bounded set, such as port numbers; in a batch no set is built, see ``distinct_window_counts``.
     """
+    if distinct and at_least > 0 and not rows.isStreaming:
+        return distinct_window_counts(rows, key, span, slide, at_least, distinct)
     slides = rows.groupBy(F.window("timestamp", slide).alias("_slide"), key, *([distinct] if distinct else [])).agg(F.count("*").alias("_n"))
     n = F.size(F.collect_set(distinct)).cast("bigint") if distinct else F.sum("_n")
     return (
@@ -392,6 +396,39 @@ def window_counts(
     )
 
 
+def _micros_of(span: str) -> int:
+    """A span of fixed length in microseconds."""
+    return round(pd.Timedelta(span).total_seconds() * 1_000_000)
+
+
+def distinct_window_counts(rows: DataFrame, key: str, span: str, slide: str, at_least: int, distinct: str) -> DataFrame:
+    """Sliding windows in which a key reaches a number of distinct values; batch only.
+
+    A value is in all windows that hold one of its slides. Slide by slide it comes into the windows that the slide before did not
+    reach: +1 at the first of these, -1 behind the last. Marks of all values are added up per key and place; their running sum is the count,
+    which stays the same up to the next mark. So no set is built, and a key as a whole is at most two rows per slide.
+    """
+    wide, step = _micros_of(span), _micros_of(slide)
+    steps = wide // step
+    place = F.floor(micros("timestamp") / step)
+    slides = rows.filter(F.col("timestamp").isNotNull() & F.col(distinct).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(distinct).alias("_value"), place.alias("_at")).distinct()
+    before = F.lag("_at").over(Window.partitionBy("_key", "_value").orderBy("_at"))
+    first = F.greatest(F.col("_at") - (steps - 1), F.coalesce(before + 1, F.col("_at") - (steps - 1)))
+    spans = slides.select("_key", "_at", first.alias("_first"))
+    marks = spans.select("_key", F.explode(F.array(
+        F.struct(F.col("_first").alias("w"), F.lit(1).alias("d")), F.struct((F.col("_at") + 1).alias("w"), F.lit(-1).alias("d")))).alias("m"))
+    sums = marks.groupBy("_key", F.col("m.w").alias("_w")).agg(F.sum("m.d").alias("_d")).filter(F.col("_d") != 0)
+    order = Window.partitionBy("_key").orderBy("_w")
+    counted = sums.withColumn("n", F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
+        "_next", F.lead("_w").over(order)).filter(F.col("n") >= at_least)
+    start = F.explode(F.sequence("_w", F.col("_next") - 1))
+    kind = rows.schema["timestamp"].dataType
+    moment = lambda us: F.timestamp_micros(us).cast(kind)
+    return counted.select(F.col("_key").alias(key), start.alias("_w"), "n").select(
+        key, moment(F.col("_w") * step).alias("window_start"), moment(F.col("_w") * step + wide).alias("window_end"), "n")
+
+
 def counted_requests(requests: DataFrame) -> DataFrame:
     """Requests whose method the rate jail's filter knows."""
     return requests.filter(F.col("method").isin(*fixed.JAIL_METHODS))
