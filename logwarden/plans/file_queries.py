@@ -32,8 +32,11 @@ CONN_CELLS = [f"cast({EPOCH} as string)", "uid", "source_ip", "dest_ip", "cast(d
               "case when protocol = 'tcp' then 'T' else 'F' end", "'(empty)'"]
 
 
-def write_tsv(t, df, head, cells, name, path=None, packed="none"):
-    """Monitor log files, as many as the data has partitions, each with ``#separator`` and ``#fields`` lines on top; ``packed`` names a codec."""
+def write_tsv(t, df, head, cells, name, path=None, packed="gzip"):
+    """Monitor log files, as many as the data has partitions, each with ``#separator`` and ``#fields`` lines on top; ``packed`` names a codec.
+
+    Rotated logs are packed: as plain text the copy would be a dozen times the tables.
+    """
     path = path or shared_dir(t.spark, name)
     top = ["#separator \\x09", "\t".join(["#fields", *head])]
 
@@ -50,7 +53,7 @@ def write_tsv(t, df, head, cells, name, path=None, packed="none"):
     return ll.read_lines(t.spark, path)
 
 
-def write_json(t, df, fields: dict[str, str], name, junk=True, path=None, packed="none"):
+def write_json(t, df, fields: dict[str, str], name, junk=True, path=None, packed="gzip"):
     """Monitor log files with one object per line, plus a comment and a broken line per file."""
     path = path or shared_dir(t.spark, name)
     body = df.select(F.to_json(F.struct(*[F.expr(e).alias(k) for k, e in fields.items()])).alias("value"))
@@ -173,7 +176,7 @@ def _(t):
 def _(t):
     """Connections from logs read in splits that carry their file's header, without a join of lines and headers."""
     path = shared_dir(t.spark, "conn-splits")
-    write_tsv(t, t.conn, CONN_HEAD, CONN_CELLS, "conn", f"{path}/tsv")
+    write_tsv(t, t.conn, CONN_HEAD, CONN_CELLS, "conn", f"{path}/tsv", packed="none")
     lines = growing.read_growing(t.spark, path, glob="*.txt", splitBytes=str(8 << 20))
     return mo.conn_table(mo.parse_headed(lines, mo.FIELDS["conn"])).drop("source_port", "service")
 
@@ -278,8 +281,8 @@ def _(t):
     base, out = shared_dir(t.spark, "poll-in"), shared_dir(t.spark, "poll-out")
     paths = {kind: f"{base}/{kind}/*" for kind in mo.FIELDS}
 
-    def at(kind, part):  # rotated logs are packed
-        return {"name": "", "path": f"{base}/{kind}/{part}", "packed": "gzip"}
+    def at(kind, part):
+        return {"name": "", "path": f"{base}/{kind}/{part}"}
 
     tcp = F.col("protocol") == "tcp"
     write_tsv(t, t.conn.filter(tcp), CONN_HEAD, CONN_CELLS, **at("conn", "tsv"))

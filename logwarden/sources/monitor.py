@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text
 from ..functions.times import from_epoch_text
+from ..session import shared_table
+
+#: Headers, one row of a path and the places of at most 18 fields each, that may be sent to all executors.
+FEW_FILES = 20_000
 
 # --- fixed values: fields read per log kind
 FIELDS = {
@@ -56,13 +60,18 @@ def positions(headed: DataFrame, fields: list[str]) -> DataFrame:
     return named.withColumn("at", at)
 
 
+def few_headers(lines: DataFrame, fields: list[str], few: int = FEW_FILES) -> DataFrame:
+    """The headers, found once and written; sent to all executors if they are at most ``few``, else joined as Spark sees fit."""
+    heads = shared_table(tsv_headers(lines, fields), "log-headers")
+    return F.broadcast(heads) if few and heads.count() <= few else heads
+
+
 def parse_tsv(lines: DataFrame, fields: list[str]) -> DataFrame:
     """Rows of files with a ``#fields`` line; ``-`` is null, ``(empty)`` is '', T and F are booleans.
 
-    The header table has one row per file, so the join adds no shuffle of the
-    lines while Spark finds it small enough to send out.
+    The header table has one row per file; up to ``FEW_FILES`` are sent out, so that no line moves.
     """
-    heads = tsv_headers(lines, fields)
+    heads = few_headers(lines, fields)
     data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     rows = text.once(data.join(heads, F.col("file") == F.col("_file")), "cells", tsv_cells())
 
@@ -103,14 +112,12 @@ def parse_headed(lines: DataFrame, fields: list[str]) -> DataFrame:
     return parsed_either(rows, fields)
 
 
-def parse_auto(lines: DataFrame, fields: list[str], few: int = 0) -> DataFrame:
+def parse_auto(lines: DataFrame, fields: list[str], few: int = FEW_FILES) -> DataFrame:
     """TSV for files that name their fields, JSON for the others; the lines are read once for both.
 
-    With ``few`` the files that name their fields are counted first, and up to so many headers are sent out, so that no line moves.
+    The files that name their fields are counted first, and up to ``few`` headers are sent out, so that no line moves.
     """
-    heads = tsv_headers(lines, fields)
-    if few and heads.limit(few + 1).count() <= few:
-        heads = F.broadcast(heads)
+    heads = few_headers(lines, fields, few)
     data = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     rows = data.join(heads, F.col("file") == F.col("_file"), "left")
     return parsed_either(rows, fields)
