@@ -15,6 +15,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.times import micros
 
 MINUTE = 60_000_000
+#: Rows (three narrow columns each) that a task sorts at once.
+TASK_ROWS = 500_000
+
+
+def spread(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """``n`` rows by ``by`` in as many parts as keep a task's sort small, whatever the size of the input; small ones as Spark sees fit."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-n // TASK_ROWS)
+    return rows.repartition(parts, *by) if parts > usual else rows
 
 
 def with_previous(
@@ -48,16 +57,18 @@ def gap_moments(df: DataFrame, keys: list[str], ts: str, width_us: int = MINUTE)
     """Per key ``n`` rows, ``first_seen``, ``last_seen``, ``gaps``, and ``mean`` and ``squares`` (mean of squares) of the gaps in seconds.
 
     Rows are read and moved once. Gaps inside a (key, time bucket) are summed there; between buckets only the last time of the
-    bucket before matters, so the key as a whole is a row per non-empty bucket.
+    bucket before matters, so the key as a whole is a row per non-empty bucket. Rows are counted before, so that no task sorts
+    more of a larger input.
     """
-    rows = df.select(*keys, micros(ts).alias("_us")).withColumn("_b", F.floor(F.col("_us") / width_us))
+    n = df.count()
+    rows = spread(df.select(*keys, micros(ts).alias("_us")).withColumn("_b", F.floor(F.col("_us") / width_us)), n, *keys, "_b")
     inside = Window.partitionBy(*keys, "_b").orderBy("_us")
     own = rows.withColumn("_gap", (F.col("_us") - F.lag("_us").over(inside)) / 1e6).groupBy(*keys, "_b").agg(
         F.count("*").alias("_n"), F.min("_us").alias("_first"), F.max("_us").alias("_last"),
         F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("_squares"))
     across = Window.partitionBy(*keys).orderBy("_b")
     between = (F.col("_first") - F.lag("_last").over(across)) / 1e6
-    total = own.withColumn("_between", between).groupBy(*keys).agg(
+    total = spread(own, n, *keys).withColumn("_between", between).groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
         F.sum(F.col("_squares") + F.coalesce(F.col("_between") * F.col("_between"), F.lit(0.0))).alias("_squares"))
     gaps = F.col("n") - 1
