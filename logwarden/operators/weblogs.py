@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed, text
 from ..functions.numbers import rounded
 from ..functions.times import micros
+from .intervals import spread
 
 
 def top_counts(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -407,12 +408,14 @@ def distinct_window_counts(rows: DataFrame, key: str, span: str, slide: str, at_
     A value is in all windows that hold one of its slides. Slide by slide it comes into the windows that the slide before did not
     reach: +1 at the first of these, -1 behind the last. Marks of all values are added up per key and place; their running sum is the count,
     which stays the same up to the next mark. So no set is built, and a key as a whole is at most two rows per slide.
+    Rows are counted before, so that no task sorts more of a larger input.
     """
     wide, step = _micros_of(span), _micros_of(slide)
     steps = wide // step
     place = F.floor(micros("timestamp") / step)
     slides = rows.filter(F.col("timestamp").isNotNull() & F.col(distinct).isNotNull()).select(
         F.col(key).alias("_key"), F.col(distinct).alias("_value"), place.alias("_at")).distinct()
+    slides = spread(slides, rows.count(), "_key", "_value")
     before = F.lag("_at").over(Window.partitionBy("_key", "_value").orderBy("_at"))
     first = F.greatest(F.col("_at") - (steps - 1), F.coalesce(before + 1, F.col("_at") - (steps - 1)))
     spans = slides.select("_key", "_at", first.alias("_first"))
