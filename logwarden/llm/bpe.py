@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-from .words import _WHITE, _bytes, run_hashes, runs
+from .words import _WHITE, _bytes, distinct_keys, run_hashes, runs
 
 _SPACED = re.compile(r"[ \n]?\S+|\s+(?=\s\S)|\s+")
 #: White space to one of the two regex dialects only, so that cuts at it may differ.
@@ -35,6 +35,11 @@ def _spelling() -> dict[int, str]:
 
 _SPELT = _spelling()
 
+#: Bytes of plain texts by what the patterns above keep together: letters 1, digits 2, others 3; white space 0.
+_CLASS = np.full(256, 3, np.int8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58], _CLASS[_WHITE] = 2, 0
+
 
 def _words(text: str) -> list[str]:
     """Pieces between ASCII white space, which a tokenizer that drops white space never crosses."""
@@ -42,7 +47,7 @@ def _words(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file; at most ``limit`` stretches of text, and a quarter as many words, are remembered."""
+    """Ids of texts by one tokenizer file; about ``limit`` stretches of text are remembered."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -59,7 +64,6 @@ class Encoder:
         self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.starts, self.lengths, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(4096, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
-        self.words: dict[str, tuple[int, ...]] = {}
 
     def _plain(self, text: str) -> bool:
         return bool(_PLAIN.fullmatch(text)) and not any(t in text for t in self.added)
@@ -68,10 +72,23 @@ class Encoder:
         """Bytes of plain texts, begin and end of the stretches they are cut into, and the edges of the texts among these.
 
         A stretch is a run that is not white; a tokenizer that keeps white space gets the last blank or line feed before it too,
-        and the white space before that as a stretch of its own.
+        and the white space before that as a stretch of its own. A run without an apostrophe, where the patterns depend on what
+        stands around, is cut further between letters, digits and others, so that fewer stretches are distinct.
         """
         raw, edges = _bytes(texts)
         begin, end = runs(raw, _WHITE[raw])
+        kind = _CLASS[raw]
+        apart = kind[1:] != kind[:-1]
+        if self.drops_space:  # each digit stands alone
+            apart |= kind[1:] == 2
+        inner = np.flatnonzero(apart & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        if len(inner):
+            marked = np.zeros(len(begin) + 1, bool)
+            marked[np.searchsorted(begin, np.flatnonzero(raw == 39), side="right") - 1] = True
+            inner = inner[~marked[np.searchsorted(begin, inner, side="right") - 1]]
+        if self.drops_space and len(inner):
+            begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
+            inner = inner[:0]
         if not self.drops_space:
             text_of = np.searchsorted(edges, begin, side="right") - 1
             first = edges[text_of]
@@ -81,9 +98,7 @@ class Encoder:
             all_begin = np.concatenate([before, lead, tails])
             all_end = np.concatenate([lead, end, edges[1:] - 1])
             some = all_end > all_begin
-            begin, end = all_begin[some], all_end[some]
-            order = np.argsort(begin, kind="stable")
-            begin, end = begin[order], end[order]
+            begin, end = np.sort(np.concatenate([all_begin[some], inner])), np.sort(np.concatenate([all_end[some], inner]))
         return raw, begin, end, np.searchsorted(begin, edges)
 
     def _pieces(self, text: str) -> list[str]:
@@ -96,16 +111,9 @@ class Encoder:
 
     def _spelt(self, stretches: list[str]) -> list[list[int]]:
         """The ids of stretches of plain text: they are split as the tokenizer does; the merges are the tokenizer's own."""
-        words, tokenize, out = self.words, self.tokenizer.model.tokenize, []
+        tokenize = self.tokenizer.model.tokenize
         split = _DROPPING.findall if self.drops_space else _KEEPING.findall
-        for stretch in stretches:
-            whole: list[int] = []
-            for w in split(stretch):
-                if w not in words:
-                    words[w] = tuple([t.id for t in tokenize(w.translate(_SPELT))])  # tuples of numbers are no work for the garbage collector
-                whole += words[w]
-            out.append(whole)
-        return out
+        return [[t.id for w in (split(x) if "'" in x or x[0] == "\n" else (x,)) for t in tokenize(w.translate(_SPELT))] for x in stretches]
 
     def _learn(self, lists: list[list[int]]) -> np.ndarray:
         """New numbers for stretches with these ids."""
@@ -139,11 +147,9 @@ class Encoder:
         """All ids in a row, and where each text's begin, with the total last; ``end`` is put behind each text's ids."""
         if self.known > self.limit:
             self._reset()
-        if 4 * len(self.words) > self.limit:
-            self.words = {}
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
         raw, begin, stop, edges = self._stretches([texts[i] for i in plain])
-        distinct, first, number = np.unique(run_hashes(raw, begin, stop, False), return_index=True, return_inverse=True)
+        distinct, first, number = distinct_keys(run_hashes(raw, begin, stop, self.drops_space))  # which lowers A-Z too
         b, e = begin[first].tolist(), stop[first].tolist()
 
         def spelt(places: list[int]) -> list[list[int]]:

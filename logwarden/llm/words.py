@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 #: Odd multipliers of the 64-bit mixing step (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -21,6 +22,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``keys`` ascending, the first place of each and the number of each key: ``np.unique``, but only distinct ones are sorted."""
+    number, distinct = pd.factorize(keys)
+    first = np.empty(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], first[order], rank[number]
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Maximal runs without the six ASCII white-space characters, as UTF-8 bytes; none for a null text."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

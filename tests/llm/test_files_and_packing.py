@@ -194,3 +194,17 @@ def test_ids_in_several_files_of_a_task(spark, monkeypatch):
     for (i, _), (doc, at, n, _) in zip(rows, got):
         assert (doc, at) == (i, start)
         start += n
+
+
+@pytest.mark.parametrize("path, first, then", [(WORD, "alpha , ( ) - x", "Alpha, (ALPHA) x-alpha"), (BYTE, "alpha alpha,x-x alpha", "alpha alpha, alpha-alpha")])
+def test_words_are_learnt_apart_from_what_stands_around_them(path, first, then):
+    encode, whole = Encoder(path), Tokenizer.from_file(path)
+    encode([first])
+    known = encode.known
+    encode([then])
+    assert encode.known == known
+    marks = ["{}", "{},", "({})", "{}.{}", "7{}", "{}42!", "'{}'", "{}'s", "\n{}", " {}", "\n\n {},", "-'{}", "{}\n!"]
+    texts = [m.format(w, w) for m in marks for w in ("alpha", "Été", "s", "x9y", "don't", "")]
+    ids, edges = encode(texts)
+    for text, a, b in zip(texts, edges[:-1], edges[1:]):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, text
