@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .batches import cut
 from .frames import sized, written
-from .words import MIX, mixed
+from .words import MIX, distinct_keys, mixed
 
 NAMED = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
 UNKNOWN = "und"
@@ -197,10 +197,40 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np
 
 
 class Scorer:
-    """Cross-entropies per character of whole texts under every model; each distinct word of the texts at hand is scored once."""
+    """Cross-entropies per character of whole texts under every model; each distinct word of the texts at hand is scored once.
 
-    def __init__(self, models: dict[str, Model], order: int):
-        self.models, self.order, self.letters = models, order, Letters()
+    What a symbol costs depends on the longest n-gram that ends there alone, so the costs of at most about ``limit`` n-grams are remembered.
+    """
+
+    def __init__(self, models: dict[str, Model], order: int, limit: int = 500_000):
+        self.models, self.order, self.letters, self.limit = models, order, Letters(), limit
+        self._reset()
+
+    def _reset(self) -> None:
+        # ascending hashes of n-grams, and under each model the log-probability of their last symbol
+        self.keys, self.values = np.empty(0, np.uint64), [np.empty(0) for _ in self.models]
+
+    def _symbols(self, own: np.ndarray, depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Under each model the log-probabilities of known n-grams, and for each place of ``own`` which of these is its own."""
+        hashes = gram_hashes(own, self.order)
+        key = np.where(depth > 0, np.stack(hashes)[depth - 1, np.arange(len(own))], np.uint64(0))
+        distinct, first, number = distinct_keys(key)
+        if len(self.keys) > self.limit:
+            self._reset()
+        spot = np.searchsorted(self.keys, distinct)
+        seen = np.zeros(len(distinct), bool)
+        inside = spot < len(self.keys)
+        seen[inside] = self.keys[spot[inside]] == distinct[inside]
+        new = np.flatnonzero(~seen)
+        if len(new):
+            at = first[new]
+            here = [h[at] for h in hashes]
+            before = [np.where(at > 0, h[at - 1], np.uint64(0)) for h in hashes]
+            for j, model in enumerate(self.models.values()):
+                self.values[j] = np.insert(self.values[j], spot[new], model.log_probabilities(here, before, depth[at]))
+            self.keys = np.insert(self.keys, spot[new], distinct[new])
+            spot = np.searchsorted(self.keys, distinct)
+        return self.values, spot[number]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """texts x languages cross-entropies, and the number of characters they are over (0: no letter)."""
@@ -220,7 +250,7 @@ class Scorer:
             spot = lasts - np.repeat(start, length)
             key = np.add.reduceat(mixed((codes[lasts].astype(np.uint64) << np.uint64(32)) + spot.astype(np.uint64) + np.uint64(MIX[0])),
                                   np.cumsum(length) - length)
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        _, first, back = distinct_keys(key)
         # the distinct words in a row, each with the boundary before it
         width = length[first] + 1
         ends = np.cumsum(width)
@@ -229,13 +259,12 @@ class Scorer:
         own[ends - width] = 0
         place = np.arange(len(own)) - np.repeat(ends - width, width)
         own_depth = np.where(place == 0, 0, np.minimum(self.order, place + 1))
-        hashes = gram_hashes(own, self.order)
-        before = [np.concatenate([[np.uint64(0)], h[:-1]]) for h in hashes]
+        values, number = self._symbols(own, own_depth)
         words_of = text_of[start]
         size = np.bincount(words_of, weights=length, minlength=len(texts)).astype(np.int64)
         out = np.zeros((len(texts), len(self.models)))
-        for j, model in enumerate(self.models.values()):
-            each = np.add.reduceat(model.log_probabilities(hashes, before, own_depth), ends - width)
+        for j, value in enumerate(values):
+            each = np.add.reduceat(value[number], ends - width)
             out[:, j] = -np.bincount(words_of, weights=each[back], minlength=len(texts)) / np.maximum(1, size)
         return out, size
 

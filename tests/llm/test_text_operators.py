@@ -213,6 +213,24 @@ def test_model_probabilities_sum_to_one():
         assert 0.9 < total <= 1.0 + 1e-9, (context, total)
 
 
+def test_n_grams_are_looked_up_once(monkeypatch):
+    """New words of known n-grams cost no look-up in the models; what is remembered, or forgotten, changes no result."""
+    models = {x: language.Model.fitted(dict(Counter(g)), 3) for x, g in (("a", [" b", " ba", "ban", "ana", "na "]), ("b", [" a", " ab", "abn", "an "]))}
+    asked, plain = [], language.Model.log_probabilities
+    monkeypatch.setattr(language.Model, "log_probabilities", lambda self, h, b, d: asked.append(len(d)) or plain(self, h, b, d))
+    score = language.Scorer(models, 3)
+    score(["banana bana", None, ""])
+    assert sum(asked) == 2 * 7  # the boundary, " b", " ba", "ban", "ana", "nan" and "na ", under two models
+    asked.clear()
+    rows = ["bananana", "1 bana. BANA", ""]
+    entropy, size = score(rows)
+    assert not asked and size.tolist() == [9, 10, 0]
+    for fresh in (language.Scorer(models, 3), language.Scorer(models, 3, limit=0)):
+        fresh(["abn xyz"])
+        again, _ = fresh(rows)
+        assert np.array_equal(again, entropy)
+
+
 def test_contained_items(spark):
     item, other = prose(31, 40), prose(32, 14)
     holds = prose(33, 3000) + " " + item.upper().replace(" ", ", ") + " " + prose(34, 3000)
