@@ -105,11 +105,17 @@ def load(path: str, spark: SparkSession) -> Forest:
     return Forest(rows, rows[0]["limit"] if rows else 1.0)
 
 
+def walkable(tree: dict) -> tuple[np.ndarray, ...]:
+    """Feature, cut, children (right at 2 * node, left behind it), depth value and leaf mark per node; a leaf leads to itself."""
+    f, own = np.asarray(tree["f"]), np.arange(len(tree["f"]))
+    leaf = f < 0
+    kids = np.stack([np.where(leaf, own, tree["r"]), np.where(leaf, own, tree["l"])], axis=1).ravel()
+    return np.where(leaf, 0, f).astype(np.intp), np.asarray(tree["cut"]), kids.astype(np.intp), np.asarray(tree["d"]), leaf
+
+
 def with_scores(rows: DataFrame, forest: Forest, out: str = "anomaly_score") -> DataFrame:
     """Add the anomaly score 2^(-mean depth / c(sample)); near 1 is odd."""
-    shared = rows.sparkSession.sparkContext.broadcast(
-        [tuple(np.asarray(t[c]) for c in ("f", "cut", "l", "r", "d")) for t in forest.trees]
-    )
+    shared = rows.sparkSession.sparkContext.broadcast([walkable(t) for t in forest.trees])
     scale = float(np.mean([mean_depth(t["n"]) for t in forest.trees])) or 1.0
 
     @pandas_udf("double")
@@ -117,15 +123,14 @@ def with_scores(rows: DataFrame, forest: Forest, out: str = "anomaly_score") ->
         if not len(x):
             return pd.Series([], dtype="float64")
         m = np.vstack(x.to_numpy())
-        total, at = np.zeros(len(m)), np.arange(len(m))
-        for f, cut, left, right, depth in shared.value:
-            node = np.zeros(len(m), dtype=np.int64)
-            inner = f[node] >= 0
-            while inner.any():
-                i, n = at[inner], node[inner]
-                node[i] = np.where(m[i, f[n]] <= cut[n], left[n], right[n])
-                inner = f[node] >= 0
-            total += depth[node]
+        values, row = m.ravel(), np.arange(len(m)) * m.shape[1]
+        total = np.zeros(len(m))
+        for f, cut, kids, depth, leaf in shared.value:
+            node = np.zeros(len(m), dtype=np.intp)
+            while not leaf.take(node).all():
+                left = values.take(row + f.take(node)) <= cut.take(node)
+                node = kids.take(2 * node + left)
+            total += depth.take(node)
         return pd.Series(np.power(2.0, -total / len(shared.value) / scale))
 
     return rows.withColumn(out, score("x"))

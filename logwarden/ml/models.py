@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -48,7 +49,8 @@ def encode_scale(frame: DataFrame) -> tuple[PipelineModel, DataFrame]:
 def train_forest(frame: DataFrame, trees: int = 100, seed: int = 42, least: int = 50) -> PipelineModel:
     """Random forest of depth 10; refuses fewer than ``least`` rows or a single class.
 
-    Fitting passes over the frame many times: give it a written table, not a long plan.
+    Fitting passes over the frame many times: give it a written table, not a long plan. The encoded rows are kept while the forest
+    counts, samples and bins them, so that each is encoded once.
     """
     size = frame.agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).first()
     if size["n"] < least or size["k"] < 2:
@@ -58,8 +60,12 @@ def train_forest(frame: DataFrame, trees: int = 100, seed: int = 42, least: int
         predictionCol="y_pred", probabilityCol="probability",
     )
     rows = prepared(frame)
-    stages = encoder_stages()
-    return Pipeline(stages=[*stages, forest]).fit(rows)
+    encoder = Pipeline(stages=encoder_stages()).fit(rows)
+    encoded = encoder.transform(rows).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel([*encoder.stages, forest.fit(encoded)])
+    finally:
+        encoded.unpersist()
 
 
 def score_events(model: PipelineModel, frame: DataFrame) -> DataFrame:

@@ -68,6 +68,43 @@ def test_training_refuses_little_data(labelled):
         models.train_forest(labelled.filter("label = 1"))
 
 
+def test_training_encodes_each_row_once(spark, labelled):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = labelled.filter("part = 'train'").persist()
+    n = rows.count()
+    models.train_forest(rows.withColumn("hour", counted("hour")), trees=2)
+    assert n <= read.value <= 2 * n  # once for the scaler's means, once for the forest
+    rows.unpersist()
+
+
+def test_isolation_scores_equal_a_walk_from_the_root(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    trees = []
+    for k in range(7):
+        f, cut, left, right, depth = (list(c) for c in zip(*isolation.grow(x[rng.choice(300, 64)], rng)))
+        trees.append({"tree": k, "n": 64, "f": f, "cut": cut, "l": left, "r": right, "d": depth})
+    x[5, 1] = np.nan
+    forest = isolation.Forest(trees, 1.0)
+    assert all(walk.shape == (2 * len(t["f"]),) for t, (_, _, walk, _, _) in zip(trees, map(isolation.walkable, trees)))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, x array<double>")
+    got = {r.id: r.anomaly_score for r in isolation.with_scores(rows, forest).collect()}
+    for i, r in enumerate(x):
+        total = 0.0
+        for t in trees:
+            node = 0
+            while t["f"][node] >= 0:
+                node = t["l"][node] if r[t["f"][node]] <= t["cut"][node] else t["r"][node]
+            total += t["d"][node]
+        assert abs(got[i] - 2.0 ** (-total / 7 / isolation.mean_depth(64))) < 1e-12
+
+
 def test_importances_sum_to_one(spark, model):
     total = models.importances(model, spark).agg(F.sum("importance")).first()[0]
     assert abs(total - 1) < 1e-6
