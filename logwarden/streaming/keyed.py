@@ -9,30 +9,157 @@ the watermark and counts them; an idle key leaves the state store.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "us array<bigint>, tie array<bigint>, arg array<bigint>, row array<string>, memory array<bigint>"
+STATE = "numbers binary, sizes array<int>, packs array<binary>, memory array<bigint>"
 FOUND = "key string, kind string, us bigint, until bigint, row string"
+FOUND_COLUMNS = ["key", "kind", "us", "until", "row"]
+PACK = 1000  #: rows whose JSON is packed together
+NONE = -(1 << 63)  #: stands for a missing time or tie
 
-Row = tuple[int, int, int, str]  #: time in microseconds, tie, argument, the row as JSON
+Row = tuple[int, int, int, int]  #: time in microseconds, tie, argument, and a handle that stands for the row's JSON
 
 
 @dataclass
 class Outcome:
     """What an operator makes of the rows that are due."""
 
-    found: list[tuple[str, int, int, str]] = field(default_factory=list)  # kind, time, until, row
+    found: list[tuple[str, int, int, int | str]] = field(default_factory=list)  # kind, time, until, handle of the row or a text
     memory: list[int] = field(default_factory=list)
     wake: int | None = None  #: time at which ``memory`` has to be looked at again
     skip_before: int | None = None  #: rows before this time cannot matter any more
 
 
-Operator = Callable[[list[Row], list[int], int], Outcome]
+Operator = Callable[[Sequence[Row], list[int], int], Outcome]
+
+
+def packed(texts: list[str]) -> bytes:
+    """Lines of JSON, which hold no line break of their own."""
+    return zlib.compress("\n".join(texts).encode(), 1)
+
+
+def unpacked(pack: bytes) -> list[str]:
+    return zlib.decompress(pack).decode().split("\n")
+
+
+class Held:
+    """Rows of a key: time, tie and argument as numbers, their JSON in packs of some ``PACK`` rows that are opened one at a time."""
+
+    def __init__(self, numbers: bytes = b"", sizes: Sequence[int] = (), packs: Sequence[bytes] = ()) -> None:
+        self.parts = [np.frombuffer(bytes(numbers), np.int64).reshape(-1, 3)]
+        self.sizes, self.packs = list(sizes), [bytes(p) for p in packs]
+
+    def add(self, part: pd.DataFrame) -> None:
+        part = part[part["us"] != NONE]
+        texts = part["row"].tolist()
+        self.parts.append(part[["us", "tie", "arg"]].to_numpy(np.int64))
+        self._pack(texts)
+
+    def _pack(self, texts: list[str]) -> None:
+        for at in range(0, len(texts), PACK):
+            self.sizes.append(len(texts[at:at + PACK]))
+            self.packs.append(packed(texts[at:at + PACK]))
+
+    @property
+    def numbers(self) -> np.ndarray:
+        if len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        return self.parts[0]
+
+    def texts(self, handles: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Places in ``handles`` and the JSON they stand for, pack by pack."""
+        order = np.argsort(handles, kind="stable")
+        ends = np.searchsorted(handles[order], np.cumsum([0, *self.sizes]))
+        start = 0
+        for size, pack, first, last in zip(self.sizes, self.packs, ends, ends[1:]):
+            if last > first:
+                lines = unpacked(pack)
+                for place in order[first:last].tolist():
+                    yield place, lines[int(handles[place]) - start]
+            start += size
+
+    def in_time(self, known: int) -> np.ndarray:
+        """Handles of the rows up to ``known`` by time, tie, argument and JSON."""
+        due = np.flatnonzero(self.numbers[:, 0] <= known)
+        us, tie, arg = self.numbers[due].T
+        due = due[np.lexsort((arg, tie, us))]
+        equal = (np.diff(self.numbers[due], axis=0) == 0).all(axis=1)
+        if equal.any():
+            tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+            run = np.cumsum(np.append(True, ~equal))[tied]
+            text = dict(self.texts(due[tied]))
+            due[tied] = due[tied][sorted(range(len(tied)), key=lambda i: (run[i], text[i]))]
+        return due
+
+    def kept(self, which: np.ndarray) -> Held:
+        """The rows marked; what is left of opened and of small packs is packed anew."""
+        out, rest, whole, ends = Held(), [], [], np.cumsum([0, *self.sizes])
+        for size, pack, start, end in zip(self.sizes, self.packs, ends, ends[1:]):
+            mine = np.flatnonzero(which[start:end]) + start
+            if len(mine) == size and 2 * size > PACK:
+                whole.append(mine)
+                out.sizes.append(size)
+                out.packs.append(pack)
+            elif len(mine):
+                rest.append(mine)
+        left = np.concatenate(rest) if rest else np.zeros(0, np.int64)
+        out.parts = [self.numbers[np.concatenate([*whole, left])]]
+        out._pack([text for _, text in self.texts(left)])  # ``left`` rises, so its texts come in its order
+        return out
+
+
+class Due(Sequence):
+    """Rows of a :class:`Held` in the order of their handles; a row is made when it is asked for."""
+
+    def __init__(self, held: Held, handles: np.ndarray) -> None:
+        self.numbers, self.handles = held.numbers, handles
+
+    def __len__(self) -> int:
+        return len(self.handles)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [(*row, h) for row, h in zip(self.numbers[self.handles[at]].tolist(), self.handles[at].tolist())]
+        return (*self.numbers[self.handles[at]].tolist(), int(self.handles[at]))
+
+    def __iter__(self) -> Iterator[Row]:
+        for at in range(0, len(self), 10 * PACK):
+            yield from self[at:at + 10 * PACK]
+
+
+def take(key: str, parts: Iterator[pd.DataFrame], state: GroupState, operator: Operator) -> Iterator[pd.DataFrame]:
+    """What ``operator`` finds among a key's rows that the watermark has passed; rows that it has not passed wait in the state."""
+    numbers, sizes, packs, memory = state.get if state.exists else (b"", [], [], [])
+    held = Held(numbers, sizes, packs)
+    for part in parts:
+        held.add(part)
+    known = state.getCurrentWatermarkMs() * 1000
+    done = operator(Due(held, held.in_time(known)), list(memory), known)
+    us = held.numbers[:, 0]
+    waiting = held.kept((us > known) & (us >= (NONE if done.skip_before is None else done.skip_before)))
+    calls = [int(waiting.numbers[:, 0].min())] if len(waiting.numbers) else []
+    calls += [done.wake] if done.wake is not None else []
+    if len(waiting.numbers) or done.memory:
+        state.update((waiting.numbers.tobytes(), waiting.sizes, waiting.packs, [int(m) for m in done.memory]))
+        state.setTimeoutTimestamp(max(known // 1000 + 1, -(-min(calls, default=known) // 1000)))
+    elif state.exists:
+        state.remove()
+    ready = [(key, *f) for f in done.found if isinstance(f[3], str)]
+    found = [f for f in done.found if not isinstance(f[3], str)]
+    for place, text in held.texts(np.array([f[3] for f in found], np.int64)):
+        ready.append((key, *found[place][:3], text))
+        if len(ready) >= 10 * PACK:
+            yield pd.DataFrame(ready, columns=FOUND_COLUMNS)
+            ready = []
+    if ready:
+        yield pd.DataFrame(ready, columns=FOUND_COLUMNS)
 
 
 def in_order(rows: DataFrame, key: Column, ts: str, operator: Operator, tie: Column | None = None, arg: Column | None = None,
@@ -41,38 +168,21 @@ def in_order(rows: DataFrame, key: Column, ts: str, operator: Operator, tie: Col
 
     Rows without a key move the watermark and are else left out: a filter on the key would be pushed below the watermark.
 
-    ``operator`` gets the due rows as (us, tie, arg, row), sorted, its memory, and the time up to which all rows are known. A key is
-    one group of a micro-batch: choose the trigger so that a batch of the hottest key fits into a task.
+    ``operator`` gets the due rows as (us, tie, arg, handle), sorted, its memory, and the time up to which all rows are known. A key is
+    one group of a micro-batch, whose rows a task holds packed (24 bytes and the packed JSON each): choose the trigger so that a batch of
+    the hottest key fits.
     """
-    zero = F.lit(0).cast("bigint")
+    zero, none = F.lit(0).cast("bigint"), F.lit(NONE)
     carried = rows.columns if carried is None else carried
     narrow = rows.select(
-        key.cast("string").alias("key"), F.col(ts).alias("_ts"), F.unix_micros(ts).alias("us"), (zero if tie is None else tie.cast("bigint")).alias("tie"),
+        key.cast("string").alias("key"), F.col(ts).alias("_ts"), F.coalesce(F.unix_micros(ts), none).alias("us"), (zero if tie is None else F.coalesce(tie.cast("bigint"), none)).alias("tie"),
         (zero if arg is None else arg.cast("bigint")).alias("arg"), F.to_json(F.struct(*[F.col(c) for c in carried])).alias("row"),
     )
 
     def call(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if key[0] is None or key[0] != key[0]:
             return
-        us, ties, args, held, memory = state.get if state.exists else ([], [], [], [], [])
-        waiting = list(zip(us, ties, args, held))
-        for part in parts:
-            waiting.extend(zip(part["us"].tolist(), part["tie"].tolist(), part["arg"].tolist(), part["row"].tolist()))
-        known = state.getCurrentWatermarkMs() * 1000
-        due = sorted(r for r in waiting if r[0] <= known)
-        done = operator(due, list(memory), known)
-        since = done.skip_before
-        waiting = [r for r in waiting if r[0] > known and (since is None or r[0] >= since)]
-        calls = [min(r[0] for r in waiting)] if waiting else []
-        calls += [done.wake] if done.wake is not None else []
-        if waiting or done.memory:
-            columns = [list(c) for c in zip(*waiting)] if waiting else [[], [], [], []]
-            state.update((*columns, [int(m) for m in done.memory]))
-            state.setTimeoutTimestamp(max(known // 1000 + 1, -(-min(calls, default=known) // 1000)))
-        elif state.exists:
-            state.remove()
-        if done.found:
-            yield pd.DataFrame([(key[0], *f) for f in done.found], columns=["key", "kind", "us", "until", "row"])
+        yield from take(key[0], parts, state, operator)
 
     return narrow.groupBy("key").applyInPandasWithState(call, FOUND, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -1,8 +1,11 @@
 """Streaming jobs run to the end of their input, compared with their batch twins."""
 
+import pickle
+import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -169,6 +172,83 @@ def test_operators_on_keyed_state_against_brute_force(seed):
     assert [us for kind, us, *_ in found if kind == "brute"] == want and bans and want
 
 
+class State:
+    """A group's state as Spark keeps it between micro-batches."""
+
+    def __init__(self):
+        self.get, self.exists, self.known, self.timeout = None, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.known
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+
+def hits(rng, n):
+    row = '{"rule_id":3,"id":%d,"type":"fail2ban_ban","message_template":"' + "{{ ip }} {{severity}} " * 40 + '"}'
+    us = rng.integers(1, 10**9, n)
+    return pd.DataFrame({"key": "3", "us": us, "tie": np.arange(n) // 2, "arg": 10**6, "row": [row % i for i in range(n)]})
+
+
+def test_a_hot_key_is_held_packed():
+    rng, state, n = np.random.default_rng(1), State(), 30_000
+    parts = [p for p in np.array_split(np.arange(n), 30)]
+    sent = hits(rng, n)
+    size = sent["row"].str.len().sum()
+    tracemalloc.start()
+    assert list(keyed.take("3", (sent.iloc[p].copy() for p in parts), state, keyed.cooldown)) == []
+    first = tracemalloc.get_traced_memory()[1]
+    assert len(pickle.dumps(state.get)) < size / 8 and state.timeout >= 1
+    state.known = 10**7
+    tracemalloc.reset_peak()
+    got = pd.concat(keyed.take("3", iter(()), state, keyed.cooldown))
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(first, second) < size / 2 and not state.exists
+    want, ready = [], 0
+    for us, _, row in sorted(zip(sent["us"], sent["tie"], sent["row"])):
+        if us >= ready:
+            want.append((us, row))
+            ready = us + 10**6
+    assert sorted(zip(got["us"], got["row"])) == want and len(want) > 500
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packed_rows_keep_their_order_and_text(seed, monkeypatch):
+    monkeypatch.setattr(keyed, "PACK", 4)
+    rng, state = np.random.default_rng(seed), State()
+    seen, sent = [], []
+
+    def operator(due, memory, known):
+        handles = [r[3] for r in due]
+        assert [r[:3] for r in due] == [due[i][:3] for i in range(len(due))] and handles == [r[3] for r in due[0:len(due)]]
+        seen.extend(r[:3] for r in due)
+        return keyed.Outcome([("x", r[0], i, r[3]) for i, r in enumerate(due)] + [("y", known, 0, "")], [1], known + 7)
+
+    got = []
+    for batch in range(6):
+        state.known = batch * 20
+        n = int(rng.integers(0, 40))
+        part = pd.DataFrame({"us": rng.integers(batch * 20_000 + 1, batch * 20_000 + 70_000, n) // 5000 * 5000 + 1, "tie": rng.integers(0, 3, n), "arg": 0,
+                             "row": [f"{batch}-{i}é" for i in rng.permutation(n)]})
+        part.loc[part.index[:1], "us"] = keyed.NONE  # a row without a time never goes out
+        sent += [tuple(r) for r in part[["us", "tie", "arg", "row"]].to_numpy()[1:]]
+        out = pd.concat([pd.DataFrame(columns=keyed.FOUND_COLUMNS), *keyed.take("k", iter([part]), state, operator)])
+        got += [(r.us, r.row) for r in out[out["kind"] == "x"].sort_values("until").itertuples()]
+    assert state.exists and len(np.frombuffer(state.get[0], np.int64)) == 3 * sum(state.get[1])
+    due = sorted(r for r in sent if r[0] <= state.known * 1000)
+    assert sorted(got) == sorted((us, row) for us, _, _, row in due) and len(due) > 20
+    first = [r for r in due if r[0] <= 20_000]
+    assert got[:len(first)] == [(us, row) for us, _, _, row in first]
+
+
 def test_idle_keys_leave_the_state():
     assert keyed.cooldown([(5, 0, 10, "a")], [], 20).memory == []
     assert keyed.cooldown([(5, 0, 10, "a")], [], 12) == keyed.Outcome([("fired", 5, 15, "a")], [15], 15, 15)
