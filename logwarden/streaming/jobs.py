@@ -118,9 +118,8 @@ def ssh_attempt_events(attempts: DataFrame, failures: int = 5, span: int = 600,
     kept = [c for c in ("id", "kind") if c in rows.columns]
     found = keyed.in_order(
         rows, F.col("ip"), "timestamp", keyed.attempts(failures, span * 1_000_000), arg=(F.col("kind") == "failed").cast("bigint"), carried=kept)
-    row = F.from_json("row", ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept))
     brute, ok = F.col("found") == "brute", F.col("kind") == "accepted"
-    return found.select("key", "us", F.col("kind").alias("found"), row.alias("row")).select("key", "us", "found", "row.*").select(
+    return keyed.opened(found.select("key", "us", F.col("kind").alias("found"), "row"), [rows.schema[c] for c in kept]).select(
         *[c for c in kept if c != "kind"], F.timestamp_micros("us").alias("timestamp"), F.col("key").alias("source_ip"),
         F.when(brute, "ssh_brute_force").when(ok, "ssh_successful_login").otherwise("ssh_failed_login").alias("event_type"),
         F.when(brute, "high").when(ok, "low").otherwise("medium").alias("severity"),
@@ -131,12 +130,13 @@ def ssh_attempt_events(attempts: DataFrame, failures: int = 5, span: int = 600,
 
 
 def alert_cooldown(events: DataFrame, rules: DataFrame, late: str = LATE) -> DataFrame:
-    """Rule hits of a stream thinned by each rule's cool-down, with all columns of a hit."""
+    """Rule hits of a stream thinned by each rule's cool-down, with all columns of a hit. Hits without a cool-down all go out and need no order."""
     hits = al.match_rules(watermarked(events, late=late), rules).filter(al.threshold_met(F.col("severity"), F.col("severity_threshold")))
     minutes = F.coalesce("cooldown_minutes", F.lit(0)).cast("bigint") * 60_000_000
-    found = keyed.in_order(hits, F.col("rule_id"), "timestamp", keyed.cooldown, tie=F.col("id"), arg=minutes)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields if f.name != "timestamp")
-    return found.select("us", F.from_json("row", schema).alias("row")).select("row.*", F.timestamp_micros("us").alias("timestamp"))
+    key = keyed.apart(F.col("rule_id"), minutes <= 0, "id")
+    fields = [f for f in hits.schema.fields if f.name != "timestamp"]
+    found = keyed.in_order(hits, key, "timestamp", keyed.cooldown, tie=F.col("id"), arg=minutes, carried=[f.name for f in fields])
+    return keyed.opened(found.select(F.timestamp_micros("us").alias("timestamp"), "row"), fields).select(*[f"`{f.name}`" for f in fields], "timestamp")
 
 
 def alert_delivery(events: DataFrame, rules: DataFrame, channels: DataFrame, out: str, late: str = LATE, once: bool = True) -> None:

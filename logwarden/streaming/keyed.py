@@ -15,13 +15,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "numbers binary, sizes array<int>, packs array<binary>, memory array<bigint>"
 FOUND = "key string, kind string, us bigint, until bigint, row string"
 FOUND_COLUMNS = ["key", "kind", "us", "until", "row"]
 PACK = 1000  #: rows whose JSON is packed together
+SPREAD = 64  #: keys for rows of one key that need no order
 NONE = -(1 << 63)  #: stands for a missing time or tie
 
 Row = tuple[int, int, int, int]  #: time in microseconds, tie, argument, and a handle that stands for the row's JSON
@@ -40,6 +41,11 @@ class Outcome:
 Operator = Callable[[Sequence[Row], list[int], int], Outcome]
 
 
+def apart(key: Column, alone: Column, *parts: Column | str) -> Column:
+    """``key`` for rows that depend on each other; rows that stand ``alone`` are spread over ``SPREAD`` keys by ``parts``."""
+    return F.concat(key.cast("string"), F.when(alone, F.concat(F.lit("/"), F.pmod(F.xxhash64(*parts), F.lit(SPREAD)).cast("string"))).otherwise(F.lit("")))
+
+
 def packed(texts: list[str]) -> bytes:
     """Lines of JSON, which hold no line break of their own."""
     return zlib.compress("\n".join(texts).encode(), 1)
@@ -53,7 +59,7 @@ class Held:
     """Rows of a key: time, tie and argument as numbers, their JSON in packs of some ``PACK`` rows that are opened one at a time."""
 
     def __init__(self, numbers: bytes = b"", sizes: Sequence[int] = (), packs: Sequence[bytes] = ()) -> None:
-        self.parts = [np.frombuffer(bytes(numbers), np.int64).reshape(-1, 3)]
+        self.parts = [np.frombuffer(zlib.decompress(numbers), np.int64).reshape(3, -1).T] if numbers else [np.zeros((0, 3), np.int64)]
         self.sizes, self.packs = list(sizes), [bytes(p) for p in packs]
 
     def add(self, part: pd.DataFrame) -> None:
@@ -73,6 +79,10 @@ class Held:
             self.parts = [np.concatenate(self.parts)]
         return self.parts[0]
 
+    def stored(self) -> tuple[bytes, list[int], list[bytes]]:
+        """What goes into the state; numbers by column, as they pack better."""
+        return zlib.compress(self.numbers.T.tobytes(), 1), self.sizes, self.packs
+
     def texts(self, handles: np.ndarray) -> Iterator[tuple[int, str]]:
         """Places in ``handles`` and the JSON they stand for, pack by pack."""
         order = np.argsort(handles, kind="stable")
@@ -88,9 +98,10 @@ class Held:
     def in_time(self, known: int) -> np.ndarray:
         """Handles of the rows up to ``known`` by time, tie, argument and JSON."""
         due = np.flatnonzero(self.numbers[:, 0] <= known)
-        us, tie, arg = self.numbers[due].T
-        due = due[np.lexsort((arg, tie, us))]
-        equal = (np.diff(self.numbers[due], axis=0) == 0).all(axis=1)
+        due = due[np.lexsort([self.numbers[due, c] for c in (2, 1, 0)])]
+        equal = np.ones(max(len(due) - 1, 0), bool)
+        for c in range(3):
+            equal &= np.diff(self.numbers[due, c]) == 0
         if equal.any():
             tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
             run = np.cumsum(np.append(True, ~equal))[tied]
@@ -134,6 +145,13 @@ class Due(Sequence):
             yield from self[at:at + 10 * PACK]
 
 
+def opened(found: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """``found`` with the columns ``fields`` that its rows carried instead of their JSON, whose names are short: a task reads a key's rows as text."""
+    row = F.from_json("row", ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)))
+    others = [c for c in found.columns if c != "row"]
+    return found.select(*others, row.alias("row")).select(*others, *[F.col(f"row.c{i}").alias(f.name) for i, f in enumerate(fields)])
+
+
 def take(key: str, parts: Iterator[pd.DataFrame], state: GroupState, operator: Operator) -> Iterator[pd.DataFrame]:
     """What ``operator`` finds among a key's rows that the watermark has passed; rows that it has not passed wait in the state."""
     numbers, sizes, packs, memory = state.get if state.exists else (b"", [], [], [])
@@ -147,7 +165,7 @@ def take(key: str, parts: Iterator[pd.DataFrame], state: GroupState, operator: O
     calls = [int(waiting.numbers[:, 0].min())] if len(waiting.numbers) else []
     calls += [done.wake] if done.wake is not None else []
     if len(waiting.numbers) or done.memory:
-        state.update((waiting.numbers.tobytes(), waiting.sizes, waiting.packs, [int(m) for m in done.memory]))
+        state.update((*waiting.stored(), [int(m) for m in done.memory]))
         state.setTimeoutTimestamp(max(known // 1000 + 1, -(-min(calls, default=known) // 1000)))
     elif state.exists:
         state.remove()
@@ -164,7 +182,7 @@ def take(key: str, parts: Iterator[pd.DataFrame], state: GroupState, operator: O
 
 def in_order(rows: DataFrame, key: Column, ts: str, operator: Operator, tie: Column | None = None, arg: Column | None = None,
              carried: list[str] | None = None) -> DataFrame:
-    """Key, kind, us, until and row of what ``operator`` finds; ``rows`` have a watermark on ``ts``.
+    """Key, kind, us, until and row (see :func:`opened`) of what ``operator`` finds; ``rows`` have a watermark on ``ts``.
 
     Rows without a key move the watermark and are else left out: a filter on the key would be pushed below the watermark.
 
@@ -176,7 +194,7 @@ def in_order(rows: DataFrame, key: Column, ts: str, operator: Operator, tie: Col
     carried = rows.columns if carried is None else carried
     narrow = rows.select(
         key.cast("string").alias("key"), F.col(ts).alias("_ts"), F.coalesce(F.unix_micros(ts), none).alias("us"), (zero if tie is None else F.coalesce(tie.cast("bigint"), none)).alias("tie"),
-        (zero if arg is None else arg.cast("bigint")).alias("arg"), F.to_json(F.struct(*[F.col(c) for c in carried])).alias("row"),
+        (zero if arg is None else arg.cast("bigint")).alias("arg"), F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("row"),
     )
 
     def call(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

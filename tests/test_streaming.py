@@ -220,6 +220,13 @@ def test_a_hot_key_is_held_packed():
     assert sorted(zip(got["us"], got["row"])) == want and len(want) > 500
 
 
+def test_rows_that_stand_alone_are_spread(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 3 == 1).alias("alone"))
+    sizes = {r.key: r["count"] for r in rows.groupBy(keyed.apart(F.col("k"), F.col("alone"), "id").alias("key")).count().collect()}
+    assert sizes.pop("0") == sizes.pop("2") == 1000 and sum(sizes.values()) == 1000
+    assert len(sizes) > 32 and max(sizes.values()) < 60
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_packed_rows_keep_their_order_and_text(seed, monkeypatch):
     monkeypatch.setattr(keyed, "PACK", 4)
@@ -242,7 +249,7 @@ def test_packed_rows_keep_their_order_and_text(seed, monkeypatch):
         sent += [tuple(r) for r in part[["us", "tie", "arg", "row"]].to_numpy()[1:]]
         out = pd.concat([pd.DataFrame(columns=keyed.FOUND_COLUMNS), *keyed.take("k", iter([part]), state, operator)])
         got += [(r.us, r.row) for r in out[out["kind"] == "x"].sort_values("until").itertuples()]
-    assert state.exists and len(np.frombuffer(state.get[0], np.int64)) == 3 * sum(state.get[1])
+    assert state.exists and len(keyed.Held(*state.get[:3]).numbers) == sum(state.get[1])
     due = sorted(r for r in sent if r[0] <= state.known * 1000)
     assert sorted(got) == sorted((us, row) for us, _, _, row in due) and len(due) > 20
     first = [r for r in due if r[0] <= 20_000]
