@@ -9,7 +9,6 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from ..functions.times import from_epoch_text, ts_lit
@@ -26,30 +25,30 @@ from .weblog_queries import BAN_ALERT, LOGIN, any_rx, any_word, fixed, logins, r
 
 EPOCH = "cast(unix_micros(cast(timestamp as timestamp)) / 1e6 as decimal(20, 6))"
 
+#: Most rows of a written log file: packed files are read by one task each.
+FILE_LINES = 250_000
+
 CONN_HEAD = ["ts", "uid", "id.orig_h", "id.resp_h", "id.resp_p", "proto", "duration", "orig_bytes", "resp_bytes", "conn_state", "orig_pkts", "resp_pkts", "local_orig", "history"]
 CONN_CELLS = [f"cast({EPOCH} as string)", "uid", "source_ip", "dest_ip", "cast(dest_port as string)", "protocol", "coalesce(cast(duration as string), '-')",
               "cast(orig_bytes as string)", "coalesce(cast(resp_bytes as string), '-')", "conn_state", "cast(orig_pkts as string)", "cast(resp_pkts as string)",
               "case when protocol = 'tcp' then 'T' else 'F' end", "'(empty)'"]
 
 
+def write_lines(lines, path, packed):
+    """Log files of at most ``FILE_LINES`` rows, so that no file keeps one task busy; packed quickly, as they are read soon."""
+    lines.write.option("maxRecordsPerFile", FILE_LINES).option("zlib.compress.level", "BEST_SPEED").text(path, compression=packed)
+
+
 def write_tsv(t, df, head, cells, name, path=None, packed="gzip"):
-    """Monitor log files, as many as the data has partitions, each with ``#separator`` and ``#fields`` lines on top; ``packed`` names a codec.
+    """Monitor log files, each with ``#separator`` and ``#fields`` lines on top; ``packed`` names a codec.
 
-    Rotated logs are packed: as plain text the copy would be a dozen times the tables.
+    Rotated logs are packed: as plain text the copy would be a dozen times the tables. The row that begins a file brings its header along.
     """
     path = path or shared_dir(t.spark, name)
-    top = ["#separator \\x09", "\t".join(["#fields", *head])]
-
-    def headed(batches):
-        first = True
-        for batch in batches:
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array(top, batch.schema.field(0).type)], schema=batch.schema)
-            first = False
-            yield batch
-
-    rows = df.select(F.expr("concat_ws('\\t', " + ", ".join(cells) + ")").alias("value"))
-    rows.mapInArrow(headed, "value string").write.text(path, compression=packed)
+    top = F.lit("\n".join(["#separator \\x09", "\t".join(["#fields", *head]), ""]))
+    row = F.expr("concat_ws('\t', " + ", ".join(cells) + ")")
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in its partition
+    write_lines(df.select(F.concat(F.when(nth % FILE_LINES == 0, top).otherwise(""), row).alias("value")), path, packed)
     return ll.read_lines(t.spark, path)
 
 
@@ -59,7 +58,7 @@ def write_json(t, df, fields: dict[str, str], name, junk=True, path=None, packed
     body = df.select(F.to_json(F.struct(*[F.expr(e).alias(k) for k, e in fields.items()])).alias("value"))
     if junk:
         body = body.unionByName(df.limit(3).select(F.explode(F.array(F.lit("# note"), F.lit('{"ts": broken'), F.lit(" "))).alias("value")))
-    body.write.text(path, compression=packed)
+    write_lines(body, path, packed)
     return ll.read_lines(t.spark, path)
 
 

@@ -9,10 +9,9 @@ on storage that all executors share.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.times import micros
 from ..operators import alerts as al, weblogs as wl
@@ -55,10 +54,25 @@ def run(df: DataFrame, out: str, mode: str = "append", once: bool = True, every:
     writer.start().awaitTermination()
 
 
-def run_batches(df: DataFrame, out: str, fn: Callable[[DataFrame, int], None], once: bool = True, every: str = "5 minutes") -> None:
-    writer = df.writeStream.foreachBatch(fn).option("checkpointLocation", f"{out}/checkpoint")
+def start_batches(df: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], None], once: bool, every: str) -> StreamingQuery:
+    writer = df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
-    writer.start().awaitTermination()
+    return writer.start()
+
+
+def run_batches(df: DataFrame, out: str, fn: Callable[[DataFrame, int], None], once: bool = True, every: str = "5 minutes") -> None:
+    start_batches(df, f"{out}/checkpoint", fn, once, every).awaitTermination()
+
+
+def await_all(queries: list[StreamingQuery]) -> None:
+    """Wait until all have ended; if one fails, the others are stopped."""
+    try:
+        left = queries
+        while left:
+            left = [q for q in left if not q.awaitTermination(0.2)]
+    finally:
+        for q in queries:
+            q.stop()
 
 
 # ---------------------------------------------------------------- windows over requests and attempts
@@ -158,12 +172,18 @@ def alert_delivery(events: DataFrame, rules: DataFrame, channels: DataFrame, out
 def poll_logs(spark: SparkSession, paths: dict[str, str], out: str, as_of: Column, once: bool = True, every: str = "5 minutes") -> None:
     """New monitor log files, TSV or JSON, to one table per log kind (``paths``: kind to folder) under ``out``.
 
-    The checkpoint remembers the files, so lines of any age are read once; where a kind has a key (``ingest.KEYS``), rows whose key
-    is stored already are dropped, however long ago that was, as are repeats within the batch. See :mod:`.ingest`.
+    The checkpoints remember the files, so lines of any age are read once; where a kind has a key (``ingest.KEYS``), rows whose key
+    is stored already are dropped, however long ago that was, as are repeats within the batch. Each kind is a stream of its own, so that a
+    kind's batch reads the files of that kind alone; one checkpoint for all kinds, the form before, cannot be continued. See :mod:`.ingest`.
     """
-    lines = [spark.readStream.format("text").load(path).select(F.lit(kind).alias("log"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-             for kind, path in paths.items()]
-    run_batches(reduce(DataFrame.unionByName, lines), out, lambda batch, n: ingest.store_batch(batch, n, list(paths), out, as_of), once, every)
+    if ingest.exists(spark, f"{out}/checkpoint/offsets"):
+        raise ValueError(f"{out}/checkpoint is one checkpoint for all kinds; begin in a new folder")
+
+    def start(kind: str, path: str) -> StreamingQuery:
+        lines = spark.readStream.format("text").load(path).select(F.lit(kind).alias("log"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+        return start_batches(lines, f"{out}/checkpoint/{kind}", lambda batch, n: ingest.store_batch(batch, n, [kind], out, as_of), once, every)
+
+    await_all([start(kind, path) for kind, path in paths.items()])
 
 
 def ban_monitor(spark: SparkSession, path: str, out: str, rules: DataFrame | None = None, channels: DataFrame | None = None, once: bool = True) -> None:

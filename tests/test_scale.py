@@ -42,6 +42,15 @@ def test_many_headers_are_joined_not_sent_out(spark, tables):
     assert sorted(map(str, sent.collect())) == sorted(map(str, joined.collect())) and sent.count() == tables.files.count()
 
 
+def test_written_logs_have_bounded_files_each_with_its_header(spark, tables, monkeypatch):
+    monkeypatch.setattr(fq, "FILE_LINES", 300)
+    for lines, header in ((fq.write_tsv(tables, tables.ssl, fq.SSL_HEAD, fq.SSL_CELLS, "ssl"), 2), (fq.write_json(tables, tables.dns, fq.DNS_JSON, "dns"), 0)):
+        files = lines.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("line").startswith("#fields")).alias("fields")).collect()
+        assert len(files) >= 4 and max(r.n for r in files) <= 300 + header and {r.fields for r in files} == {header // 2}
+    ssl = fq.write_tsv(tables, tables.ssl, fq.SSL_HEAD, fq.SSL_CELLS, "ssl")
+    assert mo.parse_auto(ssl, mo.FIELDS["ssl"]).select("uid").distinct().count() == tables.ssl.count() == ssl.filter(~F.col("line").startswith("#")).count()
+
+
 def test_gaps_are_sorted_in_parts_that_follow_the_rows(spark, monkeypatch):
     rng, start = np.random.default_rng(9), datetime(2024, 1, 30)
     rows = [(f"h{rng.integers(5)}", start + timedelta(seconds=float(rng.integers(0, 90_000)) / 10)) for _ in range(4000)] + [(None, start), ("h0", None)]

@@ -339,6 +339,46 @@ def test_empty_batch_and_no_history(spark, tmp_path):
     assert spark.read.parquet(f"{out}/conn").count() == 0 == spark.read.parquet(f"{out}/notice").count()
 
 
+def test_unseen_rows_are_read_once_and_meet_stored_keys_in_one_shuffle(spark):
+    rows = spark.createDataFrame(
+        [("a", 5, "x"), ("a", 5, "w"), ("a", 9, None), ("b", None, "y"), ("b", 1, "z"), (None, 1, "q"), (None, 1, "q"), ("c", 2, "v"), ("d", 3, "u")] * 3,
+        "uid string, timestamp long, conn_state string").repartition(4)
+    for stored, gone in ((None, ""), (spark.createDataFrame([("c",), ("c",), ("e",)], "uid string"), "c")):
+        got = ingest.unseen(rows, stored, "uid")
+        want = [r for r in [(None, 1, "q")] * 6 + [("a", 5, "w"), ("b", None, "y"), ("c", 2, "v"), ("d", 3, "u")] if r[0] != gone]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.columns == rows.columns
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [_group") == 1 and "LeftAnti" not in plan and plan.count("RepartitionByExpression") + plan.count("Repartition 4") <= (1 if stored is None else 2)
+
+
+def test_polled_kinds_read_their_own_files_once_and_cache_nothing(spark, tmp_path, monkeypatch):
+    base, out, seen = tmp_path / "in", str(tmp_path / "out"), []
+    line = '{"ts": %d, "uid": "%s", "id.orig_h": "10.0.0.1", "conn_state": "S0", "rcode_name": "NOERROR"}\n'
+    for kind in ("conn", "dns"):
+        (base / kind).mkdir(parents=True)
+        (base / kind / "a.log").write_text("".join(line % (k, f"{kind}{k}") for k in range(20)))
+    store = ingest.store_batch
+
+    def watched(batch, n, kinds, *rest):
+        seen.append((tuple(kinds), n, batch.count()))
+        before = spark.sparkContext._jsc.getPersistentRDDs().size()
+        monkeypatch.setattr(type(batch), "persist", lambda *_: 1 / 0)
+        store(batch, n, kinds, *rest)
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+    monkeypatch.setattr(ingest, "store_batch", watched)
+    for more in (0, 1):
+        jobs.poll_logs(spark, {k: f"{base}/{k}/*" for k in ("conn", "dns")}, out, F.lit(AS_OF))
+        (base / "conn" / "b.log").write_text("#separator \\x09\n#fields\tts\tuid\n90.5\tconn3\n91.5\tnew\n")
+    assert sorted(seen) == [(("conn",), 0, 20), (("conn",), 1, 4), (("dns",), 0, 20)]
+    assert sorted(r["uid"] for r in spark.read.parquet(f"{out}/conn").collect()) == sorted([*(f"conn{k}" for k in range(20)), "new"])
+    assert spark.read.parquet(f"{out}/dns").count() == 20
+    assert not ingest.folders(spark, f"{out}/staged/conn", "n")
+    (tmp_path / "out" / "checkpoint" / "offsets").mkdir()
+    with pytest.raises(ValueError, match="one checkpoint for all kinds"):
+        jobs.poll_logs(spark, {"conn": f"{base}/conn/*"}, out, F.lit(AS_OF))
+
+
 def test_ban_ledger_logs_nothing_twice(spark, tables, tmp_path):
     out = str(tmp_path / "out")
     rules = tables.alert_rules.filter("rule_type = 'fail2ban_ban'").withColumn("cooldown_minutes", F.lit(60))
