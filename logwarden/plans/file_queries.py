@@ -35,8 +35,8 @@ CONN_CELLS = [f"cast({EPOCH} as string)", "uid", "source_ip", "dest_ip", "cast(d
 
 
 def write_lines(lines, path, packed):
-    """Log files of at most ``FILE_LINES`` rows, so that no file keeps one task busy; packed quickly, as they are read soon."""
-    lines.write.option("maxRecordsPerFile", FILE_LINES).option("zlib.compress.level", "BEST_SPEED").text(path, compression=packed)
+    """Log files of at most ``FILE_LINES`` rows, so that no file keeps one task busy."""
+    lines.write.option("maxRecordsPerFile", FILE_LINES).text(path, compression=packed)
 
 
 def write_tsv(t, df, head, cells, name, path=None, packed="gzip"):

@@ -6,6 +6,9 @@ names, and one projection per kind gives the typed table.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text
@@ -32,8 +35,14 @@ FIELDS = {
 }
 
 
+#: White space around a line that does not belong to it.
+AROUND = " \t\n\r\x0b\x0c"
+
+
 def stripped(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\r\x0b\x0c"))
+    """``line`` without white space around it; only a line that has some at an end is gone through."""
+    around = reduce(or_, [line.startswith(c) | line.endswith(c) for c in AROUND])
+    return F.when(around, F.btrim(line, F.lit(AROUND))).otherwise(line)
 
 
 def tsv_headers(lines: DataFrame, fields: list[str]) -> DataFrame:
@@ -126,8 +135,8 @@ def parse_auto(lines: DataFrame, fields: list[str], few: int = FEW_FILES) -> Dat
 def parsed_either(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Wanted fields as text, of TSV rows where ``quoted`` is given and of JSON rows elsewhere."""
     tsv = F.col("quoted").isNotNull()
-    rows = text.once(rows, "cells", F.when(tsv, tsv_cells()))
-    rows = text.once(rows, "rec", F.when(~tsv, F.from_json("line", json_schema(fields), {"columnNameOfCorruptRecord": "_bad"})))
+    rec = F.when(~tsv, F.from_json("line", json_schema(fields), {"columnNameOfCorruptRecord": "_bad"}))
+    rows = text.once(rows, "read", F.struct(F.when(tsv, tsv_cells()).alias("cells"), rec.alias("rec"))).select("file", "at", "quoted", "read.*")
     good = tsv | (F.col("rec").isNotNull() & F.col("rec._bad").isNull())
     return rows.filter(good).select(
         "file", *[F.when(tsv, tsv_cell(i)).otherwise(F.col(f"rec.`{f}`")).alias(f) for i, f in enumerate(fields)]

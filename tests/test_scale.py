@@ -61,3 +61,16 @@ def test_gaps_are_sorted_in_parts_that_follow_the_rows(spark, monkeypatch):
     assert "hashpartitioning(ip" in plan_of(parted) and ", 41)" in plan_of(parted) and ", 41)" not in plan_of(plain)
     for a, b in zip(plain.orderBy("ip").collect(), parted.orderBy("ip").collect(), strict=True):
         assert tuple(a)[:5] == tuple(b)[:5] and all(x == y or abs(x - y) < 1e-6 * abs(x) for x, y in zip(tuple(a)[5:], tuple(b)[5:]))
+
+
+def test_lines_are_stripped_without_a_walk(spark):
+    odd = ["", " ", "a", " a", "a ", "\ta b\r\n", "\x0b#x", "x\x0c", "\u00a0é\u00a0", "a\u2003", " # ", "\n\n", "- x -", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "id int, line string")
+    got = rows.select("id", mo.stripped(F.col("line")).alias("a"), F.btrim("line", F.lit(" \t\n\r\x0b\x0c")).alias("b")).orderBy("id").collect()
+    assert [r.a for r in got] == [r.b for r in got] == [None if x is None else x.strip(" \t\n\r\x0b\x0c") for x in odd]
+
+
+def test_lines_are_copied_once_to_be_read(spark, tables):
+    lines = fq.write_json(tables, tables.dns, fq.DNS_JSON, "dns")
+    rows = mo.parse_auto(lines, mo.FIELDS["dns"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1

@@ -1,6 +1,7 @@
 """Streaming jobs run to the end of their input, compared with their batch twins."""
 
 import pickle
+import time
 import tracemalloc
 from datetime import datetime, timedelta
 
@@ -351,6 +352,56 @@ def test_unseen_rows_are_read_once_and_meet_stored_keys_in_one_shuffle(spark):
         assert plan.count("Aggregate [_group") == 1 and "LeftAnti" not in plan and plan.count("RepartitionByExpression") + plan.count("Repartition 4") <= (1 if stored is None else 2)
 
 
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (blocks.apply(i) for i in range(blocks.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_ingest_goes_in_rounds_that_leave_the_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "ROUND_ROWS", 30)
+    out, as_of, rng, held = str(tmp_path / "out"), F.lit(AS_OF), np.random.default_rng(3), []
+    plain = ingest.unseen
+
+    def watched(rows, stored, key):
+        staged = sum(f.stat().st_size for f in (tmp_path / "out" / "staged").rglob("*.parquet"))
+        held.append((rows.count(), None if stored is None else stored.count(), staged))
+        return plain(rows, stored, key)
+
+    monkeypatch.setattr(ingest, "unseen", watched)
+    earlier, want, settings = set(), [], {k: spark.conf.get(k, None) for k in ingest.SETTINGS}
+    for n in range(2):
+        batch = [(None if k % 9 == 0 else f"u{rng.integers(150)}", int(rng.integers(1, 50)), f"s{rng.integers(3)}") for k in range(300)]
+        first = {}
+        for uid, ts, state in batch:
+            if uid is None:
+                want.append((n, "None", ts, state))
+            elif uid not in earlier:
+                first[uid] = min(first.get(uid, (ts, state)), (ts, state))
+        want += [(n, uid, *row) for uid, row in first.items()]
+        earlier |= set(first)
+        before, held[:] = shuffle_files(spark), []
+        for _ in range(2):  # the second time as after a failure
+            ingest.store_batch(monitor_lines(spark, f"f{n}", batch).repartition(3), n, ["conn"], out, as_of)
+        once = held[: len(held) // 2]
+        assert len(once) > 3 and sum(r for r, _, _ in once) == 300 and max(r for r, _, _ in once) < 100
+        assert [s for _, _, s in once] == sorted((s for _, _, s in once), reverse=True) and once[-1][2] < once[0][2] / 3
+        assert not n or sum(s for _, s, _ in once) == len({r[1] for r in want if r[0] == 0} - {"None"})
+        for _ in range(50):
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left
+    got = spark.read.parquet(f"{out}/conn").select("n", "uid", F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("ts"), "conn_state").collect()
+    assert sorted((r.n, str(r.uid), r.ts, r.conn_state) for r in got) == sorted(want)
+    assert not (tmp_path / "out" / "keys").exists() and not ingest.folders(spark, f"{out}/staged/conn", "n")
+    assert {k: spark.conf.get(k, None) for k in ingest.SETTINGS} == settings
+
+
+def test_rounds_hold_all_slices_once():
+    assert ingest.rounds({}, 5) == [[]]
+    assert ingest.rounds({3: 4, 0: 2, 1: 3, 7: 9, 8: 1}, 5) == [[0, 1], [3], [7], [8]]
+
+
 def test_polled_kinds_read_their_own_files_once_and_cache_nothing(spark, tmp_path, monkeypatch):
     base, out, seen = tmp_path / "in", str(tmp_path / "out"), []
     line = '{"ts": %d, "uid": "%s", "id.orig_h": "10.0.0.1", "conn_state": "S0", "rcode_name": "NOERROR"}\n'
