@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -68,11 +71,14 @@ def odd_forest(t):
     return _MODELS[key]
 
 
+def flagged(rows, model, odd):
+    """``rows`` with class, probability and anomaly flag."""
+    return isolation.flag_anomalies(isolation.with_scores(models.score_events(model, rows).withColumn("x", vector_to_array("features")), odd), odd)
+
+
 def scored(t):
     """Class, probability and anomaly flag of every event."""
-    rows = models.score_events(forest(t), labelled(t)).withColumn("x", vector_to_array("features"))
-    odd = odd_forest(t)
-    return isolation.flag_anomalies(isolation.with_scores(rows, odd), odd)
+    return flagged(labelled(t), forest(t), odd_forest(t))
 
 
 @query("score_events")
@@ -97,22 +103,32 @@ def _(t):
     return models.explain_rows(forest(t), labelled(t))
 
 
+def agreement(rows, classes: int):
+    """Pairs of rows of one id, and in how many of them classes (``again``, ``y_pred``) and flags (``flag_again``, ``is_anomaly``) are the same.
+
+    An id has one row unless the events repeat it. The pairs of an id follow from its counts, so rows scored by both models side by side need no join.
+    """
+    def pairs(left, right, values):
+        return reduce(add, [F.count_if(F.col(left) == v) * F.count_if(F.col(right) == v) for v in values])
+
+    per_id = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(
+        (F.count("*") * F.count("*")).alias("rows"), pairs("again", "y_pred", map(F.lit, range(classes))).alias("equal"),
+        pairs("flag_again", "is_anomaly", (F.lit(True), F.lit(False))).alias("equal_flags"))
+    return per_id.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "equal", "equal_flags")])
+
+
 @query("save_load_model")
 def _(t):
-    path = shared_dir(t.spark, "model")
-    models.save_model(forest(t), path, t.spark, "v1.0.0", AS_OF)
+    path, rows, model, odd = shared_dir(t.spark, "model"), labelled(t), forest(t), odd_forest(t)
+    models.save_model(model, path, t.spark, "v1.0.0", AS_OF)
     loaded, about = models.load_model(path, t.spark)
-    both = models.score_events(loaded, labelled(t)).select("id", F.col("y_pred").alias("again")).join(
-        models.score_events(forest(t), labelled(t)).select("id", "y_pred"), "id")
-    agree = both.agg(F.count("*").alias("rows"), F.count_if(F.col("again") == F.col("y_pred")).alias("equal"))
-    isolation.save(odd_forest(t), f"{path}/isolation", t.spark)
-    rows = models.score_events(loaded, labelled(t)).withColumn("x", vector_to_array("features"))
-    again = isolation.load(f"{path}/isolation", t.spark)
-    flags = isolation.flag_anomalies(isolation.with_scores(rows, again), again).select("id", F.col("is_anomaly").alias("flag_again"))
-    odd = flags.join(scored(t).select("id", "is_anomaly"), "id").agg(F.count_if(F.col("flag_again") == F.col("is_anomaly")).alias("equal_flags"))
+    isolation.save(odd, f"{path}/isolation", t.spark)
+    again = flagged(rows, loaded, isolation.load(f"{path}/isolation", t.spark)).select(
+        *rows.columns, F.col("y_pred").alias("again"), F.col("is_anomaly").alias("flag_again"))
+    both = flagged(again, model, odd).select("id", "again", "y_pred", "flag_again", "is_anomaly")
     from ..operators.events import one_row
 
-    return one_row(about, agree, odd)
+    return one_row(about, agreement(both, model.stages[-1].numClasses))
 
 
 @query("store_metrics", """

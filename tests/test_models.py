@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logwarden.ml import frames, isolation, models
 from logwarden.operators import metrics as mx
 from logwarden.plans import ml_queries as mq
+from logwarden.plans.registry import QUERIES
 from logwarden.plans.views import AS_OF
 
 
@@ -148,6 +149,29 @@ def test_model_survives_saving(spark, labelled, model, tmp_path):
     assert a == b
 
 
+def test_agreement_counts_the_pairs_of_an_id(spark):
+    rng = np.random.default_rng(8)
+    data = [(None if k % 7 == 0 else int(rng.integers(0, 60)), float(rng.integers(3)), float(rng.integers(3)),
+             None if k % 11 == 0 else bool(rng.integers(2)), bool(rng.integers(2))) for k in range(200)]
+    rows = spark.createDataFrame(data, "id long, again double, y_pred double, flag_again boolean, is_anomaly boolean")
+    pairs = [(a, b) for a in data for b in data if a[0] is not None and a[0] == b[0]]
+    want = (len(pairs), sum(a[1] == b[2] for a, b in pairs), sum(a[3] == b[4] for a, b in pairs))
+    assert tuple(mq.agreement(rows, 3).first()) == want and tuple(mq.agreement(rows.limit(0), 3).first()) == (0, 0, 0)
+
+
+def test_saved_model_is_compared_side_by_side(tables, labelled, model, monkeypatch):
+    odd = isolation.fit(models.score_events(model, labelled).withColumn("x", mq.vector_to_array("features")).select("id", "x"), trees=3)
+    monkeypatch.setitem(mq._MODELS, mq.known(tables, "forest"), model)
+    monkeypatch.setitem(mq._MODELS, mq.known(tables, "isolation"), odd)
+    scored, score = [], models.score_events
+    monkeypatch.setattr(models, "score_events", lambda m, rows: scored.append(m) or score(m, rows))
+    got = QUERIES["save_load_model"](tables.spark, tables.dir)
+    n = labelled.count()
+    row = got.first()
+    assert (row.rows, row.equal, row.equal_flags) == (n, n, n) and len(scored) == 2 and scored[0] is not scored[1]
+    assert "(id#" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
 def test_curve_parts_are_even_where_scores_pile_up(spark):
     rng = np.random.default_rng(5)
     piled = np.concatenate([np.zeros(3000), np.ones(3000), 0.5 + rng.integers(0, 4000, 9000) * 1e-9, rng.random(100)])
